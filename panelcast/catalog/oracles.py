@@ -160,3 +160,285 @@ FROM flights ORDER BY FL_DATE, REPORTING_AIRLINE, ORIGIN, DEST, DEP_DELAY NULLS
   DISTANCE, route LIMIT 1000""")
 sql("distinct_routes_period", FLIGHTS, """
 SELECT count(DISTINCT route) AS n_routes FROM flights WHERE FL_DATE < DATE '1996-01-01'""")
+
+# ---- weather ----
+
+CONDITION = """CASE WHEN weather_code IS NULL OR weather_code = 0 THEN 'clear' WHEN weather_code IN (1, 2, 3) THEN 'cloudy'
+ WHEN weather_code IN (45, 48) THEN 'fog' WHEN weather_code IN (51, 53) THEN 'drizzle'
+ WHEN weather_code = 55 THEN 'dense_drizzle' WHEN weather_code IN (56, 57) THEN 'freezing_drizzle'
+ WHEN weather_code IN (61, 63) THEN 'rain' WHEN weather_code = 65 THEN 'heavy_rain'
+ WHEN weather_code IN (66, 67) THEN 'freezing_rain' WHEN weather_code = 80 THEN 'rain_showers'
+ WHEN weather_code IN (81, 82) THEN 'heavy_showers' WHEN weather_code IN (71, 73, 75, 77) THEN 'snow'
+ WHEN weather_code IN (85, 86) THEN 'snow_showers' WHEN weather_code IN (95, 96, 99) THEN 'thunderstorm'
+ ELSE 'other' END"""
+SEVERITY = """CASE WHEN condition = 'clear' THEN 0 WHEN condition = 'cloudy' THEN 1
+ WHEN condition IN ('dense_drizzle', 'rain', 'rain_showers') THEN 3
+ WHEN condition IN ('heavy_rain', 'heavy_showers', 'freezing_drizzle', 'freezing_rain', 'snow', 'snow_showers') THEN 4
+ WHEN condition = 'thunderstorm' THEN 5 ELSE 2 END"""
+HOURLY = f"""
+hourly0 AS (
+  SELECT ts AS datetime,
+         CASE event_type WHEN 'click' THEN 'AFR' WHEN 'error' THEN 'AME' WHEN 'purchase' THEN 'ASI'
+              WHEN 'signup' THEN 'EUR' WHEN 'view' THEN 'MID' END AS airport,
+         50.0::DOUBLE + user_id % 40 AS temp, value / 50 AS precip, value AS wind_speed, value * 1.5 AS wind_gusts,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) AS weather_code
+  FROM events),
+hourly1 AS (
+  SELECT *, CASE WHEN weather_code BETWEEN 71 AND 77 OR weather_code IN (85, 86) THEN wind_speed / 100 ELSE 0 END AS snowfall,
+         {CONDITION} AS condition FROM hourly0),
+hourly AS (SELECT *, {SEVERITY} AS severity FROM hourly1)"""
+WDAY = HOURLY + f""",
+wday0 AS (
+  SELECT CAST(datetime AS DATE) AS date, airport, max(temp) AS temp_max, min(temp) AS temp_min, avg(temp) AS temp_avg,
+         sum(precip) AS precip_total, sum(CASE WHEN snowfall = 0 THEN precip ELSE 0 END) AS rain,
+         sum(snowfall) AS snowfall, max(wind_speed) AS wind_speed_max, max(wind_gusts) AS wind_gusts_max,
+         CAST(sum(weather_code) % 100 AS INTEGER) AS weather_code
+  FROM hourly GROUP BY 1, 2),
+wday1 AS (SELECT *, {CONDITION} AS condition FROM wday0),
+wday AS (
+  SELECT *, {SEVERITY} AS severity, CAST(precip_total > 0.1 AS INTEGER) AS has_precipitation,
+         CAST(snowfall > 0 AS INTEGER) AS has_snow, CAST({SEVERITY} >= 3 AS INTEGER) AS is_adverse,
+         temp_max - temp_min AS temp_range FROM wday1),
+roll AS (
+  SELECT airport, CAST(datetime AS DATE) AS date,
+         coalesce(max(wind_speed) FILTER (hour(datetime) BETWEEN 6 AND 23), 0) AS peak_wind_operating,
+         coalesce(sum(precip) FILTER (hour(datetime) BETWEEN 6 AND 23), 0) AS precip_operating,
+         max(severity) AS max_hourly_severity, count(*) FILTER (severity >= 4) AS storm_hours,
+         coalesce(max(severity) FILTER (hour(datetime) BETWEEN 5 AND 10), 0) AS morning_severity,
+         coalesce(max(severity) FILTER (hour(datetime) BETWEEN 16 AND 21), 0) AS evening_severity
+  FROM hourly GROUP BY 1, 2 HAVING count(*) FILTER (hour(datetime) BETWEEN 6 AND 23) > 0),
+weather AS (
+  SELECT w.*, coalesce(peak_wind_operating, 0) AS peak_wind_operating, coalesce(precip_operating, 0) AS precip_operating,
+         coalesce(max_hourly_severity, 0) AS max_hourly_severity, coalesce(storm_hours, 0) AS storm_hours,
+         coalesce(morning_severity, 0) AS morning_severity, coalesce(evening_severity, 0) AS evening_severity
+  FROM wday w LEFT JOIN roll USING (airport, date))"""
+CALW = PANEL + "," + WDAY + """,
+calw AS (
+  SELECT c.date AS cdate, day(c.date) AS dom, w.* EXCLUDE (date)
+  FROM (SELECT DISTINCT date FROM panel) c JOIN weather w ON day(c.date) = day(w.date))"""
+W_COLS = [
+    "temp_avg", "temp_max", "temp_min", "temp_range", "precip_total", "snowfall", "wind_speed_max", "wind_gusts_max",
+    "severity", "has_precipitation", "has_snow", "is_adverse", "peak_wind_operating", "precip_operating",
+    "max_hourly_severity", "storm_hours", "morning_severity", "evening_severity"]
+W_REAL = W_COLS[:8] + ["peak_wind_operating", "precip_operating"]
+ROLL = ["peak_wind_operating", "precip_operating", "max_hourly_severity", "storm_hours", "morning_severity", "evening_severity"]
+APT = [f"apt{n}_{c}" for n in (1, 2) for c in W_COLS]
+WPANEL = CALW + """,
+wjoin AS (
+  SELECT p.*, """ + ", ".join(f"a{n}.{c} AS apt{n}_{c}" for n in (1, 2) for c in W_COLS) + """
+  FROM panel p
+  LEFT JOIN calw a1 ON p.date = a1.cdate AND substr(p.route, 1, 3) = a1.airport
+  LEFT JOIN calw a2 ON p.date = a2.cdate AND substr(p.route, 5, 3) = a2.airport),
+wpanel AS (
+  SELECT *, greatest(apt1_severity, apt2_severity) AS weather_severity_max,
+         CASE WHEN apt1_severity IS NULL THEN apt2_severity WHEN apt2_severity IS NULL THEN apt1_severity
+              ELSE (apt1_severity + apt2_severity) / 2 END AS weather_severity_combined,
+         CASE WHEN apt1_is_adverse = 1 OR apt2_is_adverse = 1 THEN 1 ELSE 0 END AS has_adverse_weather,
+         coalesce(apt1_precip_total, 0) + coalesce(apt2_precip_total, 0) AS total_precip,
+         coalesce(apt1_snowfall, 0) + coalesce(apt2_snowfall, 0) AS total_snowfall,
+         greatest(apt1_wind_speed_max, apt2_wind_speed_max) AS max_wind,
+         greatest(apt1_peak_wind_operating, apt2_peak_wind_operating) AS peak_wind_operating,
+         coalesce(apt1_precip_operating, 0) + coalesce(apt2_precip_operating, 0) AS precip_operating,
+         greatest(apt1_max_hourly_severity, apt2_max_hourly_severity) AS max_hourly_severity,
+         coalesce(apt1_storm_hours, 0) + coalesce(apt2_storm_hours, 0) AS storm_hours,
+         greatest(apt1_morning_severity, apt2_morning_severity) AS morning_severity,
+         greatest(apt1_evening_severity, apt2_evening_severity) AS evening_severity
+  FROM wjoin)"""
+
+
+def cols(names, real):
+    """Columns by name, the real-valued ones rounded."""
+    return ", ".join(r(c) if c in real else c for c in names)
+
+
+sql("weather_condition", HOURLY, "SELECT weather_code, condition, count(*) AS n FROM hourly GROUP BY 1, 2")
+sql("condition_severity", HOURLY, "SELECT condition, severity, count(*) AS n FROM hourly GROUP BY 1, 2")
+sql("severity_label", HOURLY, """
+SELECT severity, ['Clear', 'Partly Cloudy', 'Fog/Drizzle', 'Rain', 'Snow', 'Thunderstorm'][severity + 1] AS label,
+       count(*) AS n FROM hourly GROUP BY 1, 2""")
+sql("weather_flags", WDAY, f"""
+SELECT date, airport, condition, severity, has_precipitation, has_snow, is_adverse,
+       {rs("temp_range", "precip_total", "rain", "snowfall")} FROM wday""")
+sql("hourly_to_daily", WDAY, f"SELECT airport, date, {cols(ROLL, W_REAL)} FROM roll")
+sql("merge_hourly_into_daily", WDAY, f"""
+SELECT w.date, w.airport, w.severity, {", ".join(r(f"coalesce(x.{c}, 0)", c) if c in W_REAL else f"coalesce(x.{c}, 0) AS {c}" for c in ROLL)}
+FROM wday w LEFT JOIN (SELECT * FROM roll WHERE day(date) <> 7) x ON w.airport = x.airport AND w.date = x.date""")
+sql("join_weather_two_sided", WPANEL, f"SELECT route, date, {cols(APT, [a for a in APT if a[5:] in W_REAL])} FROM wjoin")
+PAIR_REAL = ["weather_severity_combined", "total_precip", "total_snowfall", "max_wind", "peak_wind_operating", "precip_operating"]
+sql("weather_pair_features", WPANEL, f"""
+SELECT route, date, weather_severity_max, has_adverse_weather, {cols(["weather_severity_combined", "total_precip", "total_snowfall", "max_wind", *ROLL], PAIR_REAL)}
+FROM wpanel""")
+sql("weather_match_rate", WPANEL, f"SELECT {r('100.0 * count(apt1_severity) / count(*)', 'match_rate')} FROM wpanel")
+sql("weather_json_daily", WDAY, f"""
+SELECT date, airport, {rs("temp_max", "temp_min", "temp_avg", "precip_total", "rain", "snowfall", "wind_speed_max", "wind_gusts_max")},
+       weather_code FROM wday0""")
+sql("weather_json_hourly", HOURLY, f"""
+SELECT strftime(date_trunc('hour', datetime), '%Y-%m-%d %H:%M:%S') AS datetime, airport,
+       {", ".join(r(f"max({c})", c) for c in ("temp", "precip", "snowfall", "wind_speed", "wind_gusts"))},
+       max(weather_code) AS weather_code FROM hourly GROUP BY 1, 2""")
+sql("missing_keys_resume", FLIGHTS, "SELECT DISTINCT ORIGIN AS airport FROM flights WHERE ORIGIN NOT IN ('AFR', 'EUR')")
+sql("missing_airports", FLIGHTS + "," + HOURLY, """
+SELECT airport FROM (SELECT ORIGIN AS airport FROM flights UNION SELECT DEST FROM flights)
+EXCEPT SELECT airport FROM hourly WHERE hour(datetime) = 3 AND day(datetime) = 1 AND weather_code < 20""")
+sql("dedup_keep_first", WDAY, f"""
+SELECT airport, date, {r("CASE WHEN day(date) <= 15 THEN wind_speed_max ELSE wind_speed_max + 1000 END", "wind_speed_max")},
+       {rs("temp_max")} FROM wday0""")
+SEVERE = "avg(CASE WHEN severity >= 3 THEN 100.0 ELSE 0 END)"
+sql("severe_share_by_month", CALW, f"SELECT CAST(month(cdate) AS INTEGER) AS month, {r(SEVERE, 'severe_pct')} FROM calw GROUP BY 1")
+sql("severe_share_by_airport", CALW, f"SELECT airport, {r(SEVERE, 'severe_pct')} FROM calw GROUP BY 1")
+sql("severe_share_seasons", CALW + f",\nm AS (SELECT month(cdate) AS month, {SEVERE} AS s FROM calw GROUP BY 1)", f"""
+SELECT {r("avg(s)", "all_months")}, {r("avg(s) FILTER (month IN (12, 1, 2))", "winter")},
+       {r("avg(s) FILTER (month IN (6, 7, 8))", "summer")} FROM m""")
+sql("value_counts_pct", HOURLY, f"""
+SELECT condition, count(*) AS count, {r("count(*) * 100.0 / (SELECT count(*) FROM hourly)", "pct")} FROM hourly GROUP BY 1""")
+
+# ---- calendar ----
+
+DAYS = FLIGHTS + ",\ndays AS (SELECT DISTINCT FL_DATE AS date FROM flights)"
+CALENDAR = f"""CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(day(date) AS INTEGER) AS day_of_month,
+  CAST(month(date) AS INTEGER) AS month, CAST(quarter(date) AS INTEGER) AS quarter, CAST(year(date) AS INTEGER) AS year,
+  CAST(week(date) AS INTEGER) AS week_of_year,
+  CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, CAST(day(date) <= 3 AS INTEGER) AS is_month_start,
+  CAST(day(date) >= 28 AS INTEGER) AS is_month_end,
+  sin(2 * pi() * (isodow(date) - 1) / 7) AS day_of_week_sin, cos(2 * pi() * (isodow(date) - 1) / 7) AS day_of_week_cos,
+  sin(2 * pi() * (month(date) - 1) / 12) AS month_sin, cos(2 * pi() * (month(date) - 1) / 12) AS month_cos"""
+CYCLES = ["day_of_week_sin", "day_of_week_cos", "month_sin", "month_cos"]
+CAL_NAMES = ["day_of_week", "day_of_month", "month", "quarter", "year", "week_of_year", "is_weekend", "is_month_start", "is_month_end"]
+BREAK = """CAST((month(date) = 12 AND day(date) >= 20) OR (month(date) = 1 AND day(date) <= 5)
+  OR (month(date) = 3 AND day(date) BETWEEN 8 AND 24) OR month(date) IN (6, 7, 8)
+  OR (month(date) = 11 AND day(date) BETWEEN 20 AND 30) AS INTEGER) AS is_school_break"""
+ERAS = f"""CAST(date >= DATE '{CUT.era_start}' AND date < DATE '{CUT.era_peak_end}' AS INTEGER) AS is_covid_period,
+  CAST(date >= DATE '{CUT.era_peak_end}' AND date < DATE '{CUT.era_recovery_end}' AS INTEGER) AS is_covid_recovery,
+  CAST(date >= DATE '{CUT.era_recovery_end}' AS INTEGER) AS is_post_covid"""
+HOLIDAYS = """
+alld AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2003-01-31', INTERVAL 1 DAY)) AS DATE) AS date),
+actual AS (
+  SELECT date FROM alld WHERE (month(date), day(date)) IN ((1, 1), (7, 4), (11, 11), (12, 25))
+    OR (isodow(date) = 1 AND month(date) IN (1, 2) AND day(date) BETWEEN 15 AND 21)
+    OR (isodow(date) = 1 AND month(date) = 5 AND day(date) >= 25)
+    OR (isodow(date) = 1 AND month(date) = 9 AND day(date) <= 7)
+    OR (isodow(date) = 1 AND month(date) = 10 AND day(date) BETWEEN 8 AND 14)
+    OR (isodow(date) = 4 AND month(date) = 11 AND day(date) BETWEEN 22 AND 28)),
+holidays AS (
+  SELECT date FROM (SELECT date FROM actual UNION SELECT date - 1 FROM actual WHERE isodow(date) = 6
+    UNION SELECT date + 1 FROM actual WHERE isodow(date) = 7) WHERE year(date) BETWEEN 1995 AND 2002)"""
+
+
+def holiday_days(source):
+    return f"""{HOLIDAYS},
+hd AS (
+  SELECT p.date,
+    least(30, coalesce(min(CASE WHEN h.date > p.date THEN h.date - p.date END), 30)) AS days_to_holiday,
+    least(30, coalesce(min(CASE WHEN h.date < p.date THEN p.date - h.date END), 30)) AS days_from_holiday,
+    max(CASE WHEN h.date = p.date THEN 1 ELSE 0 END) AS is_federal_holiday
+  FROM (SELECT DISTINCT date FROM {source}) p, holidays h GROUP BY p.date)"""
+
+
+HD = PANEL + "," + holiday_days("panel")
+sql("calendar_features", DAYS + f",\nc AS (SELECT date, {CALENDAR} FROM days)", f"SELECT date, {', '.join(CAL_NAMES)}, {rs(*CYCLES)} FROM c")
+sql("school_break", DAYS, f"SELECT date, {BREAK} FROM days")
+sql("holiday_asof_next", HD, "SELECT date, CAST(days_to_holiday AS INTEGER) AS days_to_holiday FROM hd")
+sql("holiday_asof_prev", HD, "SELECT date, CAST(days_from_holiday AS INTEGER) AS days_from_holiday FROM hd")
+sql("holiday_semi_flag", HD, "SELECT date, is_federal_holiday FROM hd")
+WEEK = "CASE WHEN days_to_holiday <= 3 OR days_from_holiday <= 3 THEN 1 ELSE 0 END AS is_holiday_week"
+sql("holiday_week", HD, f"SELECT date, {WEEK} FROM hd")
+sql("period_flags", DAYS, f"SELECT date, {ERAS} FROM days")
+ERA3 = f"""CASE WHEN date < DATE '{CUT.era_start}' THEN 'Pre-COVID' WHEN date < DATE '{CUT.era_peak_end}' THEN 'COVID' ELSE 'Post-COVID' END"""
+ERA4 = f"""CASE WHEN date < DATE '{CUT.era_start}' THEN 'Pre-COVID' WHEN date < DATE '{CUT.era_peak_end}' THEN 'COVID'
+  WHEN date < DATE '{CUT.era_recovery_end}' THEN 'Recovery' ELSE 'Post-COVID' END"""
+DAYTYPE = "CASE WHEN isodow(date) >= 6 THEN 'Weekend' ELSE 'Weekday' END"
+SEASON = "['Q1 (Winter)', 'Q2 (Spring)', 'Q3 (Summer)', 'Q4 (Fall)'][quarter(date)]"
+sql("era_label", DAYS, f"SELECT date, {ERA3} AS era, {ERA4} AS period FROM days")
+sql("segment_columns", DAYS, f"SELECT date, {DAYTYPE} AS day_type, {SEASON} AS season FROM days")
+
+# ---- features ----
+
+LAG_COLS = [f"lag_{k}_arr_delay" for k in (1, 7, 14, 28)]
+ROLL_COLS = ["rolling_mean_7_arr_delay", "rolling_mean_14_arr_delay", "rolling_std_7_arr_delay", "rolling_std_14_arr_delay"]
+LAG_FEATURES = [*LAG_COLS, *ROLL_COLS, "ewm_7_arr_delay"]
+
+
+def lagged(source):
+    return f"""
+lag0 AS (
+  SELECT route, date, {", ".join(f"lag(avg_arr_delay, {k}) OVER w AS lag_{k}_arr_delay" for k in (1, 7, 14, 28))},
+    {", ".join(f"avg(avg_arr_delay) OVER w{k} AS rolling_mean_{k}_arr_delay, stddev_samp(avg_arr_delay) OVER w{k} AS rolling_std_{k}_arr_delay" for k in (7, 14))}
+  FROM {source}
+  WINDOW w AS (PARTITION BY route ORDER BY date),
+    w7 AS (PARTITION BY route ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+    w14 AS (PARTITION BY route ORDER BY date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)),
+ew AS (
+  SELECT a.route, a.date, sum(z.avg_arr_delay * pow(0.75, a.date - z.date - 1)) / sum(pow(0.75, a.date - z.date - 1)) AS ewm_7_arr_delay
+  FROM {source} a JOIN {source} z ON a.route = z.route AND z.date < a.date AND z.date >= a.date - 160
+  GROUP BY 1, 2),
+lagf AS (SELECT lag0.*, ewm_7_arr_delay FROM lag0 LEFT JOIN ew USING (route, date))"""
+
+
+LAGS = PANEL + "," + lagged("panel")
+sql("lags", LAGS, f"SELECT route, date, {rs(*LAG_COLS)} FROM lagf")
+sql("rolling_mean", LAGS, f"SELECT route, date, {rs(*ROLL_COLS[:2])} FROM lagf")
+sql("rolling_std", LAGS, f"SELECT route, date, {rs(*ROLL_COLS[2:])} FROM lagf")
+sql("ewm", LAGS, f"SELECT route, date, {rs('ewm_7_arr_delay')} FROM lagf")
+sql("route_code", PANEL, """
+SELECT route, CAST(dense_rank() OVER (ORDER BY route) - 1 AS INTEGER) AS route_encoded, count(*) AS n FROM panel GROUP BY route""")
+STATS = f"""
+stats AS (
+  SELECT route, avg(flight_count) AS route_mean_demand, stddev_samp(flight_count) AS route_std_demand,
+         median(flight_count) AS route_median_demand, avg(avg_arr_delay) AS route_delay_mean,
+         coalesce(stddev_samp(avg_arr_delay), 0) AS route_delay_std
+  FROM panel WHERE date < DATE '{CUT.train_end}' GROUP BY route)"""
+STAT_COLS = ["route_mean_demand", "route_std_demand", "route_median_demand", "route_delay_mean", "route_delay_std"]
+sql("train_route_stats", PANEL + "," + STATS, f"""
+SELECT s.route, {rs(*STAT_COLS)}, (SELECT count(*) FROM panel p WHERE p.route = s.route) AS n FROM stats s""")
+sql("train_stats_join", PANEL + "," + STATS, f"""
+SELECT p.route, date, flight_count, {rs(*STAT_COLS)} FROM panel p JOIN stats s ON p.route = s.route""")
+
+ZERO = ["apt1_severity", "apt2_severity", "weather_severity_max", "weather_severity_combined", "has_adverse_weather",
+        "apt1_precip_total", "apt2_precip_total", "apt1_snowfall", "apt2_snowfall", "apt1_wind_speed_max",
+        "apt2_wind_speed_max", "total_precip", "total_snowfall", "max_wind", *ROLL]
+IMPUTED = WPANEL + f""",
+imp AS (
+  SELECT * REPLACE ({", ".join(f"coalesce({c}, 0) AS {c}" for c in ZERO)},
+    {", ".join(f"coalesce({c}, (SELECT median({c}) FROM wpanel WHERE date < DATE '{CUT.train_end}'), 50) AS {c}" for c in ("apt1_temp_avg", "apt2_temp_avg"))})
+  FROM wpanel),
+der AS (
+  SELECT *, CAST(weather_severity_max >= 4 AS INTEGER) + CAST(weather_severity_max >= 5 AS INTEGER) AS severe_weather_level,
+    CAST(apt1_severity = 0 AND apt2_severity = 0 AS INTEGER) AS both_clear,
+    CAST(abs(apt1_severity - apt2_severity) AS INTEGER) AS weather_diff,
+    {", ".join(f"coalesce(lag(weather_severity_max, {k}) OVER (PARTITION BY route ORDER BY date), 0) AS weather_severity_lag_{k}" for k in (1, 3, 7))}
+  FROM imp)"""
+sql("impute_weather", IMPUTED, f"""
+SELECT route, date, apt1_severity, weather_severity_max, {rs("apt1_temp_avg", "apt2_temp_avg", "max_wind")} FROM imp""")
+sql("weather_derived", IMPUTED, "SELECT route, date, severe_weather_level, both_clear, weather_diff FROM der")
+sql("weather_lags", IMPUTED, "SELECT route, date, weather_severity_lag_1, weather_severity_lag_3, weather_severity_lag_7 FROM der")
+FILLED_LAGS = f"""
+lmed AS (
+  SELECT route, {", ".join(f"median({c}) AS m_{c}" for c in LAG_FEATURES)}
+  FROM lagf WHERE date < DATE '{CUT.train_end}' GROUP BY route),
+lagi AS (
+  SELECT f.route, f.date, {", ".join(f"coalesce({c}, m_{c}, 0) AS {c}" for c in LAG_FEATURES)}
+  FROM lagf f LEFT JOIN lmed m ON f.route = m.route)"""
+sql("impute_lags", LAGS + "," + FILLED_LAGS, f"SELECT route, date, {rs(*LAG_FEATURES)} FROM lagi")
+
+from panelcast.config import SEQUENCE_FEATURES, TABULAR_FEATURES, WEATHER_FEATURES  # noqa: E402
+
+FEATURES = IMPUTED + "," + holiday_days("panel") + "," + lagged("panel") + "," + FILLED_LAGS + "," + STATS + f""",
+codes AS (SELECT route, CAST(row_number() OVER (ORDER BY route) - 1 AS INTEGER) AS route_encoded FROM (SELECT DISTINCT route FROM panel)),
+feat AS (
+  SELECT d.*, {CALENDAR.replace("(date)", "(d.date)")}, {BREAK.replace("(date)", "(d.date)")}, {ERAS.replace("date >=", "d.date >=").replace("date <", "d.date <")},
+    CAST(days_to_holiday AS INTEGER) AS days_to_holiday, CAST(days_from_holiday AS INTEGER) AS days_from_holiday,
+    is_federal_holiday, {WEEK}, route_encoded, s.* EXCLUDE (route), l.* EXCLUDE (route, date)
+  FROM der d JOIN hd ON d.date = hd.date JOIN codes c ON d.route = c.route JOIN stats s ON d.route = s.route
+  JOIN lagi l ON d.route = l.route AND d.date = l.date)"""
+FEATURE_REAL = [*CYCLES, *STAT_COLS, *LAG_FEATURES, *PAIR_REAL,
+                *[f"apt{n}_{c}" for n in (1, 2) for c in ("temp_avg", "precip_total", "snowfall", "wind_speed_max")]]
+sql("build_features", FEATURES, f"SELECT route, date, {r('avg_arr_delay')}, {cols(TABULAR_FEATURES, FEATURE_REAL)} FROM feat")
+sql("ablation_features", FEATURES, f"""
+SELECT route, date, {cols([c for c in TABULAR_FEATURES if c not in WEATHER_FEATURES], FEATURE_REAL)} FROM feat""")
+sql("split_by_time", LAGS, f"""
+SELECT route, CASE WHEN date < DATE '{CUT.train_end}' THEN 'train' WHEN date < DATE '{CUT.val_end}' THEN 'val' ELSE 'test' END AS split,
+       count(*) AS n, min(date) AS first_date, max(date) AS last_date
+FROM lagf WHERE lag_28_arr_delay IS NOT NULL GROUP BY 1, 2""")
+sql("drop_incomplete", LAGS, f"""
+SELECT route, count(*) AS n, min(date) AS first_date FROM lagf
+WHERE {" AND ".join(f"{c} IS NOT NULL" for c in LAG_FEATURES)} GROUP BY 1""")

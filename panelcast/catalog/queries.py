@@ -201,3 +201,295 @@ def distinct_routes_period(spark, d):
     """Number of routes flown in the first year."""
     fl = b.delays(spark, d).filter(F.col("FL_DATE") < cal.day("1996-01-01"))
     return sf.distinct_route_count(fl)
+
+
+# ---- weather --------------------------------------------------------------------------------------------------
+
+
+@query
+def weather_condition(spark, d):
+    out = starschema.hourly_weather(spark, d).select("weather_code", fw.weather_condition("weather_code").alias("condition"))
+    return out.groupBy("weather_code", "condition").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def condition_severity(spark, d):
+    cond = fw.weather_condition("weather_code")
+    out = starschema.hourly_weather(spark, d).select(cond.alias("condition"), fw.condition_severity(cond).alias("severity"))
+    return out.groupBy("condition", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def severity_label(spark, d):
+    sev = fw.code_severity("weather_code")
+    out = starschema.hourly_weather(spark, d).select(sev.alias("severity"), fw.severity_label(sev).alias("label"))
+    return out.groupBy("severity", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def weather_flags(spark, d):
+    daily = starschema.daily_weather(starschema.hourly_weather(spark, d))
+    return ow.process_weather(daily).select(
+        "date", "airport", "condition", "severity", "has_precipitation", "has_snow", "is_adverse", "temp_range",
+        "precip_total", "rain", "snowfall",
+    )
+
+
+@query
+def hourly_to_daily(spark, d):
+    return ow.hourly_to_daily(starschema.hourly_weather(spark, d))
+
+
+@query
+def merge_hourly_into_daily(spark, d):
+    hourly = starschema.hourly_weather(spark, d)
+    daily = ow.process_weather(starschema.daily_weather(hourly))
+    stale = daily.withColumn("storm_hours", F.lit(-1))
+    rollup = ow.hourly_to_daily(hourly).filter(F.dayofmonth("date") != 7)
+    return ow.merge_hourly_into_daily(stale, rollup).select(
+        "date", "airport", "severity", *config.HOURLY_ROLLUP_COLUMNS
+    )
+
+
+@query
+def join_weather_two_sided(spark, d):
+    base = b.panel(spark, d)
+    joined = ow.join_weather_two_sided(base, b.calendar_weather(spark, d, base))
+    return joined.select("route", "date", *[f"apt{n}_{c}" for n in (1, 2) for c in config.WEATHER_COLUMNS])
+
+
+@query
+def weather_pair_features(spark, d):
+    return b.weather_panel(spark, d).select(
+        "route", "date", "weather_severity_max", "weather_severity_combined", "has_adverse_weather", "total_precip",
+        "total_snowfall", "max_wind", *config.HOURLY_ROLLUP_COLUMNS,
+    )
+
+
+@query
+def weather_match_rate(spark, d):
+    return ow.match_rate(b.weather_panel(spark, d))
+
+
+@query
+def weather_json_daily(spark, d):
+    """Daily readings packed into one payload per airport, landed as JSON lines and parsed back."""
+    daily = starschema.daily_weather(starschema.hourly_weather(spark, d))
+    path = scratch_path(spark, "payload")
+    sw.pack_payload(daily, "daily", sw.DAILY_FIELDS, "date", "yyyy-MM-dd").write.json(path)
+    return sw.parse_daily_payload(spark.read.schema("airport string, payload string").json(path))
+
+
+@query
+def weather_json_hourly(spark, d):
+    """Hourly readings (the windiest of each hour) packed into payloads and parsed back."""
+    hour = F.date_trunc("hour", "datetime").cast("timestamp_ntz").alias("datetime")
+    hourly = starschema.hourly_weather(spark, d).groupBy(hour, "airport").agg(
+        *[F.max(c).alias(c) for c in sw.HOURLY_FIELDS]
+    )
+    path = scratch_path(spark, "payload")
+    sw.pack_payload(hourly, "hourly", sw.HOURLY_FIELDS, "datetime", "yyyy-MM-dd'T'HH:mm").write.json(path)
+    rows = sw.parse_hourly_payload(spark.read.schema("airport string, payload string").json(path))
+    return rows.select(F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "airport", *sw.HOURLY_FIELDS)
+
+
+@query
+def missing_keys_resume(spark, d):
+    """Airports of the flights without landed weather, when only two airports have landed."""
+    airports = b.delays(spark, d).groupBy(F.col("ORIGIN").alias("airport")).agg(F.count(F.lit(1)).alias("n"))
+    landed = starschema.hourly_weather(spark, d).filter(F.col("airport").isin("AFR", "EUR"))
+    return sw.missing_keys(airports, landed)
+
+
+@query
+def missing_airports(spark, d):
+    """Airports of either end without weather on the first of the month."""
+    fl = b.delays(spark, d)
+    ends = fl.select(F.explode(F.array("ORIGIN", "DEST")).alias("airport")).distinct()
+    landed = starschema.hourly_weather(spark, d).filter("hour(datetime) = 3 and dayofmonth(datetime) = 1 and weather_code < 20")
+    return sw.missing_keys(ends, landed)
+
+
+@query
+def dedup_keep_first(spark, d):
+    """Half a month already landed wins over a re-fetch with changed values."""
+    daily = starschema.daily_weather(starschema.hourly_weather(spark, d)).select("airport", "date", "wind_speed_max", "temp_max")
+    existing = daily.filter(F.dayofmonth("date") <= 15)
+    fetched = daily.filter(F.dayofmonth("date") >= 10).withColumn("wind_speed_max", F.col("wind_speed_max") + 1000)
+    return sw.keep_first(existing, fetched)
+
+
+@query
+def severe_share_by_month(spark, d):
+    base = b.panel(spark, d)
+    return ow.severe_share(b.calendar_weather(spark, d, base), "month")
+
+
+@query
+def severe_share_by_airport(spark, d):
+    base = b.panel(spark, d)
+    return ow.severe_share(b.calendar_weather(spark, d, base), "airport")
+
+
+@query
+def severe_share_seasons(spark, d):
+    base = b.panel(spark, d)
+    return ow.severe_share_summary(b.calendar_weather(spark, d, base))
+
+
+@query
+def value_counts_pct(spark, d):
+    cond = starschema.hourly_weather(spark, d).select(fw.weather_condition("weather_code").alias("condition"))
+    return oi.value_counts(cond, "condition")
+
+
+# ---- calendar -------------------------------------------------------------------------------------------------
+
+
+@query
+def calendar_features(spark, d):
+    days = b.delays(spark, d).select(F.col("FL_DATE").alias("date")).distinct()
+    return of.temporal_features(days)
+
+
+@query
+def school_break(spark, d):
+    days = b.delays(spark, d).select(F.col("FL_DATE").alias("date")).distinct()
+    return days.select("date", cal.school_break().alias("is_school_break"))
+
+
+def _holidays(spark, d):
+    panel_days = b.panel(spark, d).select("date").distinct()
+    return of.holiday_features(panel_days, cal.federal_holidays(spark, *b.HOLIDAY_YEARS))
+
+
+@query
+def holiday_asof_next(spark, d):
+    return _holidays(spark, d).select("date", "days_to_holiday")
+
+
+@query
+def holiday_asof_prev(spark, d):
+    return _holidays(spark, d).select("date", "days_from_holiday")
+
+
+@query
+def holiday_semi_flag(spark, d):
+    return _holidays(spark, d).select("date", "is_federal_holiday")
+
+
+@query
+def holiday_week(spark, d):
+    return _holidays(spark, d).select("date", "is_holiday_week")
+
+
+@query
+def period_flags(spark, d):
+    days = b.delays(spark, d).select(F.col("FL_DATE").alias("date")).distinct()
+    return of.era_features(days, b.CUT)
+
+
+@query
+def era_label(spark, d):
+    days = b.delays(spark, d).select(F.col("FL_DATE").alias("date")).distinct()
+    return days.select("date", cal.era_label(b.CUT).alias("era"), cal.era_label(b.CUT, with_recovery=True).alias("period"))
+
+
+@query
+def segment_columns(spark, d):
+    days = b.delays(spark, d).select(F.col("FL_DATE").alias("date")).distinct()
+    return days.select("date", cal.day_type().alias("day_type"), cal.season().alias("season"))
+
+
+# ---- features -------------------------------------------------------------------------------------------------
+
+
+@query
+def lags(spark, d):
+    out = of.lag_features(b.panel(spark, d))
+    return out.select("route", "date", *[f"lag_{k}_arr_delay" for k in config.LAGS])
+
+
+@query
+def rolling_mean(spark, d):
+    out = of.lag_features(b.panel(spark, d))
+    return out.select("route", "date", "rolling_mean_7_arr_delay", "rolling_mean_14_arr_delay")
+
+
+@query
+def rolling_std(spark, d):
+    out = of.lag_features(b.panel(spark, d))
+    return out.select("route", "date", "rolling_std_7_arr_delay", "rolling_std_14_arr_delay")
+
+
+@query
+def ewm(spark, d):
+    return of.lag_features(b.panel(spark, d)).select("route", "date", "ewm_7_arr_delay")
+
+
+@query
+def route_code(spark, d):
+    return of.route_code(b.panel(spark, d)).groupBy("route", "route_encoded").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def train_route_stats(spark, d):
+    """Training-only statistics of each route, as seen on its rows."""
+    out = of.train_route_stats(b.panel(spark, d), b.CUT.train_end)
+    return out.groupBy("route", *config.ROUTE_FEATURES[1:]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def train_stats_join(spark, d):
+    out = of.train_route_stats(b.panel(spark, d), b.CUT.train_end)
+    return out.select("route", "date", "flight_count", *config.ROUTE_FEATURES[1:])
+
+
+@query
+def impute_weather(spark, d):
+    out = of.impute_weather(b.weather_panel(spark, d), b.CUT.train_end)
+    return out.select("route", "date", "apt1_severity", "apt1_temp_avg", "apt2_temp_avg", "max_wind", "weather_severity_max")
+
+
+@query
+def weather_derived(spark, d):
+    out = of.weather_derived(of.impute_weather(b.weather_panel(spark, d), b.CUT.train_end))
+    return out.select("route", "date", "severe_weather_level", "both_clear", "weather_diff")
+
+
+@query
+def weather_lags(spark, d):
+    out = of.weather_lags(of.impute_weather(b.weather_panel(spark, d), b.CUT.train_end))
+    return out.select("route", "date", *[f"weather_severity_lag_{k}" for k in config.WEATHER_LAGS])
+
+
+@query
+def impute_lags(spark, d):
+    out = of.impute_lags(of.lag_features(b.panel(spark, d)), b.CUT.train_end)
+    return out.select("route", "date", *config.LAG_FEATURES)
+
+
+@query
+def build_features(spark, d):
+    """The whole feature table: 63 model features and the target."""
+    return b.features(spark, d).select("route", "date", config.TARGET, *config.TABULAR_FEATURES)
+
+
+@query
+def ablation_features(spark, d):
+    """The feature table without weather."""
+    return b.features(spark, d).select("route", "date", *of.ablated(config.TABULAR_FEATURES))
+
+
+@query
+def split_by_time(spark, d):
+    out = oc.split_by_time(of.lag_features(b.panel(spark, d)), b.CUT, ["lag_28_arr_delay", config.TARGET])
+    return out.groupBy("route", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    )
+
+
+@query
+def drop_incomplete(spark, d):
+    out = oc.drop_incomplete(of.lag_features(b.panel(spark, d)), config.LAG_FEATURES)
+    return out.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"))

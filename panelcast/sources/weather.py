@@ -44,7 +44,7 @@ def pack_payload(rows: DataFrame, section: str, fields: dict, time: str, time_fo
     """The inverse: one payload per airport, in time order. An airport's arrays are bounded by its calendar."""
     item = F.struct(F.date_format(time, time_format).alias("time"), *[F.col(c).alias(f) for c, f in fields.items()])
     series = rows.groupBy("airport").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    arrays = F.struct(*[F.transform("s", lambda x, n=n: x[n]).alias(n) for n in ["time", *fields.values()]])
+    arrays = F.struct(*[F.col(f"s.{n}").alias(n) for n in ["time", *fields.values()]])
     return series.select("airport", F.to_json(F.struct(arrays.alias(section)), {"ignoreNullFields": "false"}).alias("payload"))
 
 
