@@ -442,3 +442,342 @@ FROM lagf WHERE lag_28_arr_delay IS NOT NULL GROUP BY 1, 2""")
 sql("drop_incomplete", LAGS, f"""
 SELECT route, count(*) AS n, min(date) AS first_date FROM lagf
 WHERE {" AND ".join(f"{c} IS NOT NULL" for c in LAG_FEATURES)} GROUP BY 1""")
+
+# ---- baselines ----
+
+TRAIN, TEST = f"date < DATE '{CUT.train_end}'", f"date >= DATE '{CUT.test_start}'"
+BASE = PANEL + f""",
+rm AS (SELECT route, median(avg_arr_delay) AS m FROM panel WHERE {TRAIN} GROUP BY route),
+gm AS (SELECT median(avg_arr_delay) AS g FROM panel WHERE {TRAIN}),
+raw AS (
+  SELECT route, date, avg_arr_delay, lag(avg_arr_delay) OVER w AS naive, lag(avg_arr_delay, 7) OVER w AS seasonal_7,
+    {", ".join(f"avg(avg_arr_delay) OVER (PARTITION BY route ORDER BY date ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AS ma_{k}" for k in (7, 14, 28))}
+  FROM panel WINDOW w AS (PARTITION BY route ORDER BY date)),
+fb AS (SELECT raw.*, m, g FROM raw LEFT JOIN rm ON raw.route = rm.route, gm)"""
+MODEL_NAMES = ["naive", "seasonal_7", "ma_7", "ma_14", "ma_28"]
+
+
+def fallback(c, name):
+    return r(f"coalesce({c}, m, g)", name)
+
+
+sql("naive_fit", BASE, f"SELECT route, {r('m', 'median')} FROM rm UNION ALL SELECT NULL, {r('g', 'median')} FROM gm")
+sql("naive_forecast", BASE, f"SELECT route, date, {r('avg_arr_delay')}, {fallback('naive', 'pred')} FROM fb")
+sql("seasonal_naive", BASE, f"SELECT route, date, {r('avg_arr_delay')}, {fallback('seasonal_7', 'pred')} FROM fb")
+sql("moving_average", BASE, f"""
+SELECT route, date, {r('avg_arr_delay')}, {", ".join(fallback(f"ma_{k}", f"ma_{k}") for k in (7, 14, 28))} FROM fb""")
+sql("map_lookup_fill", BASE, f"SELECT route, date, {fallback('seasonal_7', 'pred')} FROM fb WHERE date < DATE '1995-01-12'")
+
+
+def fold_slice(f):
+    test = f"date >= DATE '{f.test_start}' AND date < DATE '{f.test_end}'"
+    return f"""
+SELECT {f.fold} AS fold, p.route, date, avg_arr_delay AS actual,
+  coalesce(lag(avg_arr_delay) OVER (PARTITION BY p.route ORDER BY date), m) AS naive,
+  coalesce(avg(avg_arr_delay) OVER (PARTITION BY p.route ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), m) AS ma
+FROM panel p JOIN (SELECT route, median(avg_arr_delay) AS m FROM panel WHERE date < DATE '{f.train_end}' GROUP BY route) t
+  ON p.route = t.route WHERE {test}"""
+
+
+FOLDS = PANEL + ",\nfw AS (" + "\nUNION ALL".join(fold_slice(f) for f in CUT.folds) + """),
+folds AS (SELECT fold, route, date, actual, 'naive' AS model, naive AS pred FROM fw
+  UNION ALL SELECT fold, route, date, actual, 'ma', ma FROM fw)"""
+sql("naive_in_split", FOLDS, f"SELECT fold, route, date, {r('actual')}, model, {r('pred')} FROM folds")
+SLICE = PANEL + f""",
+sl AS (
+  SELECT route, date, avg_arr_delay AS actual, lag(avg_arr_delay) OVER (PARTITION BY route ORDER BY date) AS naive,
+    avg(avg_arr_delay) OVER (PARTITION BY route ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS ma
+  FROM panel WHERE {TEST})"""
+sql("naive_no_fallback", SLICE, f"SELECT route, date, {rs('actual', 'naive', 'ma')} FROM sl WHERE naive IS NOT NULL AND ma IS NOT NULL")
+sql("baseline_from_features", BASE, f"""
+SELECT route, count(*) AS n, min(date) AS first_date, max(date) AS last_date,
+       round(max(avg_arr_delay), 1) AS max_actual, round(min(naive), 1) AS min_naive, count(ma_7) AS n_ma
+FROM raw WHERE {TEST} GROUP BY route""")
+
+# ---- evaluation ----
+
+PRED = BASE + ",\npred AS (" + "\n  UNION ALL ".join(
+    f"SELECT route, date, avg_arr_delay AS actual, '{m}' AS model, {m} AS pred FROM raw WHERE {TEST}" for m in MODEL_NAMES) + ")"
+ERR = PRED + f""",
+err AS (
+  SELECT *, pred - actual AS error, abs(pred - actual) AS abs_error,
+    CASE WHEN abs(actual) >= 1 THEN (pred - actual) / actual * 100 END AS pct_error,
+    {ERA3} AS time_period, {DAYTYPE} AS day_type, {SEASON} AS season
+  FROM pred)"""
+
+
+def basic_metrics():
+    e = "(pred - actual)"
+    return f"""{r(f"sqrt(avg({e} * {e}))", "rmse")}, {r(f"avg(abs({e}))", "mae")},
+  {r(f"CASE WHEN count(*) FILTER (abs(actual) > 1) >= 0.5 * count(*) THEN avg(abs({e} / actual)) FILTER (abs(actual) > 1) * 100 END", "mape")},
+  {r(f"CASE WHEN min(actual) = max(actual) THEN 0 ELSE 1 - sum({e} * {e}) / (var_pop(actual) * count(*)) END", "r2")},
+  count(*) AS n_samples"""
+
+
+sql("error_columns", ERR, f"SELECT route, date, model, {rs('error', 'abs_error', 'pct_error')} FROM err")
+sql("metrics_basic", PRED, f"SELECT model, {basic_metrics()} FROM pred GROUP BY model")
+sql("metrics_delay", PRED, f"SELECT model, {delay_metrics()} FROM pred GROUP BY model")
+sql("metrics_overall", PRED, f"SELECT {delay_metrics()} FROM pred")
+sql("metrics_by_segment", ERR, f"SELECT model, time_period, day_type, {basic_metrics()} FROM err GROUP BY 1, 2, 3")
+sql("metrics_by_all_segments", ERR, "\nUNION ALL ".join(
+    f"SELECT model, '{s}' AS section, {k} AS key, {basic_metrics()} FROM err GROUP BY 1, 2, 3"
+    for s, k in (("overall", "'all'"), ("route", "route"), ("time_period", "time_period"), ("day_type", "day_type"), ("season", "season"))))
+sql("forecast_metrics_by_route", PRED + """,
+shown AS (SELECT route FROM panel GROUP BY route ORDER BY sum(flight_count) DESC, route LIMIT 5)""", f"""
+SELECT model, route, {delay_metrics()} FROM pred WHERE route IN (FROM shown) GROUP BY 1, 2
+UNION ALL SELECT model, 'all', {delay_metrics()} FROM pred GROUP BY 1""")
+sql("assign_folds", PANEL + ",\nroles AS (" + "\nUNION ALL ".join(
+    f"""SELECT {f.fold} AS fold, route, date, CASE WHEN date < DATE '{f.train_end}' THEN 'train' WHEN date < DATE '{f.val_end}' THEN 'val'
+  WHEN date >= DATE '{f.test_start}' AND date < DATE '{f.test_end}' THEN 'test' END AS role FROM panel""" for f in CUT.folds) + ")", """
+SELECT fold, role, route, count(*) AS n, min(date) AS first_date, max(date) AS last_date
+FROM roles WHERE role IS NOT NULL GROUP BY 1, 2, 3""")
+sql("walk_forward_eval", FOLDS, f"SELECT model, fold, {delay_metrics()} FROM folds GROUP BY 1, 2")
+FM = FOLDS + """,
+fm AS (
+  SELECT model, fold, avg(abs(pred - actual)) AS mae, avg(CASE WHEN abs(pred - actual) <= 15 THEN 100.0 ELSE 0 END) AS within_15,
+    sqrt(avg((pred - actual) * (pred - actual))) AS rmse, median(abs(pred - actual)) AS median_ae,
+    1 - sum((pred - actual) * (pred - actual)) / (var_pop(actual) * count(*)) AS r2
+  FROM folds GROUP BY 1, 2)"""
+sql("fold_summary", FM, "\nUNION ALL ".join(f"""
+SELECT model, '{m}' AS metric, {r(f"avg({m})", "mean")}, {r(f"stddev_pop({m})", "std")},
+  {", ".join(r(f"max({m}) FILTER (fold = {i})", f"fold_{i}") for i in (1, 2, 3, 4))} FROM fm GROUP BY model"""
+    for m in ("mae", "rmse", "r2", "within_15", "median_ae")))
+sql("worst_forecasts", ERR, f"""
+SELECT date, route, {rs('actual', 'pred', 'error')} FROM err WHERE model = 'naive' ORDER BY abs_error DESC, route, date LIMIT 10""")
+sql("residuals_over_time", ERR + ",\nde AS (SELECT date, avg(error) AS error FROM err WHERE model = 'ma_7' GROUP BY date)", f"""
+SELECT date, {r('error')}, {r('avg(error) OVER (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)', 'rolling')} FROM de""")
+for name, seg in (("segment_box_stats", "season"), ("segment_box_stats_by_model", "model")):
+    sql(name, ERR, f"""
+SELECT {seg}, {r('median(abs_error)', 'median_abs_error')}, {r('quantile_cont(error, 0.25)', 'q1')},
+  {r('median(error)', 'median_error')}, {r('quantile_cont(error, 0.75)', 'q3')} FROM err GROUP BY 1""")
+sql("mae_route_season_pivot", ERR + """,
+c AS (SELECT route, quarter(date) AS q, avg(abs_error) AS mae FROM err WHERE model = 'ma_7' GROUP BY 1, 2)""", f"""
+SELECT route, {", ".join(r(f"max(mae) FILTER (q = {q})", n) for q, n in ((1, "winter"), (2, "spring"), (3, "summer"), (4, "fall")))},
+  {r("avg(mae)", "row_mean")} FROM c GROUP BY route""")
+sql("seasonal_stats", ERR + """,
+c AS (SELECT route, season, avg(abs_error) AS mae FROM err WHERE model = 'ma_7' GROUP BY 1, 2),
+s AS (SELECT season, avg(mae) AS a FROM c GROUP BY 1),
+best AS (SELECT season, a FROM s ORDER BY a, season LIMIT 1), worst AS (SELECT season, a FROM s ORDER BY a DESC, season LIMIT 1)""", f"""
+SELECT best.season AS best_season, {r('best.a', 'best_season_mae')}, worst.season AS worst_season, {r('worst.a', 'worst_season_mae')},
+  c.route AS worst_route, {r('c.mae', 'worst_route_mae')}, {r('worst.a - best.a', 'spread')}
+FROM best, worst, c WHERE c.season = worst.season ORDER BY c.mae DESC, c.route LIMIT 1""")
+for name, key in (("family_gap", "route"), ("family_gap_by_season", "season")):
+    sql(name, ERR + f""",
+c AS (SELECT {key}, model, avg(abs_error) AS mae FROM err GROUP BY 1, 2),
+g AS (SELECT {key}, avg(mae) FILTER (model LIKE 'ma%') AS a, avg(mae) FILTER (model NOT LIKE 'ma%') AS z FROM c GROUP BY 1)""", f"""
+SELECT {key}, {r('a', 'smooth_mae')}, {r('z', 'last_mae')}, {r('z - a', 'gap')} FROM g""")
+PAIRS = [("ma_7", "ma_14"), ("ma_7", "ma_28"), ("ma_7", "naive"), ("ma_14", "ma_28"), ("ma_14", "naive"), ("ma_28", "naive")]
+# the tail is integrated with Simpson's rule after substituting the angle: f(t) dt ~ cos(x)^(nu - 1) dx with t = sqrt(nu) tan(x)
+sql("paired_t_test", BASE + ",\nd AS (" + "\nUNION ALL ".join(
+    f"SELECT '{a}' AS model_1, '{z}' AS model_2, abs({a} - avg_arr_delay) - abs({z} - avg_arr_delay) AS d FROM raw WHERE {TEST}"
+    for a, z in PAIRS) + """),
+t AS (SELECT model_1, model_2, avg(d) AS mae_diff, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t_stat, count(*) AS n FROM d GROUP BY 1, 2),
+p AS (
+  SELECT model_1, model_2, greatest(0, 1 - 2 * exp(lgamma(n / 2.0) - lgamma((n - 1) / 2.0)) / sqrt(pi())
+     * sum(CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+           * pow(cos(atan(abs(t_stat) / sqrt(n - 1)) * k / 20000.0), n - 2)) * atan(abs(t_stat) / sqrt(n - 1)) / 60000.0) AS p
+  FROM t, range(20001) g(k) GROUP BY model_1, model_2, n, t_stat)""", f"""
+SELECT t.model_1, t.model_2, {r('mae_diff')}, {r('t_stat')}, n, {r('p', 'p_value')}, CAST(p < 0.05 AS INTEGER) AS significant
+FROM t JOIN p ON t.model_1 = p.model_1 AND t.model_2 = p.model_2""")
+sql("route_metric_extremes", PRED + ",\nmr AS (SELECT model, route, avg(abs(pred - actual)) AS mae FROM pred GROUP BY 1, 2)", f"""
+SELECT model, first(route ORDER BY mae, route) AS best_route, {r('min(mae)', 'best_value')},
+  first(route ORDER BY mae DESC, route) AS worst_route, {r('max(mae)', 'worst_value')}, {r('avg(mae)', 'mean_value')} FROM mr GROUP BY 1""")
+MM = PRED + """,
+mm AS (SELECT model, avg(abs(pred - actual)) AS mae, avg(CASE WHEN abs(pred - actual) <= 15 THEN 100.0 ELSE 0 END) AS hit FROM pred GROUP BY 1)"""
+sql("fit_improvement", MM + ",\nn AS (SELECT mae AS nm, hit AS nh FROM mm WHERE model = 'naive')", f"""
+SELECT model, {r('mae')}, {r('(nm - mae) / nm * 100', 'mae_reduction_pct')}, {r('hit - nh', 'hit_rate_change')} FROM mm, n WHERE model <> 'naive'""")
+sql("loss_argmin", FM, f"""
+SELECT model, {r('min(mae)', 'best_loss')}, first(fold ORDER BY mae, fold) AS best_step,
+  CAST(min(mae) = (SELECT min(mae) FROM fm) AS INTEGER) AS is_best FROM fm GROUP BY 1""")
+sql("leaderboard", MM + """,
+ml AS (SELECT * FROM mm WHERE model NOT IN ('naive', 'seasonal_7')),
+bm AS (SELECT model FROM (SELECT model, mae, lead(mae) OVER (ORDER BY mae, model) - mae AS gap, row_number() OVER (ORDER BY mae, model) AS k FROM ml) WHERE k = 1 AND gap >= 0.2),
+bh AS (SELECT model FROM (SELECT model, hit - lead(hit) OVER (ORDER BY hit DESC, model) AS gap, row_number() OVER (ORDER BY hit DESC, model) AS k FROM ml) WHERE k = 1 AND gap >= 0.5)""", f"""
+SELECT model, {r('mae')}, {r('hit', 'within_15')}, CAST(row_number() OVER (ORDER BY mae, model) AS INTEGER) AS mae_rank,
+  CAST(row_number() OVER (ORDER BY hit DESC, model) AS INTEGER) AS hit_rank,
+  CAST(model IN (FROM bm) AS INTEGER) AS clear_best_mae, CAST(model IN (FROM bh) AS INTEGER) AS clear_best_hit,
+  {r("((SELECT mae FROM mm WHERE model = 'naive') - (SELECT min(mae) FROM mm)) / (SELECT mae FROM mm WHERE model = 'naive') * 100", 'improvement_pct')}
+FROM mm""")
+sql("canonical_model_order", MM, f"""
+SELECT model, {r('mae')}, CASE model WHEN 'ma_7' THEN 1 WHEN 'ma_14' THEN 2 WHEN 'naive' THEN 3 ELSE 999 END AS position FROM mm""")
+
+# ---- prediction tables ----
+
+MERGED = BASE + f""",
+merged AS (
+  SELECT route, date, avg_arr_delay AS actual, naive, ma_7, CASE WHEN date >= DATE '2000-08-01' THEN ma_28 END AS smooth, seasonal_7 AS weekly
+  FROM raw WHERE {TEST})"""
+sql("merge_predictions", MERGED, f"SELECT route, date, {rs('actual', 'naive', 'ma_7', 'smooth', 'weekly')} FROM merged")
+sql("align_predictions", MERGED, f"SELECT route, date, {rs('actual', 'smooth')} FROM merged WHERE smooth IS NOT NULL")
+SERIES = BASE + f""",
+series AS (
+  SELECT route, date, avg_arr_delay AS actual, CASE WHEN {TEST} THEN ma_7 END AS predicted, CAST({TEST} AS INTEGER) AS is_test FROM raw)"""
+sql("history_plus_forecast", SERIES, f"SELECT route, date, {rs('actual', 'predicted')}, is_test FROM series")
+BRUSH = SERIES + f""",
+brush AS (SELECT * FROM series WHERE {TEST} AND date <= least(DATE '{CUT.test_start}' + 180, (SELECT max(date) FROM series)))"""
+sql("brush_range", BRUSH, f"SELECT route, date, {rs('actual', 'predicted')}, is_test FROM brush")
+sql("brush_y_extent", BRUSH, f"""
+SELECT {r("least(0, min(least(coalesce(actual, 0), coalesce(predicted, actual, 0))) * 1.15)", "y_min")},
+  {r("max(greatest(coalesce(actual, 0), coalesce(predicted, 0))) * 1.15", "y_max")} FROM brush""")
+sql("city_pairs", FLIGHTS, "SELECT DISTINCT least(ORIGIN, DEST) || '-' || greatest(ORIGIN, DEST) AS city_pair FROM flights")
+sql("directional_routes", FLIGHTS, """
+SELECT DISTINCT least(ORIGIN, DEST) || '-' || greatest(ORIGIN, DEST) AS city_pair,
+  least(ORIGIN, DEST) || '-' || greatest(ORIGIN, DEST) AS outbound, greatest(ORIGIN, DEST) || '-' || least(ORIGIN, DEST) AS inbound FROM flights""")
+sql("city_pair_hit_rate", PRED + """,
+h AS (SELECT route, avg(CASE WHEN abs(pred - actual) <= 15 THEN 100.0 ELSE 0 END) AS hit FROM pred WHERE model = 'ma_28' GROUP BY 1)""", f"""
+SELECT least(substr(route, 1, 3), substr(route, 5, 3)) || '-' || greatest(substr(route, 1, 3), substr(route, 5, 3)) AS city_pair,
+  {r('avg(hit)', 'hit_rate')} FROM h GROUP BY 1""")
+
+# ---- insights ----
+
+sql("weather_impact_by_severity", IMPUTED, f"""
+SELECT weather_severity_max AS severity,
+  ['Clear', 'Partly Cloudy', 'Fog/Drizzle', 'Rain', 'Snow', 'Thunderstorm'][weather_severity_max + 1] AS label,
+  {r('sum(avg_arr_delay * flight_count) / sum(flight_count)', 'avg_delay')}, CAST(sum(flight_count) AS BIGINT) AS n_flights,
+  {r('sum(flight_count) FILTER (avg_arr_delay > 15) / sum(flight_count)', 'high_delay_pct')} FROM imp GROUP BY 1, 2""")
+WVARS = {"apt1_temp_avg": "temp", "max_wind": "wind", "total_precip": "precip", "total_snowfall": "snowfall", "weather_severity_max": "severity"}
+WCORR = WPANEL + ",\nwc AS (" + "\nUNION ALL ".join(f"""
+  SELECT '{n}' AS variable, sum(w * (x - mx) * (y - my)) / (sqrt(sum(w * (x - mx) * (x - mx))) * sqrt(sum(w * (y - my) * (y - my)))) AS correlation
+  FROM (SELECT {c} AS x, avg_arr_delay AS y, flight_count AS w, sum({c} * flight_count) OVER () / sum(flight_count) OVER () AS mx,
+               sum(avg_arr_delay * flight_count) OVER () / sum(flight_count) OVER () AS my FROM wpanel WHERE {c} IS NOT NULL)"""
+    for c, n in WVARS.items()) + ")"
+sql("weighted_corr", WCORR, f"SELECT variable, {r('correlation')} FROM wc")
+sql("corr_by_abs", WCORR, "SELECT variable, CAST(row_number() OVER (ORDER BY abs(correlation) DESC, variable) AS INTEGER) AS rank FROM wc")
+sql("top_carriers", FLIGHTS, """
+SELECT REPORTING_AIRLINE, count(*) AS flight_count FROM flights GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+CARRIERS = FLIGHTS + """,
+topc AS (SELECT REPORTING_AIRLINE AS code FROM flights GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10),
+cf AS (SELECT * FROM flights JOIN topc ON REPORTING_AIRLINE = code),
+cp AS (
+  SELECT code, avg(ARR_DELAY) FILTER (CANCELLED = 0) AS avg_delay,
+    count(*) FILTER (CANCELLED = 0 AND ARR_DELAY <= 15) / count(ARR_DELAY) FILTER (CANCELLED = 0) AS on_time_pct,
+    count(ARR_DELAY) FILTER (CANCELLED = 0) AS n_flights, avg(CANCELLED) AS cancel_rate,
+    count(*) FILTER (CANCELLED = 0 AND ARR_DELAY > 30) / count(ARR_DELAY) FILTER (CANCELLED = 0) AS severe_delay_pct
+  FROM cf GROUP BY code)"""
+sql("carrier_performance", CARRIERS, f"""
+SELECT code, n_flights, {rs('avg_delay', 'on_time_pct', 'cancel_rate', 'severe_delay_pct')},
+  (SELECT min(FL_DATE) FROM cf) AS date_start, (SELECT max(FL_DATE) FROM cf) AS date_end FROM cp""")
+sql("sort_carriers", CARRIERS, f"""
+SELECT code, CAST(row_number() OVER (ORDER BY avg_delay, code) AS INTEGER) AS rank, {r('avg_delay')} FROM cp""")
+sql("mean_by_key", WPANEL, "\nUNION ALL ".join(
+    f"SELECT '{n}' AS dimension, CAST({k} AS VARCHAR) AS key, {r('avg(avg_arr_delay)', 'mean')} FROM wpanel GROUP BY 2"
+    for n, k in (("date", "date"), ("day_of_week", "isodow(date) - 1"), ("month", "month(date)"), ("route", "route"),
+                 ("severity", "weather_severity_max"), ("period", ERA4))))
+sql("severity_spine_mean", WPANEL, f"""
+SELECT CAST(s AS INTEGER) AS severity, {r('coalesce(m, 0)', 'mean')} FROM range(6) t(s)
+LEFT JOIN (SELECT weather_severity_max AS k, avg(avg_arr_delay) AS m FROM wpanel GROUP BY 1) ON s = k""")
+sql("era_means", PANEL, f"SELECT {ERA4} AS period, {r('avg(avg_arr_delay)', 'mean')} FROM panel GROUP BY 1")
+sql("route_summary_stats", PANEL, f"""
+SELECT route, {r('avg(avg_arr_delay)', 'mean')}, {r('stddev_samp(avg_arr_delay)', 'std')}, {r('min(avg_arr_delay)', 'min')},
+  {r('max(avg_arr_delay)', 'max')} FROM panel GROUP BY 1""")
+sql("snow_days", WPANEL, f"SELECT route, date, {rs('total_snowfall', 'avg_arr_delay')} FROM wpanel WHERE total_snowfall > 0")
+DSERIES = PANEL + ",\nds AS (SELECT date, avg(avg_arr_delay) AS avg_arr_delay FROM panel GROUP BY 1)"
+sql("daily_mean_rolling30", DSERIES, f"""
+SELECT date, {r('avg_arr_delay')}, {r('avg(avg_arr_delay) OVER (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)', 'rolling_30')} FROM ds""")
+
+
+def correlations(source, names):
+    return "\nUNION ALL ".join(f"SELECT '{a}' AS a, '{z}' AS b, {r(f'corr({a}, {z})', 'corr')} FROM {source}" for a in names for z in names)
+
+
+MATRIX = ["avg_arr_delay", "avg_dep_delay", "flight_count", "cancel_rate", "weather_severity_max", "total_precip", "total_snowfall", "max_wind"]
+sql("corr_matrix", WPANEL, correlations("wpanel", MATRIX))
+sql("target_correlations", WPANEL, "\nUNION ALL ".join(
+    f"SELECT '{c}' AS variable, {r(f'corr(avg_arr_delay, {c})', 'corr')} FROM wpanel" for c in MATRIX[1:]))
+sql("lag_correlations", LAGS + ",\nj AS (SELECT lagf.*, avg_arr_delay FROM lagf JOIN panel USING (route, date))",
+    correlations("j", ["avg_arr_delay", *LAG_COLS]))
+sql("histogram", PANEL + """,
+e AS (SELECT min(avg_arr_delay) AS lo, max(avg_arr_delay) AS hi FROM panel),
+hb AS (SELECT least(49, floor((avg_arr_delay - lo) / ((hi - lo) / 50))) AS bin, count(*) AS n FROM panel, e GROUP BY 1)""", f"""
+SELECT CAST(k AS INTEGER) AS bin, {r('lo + k * (hi - lo) / 50', 'lower')}, {r('lo + (k + 1) * (hi - lo) / 50', 'upper')},
+  coalesce(n, 0) AS count FROM range(50) t(k) CROSS JOIN e LEFT JOIN hb ON hb.bin = k""")
+sql("autocorrelation", DSERIES + """,
+c AS (SELECT date, avg_arr_delay - (SELECT avg(avg_arr_delay) FROM ds) AS v FROM ds)""", f"""
+SELECT CAST(k AS INTEGER) AS lag, {r('sum(a.v * z.v) / (SELECT sum(v * v) FROM c)', 'acf')}
+FROM range(61) t(k) JOIN c a ON true JOIN c z ON z.date = a.date + CAST(k AS INTEGER) GROUP BY 1""")
+sql("autocorrelation_by_route", PANEL + """,
+c AS (SELECT route, date, avg_arr_delay - avg(avg_arr_delay) OVER (PARTITION BY route) AS v FROM panel),
+pw AS (SELECT route, sum(v * v) AS p FROM c GROUP BY 1)""", f"""
+SELECT a.route, CAST(z.date - a.date AS INTEGER) AS lag, {r('sum(a.v * z.v) / max(p)', 'acf')}
+FROM c a JOIN c z ON z.route = a.route AND z.date BETWEEN a.date AND a.date + 14 JOIN pw ON pw.route = a.route GROUP BY 1, 2""")
+IMP_COLS = {
+    "lag": ["lag_1_arr_delay", "lag_7_arr_delay", "rolling_mean_7_arr_delay", "ewm_7_arr_delay", "rolling_std_7_arr_delay"],
+    "temporal": ["day_of_week", "month", "month_sin", "is_weekend", "week_of_year"],
+    "route": ["route_encoded", "route_delay_mean", "route_mean_demand"],
+    "weather": ["max_wind", "total_precip", "storm_hours", "apt1_temp_avg"],
+    "other": ["flight_count"]}
+IMP_LABELS = dict(zip([c for v in IMP_COLS.values() for c in v], [
+    "Delay Lag 1d", "Delay Lag 7d", "Rolling Mean 7d", "EWM Delay (7d)", "Rolling Std 7d", "Day of Week", "Month", "Month Cycle (sin)",
+    "Weekend", "Week of Year", "Route", "Route Delay Avg", "Route Demand Avg", "Max Wind Speed", "Total Precipitation", "Storm Hours",
+    "Airport 1 Temp", "flight_count"]))
+IMPORTANCE = FEATURES + ",\nim AS (" + "\nUNION ALL ".join(
+    f"SELECT '{m}' AS model, '{c}' AS feature, '{IMP_LABELS[c]}' AS label, '{g}' AS category, abs(corr({c}, avg_arr_delay)) AS importance FROM feat WHERE {w}"
+    for m, w in (("train", f"NOT ({TEST})"), ("test", TEST)) for g, v in IMP_COLS.items() for c in v) + """),
+sh AS (SELECT *, importance / sum(importance) OVER (PARTITION BY model) AS share FROM im),
+rk AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY share DESC, feature) AS rank FROM sh)"""
+sql("importance_share", IMPORTANCE, f"SELECT model, feature, {r('share')}, CAST(rank AS INTEGER) AS rank, count(*) OVER (PARTITION BY model) AS n_features FROM rk")
+sql("feature_rank", IMPORTANCE, f"SELECT model, feature, {r('share')}, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 15")
+sql("importance_category_join", IMPORTANCE, f"SELECT model, feature, {r('importance')}, label, category FROM im")
+sql("importance_by_category", IMPORTANCE, f"""
+SELECT model, category, {r('sum(share)', 'total')}, count(*) AS n_features, first(feature ORDER BY rank) AS top_feature,
+  {r('max(share)', 'max_share')}, CAST(row_number() OVER (PARTITION BY model ORDER BY sum(share) DESC, category) AS INTEGER) AS category_rank
+FROM rk GROUP BY 1, 2""")
+
+# ---- scaling and sequences ----
+
+SEQ_COLS = ["avg_arr_delay", "flight_count", "avg_dep_delay"]
+SCALED = PANEL + f""",
+sc AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SEQ_COLS)} FROM panel WHERE {TRAIN})"""
+sql("standard_scaler", SCALED, f"""
+SELECT route, date, {", ".join(r(f"({c} - m_{c}) / s_{c}", c) for c in SEQ_COLS)}, {r('avg_arr_delay', 'back')} FROM panel, sc""")
+IN_TEST = f"date >= DATE '{CUT.test_start}' AND date < DATE '{CUT.test_end}'"
+sql("sequence_windows", PANEL, f"""
+SELECT t.route, t.date, CAST(27 - (t.date - h.date - 1) AS INTEGER) AS step, {r('t.avg_arr_delay', 'target')},
+  {r('h.avg_arr_delay', 'x0')}, {r('h.flight_count', 'x1')}, {r('h.avg_dep_delay', 'x2')}
+FROM panel t JOIN panel h ON t.route = h.route AND h.date BETWEEN t.date - 28 AND t.date - 1 WHERE t.{IN_TEST.replace("AND date", "AND t.date")}""")
+sql("sequence_windows_in_split", PANEL + f",\ns AS (SELECT * FROM panel WHERE {IN_TEST})", f"""
+SELECT t.route, t.date, {r('t.avg_arr_delay', 'target')}, CAST(count(*) AS INTEGER) AS length,
+  {r('max(h.avg_arr_delay) FILTER (h.date = t.date - 28)', 'oldest')}, {r('max(h.avg_arr_delay) FILTER (h.date = t.date - 1)', 'newest')}
+FROM s t JOIN s h ON t.route = h.route AND h.date BETWEEN t.date - 28 AND t.date - 1 GROUP BY t.route, t.date, t.avg_arr_delay HAVING count(*) = 28""")
+
+# ---- files in and out ----
+
+sql("scan_flights_csv", FLIGHTS, f"""
+SELECT route, upper(REPORTING_AIRLINE) AS REPORTING_AIRLINE, count(*) AS n, CAST(sum(CANCELLED) AS BIGINT) AS cancelled,
+  {r('sum(ARR_DELAY)', 'arr_delay')} FROM flights GROUP BY 1, 2""")
+sql("scan_all_columns", FLIGHTS, """
+SELECT 'N1' AS TAIL_NUM, CAST(FL_DATE < DATE '1998-01-01' AS INTEGER) AS early, count(*) AS n, CAST(min(FL_DATE) AS VARCHAR) AS first_date
+FROM flights GROUP BY 2""")
+sql("union_files", FLIGHTS, """
+SELECT route, count(*) AS n, count(*) FILTER (FL_DATE >= DATE '1998-01-01' AND DISTANCE IS NOT NULL) AS n_distance FROM flights GROUP BY 1""")
+ORACLES["scan_weather"] = ORACLES["weather_json_daily"]
+sql("scan_features", LAGS, f"SELECT route, date, {r('lag_7_arr_delay')} FROM lagf WHERE route = 'ASI-EUR'")
+sql("sink_panel", PANEL, f"""
+SELECT route, count(*) AS n, count(*) AS n_csv, CAST(sum(flight_count) AS BIGINT) AS flights, {r('avg(avg_arr_delay)', 'delay')}
+FROM panel GROUP BY 1""")
+sql("sink_nested_forecast", BASE + """,
+shown AS (SELECT route FROM panel GROUP BY route ORDER BY sum(flight_count) DESC, route LIMIT 5)""", f"""
+SELECT route, CAST(count(*) FILTER ({TEST}) AS INTEGER) AS n_days, CAST(count(*) FILTER (NOT ({TEST})) AS INTEGER) AS n_history,
+  CAST(min(date) FILTER ({TEST}) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date,
+  CAST(count(ma_7) FILTER ({TEST}) AS INTEGER) AS n_ma FROM raw WHERE route IN (FROM shown) GROUP BY 1""")
+sql("forecast_metadata", PANEL, f"""
+SELECT 'avg_arrival_delay' AS target, 'daily_route_level' AS granularity, 'minutes' AS unit, '{CUT.test_start}' AS test_start,
+  '{CUT.test_end}' AS test_end, CAST(min(date) AS VARCHAR) AS train_start, '{CUT.train_end}' AS train_end,
+  count(DISTINCT route) AS trained_on_routes FROM panel""")
+REPORT = ERR + """,
+one AS (SELECT * FROM err WHERE model = 'ma_7'),
+seg AS (
+  SELECT *, sqrt(avg_sq) AS rmse FROM (""" + "\n  UNION ALL ".join(
+    f"""SELECT '{s}' AS section, {k} AS key, avg(error * error) AS avg_sq, avg(abs_error) AS mae,
+    CASE WHEN count(*) FILTER (abs(actual) > 1) >= 0.5 * count(*) THEN avg(abs(error / actual)) FILTER (abs(actual) > 1) * 100 END AS mape,
+    1 - sum(error * error) / (var_pop(actual) * count(*)) AS r2, count(*) AS n_samples FROM one GROUP BY 1, 2"""
+    for s, k in (("overall", "'all'"), ("route", "route"), ("day_type", "day_type"), ("season", "season"))) + """)),
+w AS (SELECT * FROM one ORDER BY abs_error DESC, route, date LIMIT 10)"""
+sql("sink_report", REPORT, "\nUNION ALL ".join(
+    f"SELECT section, key, '{m}' AS metric, {r(m, 'value')} FROM seg" + (" WHERE section = 'overall'" if m in ("r2", "n_samples") else "")
+    for m in ("rmse", "mae", "mape", "r2", "n_samples")) + "\nUNION ALL " + "\nUNION ALL ".join(
+    f"SELECT 'worst', route || ' ' || date, '{m}', {r(m, 'value')} FROM w" for m in ("actual", "pred", "error")))
+
+# ---- models ----
+
+sql("score_sequences", BASE, f"SELECT route, date, {r('avg_arr_delay', 'target')}, {r('ma_7', 'pred')} FROM raw WHERE {IN_TEST}")

@@ -493,3 +493,645 @@ def split_by_time(spark, d):
 def drop_incomplete(spark, d):
     out = oc.drop_incomplete(of.lag_features(b.panel(spark, d)), config.LAG_FEATURES)
     return out.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"))
+
+
+# ---- baselines ------------------------------------------------------------------------------------------------
+
+
+def _history(spark, d):
+    return b.panel(spark, d).select("route", "date", config.TARGET)
+
+
+@query
+def naive_fit(spark, d):
+    """Training medians per route and, under a null route, over all rows."""
+    train = _history(spark, d).filter(F.col("date") < cal.day(b.CUT.train_end))
+    return ob.fit_medians(train)
+
+
+@query
+def naive_forecast(spark, d):
+    return ob.predict(_history(spark, d), {"pred": ob.naive()}, b.CUT.train_end)
+
+
+@query
+def seasonal_naive(spark, d):
+    return ob.predict(_history(spark, d), {"pred": ob.seasonal_naive()}, b.CUT.train_end)
+
+
+@query
+def moving_average(spark, d):
+    models = {f"ma_{k}": ob.moving_average(window=k) for k in (7, 14, 28)}
+    return ob.predict(_history(spark, d), models, b.CUT.train_end)
+
+
+@query
+def map_lookup_fill(spark, d):
+    """Where the fallback to the training median was needed: the first week of every route."""
+    out = ob.predict(_history(spark, d), {"pred": ob.seasonal_naive()}, b.CUT.train_end)
+    return out.filter(F.col("date") < cal.day("1995-01-12")).select("route", "date", "pred")
+
+
+@query
+def naive_in_split(spark, d):
+    """Fold predictions that look back only inside the test slice, with fallback."""
+    return fo.fold_baselines(b.panel(spark, d), b.CUT.folds)
+
+
+@query
+def naive_no_fallback(spark, d):
+    models = {"naive": ob.naive(), "ma": ob.moving_average(window=7)}
+    return ob.predict_in_slice(b.panel(spark, d), models, b.CUT.test_start)
+
+
+@query
+def baseline_from_features(spark, d):
+    out = ob.from_features(of.lag_features(b.panel(spark, d)), b.CUT.test_start)
+    # published values are tenths of means: a mean that falls on a rounding edge may go either way between engines
+    return out.groupBy("route").agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.max("actual").alias("max_actual"), F.min("naive").alias("min_naive"), F.count("ma").alias("n_ma"),
+    )
+
+
+# ---- evaluation -----------------------------------------------------------------------------------------------
+
+
+@query
+def error_columns(spark, d):
+    return b.errors(spark, d).select("route", "date", "model", "error", "abs_error", "pct_error")
+
+
+@query
+def metrics_basic(spark, d):
+    return oe.basic_metrics(b.predictions(spark, d), ["model"])
+
+
+@query
+def metrics_delay(spark, d):
+    return oe.delay_metrics(b.predictions(spark, d), ["model"])
+
+
+@query
+def metrics_overall(spark, d):
+    """One row over all models: the widest group there is."""
+    return oe.delay_metrics(b.predictions(spark, d))
+
+
+@query
+def metrics_by_segment(spark, d):
+    return oe.basic_metrics(b.errors(spark, d), ["model", "time_period", "day_type"])
+
+
+@query
+def metrics_by_all_segments(spark, d):
+    return oe.metrics_by_segments(b.errors(spark, d))
+
+
+@query
+def forecast_metrics_by_route(spark, d):
+    """Delay metrics per model and route for the busiest routes, and per model over all routes."""
+    panel = b.panel(spark, d)
+    preds = stage(ob.to_long(b.wide_predictions(panel), b.MODELS), "preds")
+    shown = op.top_routes(panel, 5, weight="flight_count")
+    by_route = oe.delay_metrics(oc.filter_routes(preds, shown), ["model", "route"])
+    overall = oe.delay_metrics(preds, ["model"]).withColumn("route", F.lit("all"))
+    return by_route.unionByName(overall)
+
+
+@query
+def assign_folds(spark, d):
+    rows = fo.assign_folds(b.panel(spark, d).select("route", "date"), b.CUT.folds)
+    return rows.groupBy("fold", "role", "route").agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    )
+
+
+@query
+def walk_forward_eval(spark, d):
+    """Delay metrics of the baselines on every fold."""
+    preds = stage(fo.fold_baselines(b.panel(spark, d), b.CUT.folds), "folds")
+    return oe.delay_metrics(preds, ["model", "fold"])
+
+
+def _fold_metrics(spark, d):
+    preds = stage(fo.fold_baselines(b.panel(spark, d), b.CUT.folds), "folds")
+    return oe.delay_metrics(preds, ["model", "fold"])
+
+
+@query
+def fold_summary(spark, d):
+    out = oe.fold_summary(_fold_metrics(spark, d))
+    return out.select("model", "metric", "mean", "std", *[F.col("folds")[i].alias(f"fold_{i + 1}") for i in range(4)])
+
+
+@query
+def worst_forecasts(spark, d):
+    naive = b.errors(spark, d).filter("model = 'naive'")
+    return oe.worst_forecasts(naive, 10)
+
+
+@query
+def residuals_over_time(spark, d):
+    return oe.residuals_over_time(b.errors(spark, d).filter("model = 'ma_7'"))
+
+
+@query
+def segment_box_stats(spark, d):
+    return oe.segment_box_stats(stage(b.errors(spark, d), "errors"), "season")
+
+
+@query
+def segment_box_stats_by_model(spark, d):
+    return oe.segment_box_stats(stage(b.errors(spark, d), "errors"), "model")
+
+
+@query
+def mae_route_season_pivot(spark, d):
+    return oe.mae_route_season(b.errors(spark, d).filter("model = 'ma_7'"))
+
+
+@query
+def seasonal_stats(spark, d):
+    return oe.seasonal_stats(b.errors(spark, d).filter("model = 'ma_7'"))
+
+
+FAMILIES = {"smooth": ["ma_7", "ma_14", "ma_28"], "last": ["naive", "seasonal_7"]}
+
+
+@query
+def family_gap(spark, d):
+    return oe.family_gap(b.errors(spark, d), FAMILIES)
+
+
+@query
+def family_gap_by_season(spark, d):
+    return oe.family_gap(b.errors(spark, d), FAMILIES, by=("season",))
+
+
+@query
+def paired_t_test(spark, d):
+    return oe.paired_t_test(b.predictions(spark, d), ["ma_7", "ma_14", "ma_28", "naive"])
+
+
+@query
+def route_metric_extremes(spark, d):
+    by_route = oe.delay_metrics(b.predictions(spark, d), ["model", "route"])
+    return oe.route_metric_extremes(by_route, "mae")
+
+
+@query
+def fit_improvement(spark, d):
+    metrics = stage(oe.delay_metrics(b.predictions(spark, d), ["model"]), "metrics")
+    return oe.improvement(metrics)
+
+
+@query
+def loss_argmin(spark, d):
+    """Lowest fold error of each baseline over the folds."""
+    trials = stage(_fold_metrics(spark, d), "trials")
+    return oe.loss_argmin(trials, ("model",), "fold", "mae")
+
+
+@query
+def leaderboard(spark, d):
+    return oe.leaderboard(oe.delay_metrics(b.predictions(spark, d), ["model"]), ("naive", "seasonal_7"))
+
+
+@query
+def canonical_model_order(spark, d):
+    metrics = oe.basic_metrics(b.predictions(spark, d), ["model"])
+    return oe.canonical_order(metrics.select("model", "mae"), ["ma_7", "ma_14", "naive"])
+
+
+# ---- prediction tables ----------------------------------------------------------------------------------------
+
+
+def _two_models(spark, d):
+    panel = b.panel(spark, d)
+    wide = stage(b.wide_predictions(panel), "wide")
+    late = wide.filter(F.col("date") >= cal.day("2000-08-01"))
+    models = {
+        "smooth": late.select("route", "date", F.col("ma_28").alias("pred")),
+        "weekly": wide.select("route", "date", F.col("seasonal_7").alias("pred")),
+    }
+    return pr.merge_predictions(wide.select("route", "date", "actual", "naive", "ma_7"), models)
+
+
+@query
+def merge_predictions(spark, d):
+    return _two_models(spark, d)
+
+
+@query
+def align_predictions(spark, d):
+    return pr.align_predictions(_two_models(spark, d), ["smooth"]).select("route", "date", "actual", "smooth")
+
+
+@query
+def history_plus_forecast(spark, d):
+    panel = b.panel(spark, d)
+    forecast = b.wide_predictions(panel).select("route", "date", "actual", F.col("ma_7").alias("pred"))
+    return pr.history_plus_forecast(panel, forecast, b.CUT.test_start)
+
+
+def _series(spark, d):
+    panel = b.panel(spark, d)
+    forecast = b.wide_predictions(panel).select("route", "date", "actual", F.col("ma_7").alias("pred"))
+    return stage(pr.history_plus_forecast(panel, forecast, b.CUT.test_start), "series")
+
+
+@query
+def brush_range(spark, d):
+    return oc.brush_range(_series(spark, d), b.CUT.test_start)
+
+
+@query
+def brush_y_extent(spark, d):
+    return oc.y_extent(oc.brush_range(_series(spark, d), b.CUT.test_start))
+
+
+@query
+def city_pairs(spark, d):
+    return pr.city_pairs(b.delays(spark, d).select("route").distinct())
+
+
+@query
+def directional_routes(spark, d):
+    return pr.directional_routes(pr.city_pairs(b.delays(spark, d).select("route").distinct()))
+
+
+@query
+def city_pair_hit_rate(spark, d):
+    panel = b.panel(spark, d)
+    preds = ob.to_long(b.wide_predictions(panel), b.MODELS).filter("model = 'ma_28'")
+    return pr.city_pair_hit_rate(panel.select("route").distinct(), oe.delay_metrics(preds, ["route"]))
+
+
+# ---- insights -------------------------------------------------------------------------------------------------
+
+
+@query
+def weather_impact_by_severity(spark, d):
+    return oi.weather_impact(of.impute_weather(b.weather_panel(spark, d), b.CUT.train_end))
+
+
+@query
+def weighted_corr(spark, d):
+    return oi.weather_correlations(b.weather_panel(spark, d))
+
+
+@query
+def corr_by_abs(spark, d):
+    ranked = oi.weather_correlations(b.weather_panel(spark, d))
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc(F.abs("correlation")), "variable")
+    return ranked.select("variable", F.row_number().over(order).alias("rank"))
+
+
+@query
+def top_carriers(spark, d):
+    return oi.top_carriers(b.flights(spark, d))
+
+
+@query
+def carrier_performance(spark, d):
+    return oi.carrier_performance(b.flights(spark, d))
+
+
+@query
+def sort_carriers(spark, d):
+    return oi.sort_carriers(oi.carrier_performance(b.flights(spark, d)), "avg_delay").select("code", "rank", "avg_delay")
+
+
+@query
+def mean_by_key(spark, d):
+    keyed = b.weather_panel(spark, d).withColumns({
+        "day_of_week": F.weekday("date"), "month": F.month("date"),
+        "severity": F.col("weather_severity_max").cast("int"),
+        "period": cal.era_label(b.CUT, with_recovery=True),
+    })
+    return oi.mean_by_keys(keyed, ["date", "day_of_week", "month", "route", "severity", "period"])
+
+
+@query
+def severity_spine_mean(spark, d):
+    return oi.severity_spine_mean(b.weather_panel(spark, d))
+
+
+@query
+def era_means(spark, d):
+    return oi.era_means(b.panel(spark, d), b.CUT)
+
+
+@query
+def route_summary_stats(spark, d):
+    return oi.route_summary(b.panel(spark, d))
+
+
+@query
+def snow_days(spark, d):
+    return oc.snow_days(b.weather_panel(spark, d))
+
+
+@query
+def daily_mean_rolling30(spark, d):
+    return op.rolling_daily_mean(b.panel(spark, d))
+
+
+@query
+def corr_matrix(spark, d):
+    return oi.correlation_matrix(b.weather_panel(spark, d))
+
+
+@query
+def target_correlations(spark, d):
+    return oi.target_correlations(b.weather_panel(spark, d))
+
+
+@query
+def lag_correlations(spark, d):
+    out = of.lag_features(b.panel(spark, d))
+    return oi.correlation_matrix(out, [config.TARGET, *[f"lag_{k}_arr_delay" for k in config.LAGS]])
+
+
+@query
+def histogram(spark, d):
+    return oi.histogram(b.panel(spark, d), config.TARGET)
+
+
+@query
+def autocorrelation(spark, d):
+    return oi.autocorrelation(op.daily_series(b.panel(spark, d)))
+
+
+@query
+def autocorrelation_by_route(spark, d):
+    return oi.autocorrelation(b.panel(spark, d), lags=14, key="route")
+
+
+@query
+def partial_autocorrelation(spark, d):
+    return oi.partial_autocorrelation(oi.autocorrelation(op.daily_series(b.panel(spark, d))))
+
+
+IMPORTANCE_COLUMNS = [
+    "lag_1_arr_delay", "lag_7_arr_delay", "rolling_mean_7_arr_delay", "ewm_7_arr_delay", "rolling_std_7_arr_delay",
+    "day_of_week", "month", "month_sin", "is_weekend", "week_of_year",
+    "route_encoded", "route_delay_mean", "route_mean_demand",
+    "max_wind", "total_precip", "storm_hours", "apt1_temp_avg", "flight_count",
+]
+
+
+def _importance(spark, d):
+    recent = F.col("date") >= cal.day(b.CUT.test_start)
+    table = oi.correlation_importance(b.features(spark, d), IMPORTANCE_COLUMNS, splits={"train": ~recent, "test": recent})
+    return stage(table, "importance")
+
+
+@query
+def importance_share(spark, d):
+    return oi.importance_share(_importance(spark, d))
+
+
+@query
+def feature_rank(spark, d):
+    return oi.feature_rank(_importance(spark, d))
+
+
+@query
+def importance_category_join(spark, d):
+    return oi.with_category(_importance(spark, d))
+
+
+@query
+def importance_by_category(spark, d):
+    return oi.importance_by_category(_importance(spark, d))
+
+
+# ---- scaling and sequences ------------------------------------------------------------------------------------
+
+SEQUENCE_COLUMNS = [config.TARGET, "flight_count", "avg_dep_delay"]
+
+
+@query
+def standard_scaler(spark, d):
+    """Training statistics, z-scores with them, and the way back."""
+    panel = b.panel(spark, d)
+    stats = stage(fo.scaler_stats(panel.filter(F.col("date") < cal.day(b.CUT.train_end)), SEQUENCE_COLUMNS), "scaler")
+    scaled = fo.scale(panel, stats, SEQUENCE_COLUMNS).withColumn("back", F.col(config.TARGET))
+    out = fo.inverse_scale(scaled, stats, config.TARGET, ["back"])
+    return out.select("route", "date", *SEQUENCE_COLUMNS, "back")
+
+
+@query
+def sequence_windows(spark, d):
+    """Every step of every test matrix, as rows."""
+    out = fo.sequence_windows(b.panel(spark, d), SEQUENCE_COLUMNS, start=b.CUT.test_start, end=b.CUT.test_end)
+    steps = out.select("route", "date", "target", F.posexplode("x").alias("step", "f"))
+    return steps.select("route", "date", "step", "target", *[F.col("f")[i].alias(f"x{i}") for i in range(3)])
+
+
+@query
+def sequence_windows_in_split(spark, d):
+    out = fo.sequence_windows(
+        b.panel(spark, d), SEQUENCE_COLUMNS, start=b.CUT.test_start, end=b.CUT.test_end, in_split=True
+    )
+    return out.select(
+        "route", "date", "target", F.size("x").alias("length"), F.col("x")[0][0].alias("oldest"), F.col("x")[27][0].alias("newest")
+    )
+
+
+# ---- files in and out -----------------------------------------------------------------------------------------
+
+
+def _flight_files(spark, d):
+    """The flights as CSV files with two headers: one carrier column name before 1998, the other one after."""
+    path = scratch_path(spark, "flights-csv")
+    fl = b.flights(spark, d).drop("route").withColumn("TAIL_NUM", F.lit("N1"))
+    early = F.col("FL_DATE") < cal.day("1998-01-01")
+    fl.filter(early).write.option("header", True).csv(f"{path}/early")
+    fl.filter(~early).withColumnRenamed("REPORTING_AIRLINE", "OP_UNIQUE_CARRIER").write.option("header", True).csv(f"{path}/late")
+    return f"{path}/*/*.csv"
+
+
+@query
+def scan_flights_csv(spark, d):
+    """Flight files of two layouts read by name, cleaned and aggregated."""
+    raw = sf.scan_flights_csv(spark, _flight_files(spark, d))
+    return oc.clean_flights(raw).groupBy("route", "REPORTING_AIRLINE").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("CANCELLED").alias("cancelled"), F.sum("ARR_DELAY").alias("arr_delay")
+    )
+
+
+@query
+def scan_all_columns(spark, d):
+    raw = sf.scan_all_columns(spark, _flight_files(spark, d))
+    return raw.groupBy("TAIL_NUM", F.col("OP_UNIQUE_CARRIER").isNull().cast("int").alias("early")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("FL_DATE").alias("first_date")
+    )
+
+
+@query
+def union_files(spark, d):
+    """Bag union by name: a column one side lacks is null there."""
+    fl = b.flights(spark, d)
+    early = F.col("FL_DATE") < cal.day("1998-01-01")
+    both = fl.filter(early).drop("DISTANCE").unionByName(fl.filter(~early), allowMissingColumns=True)
+    return both.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.count("DISTANCE").alias("n_distance"))
+
+
+@query
+def scan_weather(spark, d):
+    """Daily weather written as CSV and read with its schema."""
+    daily = starschema.daily_weather(starschema.hourly_weather(spark, d)).select(*sw.DAILY_SCHEMA.fieldNames())
+    path = scratch_path(spark, "weather-csv")
+    daily.write.option("header", True).csv(path)
+    return sw.scan_weather(spark, path)
+
+
+@query
+def scan_features(spark, d):
+    """Lag features written as a table and read back for one route: only its folder is scanned."""
+    path = scratch_path(spark, "features")
+    st.write_panel(of.lag_features(b.panel(spark, d)), path)
+    return st.read_panel(spark, path).filter("route = 'ASI-EUR'").select("route", "date", "lag_7_arr_delay")
+
+
+@query
+def sink_panel(spark, d):
+    """The panel written by route, as Parquet and as CSV, and read back."""
+    panel = b.panel(spark, d).select("route", "date", "flight_count", "avg_arr_delay")
+    path, text = scratch_path(spark, "panel-out"), scratch_path(spark, "panel-csv")
+    st.write_panel(panel, path)
+    st.write_panel(panel, text, "csv")
+    n = st.read_panel(spark, text, panel.schema, "csv").groupBy("route").agg(F.count(F.lit(1)).alias("n_csv"))
+    out = st.read_panel(spark, path).groupBy("route").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("flight_count").alias("flights"), F.avg("avg_arr_delay").alias("delay")
+    )
+    return out.join(n, "route")
+
+
+@query
+def sink_nested_forecast(spark, d):
+    """Forecast documents of the busiest routes, written and read back."""
+    from panelcast.plans import publish
+
+    panel = b.panel(spark, d)
+    wide = stage(b.wide_predictions(panel), "wide")
+    path = scratch_path(spark, "forecast")
+    publish.write_forecast(panel, wide, op.top_routes(panel, 5, weight="flight_count"), b.MODELS, b.CUT, path)
+    docs = publish.read_forecast(spark, path, b.MODELS)
+    last = F.element_at("predictions", -1)
+    return docs.select(
+        "route", F.size("predictions").alias("n_days"), F.size("historical").alias("n_history"),
+        F.col("predictions")[0]["date"].alias("first_date"), last["date"].alias("last_date"),
+        F.size(F.filter("predictions", lambda p: p.ma_7.isNotNull())).alias("n_ma"),
+    )
+
+
+@query
+def forecast_metadata(spark, d):
+    from panelcast.plans import publish
+
+    return publish.metadata(b.panel(spark, d), b.CUT)
+
+
+@query
+def sink_report(spark, d):
+    """The error report of the moving average, written and read back."""
+    from panelcast.plans import publish
+
+    errors = stage(b.errors(spark, d).filter("model = 'ma_7'"), "errors")
+    path = scratch_path(spark, "report")
+    report = publish.error_report(errors)
+    report.write.parquet(path)
+    return spark.read.schema(report.schema).parquet(path)
+
+
+# ---- models ---------------------------------------------------------------------------------------------------
+
+GBT_FEATURES = [
+    "lag_1_arr_delay", "lag_7_arr_delay", "rolling_mean_7_arr_delay", "rolling_mean_14_arr_delay", "ewm_7_arr_delay",
+    "day_of_week", "month", "is_holiday_week", "route_encoded", "route_delay_mean",
+    "weather_severity_max", "total_precip", "max_wind", "storm_hours",
+]
+GBT_QUICK = {"maxIter": 5, "maxDepth": 3}
+
+
+def _split_features(spark, d):
+    rows = oc.split_by_time(b.features(spark, d), b.CUT, [*config.TABULAR_FEATURES, config.TARGET])
+    return stage(rows.select("route", "date", "split", config.TARGET, *config.TABULAR_FEATURES), "split")
+
+
+@query
+def fit_gbt(spark, d):
+    """Importances of a boosted model on all 63 features."""
+    from panelcast.operators import forecasting as fc
+
+    model = fc.fit_gbt(_split_features(spark, d), config.TABULAR_FEATURES, GBT_QUICK)
+    return fc.importance_table(spark, model, config.TABULAR_FEATURES, "gbt")
+
+
+@query
+def predict_tabular(spark, d):
+    from panelcast.operators import forecasting as fc
+
+    rows = _split_features(spark, d)
+    model = fc.fit_gbt(rows, config.TABULAR_FEATURES, GBT_QUICK)
+    return fc.predict_tabular(model, rows.filter("split = 'test'"), config.TABULAR_FEATURES)
+
+
+@query
+def walk_forward_gbt(spark, d):
+    """Boosted trees and baselines on every fold."""
+    from panelcast.operators import forecasting as fc
+
+    rows = stage(b.features(spark, d).select("route", "date", config.TARGET, *GBT_FEATURES), "features")
+    boosted = fc.walk_forward_gbt(rows, GBT_FEATURES, b.CUT.folds, GBT_QUICK)
+    preds = stage(boosted.unionByName(fo.fold_baselines(rows, b.CUT.folds)), "folds")
+    return oe.delay_metrics(preds, ["model", "fold"])
+
+
+@query
+def tune_gbt(spark, d):
+    from panelcast.operators import forecasting as fc
+
+    space = {"maxIter": (2, 5, False), "maxDepth": (2, 4, False), "stepSize": (0.01, 0.3, True)}
+    return fc.tune_gbt(_split_features(spark, d), GBT_FEATURES, fc.sample_settings(2, space))
+
+
+@query
+def ablation(spark, d):
+    """Boosted trees with and without weather."""
+    from panelcast.operators import forecasting as fc
+
+    return fc.ablation(_split_features(spark, d), GBT_FEATURES, config.WEATHER_FEATURES, GBT_QUICK)
+
+
+@query
+def fit_seasonal_regression(spark, d):
+    """One seasonal regression per route, fitted before the test period and scored on it."""
+    from panelcast.operators import forecasting as fc
+
+    panel = b.panel(spark, d)
+    train = panel.filter(F.col("date") < cal.day(b.CUT.val_end))
+    test = panel.filter(F.col("date") >= cal.day(b.CUT.test_start))
+    preds = fc.seasonal_regression(train, test, cal.federal_holidays(spark, *b.HOLIDAY_YEARS))
+    scored = preds.join(test.select("route", "date", F.col(config.TARGET).alias("actual")), ["route", "date"])
+    return oe.delay_metrics(scored, ["route"])
+
+
+@query
+def score_sequences(spark, d):
+    """A linear model over scaled windows: the mean of the last week, scaled back."""
+    from panelcast.operators import forecasting as fc
+
+    panel = b.panel(spark, d).select("route", "date", config.TARGET, "flight_count")
+    cols = [config.TARGET, "flight_count"]
+    stats = stage(fo.scaler_stats(panel.filter(F.col("date") < cal.day(b.CUT.train_end)), cols), "scaler")
+    windows = fo.sequence_windows(fo.scale(panel, stats, cols), cols, start=b.CUT.test_start, end=b.CUT.test_end)
+    weights = [[1 / 7 if step >= 21 else 0.0, 0.0] for step in range(28)]
+    scored = fc.score_sequences(windows, fc.linear_scorer(weights), 28, 2)
+    return fo.inverse_scale(scored, stats, config.TARGET, ["target", "pred"])

@@ -1,7 +1,5 @@
 """Exact quantiles of large groups, weighted correlation and the t-test tail."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,7 +85,7 @@ def weighted_corr(x, y, w) -> Column:
     return F.when((var_x > 0) & (var_y > 0), cov / (F.sqrt(var_x) * F.sqrt(var_y)))
 
 
-def t_two_sided(t, dof) -> Column:
+def t_two_sided(t: Column, dof: Column) -> Column:
     """Two-sided p-value of Student's t, for the handful of result rows of a test."""
     from pyspark.sql.types import DoubleType
 
@@ -128,14 +126,10 @@ def t_two_sided(t, dof) -> Column:
 
         return pd.Series([p_value(float(t), float(n)) for t, n in zip(ts, dofs)], dtype="float64")
 
-    return F.pandas_udf(tail, DoubleType())(F.col(t).cast("double"), F.col(dof).cast("double"))
+    return F.pandas_udf(tail, DoubleType())(t.cast("double"), dof.cast("double"))
 
 
 def stack_long(df: DataFrame, keys, columns, name="name", value="value") -> DataFrame:
     """Wide to long: one row per key and listed column."""
     pairs = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns])
     return df.select(*keys, F.inline(pairs))
-
-
-def all_of(conditions) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

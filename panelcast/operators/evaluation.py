@@ -177,7 +177,7 @@ def paired_t_test(preds: DataFrame, models, alpha=0.05) -> DataFrame:
         for i, (x, y) in enumerate(pairs)
     ])
     out = wide.agg(*aggs).select(F.inline(rows))
-    out = out.withColumn("p_value", t_two_sided("t_stat", F.col("n") - 1))
+    out = out.withColumn("p_value", t_two_sided(F.col("t_stat"), F.col("n") - 1))
     return out.withColumn("significant", (F.col("p_value") < alpha).cast("int"))
 
 
