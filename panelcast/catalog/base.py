@@ -41,7 +41,12 @@ def delays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(build_panel(delays(spark, sf_dir), N_ROUTES), "panel")
+    """The panel as one plan over the staged daily table; queries that read it more than once stage it."""
+    return build_panel(delays(spark, sf_dir), N_ROUTES)
+
+
+def staged_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(panel(spark, sf_dir), "panel")
 
 
 def month_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,13 +55,15 @@ def month_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(build_weather(starschema.daily_weather(hourly), hourly), "weather")
 
 
-def calendar_weather(spark: SparkSession, sf_dir: str, base: DataFrame) -> DataFrame:
-    return starschema.spread_over_calendar(month_weather(spark, sf_dir), base.select("date").distinct())
+def calendar_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The month of weather repeated over the years of the study."""
+    first, last = F.lit(CUT.data_start).cast("date"), F.make_date(F.lit(HOLIDAY_YEARS[1]), F.lit(12), F.lit(31))
+    dates = spark.range(1).select(F.explode(F.sequence(first, last)).alias("date"))
+    return starschema.spread_over_calendar(month_weather(spark, sf_dir), dates)
 
 
 def weather_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = panel(spark, sf_dir)
-    return stage(ow.merge_weather(base, calendar_weather(spark, sf_dir, base)), "weather-panel")
+    return stage(ow.merge_weather(panel(spark, sf_dir), calendar_weather(spark, sf_dir)), "weather-panel")
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +92,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ob.to_long(wide_predictions(panel(spark, sf_dir)), MODELS)
 
 
+def staged_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(predictions(spark, sf_dir), "preds")
+
+
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oe.error_columns(predictions(spark, sf_dir), CUT)

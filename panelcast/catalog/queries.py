@@ -253,8 +253,7 @@ def merge_hourly_into_daily(spark, d):
 
 @query
 def join_weather_two_sided(spark, d):
-    base = b.panel(spark, d)
-    joined = ow.join_weather_two_sided(base, b.calendar_weather(spark, d, base))
+    joined = ow.join_weather_two_sided(b.panel(spark, d), b.calendar_weather(spark, d))
     return joined.select("route", "date", *[f"apt{n}_{c}" for n in (1, 2) for c in config.WEATHER_COLUMNS])
 
 
@@ -321,20 +320,17 @@ def dedup_keep_first(spark, d):
 
 @query
 def severe_share_by_month(spark, d):
-    base = b.panel(spark, d)
-    return ow.severe_share(b.calendar_weather(spark, d, base), "month")
+    return ow.severe_share(b.calendar_weather(spark, d), "month")
 
 
 @query
 def severe_share_by_airport(spark, d):
-    base = b.panel(spark, d)
-    return ow.severe_share(b.calendar_weather(spark, d, base), "airport")
+    return ow.severe_share(b.calendar_weather(spark, d), "airport")
 
 
 @query
 def severe_share_seasons(spark, d):
-    base = b.panel(spark, d)
-    return ow.severe_share_summary(b.calendar_weather(spark, d, base))
+    return ow.severe_share_summary(b.calendar_weather(spark, d))
 
 
 @query
@@ -429,7 +425,7 @@ def ewm(spark, d):
 
 @query
 def route_code(spark, d):
-    return of.route_code(b.panel(spark, d)).groupBy("route", "route_encoded").agg(F.count(F.lit(1)).alias("n"))
+    return of.route_code(b.staged_panel(spark, d)).groupBy("route", "route_encoded").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -499,7 +495,7 @@ def drop_incomplete(spark, d):
 
 
 def _history(spark, d):
-    return b.panel(spark, d).select("route", "date", config.TARGET)
+    return b.staged_panel(spark, d).select("route", "date", config.TARGET)
 
 
 @query
@@ -535,7 +531,7 @@ def map_lookup_fill(spark, d):
 @query
 def naive_in_split(spark, d):
     """Fold predictions that look back only inside the test slice, with fallback."""
-    return fo.fold_baselines(b.panel(spark, d), b.CUT.folds)
+    return fo.fold_baselines(b.staged_panel(spark, d), b.CUT.folds)
 
 
 @query
@@ -569,13 +565,13 @@ def metrics_basic(spark, d):
 
 @query
 def metrics_delay(spark, d):
-    return oe.delay_metrics(b.predictions(spark, d), ["model"])
+    return oe.delay_metrics(b.staged_predictions(spark, d), ["model"])
 
 
 @query
 def metrics_overall(spark, d):
     """One row over all models: the widest group there is."""
-    return oe.delay_metrics(b.predictions(spark, d))
+    return oe.delay_metrics(b.staged_predictions(spark, d))
 
 
 @query
@@ -591,7 +587,7 @@ def metrics_by_all_segments(spark, d):
 @query
 def forecast_metrics_by_route(spark, d):
     """Delay metrics per model and route for the busiest routes, and per model over all routes."""
-    panel = b.panel(spark, d)
+    panel = b.staged_panel(spark, d)
     preds = stage(ob.to_long(b.wide_predictions(panel), b.MODELS), "preds")
     shown = op.top_routes(panel, 5, weight="flight_count")
     by_route = oe.delay_metrics(oc.filter_routes(preds, shown), ["model", "route"])
@@ -610,12 +606,12 @@ def assign_folds(spark, d):
 @query
 def walk_forward_eval(spark, d):
     """Delay metrics of the baselines on every fold."""
-    preds = stage(fo.fold_baselines(b.panel(spark, d), b.CUT.folds), "folds")
+    preds = stage(fo.fold_baselines(b.staged_panel(spark, d), b.CUT.folds), "folds")
     return oe.delay_metrics(preds, ["model", "fold"])
 
 
 def _fold_metrics(spark, d):
-    preds = stage(fo.fold_baselines(b.panel(spark, d), b.CUT.folds), "folds")
+    preds = stage(fo.fold_baselines(b.staged_panel(spark, d), b.CUT.folds), "folds")
     return oe.delay_metrics(preds, ["model", "fold"])
 
 
@@ -682,7 +678,7 @@ def route_metric_extremes(spark, d):
 
 @query
 def fit_improvement(spark, d):
-    metrics = stage(oe.delay_metrics(b.predictions(spark, d), ["model"]), "metrics")
+    metrics = stage(oe.delay_metrics(b.staged_predictions(spark, d), ["model"]), "metrics")
     return oe.improvement(metrics)
 
 
@@ -695,7 +691,7 @@ def loss_argmin(spark, d):
 
 @query
 def leaderboard(spark, d):
-    return oe.leaderboard(oe.delay_metrics(b.predictions(spark, d), ["model"]), ("naive", "seasonal_7"))
+    return oe.leaderboard(oe.delay_metrics(b.staged_predictions(spark, d), ["model"]), ("naive", "seasonal_7"))
 
 
 @query
@@ -708,7 +704,7 @@ def canonical_model_order(spark, d):
 
 
 def _two_models(spark, d):
-    panel = b.panel(spark, d)
+    panel = b.staged_panel(spark, d)
     wide = stage(b.wide_predictions(panel), "wide")
     late = wide.filter(F.col("date") >= cal.day("2000-08-01"))
     models = {
@@ -730,13 +726,13 @@ def align_predictions(spark, d):
 
 @query
 def history_plus_forecast(spark, d):
-    panel = b.panel(spark, d)
+    panel = b.staged_panel(spark, d)
     forecast = b.wide_predictions(panel).select("route", "date", "actual", F.col("ma_7").alias("pred"))
     return pr.history_plus_forecast(panel, forecast, b.CUT.test_start)
 
 
 def _series(spark, d):
-    panel = b.panel(spark, d)
+    panel = b.staged_panel(spark, d)
     forecast = b.wide_predictions(panel).select("route", "date", "actual", F.col("ma_7").alias("pred"))
     return stage(pr.history_plus_forecast(panel, forecast, b.CUT.test_start), "series")
 
@@ -763,7 +759,7 @@ def directional_routes(spark, d):
 
 @query
 def city_pair_hit_rate(spark, d):
-    panel = b.panel(spark, d)
+    panel = b.staged_panel(spark, d)
     preds = ob.to_long(b.wide_predictions(panel), b.MODELS).filter("model = 'ma_28'")
     return pr.city_pair_hit_rate(panel.select("route").distinct(), oe.delay_metrics(preds, ["route"]))
 
@@ -858,7 +854,7 @@ def lag_correlations(spark, d):
 
 @query
 def histogram(spark, d):
-    return oi.histogram(b.panel(spark, d), config.TARGET)
+    return oi.histogram(b.staged_panel(spark, d), config.TARGET)
 
 
 @query
@@ -918,7 +914,7 @@ SEQUENCE_COLUMNS = [config.TARGET, "flight_count", "avg_dep_delay"]
 @query
 def standard_scaler(spark, d):
     """Training statistics, z-scores with them, and the way back."""
-    panel = b.panel(spark, d)
+    panel = b.staged_panel(spark, d)
     stats = stage(fo.scaler_stats(panel.filter(F.col("date") < cal.day(b.CUT.train_end)), SEQUENCE_COLUMNS), "scaler")
     scaled = fo.scale(panel, stats, SEQUENCE_COLUMNS).withColumn("back", F.col(config.TARGET))
     out = fo.inverse_scale(scaled, stats, config.TARGET, ["back"])
@@ -993,10 +989,10 @@ def scan_weather(spark, d):
 
 @query
 def scan_features(spark, d):
-    """Lag features written as a table and read back for one route: only its folder is scanned."""
+    """Lag features written as a table and read back for some routes: only their folders are scanned."""
     path = scratch_path(spark, "features")
     st.write_panel(of.lag_features(b.panel(spark, d)), path)
-    return st.read_panel(spark, path).filter("route = 'ASI-EUR'").select("route", "date", "lag_7_arr_delay")
+    return st.read_panel(spark, path).filter("route LIKE 'A%'").select("route", "date", "lag_7_arr_delay")
 
 
 @query
@@ -1018,7 +1014,7 @@ def sink_nested_forecast(spark, d):
     """Forecast documents of the busiest routes, written and read back."""
     from panelcast.plans import publish
 
-    panel = b.panel(spark, d)
+    panel = b.staged_panel(spark, d)
     wide = stage(b.wide_predictions(panel), "wide")
     path = scratch_path(spark, "forecast")
     publish.write_forecast(panel, wide, op.top_routes(panel, 5, weight="flight_count"), b.MODELS, b.CUT, path)
@@ -1115,7 +1111,7 @@ def fit_seasonal_regression(spark, d):
     """One seasonal regression per route, fitted before the test period and scored on it."""
     from panelcast.operators import forecasting as fc
 
-    panel = b.panel(spark, d)
+    panel = b.staged_panel(spark, d)
     train = panel.filter(F.col("date") < cal.day(b.CUT.val_end))
     test = panel.filter(F.col("date") >= cal.day(b.CUT.test_start))
     preds = fc.seasonal_regression(train, test, cal.federal_holidays(spark, *b.HOLIDAY_YEARS))
@@ -1128,7 +1124,7 @@ def score_sequences(spark, d):
     """A linear model over scaled windows: the mean of the last week, scaled back."""
     from panelcast.operators import forecasting as fc
 
-    panel = b.panel(spark, d).select("route", "date", config.TARGET, "flight_count")
+    panel = b.staged_panel(spark, d).select("route", "date", config.TARGET, "flight_count")
     cols = [config.TARGET, "flight_count"]
     stats = stage(fo.scaler_stats(panel.filter(F.col("date") < cal.day(b.CUT.train_end)), cols), "scaler")
     windows = fo.sequence_windows(fo.scale(panel, stats, cols), cols, start=b.CUT.test_start, end=b.CUT.test_end)

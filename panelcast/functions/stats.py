@@ -14,50 +14,47 @@ def exact_quantiles(df: DataFrame, keys, value, probs) -> DataFrame:
 
     ``percentile`` keeps every distinct value of a group in one task. Here a mergeable sketch first brackets each
     quantile within a narrow rank range; a second pass counts the rows below the bracket and keeps only the distinct
-    values inside it, about a thousandth of the group. The sketch only chooses what to keep: the result is exact.
+    values inside it, about a thousandth of the group. The sketch only chooses what to keep: the result is exact, and
+    a bracket that missed its ranks raises an error. The brackets, a few numbers per group, reach the rows as one
+    constant, so the rows are not shuffled by key.
     """
-    keys = list(keys)
-    probs = [float(p) for p in probs]
+    keys, probs = list(keys), [float(p) for p in probs]
     rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    groups = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_g{i}") for i, k in enumerate(keys)]
-    groups += [F.col(k).isNull().alias(f"_n{i}") for i, k in enumerate(keys)]
-    names = [f"_g{i}" for i in range(len(keys))] + [f"_n{i}" for i in range(len(keys))] or ["_g"]
-    rows = rows.select("*", *(groups or [F.lit(0).alias("_g")]))
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
 
     edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-BRACKET, BRACKET)]
-    sketch = rows.groupBy(*names).agg(
+    sketch = rows.groupBy(*keys).agg(
         F.count("v").alias("n"),
         F.percentile_approx("v", edges, SKETCH_ACCURACY).alias("edge"),
         F.min("v").alias("least"),
         F.max("v").alias("most"),
-        *[F.first(k).alias(k) for k in keys],
     )
     # a small group is kept whole, as the bracket would be narrower than the ranks it must hold; near the ends the
     # bracket is opened to the extreme
     small = F.col("n") <= SMALL_GROUP
-    brackets = sketch.select(
-        *names, *keys, "n",
-        F.inline(F.array(*[
-            F.struct(
-                F.lit(p).alias("prob"),
-                F.when(small | F.lit(p - BRACKET <= 0), F.col("least")).otherwise(F.col("edge")[2 * i]).alias("lo"),
-                F.when(small | F.lit(p + BRACKET >= 1), F.col("most")).otherwise(F.col("edge")[2 * i + 1]).alias("hi"),
-            )
-            for i, p in enumerate(probs)
-        ])),
-    )
+    bracket = F.array(*[
+        F.struct(
+            F.lit(p).alias("prob"),
+            F.when(small | F.lit(p - BRACKET <= 0), F.col("least")).otherwise(F.col("edge")[2 * i]).alias("lo"),
+            F.when(small | F.lit(p + BRACKET >= 1), F.col("most")).otherwise(F.col("edge")[2 * i + 1]).alias("hi"),
+            F.col("n"),
+        )
+        for i, p in enumerate(probs)
+    ])
+    brackets = sketch.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(key, bracket)))).scalar()
+
     kept = (
-        rows.select(*names, "v").join(brackets, names)
+        rows.select(*keys, "v", F.inline(brackets[key]))
         .filter("v <= hi")
-        .groupBy(*names, *keys, "prob", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("b"))
+        .groupBy(*keys, "prob", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("b"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    order = W.partitionBy(*names, "prob").orderBy(F.asc_nulls_first("b"))
+    order = W.partitionBy(*keys, "prob").orderBy(F.asc_nulls_first("b"))
     ranked = kept.select("*", F.sum("c").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
     place = F.col("prob") * (F.col("n") - 1)
     low_rank, high_rank = F.floor(place) + 1, F.ceil(place) + 1
     first_at = lambda rank: F.min(F.when(F.col("b").isNotNull() & (F.col("upto") >= rank), F.col("b")))
-    picked = ranked.groupBy(*names, *keys, "prob", "n").agg(
+    picked = ranked.groupBy(*keys, "prob", "n").agg(
         first_at(low_rank).alias("a"),
         first_at(high_rank).alias("z"),
         F.coalesce(F.max(F.when(F.col("b").isNull(), F.col("upto"))), F.lit(0)).alias("below"),

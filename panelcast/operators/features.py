@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelcast import config
 from panelcast.functions import calendar as cal
 from panelcast.functions import weather as fw
-from panelcast.functions.stats import exact_median
+from panelcast.functions.stats import exact_median, stack_long
 
 EWM_FRAME = 128
 
@@ -101,10 +101,12 @@ def impute_weather(df: DataFrame, train_end=None, default_temp=50.0) -> DataFram
         "apt1_wind_speed_max", "apt2_wind_speed_max", "total_precip", "total_snowfall", "max_wind",
         *config.HOURLY_ROLLUP_COLUMNS,
     ]
-    temps = {}
-    for c in ("apt1_temp_avg", "apt2_temp_avg"):
-        median = exact_median(df.select(_train_value(c, train_end).alias(c)), [], c).scalar()
-        temps[c] = F.coalesce(F.col(c), median, F.lit(default_temp))
+    temps = ["apt1_temp_avg", "apt2_temp_avg"]
+    train = stack_long(df.select(*[_train_value(c, train_end).alias(c) for c in temps]), [], temps, "name", "v")
+    medians = exact_median(train, ["name"], "v").groupBy().agg(
+        F.map_from_entries(F.collect_list(F.struct("name", "median")))
+    ).scalar()
+    temps = {c: F.coalesce(F.col(c), medians[c], F.lit(default_temp)) for c in temps}
     return df.fillna(0, subset=config.present(zero, df)).withColumns(temps)
 
 

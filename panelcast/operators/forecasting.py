@@ -1,5 +1,6 @@
 """Model fits as Spark jobs: boosted trees, per-route seasonal regression, sequence scoring."""
 
+import math
 import random
 
 from pyspark.ml import Pipeline
@@ -121,46 +122,33 @@ def seasonal_regression(
 ) -> DataFrame:
     """Per-route additive model of trend, yearly and weekly seasonality and holidays: (route, date, pred).
 
-    The fit is least squares over additive moments: each training row contributes its basis products, summed per route
-    by Spark, so a route of any length is a fixed-size group. Only the small normal equations of a route reach Python.
-    Unknown routes are predicted 0.
+    One least-squares fit per route, whose rows are bounded by the calendar, returns a short weight vector; the basis
+    and the scoring are native columns. Unknown routes are predicted 0.
     """
     def basis(df):
         t = F.unix_date("date").cast("double")
         terms = [F.lit(1.0), t / 3652.5]
         for period, order in ((365.25, yearly), (7.0, weekly)):
             for k in range(1, order + 1):
-                angle = t * (2 * 3.141592653589793 * k / period)
+                angle = t * (2 * math.pi * k / period)
                 terms += [F.sin(angle), F.cos(angle)]
         if holidays is not None:
             df = df.join(holidays.select("date", F.lit(1.0).alias("_h")).distinct(), "date", "left")
             terms.append(F.coalesce("_h", F.lit(0.0)))
         return df.withColumn("b", F.array(*terms))
 
-    size = 2 + 2 * (yearly + weekly) + (holidays is not None)
-    rows = basis(train.select("route", "date", F.col(target).cast("double").alias("y")).dropna())
-    products = [F.sum(F.col("b")[i] * F.col("b")[j]) for i in range(size) for j in range(i, size)]
-    moments = rows.groupBy("route").agg(
-        F.array(*products).alias("xx"), F.array(*[F.sum(F.col("b")[i] * F.col("y")) for i in range(size)]).alias("xy")
-    )
-
-    def solve(xx, xy):
+    def solve(pdf):
         import numpy as np
         import pandas as pd
 
-        upper = np.triu_indices(size)
-        out = []
-        for a, z in zip(xx, xy):
-            m = np.zeros((size, size))
-            m[upper] = a
-            m = m + m.T - np.diag(np.diag(m))
-            penalty = np.full(size, ridge)
-            penalty[:2] = 0
-            out.append(np.linalg.lstsq(m + np.diag(penalty), np.asarray(z), rcond=None)[0].tolist())
-        return pd.Series(out)
-
-    solved = F.pandas_udf(solve, T.ArrayType(T.DoubleType()))
-    weights = moments.select("route", solved("xx", "xy").alias("w"))
+        x = np.vstack(pdf["b"].to_numpy())
+        penalty = np.full(x.shape[1], ridge)
+        penalty[:2] = 0
+        w = np.linalg.lstsq(x.T @ x + np.diag(penalty), x.T @ pdf["y"].to_numpy(), rcond=None)[0]
+        return pd.DataFrame({"route": [pdf["route"].iloc[0]], "w": [w.tolist()]})
+
+    rows = basis(train.select("route", "date", F.col(target).cast("double").alias("y")).dropna())
+    weights = rows.select("route", "y", "b").groupBy("route").applyInPandas(solve, "route string, w array<double>")
     scored = basis(score.select("route", "date")).join(weights, "route", "left")
     dot = F.aggregate(F.zip_with("b", "w", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     return scored.select("route", "date", F.coalesce(dot, F.lit(0.0)).alias("pred"))

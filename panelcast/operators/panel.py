@@ -18,24 +18,33 @@ def top_routes(df: DataFrame, n=20, key="route", weight=None) -> DataFrame:
 def aggregate_daily(flights: DataFrame, routes: DataFrame = None) -> DataFrame:
     """One row per (date, route): counts, mean delays, distance, carriers and cancel rate.
 
-    Everything combines on the map side; the carrier set is bounded by the number of carriers. Carrier and distance
-    columns appear when the flights have them.
+    All sums combine on the map side. With a carrier column the flights are first reduced per carrier, so that the
+    carrier list is gathered from one row per carrier and day and not from the flights. Distance and carriers appear
+    when the flights have them.
     """
     if routes is not None:
         flights = flights.join(routes.select("route"), "route", "left_semi")
-    optional = []
-    if "DISTANCE" in flights.columns:
-        optional.append(F.coalesce(F.sum("DISTANCE"), F.lit(0.0)).alias("total_distance"))
-    if "REPORTING_AIRLINE" in flights.columns:
-        optional.append(F.array_join(F.array_sort(F.collect_set("REPORTING_AIRLINE")), ",").alias("carriers"))
-    daily = flights.groupBy(F.col("FL_DATE").alias("date"), "route").agg(
-        F.count(F.lit(1)).alias("flight_count"),
-        F.sum("CANCELLED").cast("long").alias("cancelled_count"),
-        F.avg("DEP_DELAY").alias("avg_dep_delay"),
-        F.avg("ARR_DELAY").alias("avg_arr_delay"),
-        *optional,
+    has_distance, has_carrier = "DISTANCE" in flights.columns, "REPORTING_AIRLINE" in flights.columns
+    sums = {"flight_count": F.count(F.lit(1)), "cancelled_count": F.sum("CANCELLED")}
+    for c in ("DEP_DELAY", "ARR_DELAY"):
+        sums[f"_s_{c}"], sums[f"_n_{c}"] = F.sum(c), F.count(c)
+    if has_distance:
+        sums["total_distance"] = F.sum("DISTANCE")
+    keys = [F.col("FL_DATE").alias("date"), "route"]
+    if has_carrier:
+        per_carrier = flights.groupBy(*keys, "REPORTING_AIRLINE").agg(*[v.alias(k) for k, v in sums.items()])
+        carriers = F.array_join(F.array_sort(F.collect_list("REPORTING_AIRLINE")), ",").alias("carriers")
+        daily = per_carrier.groupBy("date", "route").agg(*[F.sum(k).alias(k) for k in sums], carriers)
+    else:
+        daily = flights.groupBy(*keys).agg(*[v.alias(k) for k, v in sums.items()])
+    mean = lambda c: F.try_divide(F.col(f"_s_{c}"), F.col(f"_n_{c}"))
+    return daily.select(
+        "date", "route", "flight_count", F.col("cancelled_count").cast("long").alias("cancelled_count"),
+        mean("DEP_DELAY").alias("avg_dep_delay"), mean("ARR_DELAY").alias("avg_arr_delay"),
+        *([F.coalesce("total_distance", F.lit(0.0)).alias("total_distance")] if has_distance else []),
+        *(["carriers"] if has_carrier else []),
+        (F.col("cancelled_count") / F.col("flight_count")).alias("cancel_rate"),
     )
-    return daily.withColumn("cancel_rate", F.col("cancelled_count") / F.col("flight_count"))
 
 
 def route_metadata(daily: DataFrame) -> DataFrame:
@@ -59,10 +68,15 @@ def add_route_metadata(daily: DataFrame) -> DataFrame:
     return daily.withColumns(added)
 
 
+def _date_range(daily: DataFrame):
+    """First and last date of the whole table, as one scalar sub-query."""
+    ends = daily.groupBy().agg(F.struct(F.min("date").alias("first"), F.max("date").alias("last"))).scalar()
+    return ends["first"], ends["last"]
+
+
 def calendar_spine(daily: DataFrame) -> DataFrame:
     """Every (date, route) from the first to the last date of the whole table, one exploded range per route."""
-    first = daily.groupBy().agg(F.min("date")).scalar()
-    last = daily.groupBy().agg(F.max("date")).scalar()
+    first, last = _date_range(daily)
     return daily.select("route").distinct().select("route", F.explode(F.sequence(first, last)).alias("date"))
 
 
@@ -75,8 +89,7 @@ def fill_missing_dates(daily: DataFrame, ffill_limit=FFILL_LIMIT) -> DataFrame:
     added days are 0; distance and carriers stay null; route metadata holds for every day. Pass a staged table: its
     date range is read with a small sub-query.
     """
-    first = daily.groupBy().agg(F.min("date")).scalar()
-    last = daily.groupBy().agg(F.max("date")).scalar()
+    first, last = _date_range(daily)
     w = W.partitionBy("route").orderBy("date")
     begins = F.when(F.row_number().over(w) == 1, first).otherwise(F.col("date"))
     ends = F.coalesce(F.date_sub(F.lead("date").over(w), 1), last)

@@ -15,8 +15,8 @@ def build_panel(flights: DataFrame, n_routes=50) -> DataFrame:
     """
     daily = stage(op.aggregate_daily(flights), "daily")
     top = op.top_routes(daily, n_routes, weight="flight_count")
-    kept = op.add_route_metadata(daily.join(top.select("route"), "route", "left_semi"))
-    return op.fill_missing_dates(stage(kept, "daily-top"))
+    kept = daily.join(top.select("route"), "route", "left_semi")
+    return op.fill_missing_dates(op.add_route_metadata(kept))
 
 
 def build_weather(daily_raw: DataFrame, hourly: DataFrame) -> DataFrame:
