@@ -36,11 +36,13 @@ def fit_gbt(rows: DataFrame, features, params=None, target=TARGET):
     settings = {**GBT_DEFAULTS, **(params or {})}
     used = rows.filter(F.col("split").isin("train", "val")).select(
         *[F.col(c).cast("double").alias(c) for c in features],
-        F.col(target).cast("double").alias("label"),
-        (F.col("split") == "val").alias("is_val"),
+        F.col(target).cast("double").alias("_label"),
+        (F.col("split") == "val").alias("_is_val"),
     )
-    model = GBTRegressor(featuresCol="x", labelCol="label", predictionCol="pred", validationIndicatorCol="is_val", **settings)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="x"), model]).fit(used)
+    model = GBTRegressor(
+        featuresCol="_features", labelCol="_label", predictionCol="pred", validationIndicatorCol="_is_val", **settings
+    )
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), model]).fit(used)
 
 
 def predict_tabular(model, rows: DataFrame, features, keys=("route", "date"), target=TARGET) -> DataFrame:

@@ -1,6 +1,7 @@
 """Serving outputs: nested forecast documents and the error report."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelcast.functions.stats import stack_long
@@ -71,8 +72,7 @@ def error_report(errors: DataFrame, n_worst=10) -> DataFrame:
 
 def report_text(report: DataFrame) -> DataFrame:
     """Report lines in order (position, line), for a text file."""
-    order = F.array_position(F.array(*[F.lit(s) for s in ("overall", "route", "day_type", "season", "worst")]), "section")
-    from pyspark.sql import Window as W
+    order = F.array_position(F.array(*[F.lit(s) for s in ("overall", "route", "day_type", "season", "worst")]), F.col("section"))
 
     line = F.concat_ws(" ", "section", "key", "metric", F.coalesce(F.format_number("value", 2), F.lit("n/a")))
     at = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order, "key", "metric"))
