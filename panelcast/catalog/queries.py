@@ -1,20 +1,26 @@
 """Registered queries: name to function of (spark, sf_dir)."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelcast import config
 from panelcast.catalog import base as b
 from panelcast.functions import calendar as cal
+from panelcast.functions import text as tx
 from panelcast.functions import weather as fw
 from panelcast.operators import baselines as ob
 from panelcast.operators import clean as oc
 from panelcast.operators import evaluation as oe
 from panelcast.operators import features as of
 from panelcast.operators import folds as fo
+from panelcast.operators import forecasting as fc
 from panelcast.operators import insights as oi
 from panelcast.operators import panel as op
 from panelcast.operators import predictions as pr
 from panelcast.operators import weather as ow
+from panelcast.plans import publish
+from panelcast.plans.panel import build_panel
+from panelcast.plans.walkforward import walk_forward
 from panelcast.sources import flights as sf
 from panelcast.sources import starschema
 from panelcast.sources import tables as st
@@ -153,8 +159,6 @@ def ffill_limit(spark, d):
 @query
 def panel(spark, d):
     """The whole job from flights to the panel of the busiest routes."""
-    from panelcast.plans.panel import build_panel
-
     return build_panel(b.flights(spark, d), b.N_ROUTES)
 
 
@@ -174,8 +178,6 @@ def completed_flights(spark, d):
 @query
 def sort_panel(spark, d):
     """Panel position of each day within its route, in the order the panel is written."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("route").orderBy("date")
     return b.panel(spark, d).select("route", "date", F.row_number().over(w).alias("position"), "flight_count")
 
@@ -542,12 +544,7 @@ def naive_no_fallback(spark, d):
 
 @query
 def baseline_from_features(spark, d):
-    out = ob.from_features(of.lag_features(b.panel(spark, d)), b.CUT.test_start)
-    # published values are tenths of means: a mean that falls on a rounding edge may go either way between engines
-    return out.groupBy("route").agg(
-        F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-        F.max("actual").alias("max_actual"), F.min("naive").alias("min_naive"), F.count("ma").alias("n_ma"),
-    )
+    return ob.from_features(of.lag_features(b.panel(spark, d)), b.CUT.test_start)
 
 
 # ---- evaluation -----------------------------------------------------------------------------------------------
@@ -586,13 +583,32 @@ def metrics_by_all_segments(spark, d):
 
 @query
 def forecast_metrics_by_route(spark, d):
-    """Delay metrics per model and route for the busiest routes, and per model over all routes."""
+    """Metrics of the published, rounded values: per model and busiest route, and per model over all routes."""
     panel = b.staged_panel(spark, d)
     preds = stage(ob.to_long(b.wide_predictions(panel), b.MODELS), "preds")
-    shown = op.top_routes(panel, 5, weight="flight_count")
-    by_route = oe.delay_metrics(oc.filter_routes(preds, shown), ["model", "route"])
-    overall = oe.delay_metrics(preds, ["model"]).withColumn("route", F.lit("all"))
-    return by_route.unionByName(overall)
+    return publish.forecast_metrics(preds, op.top_routes(panel, 5, weight="flight_count"))
+
+
+@query
+def metrics_by_route(spark, d):
+    return oe.basic_metrics(b.errors(spark, d), ["model", "route"])
+
+
+@query
+def metrics_by_time_period(spark, d):
+    """By era: the naive forecast over the whole history."""
+    preds = ob.predict(b.panel(spark, d).select("route", "date", config.TARGET), {"pred": ob.naive()})
+    return oe.basic_metrics(oe.error_columns(preds.withColumnRenamed(config.TARGET, "actual"), b.CUT), ["time_period"])
+
+
+@query
+def metrics_by_day_type(spark, d):
+    return oe.basic_metrics(b.errors(spark, d), ["model", "day_type"])
+
+
+@query
+def metrics_by_season(spark, d):
+    return oe.basic_metrics(b.errors(spark, d), ["model", "season"])
 
 
 @query
@@ -606,13 +622,11 @@ def assign_folds(spark, d):
 @query
 def walk_forward_eval(spark, d):
     """Delay metrics of the baselines on every fold."""
-    preds = stage(fo.fold_baselines(b.staged_panel(spark, d), b.CUT.folds), "folds")
-    return oe.delay_metrics(preds, ["model", "fold"])
+    return walk_forward(b.staged_panel(spark, d), b.CUT.folds)
 
 
 def _fold_metrics(spark, d):
-    preds = stage(fo.fold_baselines(b.staged_panel(spark, d), b.CUT.folds), "folds")
-    return oe.delay_metrics(preds, ["model", "fold"])
+    return walk_forward(b.staged_panel(spark, d), b.CUT.folds)
 
 
 @query
@@ -780,8 +794,6 @@ def weighted_corr(spark, d):
 @query
 def corr_by_abs(spark, d):
     ranked = oi.weather_correlations(b.weather_panel(spark, d))
-    from pyspark.sql import Window as W
-
     order = W.partitionBy(F.lit(0)).orderBy(F.desc(F.abs("correlation")), "variable")
     return ranked.select("variable", F.row_number().over(order).alias("rank"))
 
@@ -796,6 +808,22 @@ def carrier_performance(spark, d):
     return oi.carrier_performance(b.flights(spark, d))
 
 
+@query
+def carrier_cancel_join(spark, d):
+    """Delay statistics over completed flights next to the cancel rate over all flights."""
+    return oi.carrier_performance(b.flights(spark, d)).select("code", "avg_delay", "n_flights", "cancel_rate")
+
+
+@query
+def legend_label(spark, d):
+    """Carrier names with corporate suffixes, as legends show them."""
+    names = b.flights(spark, d).groupBy("REPORTING_AIRLINE").agg(F.count(F.lit(1)).alias("n"))
+    full = F.concat(F.col("REPORTING_AIRLINE"), F.lit("  Air Co, Inc."))
+    return names.select("REPORTING_AIRLINE", full.alias("name")).select(
+        "REPORTING_AIRLINE", tx.legend_label("name").alias("label"), tx.carrier_name("REPORTING_AIRLINE").alias("carrier")
+    )
+
+
 @query
 def sort_carriers(spark, d):
     return oi.sort_carriers(oi.carrier_performance(b.flights(spark, d)), "avg_delay").select("code", "rank", "avg_delay")
@@ -811,6 +839,12 @@ def mean_by_key(spark, d):
     return oi.mean_by_keys(keyed, ["date", "day_of_week", "month", "route", "severity", "period"])
 
 
+@query
+def mean_by_holiday(spark, d):
+    days = of.holiday_features(b.panel(spark, d), cal.federal_holidays(spark, *b.HOLIDAY_YEARS))
+    return oi.mean_by_keys(days, ["is_federal_holiday", "is_school_break"])
+
+
 @query
 def severity_spine_mean(spark, d):
     return oi.severity_spine_mean(b.weather_panel(spark, d))
@@ -1012,8 +1046,6 @@ def sink_panel(spark, d):
 @query
 def sink_nested_forecast(spark, d):
     """Forecast documents of the busiest routes, written and read back."""
-    from panelcast.plans import publish
-
     panel = b.staged_panel(spark, d)
     wide = stage(b.wide_predictions(panel), "wide")
     path = scratch_path(spark, "forecast")
@@ -1029,16 +1061,12 @@ def sink_nested_forecast(spark, d):
 
 @query
 def forecast_metadata(spark, d):
-    from panelcast.plans import publish
-
     return publish.metadata(b.panel(spark, d), b.CUT)
 
 
 @query
 def sink_report(spark, d):
     """The error report of the moving average, written and read back."""
-    from panelcast.plans import publish
-
     errors = stage(b.errors(spark, d).filter("model = 'ma_7'"), "errors")
     path = scratch_path(spark, "report")
     report = publish.error_report(errors)
@@ -1046,6 +1074,17 @@ def sink_report(spark, d):
     return spark.read.schema(report.schema).parquet(path)
 
 
+@query
+def sink_analysis(spark, d):
+    """The analysis documents written as JSON lines and read back: entries per document section."""
+    feats = stage(b.features(spark, d).select("date", *config.TABULAR_FEATURES, config.TARGET, "flight_count"), "features")
+    importance = stage(oi.correlation_importance(feats, IMPORTANCE_COLUMNS), "importance")
+    path = scratch_path(spark, "analysis")
+    publish.analysis_documents(feats, b.flights(spark, d), importance).write.json(path)
+    docs = spark.read.schema("name string, section string, body string").json(path)
+    return docs.select("name", "section", F.json_array_length("body").alias("entries"))
+
+
 # ---- models ---------------------------------------------------------------------------------------------------
 
 GBT_FEATURES = [
@@ -1064,16 +1103,12 @@ def _split_features(spark, d):
 @query
 def fit_gbt(spark, d):
     """Importances of a boosted model on all 63 features."""
-    from panelcast.operators import forecasting as fc
-
     model = fc.fit_gbt(_split_features(spark, d), config.TABULAR_FEATURES, GBT_QUICK)
     return fc.importance_table(spark, model, config.TABULAR_FEATURES, "gbt")
 
 
 @query
 def predict_tabular(spark, d):
-    from panelcast.operators import forecasting as fc
-
     rows = _split_features(spark, d)
     model = fc.fit_gbt(rows, config.TABULAR_FEATURES, GBT_QUICK)
     return fc.predict_tabular(model, rows.filter("split = 'test'"), config.TABULAR_FEATURES)
@@ -1082,18 +1117,12 @@ def predict_tabular(spark, d):
 @query
 def walk_forward_gbt(spark, d):
     """Boosted trees and baselines on every fold."""
-    from panelcast.operators import forecasting as fc
-
     rows = stage(b.features(spark, d).select("route", "date", config.TARGET, *GBT_FEATURES), "features")
-    boosted = fc.walk_forward_gbt(rows, GBT_FEATURES, b.CUT.folds, GBT_QUICK)
-    preds = stage(boosted.unionByName(fo.fold_baselines(rows, b.CUT.folds)), "folds")
-    return oe.delay_metrics(preds, ["model", "fold"])
+    return walk_forward(rows, b.CUT.folds, GBT_FEATURES, GBT_QUICK)
 
 
 @query
 def tune_gbt(spark, d):
-    from panelcast.operators import forecasting as fc
-
     space = {"maxIter": (2, 5, False), "maxDepth": (2, 4, False), "stepSize": (0.01, 0.3, True)}
     return fc.tune_gbt(_split_features(spark, d), GBT_FEATURES, fc.sample_settings(2, space))
 
@@ -1101,16 +1130,12 @@ def tune_gbt(spark, d):
 @query
 def ablation(spark, d):
     """Boosted trees with and without weather."""
-    from panelcast.operators import forecasting as fc
-
     return fc.ablation(_split_features(spark, d), GBT_FEATURES, config.WEATHER_FEATURES, GBT_QUICK)
 
 
 @query
 def fit_seasonal_regression(spark, d):
     """One seasonal regression per route, fitted before the test period and scored on it."""
-    from panelcast.operators import forecasting as fc
-
     panel = b.staged_panel(spark, d)
     train = panel.filter(F.col("date") < cal.day(b.CUT.val_end))
     test = panel.filter(F.col("date") >= cal.day(b.CUT.test_start))
@@ -1122,8 +1147,6 @@ def fit_seasonal_regression(spark, d):
 @query
 def score_sequences(spark, d):
     """A linear model over scaled windows: the mean of the last week, scaled back."""
-    from panelcast.operators import forecasting as fc
-
     panel = b.staged_panel(spark, d).select("route", "date", config.TARGET, "flight_count")
     cols = [config.TARGET, "flight_count"]
     stats = stage(fo.scaler_stats(panel.filter(F.col("date") < cal.day(b.CUT.train_end)), cols), "scaler")

@@ -17,6 +17,15 @@ def paired(df: DataFrame, actual="actual", pred="pred") -> DataFrame:
     return df.dropna(subset=[actual, pred])
 
 
+def published(column, decimals=1) -> Column:
+    """Value rounded half-even for publishing.
+
+    Digits beyond the ninth are dropped first: they depend on the order in which a mean was summed, and would send a
+    value on a rounding edge either way.
+    """
+    return F.bround(F.round(column, 9), decimals)
+
+
 def _y(actual):
     return F.col(actual)
 

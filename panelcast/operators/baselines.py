@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelcast.config import TARGET
 from panelcast.functions.calendar import day
+from panelcast.functions.metrics import published
 from panelcast.functions.stats import exact_median
 
 
@@ -64,10 +65,10 @@ def predict_in_slice(
 def from_features(features: DataFrame, start, target=TARGET) -> DataFrame:
     """Baselines read off the lag features, missing ones 0, rounded half-even to a tenth for publishing."""
     suffix = target.replace("avg_", "")
-    tenth = lambda c: F.bround(F.coalesce(F.col(c), F.lit(0.0)), 1)
+    tenth = lambda c: published(F.coalesce(F.col(c), F.lit(0.0)))
     return features.filter(F.col("date") >= day(start)).select(
         "route", "date",
-        F.bround(target, 1).alias("actual"),
+        published(target).alias("actual"),
         tenth(f"lag_1_{suffix}").alias("naive"),
         tenth(f"rolling_mean_7_{suffix}").alias("ma"),
     )

@@ -6,14 +6,18 @@ from pyspark.sql import functions as F
 from panelcast.config import REGIONAL_CARRIERS
 from panelcast.functions.calendar import day
 
-# Date formats seen in flight files.
-DATE_FORMATS = ["yyyy-MM-dd", "M/d/yyyy h:mm:ss a", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyyMMdd"]
-
-
 def parse_mixed_date(column):
-    """Date of a text in any of the known formats, else null."""
-    text = F.trim(F.col(column).cast("string"))
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS])
+    """Date of a text as year-month-day, month/day/year or eight digits, with or without a time of day; else null.
+
+    The shape picks the one parser to try: a failed parse costs an exception per row.
+    """
+    text = F.substring_index(F.trim(F.col(column).cast("string")), " ", 1)
+    parsed = lambda fmt: F.to_date(F.try_to_timestamp(text, F.lit(fmt)))
+    return (
+        F.when(text.contains("/"), parsed("M/d/yyyy"))
+        .when(text.rlike(r"^\d{8}$"), parsed("yyyyMMdd"))
+        .otherwise(text.try_cast("date"))
+    )
 
 
 def coalesce_carrier(df: DataFrame) -> DataFrame:

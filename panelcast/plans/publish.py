@@ -4,8 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelcast.functions.metrics import published
 from panelcast.functions.stats import stack_long
 from panelcast.operators import evaluation as oe
+from panelcast.operators import insights as oi
 
 DAY = "yyyy-MM-dd"
 
@@ -15,14 +17,14 @@ def forecast_documents(merged: DataFrame, models) -> DataFrame:
 
     A route's array has one entry per test day, so it is bounded by the test period.
     """
-    tenth = lambda c: F.bround(F.col(c), 1).alias(c)
+    tenth = lambda c: published(c).alias(c)
     entry = F.struct(F.date_format("date", DAY).alias("date"), tenth("actual"), *[tenth(m) for m in models])
     return merged.groupBy("route").agg(F.array_sort(F.collect_list(entry)).alias("predictions"))
 
 
 def history_documents(panel: DataFrame, test_start, target="avg_arr_delay") -> DataFrame:
     """One row per route with its pre-test actuals."""
-    entry = F.struct(F.date_format("date", DAY).alias("date"), F.bround(target, 1).alias("actual"))
+    entry = F.struct(F.date_format("date", DAY).alias("date"), published(target).alias("actual"))
     before = panel.filter(F.col("date") < F.lit(test_start).cast("date"))
     return before.groupBy("route").agg(F.array_sort(F.collect_list(entry)).alias("historical"))
 
@@ -59,6 +61,39 @@ def read_forecast(spark: SparkSession, path: str, models) -> DataFrame:
     return spark.read.schema(document_schema(models)).json(f"{path}/routes")
 
 
+def forecast_metrics(preds: DataFrame, shown: DataFrame, decimals=1) -> DataFrame:
+    """Delay metrics of the published values: per model over all routes, and per model and shown route.
+
+    Values are rounded half-even before the metrics, as readers of the published forecast would compute them. Pass a
+    staged table.
+    """
+    values = preds.withColumns({c: published(c, decimals) for c in ("actual", "pred")})
+    by_route = oe.delay_metrics(values.join(shown.select("route"), "route", "left_semi"), ["model", "route"])
+    return by_route.unionByName(oe.delay_metrics(values, ["model"]).withColumn("route", F.lit("all")))
+
+
+def analysis_documents(features: DataFrame, flights: DataFrame, importance: DataFrame, top_carriers=10) -> DataFrame:
+    """The three analysis documents (name, body JSON): weather impact, carrier performance, feature importance.
+
+    Each gathers a report of bounded size: severities, the top carriers, features per model.
+    """
+    rows = lambda df: F.array_sort(F.collect_list(F.struct(*df.columns)))
+    impact, corr = oi.weather_impact(features), oi.weather_correlations(features)
+    carriers = oi.carrier_performance(flights, top_carriers)
+    shares = oi.importance_share(importance).select("model", "rank", "feature", "share", "n_features")
+    parts = [
+        ("weather_impact", "by_severity", impact), ("weather_impact", "correlation", corr),
+        ("carrier_performance", "carriers", carriers), ("feature_importance", "features", shares),
+    ]
+    out = None
+    for name, section, df in parts:
+        doc = df.groupBy().agg(F.to_json(rows(df)).alias("body")).select(
+            F.lit(name).alias("name"), F.lit(section).alias("section"), "body"
+        )
+        out = doc if out is None else out.unionByName(doc)
+    return out
+
+
 def error_report(errors: DataFrame, n_worst=10) -> DataFrame:
     """The error report in long form (section, key, metric, value): overall, by route, day type and season, and the
     worst forecasts. Pass a staged table of one model's errors."""
