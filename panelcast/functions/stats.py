@@ -4,9 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 10000
+SKETCH_ACCURACY = 100000
 BRACKET = 5.0 / SKETCH_ACCURACY
-SMALL_GROUP = 4000
+SMALL_GROUP = 40000
 
 
 def exact_quantiles(df: DataFrame, keys, value, probs) -> DataFrame:
@@ -14,7 +14,7 @@ def exact_quantiles(df: DataFrame, keys, value, probs) -> DataFrame:
 
     ``percentile`` keeps every distinct value of a group in one task. Here a mergeable sketch first brackets each
     quantile within a narrow rank range; a second pass counts the rows below the bracket and keeps only the distinct
-    values inside it, about a thousandth of the group. The sketch only chooses what to keep: the result is exact, and
+    values inside it, about a ten-thousandth of the group. The sketch only chooses what to keep: the result is exact, and
     a bracket that missed its ranks raises an error. The brackets, a few numbers per group, reach the rows as one
     constant, so the rows are not shuffled by key.
     """

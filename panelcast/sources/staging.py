@@ -14,10 +14,10 @@ _local_dirs = {}
 
 def scratch_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; on a local master without one, a temporary folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _local_dirs:
@@ -26,8 +26,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the scratch folder."""
-    return f"{scratch_root(spark)}/panelcast/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the scratch folder, grouped by application so that a finished one can be dropped whole."""
+    return f"{scratch_root(spark)}/panelcast/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -29,6 +29,14 @@ def session(cores=8):
     return spark
 
 
+SAME_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+
+
+def type_notes(df, description):
+    want = {c[0]: str(c[1]) for c in description}
+    return " ".join(f"{n}:{t}/{want[n]}" for n, t in df.dtypes if SAME_TYPE.get(t) != want[n])
+
+
 def normal(v):
     if isinstance(v, float):
         v = round(v, 5)
@@ -50,14 +58,14 @@ def compare(spark, con, name, sf_dir, oracle):
         return took, len(got), "no sql", []
     start = time.time()
     rel = con.execute(oracle)
-    cols = [c[0] for c in rel.description]
+    cols, described = [c[0] for c in rel.description], rel.description
     want = rel.fetchall()
     sql_took = time.time() - start
     if sorted(cols) != sorted(df.columns):
         return took, len(got), f"COLUMNS {sorted(set(cols) ^ set(df.columns))}", []
     a, z = rows_of(df.columns, got), rows_of(cols, want)
     if a == z:
-        return took, len(got), f"ok (sql {sql_took:.1f}s)", []
+        return took, len(got), f"ok (sql {sql_took:.1f}s) {type_notes(df, described)}", []
     diff = [(x, y) for x, y in zip(a, z) if x != y][:3]
     bad = sum(x != y for x, y in zip(a, z))
     return took, len(got), f"MISMATCH {len(a)} vs {len(z)} rows, {bad} differ", [sorted(cols), *diff]
