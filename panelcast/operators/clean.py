@@ -28,11 +28,22 @@ def coalesce_carrier(df: DataFrame) -> DataFrame:
     return df.withColumn("REPORTING_AIRLINE", F.coalesce(*have)).drop("OP_UNIQUE_CARRIER")
 
 
+def _number(column):
+    """Number of a text; anything else, NaN included, is null."""
+    return F.nullif(F.col(column).try_cast("double"), F.lit(float("nan")))
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Missing numbers as null in every floating column: NaN would poison averages and sort highest."""
+    floating = [c for c, t in df.dtypes if t in ("double", "float")]
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(float("nan")).cast(dict(df.dtypes)[c])) for c in floating})
+
+
 def clean_flights(df: DataFrame) -> DataFrame:
     """Typed flight rows: parsed dates, trimmed upper-case codes, bad numbers null, route key; keyless rows dropped."""
     df = coalesce_carrier(df)
     code = lambda c: F.upper(F.trim(F.col(c).cast("string"))).alias(c)
-    number = lambda c: F.expr(f"try_cast({c} AS double)").alias(c)
+    number = lambda c: _number(c).alias(c)
     typed = df.select(
         (F.col("FL_DATE") if dict(df.dtypes)["FL_DATE"] == "date" else parse_mixed_date("FL_DATE")).alias("FL_DATE"),
         code("REPORTING_AIRLINE"),
@@ -40,7 +51,7 @@ def clean_flights(df: DataFrame) -> DataFrame:
         code("DEST"),
         number("DEP_DELAY"),
         number("ARR_DELAY"),
-        F.expr("coalesce(cast(try_cast(CANCELLED AS double) AS int), 0)").alias("CANCELLED"),
+        F.coalesce(_number("CANCELLED").cast("int"), F.lit(0)).alias("CANCELLED"),
         number("DISTANCE"),
     )
     return typed.dropna(subset=["FL_DATE", "ORIGIN", "DEST"]).withColumn("route", F.concat_ws("-", "ORIGIN", "DEST"))

@@ -14,10 +14,14 @@ def _headers(spark: SparkSession, glob: str) -> dict:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     pattern = jvm.org.apache.hadoop.fs.Path(glob)
     fs = pattern.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
     groups = {}
     for status in fs.globStatus(pattern) or []:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(status.getPath())))
-        header = reader.readLine() or ""
+        stream, codec = fs.open(status.getPath()), codecs.getCodec(status.getPath())
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        header = (reader.readLine() or "").lstrip("\ufeff")
         reader.close()
         names = tuple(h.strip().strip('"') for h in header.split(","))
         groups.setdefault(names, []).append(status.getPath().toString())

@@ -1,11 +1,13 @@
 """Cleaning, panel and weather operators on hand-made rows."""
 
+import gzip
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from panelcast import config
+from panelcast.functions import text as tx
 from panelcast.functions import weather as fw
 from panelcast.operators import clean as oc
 from panelcast.operators import panel as op
@@ -41,6 +43,35 @@ def test_clean_flights_types_and_drops(frame):
     assert (second.REPORTING_AIRLINE, second.DEP_DELAY, second.ARR_DELAY, second.CANCELLED) == ("DL", None, 7.0, 1)
 
 
+def test_nan_is_missing(frame):
+    df = frame([(float("nan"), 1.0), (2.0, None)], "x double, y double")
+    assert [(r.x, r.y) for r in oc.nan_to_null(df).collect()] == [(None, 1.0), (2.0, None)]
+    raw = frame([("20200105", "AA", "A", "B", "NaN", "1", "NaN", "2")], "FL_DATE string, REPORTING_AIRLINE string, ORIGIN string, "
+                "DEST string, DEP_DELAY string, ARR_DELAY string, CANCELLED string, DISTANCE string")
+    row = oc.clean_flights(raw).first()
+    assert (row.FL_DATE, row.DEP_DELAY, row.CANCELLED) == (date(2020, 1, 5), None, 0)
+
+
+def test_legend_labels(frame):
+    names = ["Acme Air, Inc.", "ExpressJet Airlines LLC d/b/a aha!", "Blue Corp", "Incline Co. Air"]
+    df = frame([(n,) for n in names], "name string")
+    got = [r.label for r in df.select(tx.legend_label("name").alias("label")).collect()]
+    # a suffix ends at a word boundary, so its full stop is left to the trailing-punctuation rule, the comma before it stays
+    assert got == ["Acme Air,", "ExpressJet (aha!)", "Blue", "Incline . Air"]
+
+
+def test_hot_route_keeps_every_row(spark):
+    """One route with most of the rows: counts and sums stay whole."""
+    rows = spark.range(200000).select(
+        F.when(F.col("id") % 3 < 2, "A-B").otherwise(F.concat(F.lit("C-"), (F.col("id") % 50).cast("string"))).alias("route"),
+        F.date_add(F.lit(date(2020, 1, 1)), (F.col("id") % 30).cast("int")).alias("FL_DATE"),
+        F.lit("AA").alias("REPORTING_AIRLINE"), F.lit(1.0).alias("DEP_DELAY"), F.lit(2.0).alias("ARR_DELAY"),
+        F.lit(0).alias("CANCELLED"), F.lit(1.0).alias("DISTANCE"),
+    )
+    out = op.aggregate_daily(rows).groupBy().agg(F.sum("flight_count").alias("n"), F.sum("total_distance").alias("d")).first()
+    assert (out.n, out.d) == (200000, 200000.0)
+
+
 def test_top_routes_breaks_ties_by_name(frame):
     df = frame([("B-C",), ("A-B",), ("C-D",), ("C-D",)], "route string")
     assert [r.route for r in op.top_routes(df, 2).collect()] == ["C-D", "A-B"]
@@ -168,6 +199,9 @@ def test_csv_headers_that_differ(spark, tmp_path):
     assert rows[date(2020, 1, 1)].REPORTING_AIRLINE == "AA" and rows[date(2020, 1, 2)].REPORTING_AIRLINE == "DL"
     assert rows[date(2020, 1, 2)].route == "LAX-SFO"
     assert "EXTRA" in sf.scan_all_columns(spark, f"{tmp_path}/*.csv").columns
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as f:
+        f.write("\ufeffFL_DATE,ORIGIN,DEST\n2020-01-03,LAX,SEA\n")
+    assert sf.scan_flights_csv(spark, f"{tmp_path}/*.csv*").filter("DEST = 'SEA'").first().FL_DATE == "2020-01-03"
     with pytest.raises(FileNotFoundError):
         sf.scan_all_columns(spark, f"{tmp_path}/none*.csv")
 
