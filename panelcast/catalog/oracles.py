@@ -710,6 +710,21 @@ sql("autocorrelation", DSERIES + """,
 c AS (SELECT date, avg_arr_delay - (SELECT avg(avg_arr_delay) FROM ds) AS v FROM ds)""", f"""
 SELECT CAST(k AS INTEGER) AS lag, {r('sum(a.v * z.v) / (SELECT sum(v * v) FROM c)', 'acf')}
 FROM range(61) t(k) JOIN c a ON true JOIN c z ON z.date = a.date + CAST(k AS INTEGER) GROUP BY 1""")
+ORACLES["partial_autocorrelation"] = f"""WITH RECURSIVE {DSERIES.strip()},
+c AS (SELECT date, avg_arr_delay - (SELECT avg(avg_arr_delay) FROM ds) AS v FROM ds),
+ac AS (
+  SELECT z.date - a.date AS lag, sum(a.v * z.v) / (SELECT sum(v * v) FROM c) AS acf
+  FROM c a JOIN c z ON z.date BETWEEN a.date AND a.date + 60 GROUP BY 1),
+rl AS (SELECT list(acf ORDER BY lag) AS r FROM ac),
+rec AS (
+  SELECT 1 AS k, [r[2]] AS phi FROM rl
+  UNION ALL
+  SELECT k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - a * phi[k + 1 - j]), a)
+  FROM (SELECT k, phi, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])))
+                       / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1]))) AS a
+        FROM rec, rl WHERE k < 60))
+SELECT 'all' AS series, CAST(k AS INTEGER) AS lag, {r('phi[k]', 'pacf')} FROM rec
+UNION ALL SELECT 'all', 0, 1.0"""
 sql("autocorrelation_by_route", PANEL + """,
 c AS (SELECT route, date, avg_arr_delay - avg(avg_arr_delay) OVER (PARTITION BY route) AS v FROM panel),
 pw AS (SELECT route, sum(v * v) AS p FROM c GROUP BY 1)""", f"""
