@@ -8,7 +8,6 @@ one pass without a shuffle; the benchmark goes to the tasks in blocks of bounded
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import decontaminate, packing, token_files
+from panelcast.llm import decontaminate, line_dedup, packing, token_files
 from panelcast.sources.staging import scratch_path
 
 QUERIES = {}
@@ -40,3 +40,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
     return token_files.checksums(token_files.stream_positions(token_files.read_token_files(spark, path)))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), min_docs=5, min_chars=40)
