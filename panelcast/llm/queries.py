@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import decontaminate, line_dedup, packing, substrings, token_files
+from panelcast.llm import decontaminate, line_dedup, near_dedup, packing, substrings, token_files
 from panelcast.sources.staging import scratch_path
 
 QUERIES = {}
@@ -50,3 +50,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), size=50).drop("spans")
+
+
+@query
+def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
