@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelcast.llm import decontaminate, line_dedup, near_dedup, packing, substrings, token_files
+from panelcast.llm import decontaminate, language_id, line_dedup, near_dedup, packing, substrings, token_files
 from panelcast.sources.staging import scratch_path
 
 QUERIES = {}
@@ -55,3 +56,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text", F.col("lang").alias("label"))
+    found = language_id.identify(language_id.page_evidence(table(spark, sf_dir, "pages")), *language_id.fit(docs))
+    return found.withColumnRenamed("id", "page_id")
