@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import decontaminate, language_id, line_dedup, near_dedup, packing, substrings, token_files
+from panelcast.llm import chat, decontaminate, language_id, line_dedup, near_dedup, packing, substrings, token_files
 from panelcast.sources.staging import scratch_path
 
 QUERIES = {}
@@ -68,3 +68,11 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("text", F.col("lang").alias("label"))
     found = language_id.identify(language_id.page_evidence(table(spark, sf_dir, "pages")), *language_id.fit(docs))
     return found.withColumnRenamed("id", "page_id")
+
+
+@query
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_events(chat.turn_events(turns.unionByName(probe))))
