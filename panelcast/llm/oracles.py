@@ -1,3 +1,7 @@
 """DuckDB SQL of the operators that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from panelcast.llm.licenses import scan_sql
+
+ORACLES: dict[str, str] = {
+    "op6_license_scan": scan_sql("documents", "concat_ws('/', source, lang, doc_id::VARCHAR)"),
+}

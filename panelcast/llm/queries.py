@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import chat, decontaminate, language_id, line_dedup, near_dedup, packing, substrings, token_files
+from panelcast.llm import chat, decontaminate, language_id, licenses, line_dedup, near_dedup, packing, substrings, token_files
 from panelcast.sources.staging import scratch_path
 
 QUERIES = {}
@@ -76,3 +76,9 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat.read_back(chat.format_events(chat.turn_events(turns.unionByName(probe))))
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")))
