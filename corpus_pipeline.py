@@ -1,27 +1,51 @@
-"""The corpus pipeline: documents through language ID, line dedup, near-dedup, decontamination and packing."""
+"""The corpus pipeline: documents through language ID, line dedup, near-dedup, decontamination and packing.
+
+Each stage is a function of (spark, docs, sf_dir). All but the last return the columns of ``documents``; a stage's result
+is stored as Parquet and read again by the next one, so its decisions take effect and a lost executor re-reads files.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import decontaminate, packing
+from panelcast.llm import decontaminate, language_id, line_dedup, near_dedup, packing
 from panelcast.llm.queries import table, tokenizer_path
 from panelcast.sources.staging import stage
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which no language is known go: those without letters, or that no language explains."""
+    return language_id.accepted_documents(docs)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of at least 40 code points in 5 or more documents stay only in the largest id. Documents stay."""
+    return line_dedup.deduplicate(docs, min_docs=5, min_chars=40)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.drop_near_duplicates(docs, size=5, percent=80)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an occurrence of a ten-word window of the benchmark go."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens and their places in sequences."""
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
 STAGES = [
+    ("language ID", keep_known_languages),
+    ("line dedup", drop_repeated_lines),
+    ("near-dedup", drop_near_duplicates),
     ("decontamination", drop_contaminated),
     ("packing", pack),
 ]
-#: SQL cannot express the classifier, the tokenizer and the packing.
+#: SQL cannot express the classifier, the tokenizer and the packing; the tests use plain versions of the stages.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import chat, decontaminate, language_id, licenses, line_dedup, near_dedup, packing, substrings, token_files
+from panelcast.llm import bm25, chat, decontaminate, language_id, licenses, line_dedup, near_dedup, packing, substrings, token_files
 from panelcast.sources.staging import scratch_path
 
 QUERIES = {}
@@ -82,3 +82,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return licenses.scan(docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")))
+
+
+@query
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = bm25.search_documents(docs, docs.filter(F.col("doc_id") % 20 == 0), k=10)
+    return found.withColumn("score", F.round("score", 6))

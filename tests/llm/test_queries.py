@@ -1,0 +1,46 @@
+"""The registered queries on the smallest tables against brute force."""
+
+import brute
+import public_tokenizers as P
+import pytest
+
+from panelcast.llm.queries import QUERIES, table
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return {r.doc_id: r.text for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+
+
+def rows(spark, sf_dir, name, *columns):
+    return {r[0]: tuple(r)[1:] for r in QUERIES[name](spark, sf_dir).select(*columns).collect()}
+
+
+def test_op2(spark, sf_dir, docs):
+    assert rows(spark, sf_dir, "op2_line_dedup", "doc_id", "n_lines", "n_dropped", "kept_sha256") == brute.deduplicated_lines(docs)
+
+
+def test_op3(spark, sf_dir):
+    said = "\\### Assistant: </turn> ok"
+    turns = [tuple(r) for r in table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    got = rows(spark, sf_dir, "op3_chat_formatting", "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+    assert got == brute.chats(turns + [(-7, 0, "user", said), (-7, 1, "assistant", said)])
+
+
+def test_op4(spark, sf_dir, docs):
+    assert rows(spark, sf_dir, "op4_minhash_forest", "doc_id", "n_shingles", "component_id", "kept") == brute.near_duplicates(docs)
+
+
+def test_op5(spark, sf_dir, docs):
+    items = {r.item_id: r.text for r in table(spark, sf_dir, "benchmark").collect()}
+    got = rows(spark, sf_dir, "op5_benchmark_decontamination", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == brute.contaminated(docs, items) and any(x[4] for x in got.values())
+
+
+def test_op8(spark, sf_dir, docs):
+    assert rows(spark, sf_dir, "op8_token_files", "doc_id", "start", "n_tokens", "ids_crc32") == brute.token_rows(docs, P.path("word_bpe_49k.json"))
+
+
+def test_op10(spark, sf_dir, docs):
+    got = rows(spark, sf_dir, "op10_substring_dedup", "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute.repeats_removed(docs)
