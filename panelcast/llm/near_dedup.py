@@ -8,7 +8,8 @@ pairs need confirming:
    (the classes that share ``BASE`` values). Confirmed links make components, and large groups of near copies fall into
    one component at a cost of two pairs a class.
 2. A region whose classes are in one component is finished, whatever its size. In a region that still holds several,
-   classes outside its largest component meet all others that their sizes and their unshared shingles allow.
+   classes outside its largest component meet all others that their sizes, their unshared shingles and what both have in
+   common with their hub allow.
 
 A pair of similarity 0.8 shares no region with probability (1 - 0.8**2)**16, below 1e-7. Unshared shingles, those that no
 other candidate has, bound the overlap of any pair exactly, so bounds lose nothing.
@@ -126,24 +127,45 @@ def possible(a: str, b: str, percent: int):
     return most * (100 + percent) >= (n + m) * percent
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def within_hub(a: str, b: str, percent: int):
+    """Whether two classes compared with the same hub can be linked: what they share lies in the hub or is held by others."""
+    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    rest = [F.col(f"{x}.n_shingles") - F.col(f"{x}.shared") - F.col(f"{x}.own") for x in (a, b)]
+    most = F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared")) + F.least(*rest)
+    bound = most * (100 + percent) >= (n + m) * percent
+    return F.coalesce(F.when(F.col(f"{a}.hub") == F.col(f"{b}.hub"), bound), F.lit(True))
+
+
+def first_meeting(a: str, b: str):
+    """Whether this region is the first that both classes lie in, so that a pair comes once, not once per tree."""
+    same = F.filter(F.zip_with(F.col(f"{a}.regions"), F.col(f"{b}.regions"), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    return F.coalesce(F.get(same, F.lit(0)) == F.col(f"{a}.region"), F.lit(True))
+
+
+def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(a, b, both, n_a, n_b): the pairs with the sizes of their full sets and of what both hold."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, known = None, None  # a hub's pairs come one after the other
         for batch in batches:
-            keep = []
-            for b, text_a, text_b in zip(batch["b"].to_pylist(), common.raw_texts(batch["text_a"]), common.raw_texts(batch["text_b"]), strict=True):
-                if b != before:
-                    before, known = b, shingles(text_b, size)
+            both, n_a, n_b = [], [], []
+            for text_a, text_b in zip(common.raw_texts(batch["text_a"]), common.raw_texts(batch["text_b"]), strict=True):
+                if text_b != before:
+                    before, known = text_b, shingles(text_b, size)
                 other = shingles(text_a, size)
-                both = len(np.intersect1d(other, known, assume_unique=True))
-                keep.append(100 * both >= percent * (len(other) + len(known) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                both.append(len(np.intersect1d(other, known, assume_unique=True)))
+                n_a.append(len(other)), n_b.append(len(known))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array(x, pa.int64()) for x in (both, n_a, n_b))], ["a", "b", "both", "n_a", "n_b"])
+
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return rows.mapInArrow(count, "a long, b long, both long, n_a long, n_b long")
+
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+def confirmed(found: DataFrame, percent: int) -> DataFrame:
+    """The compared pairs that are links."""
+    return found.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b").distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -173,8 +195,18 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     placed = stage(placed, "members")
     hubs = placed.groupBy("region").agg(F.min_by("id", F.struct("lone", "id")).alias("hub"), F.min("lone").alias("hub_lone"))
     central = placed.join(hubs, "region").groupBy("id").agg(F.min_by("hub", F.struct("hub_lone", "hub")).alias("b")).select(F.col("id").alias("a"), "b")
+    central = stage(central, "hubs")
     pairs = allowed(best.unionAll(central).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    first = stage(confirmed(pairs, texts, size, percent), "links")
+    found = stage(compared(pairs, texts, size), "compared")
+    first = confirmed(found, percent)
+    # what each class has in common with its hub bounds what two classes of one hub can have in common
+    least, greatest = F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
+    hubbed = central.select(F.col("a").alias("id"), F.col("b").alias("hub")).select("id", "hub", least, greatest)
+    hubbed = hubbed.join(found.groupBy("a", "b").agg(F.max("both").alias("shared")), ["a", "b"], "left").select("id", "hub", "shared")
+    hubbed = hubbed.join(several.filter("sets = 1").select(F.col("id").alias("hub")), "hub")
+    orders = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("signature", t * 4 * DEPTH + 1, F.lit(4 * BASE))))
+    known = wanted.select("id").distinct().join(several, "id").join(classes.select("id", orders.alias("regions")), "id").filter("sets = 1")
+    known = known.select("id", "regions").join(hubbed, "id", "left")
 
     grouped = components(first)
     placed = placed.join(grouped, placed["id"] == grouped["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
@@ -182,13 +214,14 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     mixed = placed.groupBy("region").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("region")
     counts = placed.join(mixed, "region", "left_semi").groupBy("region", "component").agg(F.count("*").alias("n"))
     largest = counts.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    open_rows = stage(placed.join(largest, "region"), "mixed")
+    open_rows = stage(placed.join(largest, "region").join(known, "id", "left"), "mixed")
     minor = open_rows.filter("component <> largest").alias("m")
     rest = open_rows.alias("r")
     once = (F.col("r.component") == F.col("r.largest")) | (F.col("m.id") < F.col("r.id"))
-    met = minor.join(rest, (F.col("m.region") == F.col("r.region")) & (F.col("m.component") != F.col("r.component")) & once & possible("m", "r", percent))
+    other = (F.col("m.region") == F.col("r.region")) & (F.col("m.component") != F.col("r.component"))
+    met = minor.join(rest, other & once & possible("m", "r", percent) & within_hub("m", "r", percent) & first_meeting("m", "r"))
     second = met.select(F.least("m.id", "r.id").alias("a"), F.greatest("m.id", "r.id").alias("b")).distinct()
-    return first.unionAll(confirmed(second, texts, size, percent))
+    return first.unionAll(confirmed(compared(second, texts, size), percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
