@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.config import STUDY, TARGET, shift_years
+from panelcast.config import STUDY, TARGET, Fold, shift_years
 from panelcast.functions.calendar import day
 from panelcast.operators import baselines as ob
 from panelcast.operators import evaluation as oe
@@ -14,6 +14,10 @@ from panelcast.sources import starschema
 from panelcast.sources.staging import stage
 
 CUT = shift_years(STUDY, -24)
+#: The folds of the study and one whose test slice overlaps the first two.
+OVERLAPPING = (*CUT.folds, Fold(5, "1999-01-01", "1999-04-01", "1999-04-01", "1999-09-30"))
+#: Carriers that reports leave out.
+EXCLUDED_CARRIERS = ["Brand#11", "Brand#1", "Brand#2", "Brand#3"]
 HOLIDAY_YEARS = (1995, 2002)
 N_ROUTES = 10
 DIGITS = 6
@@ -55,15 +59,32 @@ def month_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(build_weather(starschema.daily_weather(hourly), hourly), "weather")
 
 
-def calendar_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The month of weather repeated over the years of the study."""
-    first, last = F.lit(CUT.data_start).cast("date"), F.make_date(F.lit(HOLIDAY_YEARS[1]), F.lit(12), F.lit(31))
-    dates = spark.range(1).select(F.explode(F.sequence(first, last)).alias("date"))
+def carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flights of which only the carrier counts: no orders, customers or suppliers."""
+    return starschema.flights(spark, sf_dir, distance=False, origin=False, dest=False)
+
+
+def flight_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days with a flight, from the line items alone."""
+    bare = starschema.flights(spark, sf_dir, carrier=False, distance=False, origin=False, dest=False)
+    return bare.select(F.col("FL_DATE").alias("date")).distinct()
+
+
+def weather_over(spark: SparkSession, sf_dir: str, days: DataFrame) -> DataFrame:
+    """The month of weather repeated over the days from the first to the last of a table."""
+    span = days.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    dates = span.select(F.explode(F.sequence("first", "last")).alias("date"))
     return starschema.spread_over_calendar(month_weather(spark, sf_dir), dates)
 
 
+def calendar_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The month of weather over the flight days."""
+    return weather_over(spark, sf_dir, flight_days(spark, sf_dir))
+
+
 def weather_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(ow.merge_weather(panel(spark, sf_dir), calendar_weather(spark, sf_dir)), "weather-panel")
+    rows = staged_panel(spark, sf_dir)
+    return stage(ow.merge_weather(rows, weather_over(spark, sf_dir, rows)), "weather-panel")
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

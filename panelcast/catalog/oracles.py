@@ -1,6 +1,8 @@
 """SQL twins of the registered queries, for DuckDB over the same tables."""
 
-from panelcast.catalog.base import CUT, DIGITS, N_ROUTES
+from panelcast import config
+from panelcast.catalog.base import CUT, DIGITS, EXCLUDED_CARRIERS, N_ROUTES, OVERLAPPING
+from panelcast.operators.insights import CATEGORIES
 
 ORACLES = {}
 
@@ -64,6 +66,9 @@ daily AS (SELECT * FROM daily_all WHERE route IN (SELECT route FROM top_r)),"""
 panel AS (SELECT * FROM filled)"""
 
 
+NOT_REGIONAL = "(" + ", ".join(f"'{c}'" for c in EXCLUDED_CARRIERS) + ")"
+
+
 def r(expr, name=None):
     """A double column rounded like the Spark side."""
     return f"round(CAST({expr} AS DOUBLE), {DIGITS}) AS {name or expr}"
@@ -131,7 +136,7 @@ SELECT date, route, flight_count, cancelled_count, total_flights, carriers,
 FROM panel""")
 sql("exclude_regional", FLIGHTS, """
 SELECT REPORTING_AIRLINE, count(*) AS n FROM flights
-WHERE REPORTING_AIRLINE NOT IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1""")
+WHERE REPORTING_AIRLINE NOT IN """ + NOT_REGIONAL + " GROUP BY 1")
 sql("completed_flights", FLIGHTS, f"""
 SELECT route, count(*) AS n, {r("avg(ARR_DELAY)", "avg_delay")} FROM flights
 WHERE CANCELLED = 0 AND ARR_DELAY IS NOT NULL GROUP BY 1""")
@@ -215,14 +220,11 @@ weather AS (
 CALW = WDAY + """,
 calw AS (
   SELECT c.date AS cdate, day(c.date) AS dom, w.* EXCLUDE (date)
-  FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2002-12-31', INTERVAL 1 DAY)) AS DATE) AS date) c
+  FROM (SELECT CAST(unnest(generate_series(min(l_shipdate)::DATE::TIMESTAMP, max(l_shipdate)::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date FROM lineitem) c
   JOIN weather w ON day(c.date) = day(w.date))"""
-W_COLS = [
-    "temp_avg", "temp_max", "temp_min", "temp_range", "precip_total", "snowfall", "wind_speed_max", "wind_gusts_max",
-    "severity", "has_precipitation", "has_snow", "is_adverse", "peak_wind_operating", "precip_operating",
-    "max_hourly_severity", "storm_hours", "morning_severity", "evening_severity"]
+W_COLS = config.WEATHER_COLUMNS
 W_REAL = W_COLS[:8] + ["peak_wind_operating", "precip_operating"]
-ROLL = ["peak_wind_operating", "precip_operating", "max_hourly_severity", "storm_hours", "morning_severity", "evening_severity"]
+ROLL = config.HOURLY_ROLLUP_COLUMNS
 APT = [f"apt{n}_{c}" for n in (1, 2) for c in W_COLS]
 WPANEL = PANEL + "," + CALW + """,
 wjoin AS (
@@ -277,10 +279,9 @@ sql("weather_json_hourly", HOURLY, f"""
 SELECT strftime(date_trunc('hour', datetime), '%Y-%m-%d %H:%M:%S') AS datetime, airport,
        {", ".join(r(f"max({c})", c) for c in ("temp", "precip", "snowfall", "wind_speed", "wind_gusts"))},
        max(weather_code) AS weather_code FROM hourly GROUP BY 1, 2""")
-sql("missing_keys_resume", FLIGHTS, "SELECT DISTINCT ORIGIN AS airport FROM flights WHERE ORIGIN NOT IN ('AFR', 'EUR')")
-sql("missing_airports", FLIGHTS + "," + HOURLY, """
-SELECT airport FROM (SELECT ORIGIN AS airport FROM flights UNION SELECT DEST FROM flights)
-EXCEPT SELECT airport FROM hourly WHERE hour(datetime) = 3 AND day(datetime) = 1 AND weather_code < 20""")
+sql("missing_keys_resume", FLIGHTS + "," + CALW, "SELECT ORIGIN AS airport, FL_DATE AS date FROM flights EXCEPT SELECT airport, cdate FROM calw")
+sql("missing_airports", FLIGHTS + "," + CALW, """
+(SELECT ORIGIN AS airport, FL_DATE AS date FROM flights UNION SELECT DEST, FL_DATE FROM flights) EXCEPT SELECT airport, cdate FROM calw""")
 sql("dedup_keep_first", WDAY, f"""
 SELECT airport, date, {r("CASE WHEN day(date) <= 15 THEN wind_speed_max ELSE wind_speed_max + 1000 END", "wind_speed_max")},
        {rs("temp_max")} FROM wday0""")
@@ -295,7 +296,7 @@ SELECT condition, count(*) AS count, {r("count(*) * 100.0 / (SELECT count(*) FRO
 
 # ---- calendar ----
 
-DAYS = FLIGHTS + ",\ndays AS (SELECT DISTINCT FL_DATE AS date FROM flights)"
+DAYS = "days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)"
 CALENDAR = f"""CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(day(date) AS INTEGER) AS day_of_month,
   CAST(month(date) AS INTEGER) AS month, CAST(quarter(date) AS INTEGER) AS quarter, CAST(year(date) AS INTEGER) AS year,
   CAST(week(date) AS INTEGER) AS week_of_year,
@@ -338,11 +339,12 @@ hd AS (
 HD = PANEL + "," + holiday_days("panel")
 sql("calendar_features", DAYS + f",\nc AS (SELECT date, {CALENDAR} FROM days)", f"SELECT date, {', '.join(CAL_NAMES)}, {rs(*CYCLES)} FROM c")
 sql("school_break", DAYS, f"SELECT date, {BREAK} FROM days")
-sql("holiday_asof_next", HD, "SELECT date, CAST(days_to_holiday AS INTEGER) AS days_to_holiday FROM hd")
-sql("holiday_asof_prev", HD, "SELECT date, CAST(days_from_holiday AS INTEGER) AS days_from_holiday FROM hd")
-sql("holiday_semi_flag", HD, "SELECT date, is_federal_holiday FROM hd")
+HDAYS = DAYS + "," + holiday_days("days")
+sql("holiday_asof_next", HDAYS, "SELECT date, CAST(days_to_holiday AS INTEGER) AS days_to_holiday FROM hd")
+sql("holiday_asof_prev", HDAYS, "SELECT date, CAST(days_from_holiday AS INTEGER) AS days_from_holiday FROM hd")
+sql("holiday_semi_flag", HDAYS, "SELECT date, is_federal_holiday FROM hd")
 WEEK = "CASE WHEN days_to_holiday <= 3 OR days_from_holiday <= 3 THEN 1 ELSE 0 END AS is_holiday_week"
-sql("holiday_week", HD, f"SELECT date, {WEEK} FROM hd")
+sql("holiday_week", HDAYS, f"SELECT date, {WEEK} FROM hd")
 sql("period_flags", DAYS, f"SELECT date, {ERAS} FROM days")
 ERA3 = f"""CASE WHEN date < DATE '{CUT.era_start}' THEN 'Pre-COVID' WHEN date < DATE '{CUT.era_peak_end}' THEN 'COVID' ELSE 'Post-COVID' END"""
 ERA4 = f"""CASE WHEN date < DATE '{CUT.era_start}' THEN 'Pre-COVID' WHEN date < DATE '{CUT.era_peak_end}' THEN 'COVID'
@@ -370,7 +372,7 @@ lag0 AS (
     w14 AS (PARTITION BY route ORDER BY date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)),
 ew AS (
   SELECT a.route, a.date, sum(z.avg_arr_delay * pow(0.75, a.date - z.date - 1)) / sum(pow(0.75, a.date - z.date - 1)) AS ewm_7_arr_delay
-  FROM {source} a JOIN {source} z ON a.route = z.route AND z.date < a.date AND z.date >= a.date - 160
+  FROM {source} a JOIN {source} z ON a.route = z.route AND z.date < a.date
   GROUP BY 1, 2),
 lagf AS (SELECT lag0.*, ewm_7_arr_delay FROM lag0 LEFT JOIN ew USING (route, date))"""
 
@@ -394,9 +396,8 @@ SELECT s.route, {rs(*STAT_COLS)}, (SELECT count(*) FROM panel p WHERE p.route =
 sql("train_stats_join", PANEL + "," + STATS, f"""
 SELECT p.route, date, flight_count, {rs(*STAT_COLS)} FROM panel p JOIN stats s ON p.route = s.route""")
 
-ZERO = ["apt1_severity", "apt2_severity", "weather_severity_max", "weather_severity_combined", "has_adverse_weather",
-        "apt1_precip_total", "apt2_precip_total", "apt1_snowfall", "apt2_snowfall", "apt1_wind_speed_max",
-        "apt2_wind_speed_max", "total_precip", "total_snowfall", "max_wind", *ROLL]
+PAIRED = ["severe_weather_level", "both_clear", "weather_diff", *[f"weather_severity_lag_{k}" for k in config.WEATHER_LAGS]]
+ZERO = [c for c in config.WEATHER_FEATURES if "temp" not in c and c not in PAIRED]
 IMPUTED = WPANEL + f""",
 imp AS (
   SELECT * REPLACE ({", ".join(f"coalesce({c}, 0) AS {c}" for c in ZERO)},
@@ -467,7 +468,7 @@ sql("naive_forecast", BASE, f"SELECT route, date, {r('avg_arr_delay')}, {fallbac
 sql("seasonal_naive", BASE, f"SELECT route, date, {r('avg_arr_delay')}, {fallback('seasonal_7', 'pred')} FROM fb")
 sql("moving_average", BASE, f"""
 SELECT route, date, {r('avg_arr_delay')}, {", ".join(fallback(f"ma_{k}", f"ma_{k}") for k in (7, 14, 28))} FROM fb""")
-sql("map_lookup_fill", BASE, f"SELECT route, date, {fallback('seasonal_7', 'pred')} FROM fb WHERE date < DATE '1995-01-12'")
+sql("map_lookup_fill", BASE, f"SELECT route, date, {fallback('seasonal_7', 'pred')}, CAST(seasonal_7 IS NULL AS INTEGER) AS filled FROM fb")
 
 
 def fold_slice(f):
@@ -480,10 +481,14 @@ FROM panel p JOIN (SELECT route, median(avg_arr_delay) AS m FROM panel WHERE dat
   ON p.route = t.route WHERE {test}"""
 
 
-FOLDS = PANEL + ",\nfw AS (" + "\nUNION ALL".join(fold_slice(f) for f in CUT.folds) + """),
+def fold_rows(folds):
+    return PANEL + ",\nfw AS (" + "\nUNION ALL".join(map(fold_slice, folds)) + """),
 folds AS (SELECT fold, route, date, actual, 'naive' AS model, naive AS pred FROM fw
   UNION ALL SELECT fold, route, date, actual, 'ma', ma FROM fw)"""
-sql("naive_in_split", FOLDS, f"SELECT fold, route, date, {r('actual')}, model, {r('pred')} FROM folds")
+
+
+FOLDS = fold_rows(CUT.folds)
+sql("naive_in_split", fold_rows(OVERLAPPING), f"SELECT fold, route, date, {r('actual')}, model, {r('pred')} FROM folds")
 SLICE = PANEL + f""",
 sl AS (
   SELECT route, date, avg_arr_delay AS actual, lag(avg_arr_delay) OVER (PARTITION BY route ORDER BY date) AS naive,
@@ -522,11 +527,18 @@ sql("metrics_by_segment", ERR, f"SELECT model, time_period, day_type, {basic_met
 sql("metrics_by_all_segments", ERR, "\nUNION ALL ".join(
     f"SELECT model, '{s}' AS section, {k} AS key, {basic_metrics()} FROM err GROUP BY 1, 2, 3"
     for s, k in (("overall", "'all'"), ("route", "route"), ("time_period", "time_period"), ("day_type", "day_type"), ("season", "season"))))
-sql("forecast_metrics_by_route", PRED + """,
-shown AS (SELECT route FROM panel GROUP BY route ORDER BY sum(flight_count) DESC, route LIMIT 5),
-pub AS (SELECT route, model, round_even(round(actual, 9), 1) AS actual, round_even(round(pred, 9), 1) AS pred FROM pred)""", f"""
-SELECT model, route, {delay_metrics()} FROM pub WHERE route IN (FROM shown) GROUP BY 1, 2
-UNION ALL SELECT model, 'all', {delay_metrics()} FROM pub GROUP BY 1""")
+METRIC_NAMES = ["mae", "within_15", "rmse", "mape", "median_ae", "threshold_acc", "r2"]
+PUBLISHED = ", ".join(f"round_even({m}, {3 if m == 'r2' else 1}) AS {m}" for m in METRIC_NAMES)
+TENTHS = "round_even(round(actual, 9), 1) AS actual, round_even(round(pred, 9), 1) AS pred"
+SHOWN = "shown AS (SELECT route FROM panel GROUP BY route ORDER BY sum(flight_count) DESC, route LIMIT 5)"
+MERGED_MODELS = {"naive": "naive", "ma_7": "ma_7", "smooth": "ma_28", "weekly": "seasonal_7"}
+sql("forecast_metrics_by_route", BASE + f""",
+{SHOWN},
+aligned AS (""" + "\n  UNION ALL ".join(
+    f"SELECT route, '{m}' AS model, avg_arr_delay AS actual, {c} AS pred FROM raw WHERE {TEST} AND date >= DATE '2000-08-01'" for m, c in MERGED_MODELS.items()) + f"""),
+pub AS (SELECT route, model, {TENTHS} FROM aligned),
+fm AS (SELECT model, route, {delay_metrics()} FROM pub WHERE route IN (FROM shown) GROUP BY 1, 2
+  UNION ALL SELECT model, 'all', {delay_metrics()} FROM pub GROUP BY 1)""", f"SELECT model, route, {PUBLISHED} FROM fm")
 sql("metrics_by_route", PRED, f"SELECT model, route, {basic_metrics()} FROM pred GROUP BY 1, 2")
 sql("metrics_by_time_period", BASE + f""",
 h AS (SELECT {ERA3} AS time_period, avg_arr_delay AS actual, naive AS pred FROM raw WHERE naive IS NOT NULL)""",
@@ -573,7 +585,8 @@ for name, key in (("family_gap", "route"), ("family_gap_by_season", "season")):
 c AS (SELECT {key}, model, avg(abs_error) AS mae FROM err GROUP BY 1, 2),
 g AS (SELECT {key}, avg(mae) FILTER (model LIKE 'ma%') AS a, avg(mae) FILTER (model NOT LIKE 'ma%') AS z FROM c GROUP BY 1)""", f"""
 SELECT {key}, {r('a', 'smooth_mae')}, {r('z', 'last_mae')}, {r('z - a', 'gap')} FROM g""")
-PAIRS = [("ma_7", "ma_14"), ("ma_7", "ma_28"), ("ma_7", "naive"), ("ma_14", "ma_28"), ("ma_14", "naive"), ("ma_28", "naive")]
+PAIRS = [("ma_7", "ma_14"), ("ma_7", "ma_28"), ("ma_7", "naive"), ("ma_14", "ma_28"), ("ma_14", "naive"), ("ma_28", "naive"),
+         ("ma_7", "seasonal_7"), ("ma_14", "seasonal_7"), ("ma_28", "seasonal_7"), ("naive", "seasonal_7")]
 # the tail is integrated with Simpson's rule after substituting the angle: f(t) dt ~ cos(x)^(nu - 1) dx with t = sqrt(nu) tan(x)
 sql("paired_t_test", BASE + ",\nd AS (" + "\nUNION ALL ".join(
     f"SELECT '{a}' AS model_1, '{z}' AS model_2, abs({a} - avg_arr_delay) - abs({z} - avg_arr_delay) AS d FROM raw WHERE {TEST}"
@@ -650,10 +663,10 @@ WCORR = WPANEL + ",\nwc AS (" + "\nUNION ALL ".join(f"""
     for c, n in WVARS.items()) + ")"
 sql("weighted_corr", WCORR, f"SELECT variable, {r('correlation')} FROM wc")
 sql("corr_by_abs", WCORR, "SELECT variable, CAST(row_number() OVER (ORDER BY abs(correlation) DESC, variable) AS INTEGER) AS rank FROM wc")
-sql("top_carriers", FLIGHTS, """
-SELECT REPORTING_AIRLINE, count(*) AS flight_count FROM flights GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
-CARRIERS = FLIGHTS + """,
-topc AS (SELECT REPORTING_AIRLINE AS code FROM flights GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10),
+sql("top_carriers", FLIGHTS, f"""
+SELECT REPORTING_AIRLINE, count(*) AS flight_count FROM flights WHERE REPORTING_AIRLINE NOT IN {NOT_REGIONAL} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+CARRIERS = FLIGHTS + f""",
+topc AS (SELECT REPORTING_AIRLINE AS code FROM flights WHERE REPORTING_AIRLINE NOT IN {NOT_REGIONAL} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10),
 cf AS (SELECT * FROM flights JOIN topc ON REPORTING_AIRLINE = code),
 cp AS (
   SELECT code, avg(ARR_DELAY) FILTER (CANCELLED = 0) AS avg_delay,
@@ -729,21 +742,14 @@ sql("autocorrelation_by_route", PANEL + """,
 c AS (SELECT route, date, avg_arr_delay - avg(avg_arr_delay) OVER (PARTITION BY route) AS v FROM panel),
 pw AS (SELECT route, sum(v * v) AS p FROM c GROUP BY 1)""", f"""
 SELECT a.route, CAST(z.date - a.date AS INTEGER) AS lag, {r('sum(a.v * z.v) / max(p)', 'acf')}
-FROM c a JOIN c z ON z.route = a.route AND z.date BETWEEN a.date AND a.date + 14 JOIN pw ON pw.route = a.route GROUP BY 1, 2""")
-IMP_COLS = {
-    "lag": ["lag_1_arr_delay", "lag_7_arr_delay", "rolling_mean_7_arr_delay", "ewm_7_arr_delay", "rolling_std_7_arr_delay"],
-    "temporal": ["day_of_week", "month", "month_sin", "is_weekend", "week_of_year"],
-    "route": ["route_encoded", "route_delay_mean", "route_mean_demand"],
-    "weather": ["max_wind", "total_precip", "storm_hours", "apt1_temp_avg"],
-    "other": ["flight_count"]}
-IMP_LABELS = dict(zip([c for v in IMP_COLS.values() for c in v], [
-    "Delay Lag 1d", "Delay Lag 7d", "Rolling Mean 7d", "EWM Delay (7d)", "Rolling Std 7d", "Day of Week", "Month", "Month Cycle (sin)",
-    "Weekend", "Week of Year", "Route", "Route Delay Avg", "Route Demand Avg", "Max Wind Speed", "Total Precipitation", "Storm Hours",
-    "Airport 1 Temp", "flight_count"]))
-IMPORTANCE = FEATURES + ",\nim AS (" + "\nUNION ALL ".join(
-    f"SELECT '{m}' AS model, '{c}' AS feature, '{IMP_LABELS[c]}' AS label, '{g}' AS category, abs(corr({c}, avg_arr_delay)) AS importance FROM feat WHERE {w}"
-    for m, w in (("train", f"NOT ({TEST})"), ("test", TEST)) for g, v in IMP_COLS.items() for c in v) + """),
-sh AS (SELECT *, importance / sum(importance) OVER (PARTITION BY model) AS share FROM im),
+FROM c a JOIN c z ON z.route = a.route AND z.date BETWEEN a.date AND a.date + 60 JOIN pw ON pw.route = a.route GROUP BY 1, 2""")
+IMP_COLS = [(g, c) for g, v in (*CATEGORIES.items(), ("other", ["flight_count"])) for c in v]
+IMPORTANCE = FEATURES + ",\ncorrs AS (SELECT " + ", ".join(
+    f"corr({c}, avg_arr_delay) FILTER ({w}) AS {m}_{c}" for m, w in (("train", f"NOT ({TEST})"), ("test", TEST)) for _, c in IMP_COLS) + """ FROM feat),
+im0 AS (SELECT unnest([""" + ", ".join(
+    f"{{'model': '{m}', 'feature': '{c}', 'category': '{g}', 'c': {m}_{c}}}" for m in ("train", "test") for g, c in IMP_COLS) + """], recursive := true) FROM corrs),
+im AS (SELECT model, feature, feature AS label, category, CASE WHEN c IS NULL OR isnan(c) THEN 0 ELSE abs(c) END AS importance FROM im0),
+sh AS (SELECT *, round(importance / sum(importance) OVER (PARTITION BY model), 12) AS share FROM im),
 rk AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY share DESC, feature) AS rank FROM sh)"""
 sql("importance_share", IMPORTANCE, f"SELECT model, feature, {r('share')}, CAST(rank AS INTEGER) AS rank, count(*) OVER (PARTITION BY model) AS n_features FROM rk")
 sql("feature_rank", IMPORTANCE, f"SELECT model, feature, {r('share')}, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 15")
@@ -755,41 +761,48 @@ FROM rk GROUP BY 1, 2""")
 
 # ---- scaling and sequences ----
 
-SEQ_COLS = ["avg_arr_delay", "flight_count", "avg_dep_delay"]
-SCALED = PANEL + f""",
-sc AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SEQ_COLS)} FROM panel WHERE {TRAIN})"""
+SEQ_COLS = SEQUENCE_FEATURES
+SCALED = FEATURES + f""",
+sc AS (SELECT {", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in SEQ_COLS)} FROM feat WHERE {TRAIN})"""
 sql("standard_scaler", SCALED, f"""
-SELECT route, date, {", ".join(r(f"({c} - m_{c}) / s_{c}", c) for c in SEQ_COLS)}, {r('avg_arr_delay', 'back')} FROM panel, sc""")
+SELECT route, date, {", ".join(r(f"({c} - m_{c}) / s_{c}", c) for c in SEQ_COLS)}, {r('avg_arr_delay', 'back')} FROM feat, sc""")
 IN_TEST = f"date >= DATE '{CUT.test_start}' AND date < DATE '{CUT.test_end}'"
-sql("sequence_windows", PANEL, f"""
-SELECT t.route, t.date, CAST(27 - (t.date - h.date - 1) AS INTEGER) AS step, {r('t.avg_arr_delay', 'target')},
-  {r('h.avg_arr_delay', 'x0')}, {r('h.flight_count', 'x1')}, {r('h.avg_dep_delay', 'x2')}
-FROM panel t JOIN panel h ON t.route = h.route AND h.date BETWEEN t.date - 28 AND t.date - 1 WHERE t.{IN_TEST.replace("AND date", "AND t.date")}""")
-sql("sequence_windows_in_split", PANEL + f",\ns AS (SELECT * FROM panel WHERE {IN_TEST})", f"""
-SELECT t.route, t.date, {r('t.avg_arr_delay', 'target')}, CAST(count(*) AS INTEGER) AS length,
-  {r('max(h.avg_arr_delay) FILTER (h.date = t.date - 28)', 'oldest')}, {r('max(h.avg_arr_delay) FILTER (h.date = t.date - 1)', 'newest')}
-FROM s t JOIN s h ON t.route = h.route AND h.date BETWEEN t.date - 28 AND t.date - 1 GROUP BY t.route, t.date, t.avg_arr_delay HAVING count(*) = 28""")
+CELLS = ", ".join(r(f"h.{c}", f"x_{c}") for c in SEQ_COLS)
+STEP = f"CAST(27 - (t.date - h.date - 1) AS INTEGER) AS step, {r('t.avg_arr_delay', 'target')}, {CELLS}"
+sql("sequence_windows", FEATURES, f"""
+SELECT t.route, t.date, {STEP}
+FROM feat t JOIN feat h ON t.route = h.route AND h.date BETWEEN t.date - 28 AND t.date - 1 WHERE t.{IN_TEST.replace("AND date", "AND t.date")}""")
+sql("sequence_windows_in_split", FEATURES + f",\ns AS (SELECT * FROM feat WHERE {IN_TEST})", f"""
+SELECT t.route, t.date, {STEP}
+FROM s t JOIN s h ON t.route = h.route AND h.date BETWEEN t.date - 28 AND t.date - 1
+WHERE t.date >= (SELECT min(date) FROM s) + 28""")
 
 # ---- files in and out ----
 
 sql("scan_flights_csv", FLIGHTS, f"""
 SELECT route, upper(REPORTING_AIRLINE) AS REPORTING_AIRLINE, count(*) AS n, CAST(sum(CANCELLED) AS BIGINT) AS cancelled,
   {r('sum(ARR_DELAY)', 'arr_delay')} FROM flights GROUP BY 1, 2""")
-sql("scan_all_columns", FLIGHTS, """
-SELECT 'N1' AS TAIL_NUM, CAST(FL_DATE < DATE '1998-01-01' AS INTEGER) AS early, count(*) AS n, CAST(min(FL_DATE) AS VARCHAR) AS first_date
-FROM flights GROUP BY 2""")
+sql("scan_all_columns", FLIGHTS, f"""
+SELECT 'N1' AS TAIL_NUM, CAST(FL_DATE < DATE '1998-01-01' AS INTEGER) AS early, CAST(FL_DATE AS VARCHAR) AS FL_DATE, DEST, count(*) AS n,
+  count(*) FILTER (FL_DATE < DATE '1998-01-01') AS n_reporting, count(ARR_DELAY) AS n_arrived, {r("sum(DEP_DELAY)", "dep_delay")}, {r("sum(DISTANCE)", "distance")}
+FROM flights GROUP BY 2, 3, 4""")
 sql("union_files", FLIGHTS, """
 SELECT route, count(*) AS n, count(*) FILTER (FL_DATE >= DATE '1998-01-01' AND DISTANCE IS NOT NULL) AS n_distance FROM flights GROUP BY 1""")
 ORACLES["scan_weather"] = ORACLES["weather_json_daily"]
-sql("scan_features", LAGS, f"SELECT route, date, {r('lag_7_arr_delay')} FROM lagf WHERE route LIKE 'A%'")
+sql("scan_features", LAGS, f"SELECT route, date, {rs('lag_7_arr_delay', 'ewm_7_arr_delay')} FROM lagf")
 sql("sink_panel", PANEL, f"""
 SELECT route, count(*) AS n, count(*) AS n_csv, CAST(sum(flight_count) AS BIGINT) AS flights, {r('avg(avg_arr_delay)', 'delay')}
 FROM panel GROUP BY 1""")
-sql("sink_nested_forecast", BASE + """,
-shown AS (SELECT route FROM panel GROUP BY route ORDER BY sum(flight_count) DESC, route LIMIT 5)""", f"""
-SELECT route, CAST(count(*) FILTER ({TEST}) AS INTEGER) AS n_days, CAST(count(*) FILTER (NOT ({TEST})) AS INTEGER) AS n_history,
-  CAST(min(date) FILTER ({TEST}) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date,
-  CAST(count(ma_7) FILTER ({TEST}) AS INTEGER) AS n_ma FROM raw WHERE route IN (FROM shown) GROUP BY 1""")
+NESTED = ", ".join(f"CASE WHEN {TEST} THEN round_even(round({m}, 9), 1) END AS {m}" for m in MODEL_NAMES)
+sql("sink_nested_forecast", BASE + ",\n" + SHOWN, f"""
+SELECT route, CAST(date AS VARCHAR) AS date, round_even(round(avg_arr_delay, 9), 1) AS actual, {NESTED},
+  CASE WHEN {TEST} THEN 'forecast' ELSE 'history' END AS part FROM raw WHERE route IN (FROM shown)""")
+SECTIONS = PRED + ",\n" + SHOWN + ",\n" + fold_rows(CUT.folds)[len(PANEL) + 2:] + f""",
+pub AS (SELECT route, model, {TENTHS} FROM pred),
+fm AS (SELECT model, route AS key, {delay_metrics()} FROM pub WHERE route IN (FROM shown) GROUP BY 1, 2
+  UNION ALL SELECT model, 'all', {delay_metrics()} FROM pub GROUP BY 1
+  UNION ALL SELECT model, CAST(fold AS VARCHAR), {delay_metrics()} FROM folds GROUP BY 1, 2)"""
+sql("sink_forecast_sections", SECTIONS, f"SELECT model, key, {PUBLISHED} FROM fm")
 sql("forecast_metadata", PANEL, f"""
 SELECT 'avg_arrival_delay' AS target, 'daily_route_level' AS granularity, 'minutes' AS unit, '{CUT.test_start}' AS test_start,
   '{CUT.test_end}' AS test_end, CAST(min(date) AS VARCHAR) AS train_start, '{CUT.train_end}' AS train_end,
@@ -808,14 +821,63 @@ sql("sink_report", REPORT, "\nUNION ALL ".join(
     for m in ("rmse", "mae", "mape", "r2", "n_samples")) + "\nUNION ALL " + "\nUNION ALL ".join(
     f"SELECT 'worst', route || ' ' || date, '{m}', {r(m, 'value')} FROM w" for m in ("actual", "pred", "error")))
 
-sql("sink_analysis", WPANEL + """,
-sev AS (SELECT DISTINCT coalesce(weather_severity_max, 0) AS s FROM wpanel),
-car AS (SELECT DISTINCT p_brand FROM lineitem JOIN part ON l_partkey = p_partkey)""", """
-SELECT 'weather_impact' AS name, 'by_severity' AS section, CAST(count(*) AS INTEGER) AS entries FROM sev
-UNION ALL SELECT 'weather_impact', 'correlation', 5
-UNION ALL SELECT 'carrier_performance', 'carriers', CAST(least(count(*), 10) AS INTEGER) FROM car
-UNION ALL SELECT 'feature_importance', 'features', 18""")
+
+
+def weather_corr(c, n):
+    return f"""
+SELECT '{n}' AS label, sum(w * (x - mx) * (y - my)) / (sqrt(sum(w * (x - mx) * (x - mx))) * sqrt(sum(w * (y - my) * (y - my)))) AS v
+FROM (SELECT {c} AS x, avg_arr_delay AS y, flight_count AS w, sum({c} * flight_count) OVER () / sum(flight_count) OVER () AS mx,
+             sum(avg_arr_delay * flight_count) OVER () / sum(flight_count) OVER () AS my FROM feat)"""
+
+
+ALL_CORRS = ", ".join(f"{{'feature': '{c}', 'c': corr({c}, avg_arr_delay)}}" for _, c in IMP_COLS)
+ANALYSIS = FEATURES + "," + CARRIERS[len(FLIGHTS) + 1:] + f""",
+wi AS (SELECT CAST(weather_severity_max AS VARCHAR) AS label, sum(avg_arr_delay * flight_count) / sum(flight_count) AS avg_delay,
+  sum(flight_count) AS n_flights, coalesce(sum(flight_count) FILTER (avg_arr_delay > 15), 0) / sum(flight_count) AS high_delay_pct FROM feat GROUP BY 1),
+wk AS ({" UNION ALL ".join(weather_corr(c, n) for c, n in WVARS.items())}),
+ac0 AS (SELECT unnest([{ALL_CORRS}], recursive := true) FROM feat),
+ac AS (SELECT feature, CASE WHEN c IS NULL OR isnan(c) THEN 0 ELSE abs(c) END AS i FROM ac0),
+ash AS (SELECT feature, round(i / sum(i) OVER (), 12) AS share, count(*) OVER () AS n_features FROM ac),
+ark AS (SELECT *, row_number() OVER (ORDER BY share DESC, feature) AS rank FROM ash)"""
+
+
+def cells(name, section, source, label, metrics):
+    return [f"SELECT '{name}' AS name, '{section}' AS section, {label} AS label, '{m}' AS metric, {r(c, 'value')} FROM {source}" for m, c in metrics.items()]
+
+
+sql("sink_analysis", ANALYSIS, "\nUNION ALL ".join([
+    *cells("weather_impact", "by_severity", "wi", "label", {m: m for m in ("avg_delay", "n_flights", "high_delay_pct")}),
+    *cells("weather_impact", "correlation", "wk", "label", {"correlation": "v"}),
+    *cells("carrier_performance", "carriers", "cp", "code", {m: m for m in ("avg_delay", "on_time_pct", "n_flights", "cancel_rate", "severe_delay_pct")}),
+    *cells("feature_importance", "features", "ark", "feature", {m: m for m in ("share", "rank", "n_features")})]))
 
 # ---- models ----
 
 sql("score_sequences", BASE, f"SELECT route, date, {r('avg_arr_delay', 'target')}, {r('ma_7', 'pred')} FROM raw WHERE {IN_TEST}")
+SPLIT = FEATURES + f""",
+sp AS (SELECT *, CASE WHEN date < DATE '{CUT.train_end}' THEN 'train' WHEN date < DATE '{CUT.val_end}' THEN 'val'
+  WHEN date >= DATE '{CUT.test_start}' THEN 'test' END AS split FROM feat)"""
+sql("fit_gbt", SPLIT, f"""
+SELECT 'gbt' AS model, f.feature, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, 1.0::DOUBLE AS total
+FROM sp, (SELECT unnest({TABULAR_FEATURES}) AS feature) f GROUP BY 2""")
+sql("predict_tabular", SPLIT, f"SELECT route, date, {r('avg_arr_delay', 'actual')}, 1 AS scored FROM sp WHERE split = 'test'")
+sql("walk_forward_gbt", FEATURES, "\nUNION ALL ".join(f"""
+SELECT 'gbt' AS model, {f.fold} AS fold, count(*) AS n_scored, 1 AS beats_naive FROM feat
+WHERE date >= DATE '{f.test_start}' AND date < DATE '{f.test_end}'""" for f in CUT.folds))
+sql("ablation", SPLIT, "\nUNION ALL ".join(f"SELECT '{m}' AS model, count(*) AS n_scored, 1 AS beats_naive FROM sp WHERE split = 'test'" for m in ("all", "ablated")))
+
+
+def trials():
+    from panelcast.catalog.queries import TRIALS
+    from panelcast.operators.forecasting import sample_settings
+
+    texts = [", ".join(f"{k}={v}" for k, v in sorted(p.items())) for p in sample_settings(TRIALS)]
+    return "\nUNION ALL ".join(f"SELECT {i} AS trial, '{t}' AS params, 1 AS beats_naive" for i, t in enumerate(texts))
+
+
+sql("tune_gbt", "", trials())
+sql("fit_seasonal_regression", PANEL, f"""
+SELECT route, count(*) FILTER (date >= DATE '{CUT.test_start}') AS n_scored, count(*) FILTER (date < DATE '{CUT.val_end}') AS n_train,
+  0.0::DOUBLE AS gradient FROM panel GROUP BY 1""")
+sql("price_quantiles", "", "\nUNION ALL ".join(
+    f"SELECT l_returnflag, {p}::DOUBLE AS prob, {r(f'quantile_cont(l_extendedprice, {p})', 'quantile')} FROM lineitem GROUP BY 1" for p in (0.05, 0.25, 0.5, 0.75, 0.999)))

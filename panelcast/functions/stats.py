@@ -1,68 +1,40 @@
-"""Exact quantiles of large groups, weighted correlation and the t-test tail."""
+"""Exact quantiles of groups of any size, weighted correlation and the t-test tail."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-
-SKETCH_ACCURACY = 100000
-BRACKET = 5.0 / SKETCH_ACCURACY
-SMALL_GROUP = 40000
+from panelcast.sources.staging import stage
 
 
 def exact_quantiles(df: DataFrame, keys, value, probs) -> DataFrame:
-    """Exact interpolated quantiles per key, as rows (keys, prob, quantile), for few but possibly huge groups.
+    """Exact interpolated quantiles per key, as rows (keys, prob, quantile), for groups of any size.
 
-    ``percentile`` keeps every distinct value of a group in one task. Here a mergeable sketch first brackets each
-    quantile within a narrow rank range; a second pass counts the rows below the bracket and keeps only the distinct
-    values inside it, about a ten-thousandth of the group. The sketch only chooses what to keep: the result is exact, and
-    a bracket that missed its ranks raises an error. The brackets, a few numbers per group, reach the rows as one
-    constant, so the rows are not shuffled by key.
+    Distinct values with their counts are dealt into ranges of (keys, value) and stored. The counts of each range, a few
+    numbers per key and range, say which range holds a wanted rank; only those ranges are ordered and counted through, so
+    no task holds a whole group, and a value that many rows share is one row.
     """
     keys, probs = list(keys), [float(p) for p in probs]
-    rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
-
-    edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-BRACKET, BRACKET)]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("v").alias("n"),
-        F.percentile_approx("v", edges, SKETCH_ACCURACY).alias("edge"),
-        F.min("v").alias("least"),
-        F.max("v").alias("most"),
-    )
-    # a small group is kept whole, as the bracket would be narrower than the ranks it must hold; near the ends the
-    # bracket is opened to the extreme
-    small = F.col("n") <= SMALL_GROUP
-    bracket = F.array(*[
-        F.struct(
-            F.lit(p).alias("prob"),
-            F.when(small | F.lit(p - BRACKET <= 0), F.col("least")).otherwise(F.col("edge")[2 * i]).alias("lo"),
-            F.when(small | F.lit(p + BRACKET >= 1), F.col("most")).otherwise(F.col("edge")[2 * i + 1]).alias("hi"),
-            F.col("n"),
-        )
-        for i, p in enumerate(probs)
-    ])
-    brackets = sketch.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(key, bracket)))).scalar()
-
-    kept = (
-        rows.select(*keys, "v", F.inline(brackets[key]))
-        .filter("v <= hi")
-        .groupBy(*keys, "prob", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    order = W.partitionBy(*keys, "prob").orderBy(F.asc_nulls_first("b"))
-    ranked = kept.select("*", F.sum("c").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
+    named = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    rows = df.select(named.alias("k"), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    counted = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    dealt = stage(counted.repartitionByRange("k", "v").withColumn("part", F.spark_partition_id()), "quantiles")
+
+    of_key = W.partitionBy("k")
+    before = F.sum("inside").over(of_key.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     place = F.col("prob") * (F.col("n") - 1)
-    low_rank, high_rank = F.floor(place) + 1, F.ceil(place) + 1
-    first_at = lambda rank: F.min(F.when(F.col("b").isNotNull() & (F.col("upto") >= rank), F.col("b")))
-    picked = ranked.groupBy(*keys, "prob", "n").agg(
-        first_at(low_rank).alias("a"),
-        first_at(high_rank).alias("z"),
-        F.coalesce(F.max(F.when(F.col("b").isNull(), F.col("upto"))), F.lit(0)).alias("below"),
+    parts = dealt.groupBy("k", "part").agg(F.sum("c").alias("inside")).select(
+        "k", "part", "inside", F.coalesce(before, F.lit(0)).alias("before"), F.sum("inside").over(of_key).alias("n")
     )
-    inside = (F.col("below") < low_rank) & F.col("z").isNotNull()
-    between = F.col("a") + (F.col("z") - F.col("a")) * (place - F.floor(place))
-    quantile = F.when(inside, between).otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
-    return picked.select(*keys, "prob", quantile.alias("quantile"))
+    parts = parts.select("*", F.explode(F.array(*map(F.lit, probs))).alias("prob"))
+    parts = parts.select("*", (F.floor(place) + 1).alias("low"), (F.ceil(place) + 1).alias("high"))
+    holds = (F.col("before") < F.col("high")) & (F.col("before") + F.col("inside") >= F.col("low"))
+    near = dealt.join(parts.filter(holds), ["k", "part"])
+    upto = F.col("before") + F.sum("c").over(W.partitionBy("k", "part", "prob").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = near.withColumn("upto", upto)
+    at = lambda rank: F.max(F.when((F.col("upto") >= F.col(rank)) & (F.col("upto") - F.col("c") < F.col(rank)), F.col("v")))
+    picked = ranked.groupBy("k", "prob", "n").agg(at("low").alias("a"), at("high").alias("z"))
+    quantile = F.col("a") + (F.col("z") - F.col("a")) * (place - F.floor(place))
+    return picked.select(*[F.col(f"k.{c}").alias(c) for c in keys], "prob", quantile.alias("quantile"))
 
 
 def exact_median(df: DataFrame, keys, value, name="median") -> DataFrame:
@@ -70,16 +42,30 @@ def exact_median(df: DataFrame, keys, value, name="median") -> DataFrame:
     return exact_quantiles(df, keys, value, [0.5]).select(*keys, F.col("quantile").alias(name))
 
 
-def weighted_corr(x, y, w) -> Column:
-    """Weighted Pearson correlation in one pass over rows where all three are present."""
-    ok = F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(w).isNotNull()
-    x, y, w = (F.when(ok, F.col(c).cast("double")) for c in (x, y, w))
-    total = F.sum(w)
-    mean_x, mean_y = F.try_divide(F.sum(w * x), total), F.try_divide(F.sum(w * y), total)
-    cov = F.try_divide(F.sum(w * x * y), total) - mean_x * mean_y
-    var_x = F.try_divide(F.sum(w * x * x), total) - mean_x * mean_x
-    var_y = F.try_divide(F.sum(w * y * y), total) - mean_y * mean_y
-    return F.when((var_x > 0) & (var_y > 0), cov / (F.sqrt(var_x) * F.sqrt(var_y)))
+def weighted_corr(df: DataFrame, columns: dict, target, weight) -> DataFrame:
+    """Weighted Pearson correlation of each column with the target, as rows (variable, correlation), over rows where all
+    three are present; ``columns`` maps columns to names.
+
+    The weighted means come first, a row of a few numbers; the moments are then sums around them and keep their digits
+    far from zero.
+    """
+    def present(c):
+        return F.col(c).isNotNull() & F.col(target).isNotNull() & F.col(weight).isNotNull()
+
+    y, w = F.col(target).cast("double"), F.col(weight).cast("double")
+    mean = lambda value, c: F.try_divide(F.sum(F.when(present(c), w * value)), F.sum(F.when(present(c), w)))
+    means = df.groupBy().agg(F.struct(*[
+        F.struct(mean(F.col(c).cast("double"), c).alias("x"), mean(y, c).alias("y")).alias(n) for c, n in columns.items()
+    ])).scalar()
+    rows = df.withColumn("_means", means)
+    sums = []
+    for c, n in columns.items():
+        dx, dy = F.col(c).cast("double") - F.col("_means")[n]["x"], y - F.col("_means")[n]["y"]
+        total = lambda product, c=c: F.sum(F.when(present(c), w * product))
+        var_x, var_y = total(dx * dx), total(dy * dy)
+        sums.append(F.when((var_x > 0) & (var_y > 0), total(dx * dy) / (F.sqrt(var_x) * F.sqrt(var_y))).alias(n))
+    pairs = F.array(*[F.struct(F.lit(n).alias("variable"), F.col(n).alias("correlation")) for n in columns.values()])
+    return rows.agg(*sums).select(F.inline(pairs))
 
 
 def t_two_sided(t: Column, dof: Column) -> Column:

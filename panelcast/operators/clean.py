@@ -6,18 +6,30 @@ from pyspark.sql import functions as F
 from panelcast.config import REGIONAL_CARRIERS
 from panelcast.functions.calendar import day
 
+# Date forms by their shape, tried in this order.
+DATE_FORMS = [
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{8}$", "yyyyMMdd"), (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"), (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"), (r"^[A-Za-z]+ \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+]
+
+
 def parse_mixed_date(column):
-    """Date of a text as year-month-day, month/day/year or eight digits, with or without a time of day; else null.
+    """Date of a text in any of the usual forms, with or without a time of day; null and empty texts are null.
 
-    The shape picks the one parser to try: a failed parse costs an exception per row.
+    The shape picks the one parser to try, as a failed parse costs an exception per row. Two-digit years are 1969 to
+    2068. Text that is no date raises an error: dropping the row would lose it silently.
     """
-    text = F.substring_index(F.trim(F.col(column).cast("string")), " ", 1)
-    parsed = lambda fmt: F.to_date(F.try_to_timestamp(text, F.lit(fmt)))
-    return (
-        F.when(text.contains("/"), parsed("M/d/yyyy"))
-        .when(text.rlike(r"^\d{8}$"), parsed("yyyyMMdd"))
-        .otherwise(text.try_cast("date"))
-    )
+    text = F.nullif(F.regexp_replace(F.trim(F.col(column).cast("string")), r"[T ]\d{1,2}:\d{2}.*$", ""), F.lit(""))
+    day = F.lit(None).cast("date")
+    for shape, form in reversed(DATE_FORMS):
+        parsed = F.to_date(F.try_to_timestamp(F.initcap(text) if "MMM" in form else text, F.lit(form)))
+        if form.endswith("/yy"):
+            parsed = F.when(F.year(parsed) > 2068, F.add_months(parsed, -1200)).otherwise(parsed)
+        day = F.when(text.rlike(shape), parsed).otherwise(day)
+    day = F.when(text.rlike(r"^\d{4}-"), text.try_cast("date")).otherwise(day)
+    wrong = F.raise_error(F.concat(F.lit("not a date: "), text)).cast("date")
+    return F.when(text.isNull() | day.isNotNull(), day).otherwise(wrong)
 
 
 def coalesce_carrier(df: DataFrame) -> DataFrame:

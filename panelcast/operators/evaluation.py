@@ -97,14 +97,12 @@ def residuals_over_time(errors: DataFrame, days=30) -> DataFrame:
 
 def segment_box_stats(errors: DataFrame, segment: str) -> DataFrame:
     """Per segment: error quartiles and median absolute error, smallest median first. Segments may be huge."""
-    box = exact_quantiles(errors, [segment], "error", [0.25, 0.5, 0.75])
-    quart = box.groupBy(segment).agg(*[
-        F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
-        for p, n in ((0.25, "q1"), (0.5, "median_error"), (0.75, "q3"))
-    ])
-    mid = exact_median(errors, [segment], "abs_error", "median_abs_error")
-    return mid.join(quart, segment).select(
-        segment, "median_abs_error", "q1", "median_error", "q3"
+    both = stack_long(errors, [segment], ["error", "abs_error"], "_of", "_v")
+    box = exact_quantiles(both, [segment, "_of"], "_v", [0.25, 0.5, 0.75])
+    at = lambda of, p: F.max(F.when((F.col("_of") == of) & (F.col("prob") == p), F.col("quantile")))
+    return box.groupBy(segment).agg(
+        at("abs_error", 0.5).alias("median_abs_error"), at("error", 0.25).alias("q1"),
+        at("error", 0.5).alias("median_error"), at("error", 0.75).alias("q3"),
     ).orderBy("median_abs_error", segment)
 
 

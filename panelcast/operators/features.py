@@ -14,7 +14,7 @@ from panelcast.functions import calendar as cal
 from panelcast.functions import weather as fw
 from panelcast.functions.stats import exact_median, stack_long
 
-EWM_FRAME = 128
+EWM_BLOCK = 64
 
 
 def _ordered():
@@ -46,16 +46,29 @@ def era_features(df: DataFrame, cut) -> DataFrame:
     return df.withColumns(cal.era_flags(cut))
 
 
-def ewm_mean(value, span=config.EWM_SPAN, frame=EWM_FRAME):
-    """Exponentially weighted mean of the previous rows, weights normalised.
+def with_ewm(df: DataFrame, value, name, span=config.EWM_SPAN) -> DataFrame:
+    """Adds the exponentially weighted mean of all rows before, weights normalised; a missing value has no weight.
 
-    The frame is cut where a weight falls below double precision, which bounds the work per row.
+    Discounted sums run inside blocks of days; what earlier blocks add is folded from one pair of sums per block, so
+    a row looks at its own block and a short list, and nothing is cut off. All windows share the partitioning by route.
     """
-    keep = 1 - 2.0 / (span + 1)
-    recent = F.collect_list(F.col(value).cast("double")).over(_ordered().rowsBetween(-frame, -1))
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-    fold = lambda acc, x: F.struct((acc.num * keep + x).alias("num"), (acc.den * keep + 1).alias("den"))
-    return F.aggregate(recent, start, fold, lambda acc: F.try_divide(acc.num, acc.den))
+    keep, x = 1 - 2.0 / (span + 1), F.col(value).cast("double")
+    if keep == 0:
+        return df.withColumn(name, F.last(x, ignorenulls=True).over(_ordered().rowsBetween(W.unboundedPreceding, -1)))
+    out = df.withColumn("_at", F.row_number().over(_ordered()) - 1)
+    out = out.withColumns({"_block": F.floor(F.col("_at") / EWM_BLOCK), "_in": F.col("_at") % EWM_BLOCK})
+    inside = W.partitionBy("route", "_block").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    grown, shrunk = F.pow(F.lit(1 / keep), F.col("_in")), F.pow(F.lit(keep), F.col("_in"))
+    running = lambda v: F.coalesce(F.sum(v * grown).over(inside), F.lit(0.0)) * shrunk
+    out = out.withColumns({"_num": running(x), "_den": running(F.when(x.isNotNull(), 1.0))})
+    whole = F.when(F.col("_in") == EWM_BLOCK - 1, F.struct(F.col("_num").alias("num"), F.col("_den").alias("den")))
+    before = F.collect_list(whole).over(_ordered().rowsBetween(W.unboundedPreceding, -1))
+    fade, zero = keep**EWM_BLOCK, F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
+    step = lambda acc, b: F.struct((acc.num * fade + b.num).alias("num"), (acc.den * fade + b.den).alias("den"))
+    out = out.withColumn("_carry", F.aggregate(before, zero, step))
+    reach = F.pow(F.lit(keep), F.col("_in") + 1)
+    out = out.withColumn("_mean", F.try_divide(F.col("_num") + F.col("_carry.num") * reach, F.col("_den") + F.col("_carry.den") * reach))
+    return out.withColumn(name, F.lag("_mean").over(_ordered())).drop("_at", "_block", "_in", "_num", "_den", "_carry", "_mean")
 
 
 def lag_features(df: DataFrame, target=config.TARGET) -> DataFrame:
@@ -67,8 +80,7 @@ def lag_features(df: DataFrame, target=config.TARGET) -> DataFrame:
         frame = w.rowsBetween(-k, -1)
         cols[f"rolling_mean_{k}_{suffix}"] = F.avg(target).over(frame)
         cols[f"rolling_std_{k}_{suffix}"] = F.stddev_samp(target).over(frame)
-    cols[f"ewm_{config.EWM_SPAN}_{suffix}"] = ewm_mean(target)
-    return df.withColumns(cols)
+    return with_ewm(df.withColumns(cols), target, f"ewm_{config.EWM_SPAN}_{suffix}")
 
 
 def route_code(df: DataFrame) -> DataFrame:
@@ -95,12 +107,8 @@ def train_route_stats(df: DataFrame, train_end=None, target=config.TARGET) -> Da
 
 def impute_weather(df: DataFrame, train_end=None, default_temp=50.0) -> DataFrame:
     """Missing severity, precipitation and wind become 0, temperatures the training median of the whole table."""
-    zero = [
-        "apt1_severity", "apt2_severity", "weather_severity_max", "weather_severity_combined", "has_adverse_weather",
-        "apt1_precip_total", "apt2_precip_total", "apt1_snowfall", "apt2_snowfall",
-        "apt1_wind_speed_max", "apt2_wind_speed_max", "total_precip", "total_snowfall", "max_wind",
-        *config.HOURLY_ROLLUP_COLUMNS,
-    ]
+    # every weather feature that is there before the derived and lagged ones, but for the temperatures
+    zero = [c for c in config.WEATHER_FEATURES if "temp" not in c]
     temps = ["apt1_temp_avg", "apt2_temp_avg"]
     train = stack_long(df.select(*[_train_value(c, train_end).alias(c) for c in temps]), [], temps, "name", "v")
     medians = exact_median(train, ["name"], "v").groupBy().agg(

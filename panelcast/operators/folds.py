@@ -31,25 +31,26 @@ def fold_baselines(panel: DataFrame, folds, window=7, target=TARGET) -> DataFram
     pred).
 
     Look-back is inside the slice; a slice's first day falls back to the route's median before the fold's training end,
-    then to the median of all such rows.
-    Test slices do not overlap, so the fold is a label on the row and the panel is read once.
+    then to the median of all such rows. Folds are judged on their own, so their slices may overlap: a row is repeated
+    for each fold that trains or tests on it.
     """
-    in_test = [
-        (F.col("date") >= day(f.test_start)) & (F.col("date") < day(f.test_end)) for f in folds
-    ]
-    fold = F.coalesce(*[F.when(c, f.fold) for c, f in zip(in_test, folds)])
-    by_route = W.partitionBy("route")
-    medians = [F.median(F.when(F.col("date") < day(f.train_end), F.col(target))).over(by_route) for f in folds]
-    train_median = F.coalesce(*[F.when(F.col("fold") == f.fold, m) for f, m in zip(folds, medians)])
-    trained = assign_folds(panel.select("date", target), folds).filter(F.col("role") == "train")
-    overall = exact_median(trained, ["fold"], target).agg(
+    d = F.col("date")
+    parts = F.array(*[
+        F.struct(
+            F.lit(f.fold).alias("fold"),
+            (d < day(f.train_end)).alias("_train"),
+            ((d >= day(f.test_start)) & (d < day(f.test_end))).alias("_test"),
+        )
+        for f in folds
+    ])
+    rows = panel.select("route", "date", target, F.inline(F.filter(parts, lambda p: p["_train"] | p["_test"])))
+    overall = exact_median(rows.filter("_train"), ["fold"], target).agg(
         F.map_from_entries(F.collect_list(F.struct("fold", "median")))
     ).scalar()
-    labelled = panel.select("route", "date", target, fold.alias("fold")).withColumn(
-        "_median", F.coalesce(train_median, overall[F.col("fold")])
-    )
+    train_median = F.median(F.when(F.col("_train"), F.col(target))).over(W.partitionBy("route", "fold"))
+    tested = rows.withColumn("_median", F.coalesce(train_median, overall[F.col("fold")])).filter("_test")
     w = W.partitionBy("route", "fold").orderBy("date")
-    tested = labelled.filter(F.col("fold").isNotNull()).select(
+    tested = tested.select(
         "fold", "route", "date", F.col(target).alias("actual"),
         F.coalesce(F.lag(target, 1).over(w), "_median").alias("naive"),
         F.coalesce(F.avg(target).over(w.rowsBetween(-window, -1)), "_median").alias("ma"),

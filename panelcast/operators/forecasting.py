@@ -14,6 +14,7 @@ from panelcast.config import TARGET
 from panelcast.functions.calendar import day
 from panelcast.operators.clean import drop_incomplete, split_by_time
 from panelcast.operators.evaluation import delay_metrics
+from panelcast.sources.staging import scratch_path
 
 # Default settings of the boosted model.
 GBT_DEFAULTS = {
@@ -34,6 +35,9 @@ def fit_gbt(rows: DataFrame, features, params=None, target=TARGET):
     histograms.
     """
     settings = {**GBT_DEFAULTS, **(params or {})}
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # else the residuals of hundreds of rounds hang on one lineage
+        context.setCheckpointDir(scratch_path(rows.sparkSession, "gbt"))
     used = rows.filter(F.col("split").isin("train", "val")).select(
         *[F.col(c).cast("double").alias(c) for c in features],
         F.col(target).cast("double").alias("_label"),
@@ -78,7 +82,7 @@ def walk_forward_gbt(features_df: DataFrame, features, folds, params=None, targe
     return out
 
 
-def sample_settings(n: int, space=None, seed=42) -> list:
+def sample_settings(n: int = 50, space=None, seed=42) -> list:
     """Seeded random settings from a search space."""
     rng, out = random.Random(seed), []
     for _ in range(n):
@@ -107,8 +111,8 @@ def tune_gbt(rows: DataFrame, features, settings, target=TARGET) -> DataFrame:
     return trials.orderBy("mae", "trial")
 
 
-def ablation(rows: DataFrame, features, removed, params=None, target=TARGET) -> DataFrame:
-    """Delay metrics of the test rows with all features and without the removed ones."""
+def ablation_predictions(rows: DataFrame, features, removed, params=None, target=TARGET) -> DataFrame:
+    """Test predictions (route, date, actual, pred, model) with all features and without the removed ones."""
     kept = [f for f in features if f not in set(removed)]
     complete = drop_incomplete(rows, [*features, target])
     preds = None
@@ -116,29 +120,30 @@ def ablation(rows: DataFrame, features, removed, params=None, target=TARGET) ->
         model = fit_gbt(complete, used, params, target)
         one = predict_tabular(model, complete.filter("split = 'test'"), used, target=target).withColumn("model", F.lit(name))
         preds = one if preds is None else preds.unionByName(one)
-    return delay_metrics(preds, ["model"])
+    return preds
 
 
-def seasonal_regression(
-    train: DataFrame, score: DataFrame, holidays: DataFrame = None, yearly=10, weekly=3, ridge=1e-3, target=TARGET
-) -> DataFrame:
-    """Per-route additive model of trend, yearly and weekly seasonality and holidays: (route, date, pred).
+def ablation(rows: DataFrame, features, removed, params=None, target=TARGET) -> DataFrame:
+    """Delay metrics of the test rows with all features and without the removed ones."""
+    return delay_metrics(ablation_predictions(rows, features, removed, params, target), ["model"])
+
+
+def seasonal_basis(df: DataFrame, holidays: DataFrame = None, yearly=10, weekly=3) -> DataFrame:
+    """Adds ``b``, the terms of a day: constant, trend, yearly and weekly waves, holiday."""
+    t = F.unix_date("date").cast("double")
+    terms = [F.lit(1.0), t / 3652.5]
+    for period, order in ((365.25, yearly), (7.0, weekly)):
+        for k in range(1, order + 1):
+            angle = t * (2 * math.pi * k / period)
+            terms += [F.sin(angle), F.cos(angle)]
+    if holidays is not None:
+        df = df.join(holidays.select("date", F.lit(1.0).alias("_h")).distinct(), "date", "left")
+        terms.append(F.coalesce("_h", F.lit(0.0)))
+    return df.withColumn("b", F.array(*terms))
 
-    One least-squares fit per route, whose rows are bounded by the calendar, returns a short weight vector; the basis
-    and the scoring are native columns. Unknown routes are predicted 0.
-    """
-    def basis(df):
-        t = F.unix_date("date").cast("double")
-        terms = [F.lit(1.0), t / 3652.5]
-        for period, order in ((365.25, yearly), (7.0, weekly)):
-            for k in range(1, order + 1):
-                angle = t * (2 * math.pi * k / period)
-                terms += [F.sin(angle), F.cos(angle)]
-        if holidays is not None:
-            df = df.join(holidays.select("date", F.lit(1.0).alias("_h")).distinct(), "date", "left")
-            terms.append(F.coalesce("_h", F.lit(0.0)))
-        return df.withColumn("b", F.array(*terms))
 
+def seasonal_weights(train: DataFrame, holidays: DataFrame = None, yearly=10, weekly=3, ridge=1e-3, target=TARGET) -> DataFrame:
+    """(route, w): one ridge least-squares fit per route, whose rows are bounded by the calendar."""
     def solve(pdf):
         import numpy as np
         import pandas as pd
@@ -149,11 +154,37 @@ def seasonal_regression(
         w = np.linalg.lstsq(x.T @ x + np.diag(penalty), x.T @ pdf["y"].to_numpy(), rcond=None)[0]
         return pd.DataFrame({"route": [pdf["route"].iloc[0]], "w": [w.tolist()]})
 
-    rows = basis(train.select("route", "date", F.col(target).cast("double").alias("y")).dropna())
-    weights = rows.select("route", "y", "b").groupBy("route").applyInPandas(solve, "route string, w array<double>")
-    scored = basis(score.select("route", "date")).join(weights, "route", "left")
-    dot = F.aggregate(F.zip_with("b", "w", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    return scored.select("route", "date", F.coalesce(dot, F.lit(0.0)).alias("pred"))
+    rows = train.select("route", "date", F.col(target).cast("double").alias("y")).dropna()
+    rows = seasonal_basis(rows, holidays, yearly, weekly)
+    return rows.select("route", "y", "b").groupBy("route").applyInPandas(solve, "route string, w array<double>")
+
+
+def _product(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def seasonal_regression(
+    train: DataFrame, score: DataFrame, holidays: DataFrame = None, yearly=10, weekly=3, ridge=1e-3, target=TARGET
+) -> DataFrame:
+    """Per-route additive model of trend, yearly and weekly seasonality and holidays: (route, date, pred).
+
+    The fit returns a short weight vector per route; the basis and the scoring are native columns. Unknown routes are
+    predicted 0.
+    """
+    weights = seasonal_weights(train, holidays, yearly, weekly, ridge, target)
+    scored = seasonal_basis(score.select("route", "date"), holidays, yearly, weekly).join(weights, "route", "left")
+    return scored.select("route", "date", F.coalesce(_product("b", "w"), F.lit(0.0)).alias("pred"))
+
+
+def seasonal_gradient(train: DataFrame, holidays: DataFrame = None, yearly=10, weekly=3, ridge=1e-3, target=TARGET) -> DataFrame:
+    """(route, n_train, gradient): the largest slope of a fit's penalised squared error, per row, at its weights: 0 at the optimum."""
+    weights = seasonal_weights(train, holidays, yearly, weekly, ridge, target)
+    rows = seasonal_basis(train.select("route", "date", F.col(target).cast("double").alias("y")).dropna(), holidays, yearly, weekly)
+    rows = rows.join(weights, "route").withColumn("residual", _product("b", "w") - F.col("y"))
+    terms = rows.select("route", "residual", F.posexplode(F.arrays_zip("b", "w")).alias("term", "t"))
+    per_term = terms.groupBy("route", "term").agg(F.sum(F.col("residual") * F.col("t.b")).alias("slope"), F.first("t.w").alias("w"), F.count(F.lit(1)).alias("n"))
+    penalty = F.when(F.col("term") >= 2, ridge).otherwise(0.0) * F.col("w")
+    return per_term.groupBy("route").agg(F.max("n").alias("n_train"), F.max(F.abs(F.col("slope") + penalty) / F.col("n")).alias("gradient"))
 
 
 def score_sequences(windows: DataFrame, make_predict, length: int, width: int, batch_size=1024) -> DataFrame:

@@ -46,9 +46,12 @@ def merge_hourly_into_daily(daily: DataFrame, rollup: DataFrame) -> DataFrame:
 def join_weather_two_sided(panel: DataFrame, weather: DataFrame, columns=WEATHER_COLUMNS) -> DataFrame:
     """Panel with the weather of both ends of each route, prefixed ``apt1_`` and ``apt2_``.
 
-    The weather table has one row per airport and day. It is broadcast when its measured size allows, and shuffled
-    otherwise; that choice is the optimizer's.
+    A weather table with two rows for an airport and day is an error, as it would multiply panel rows. It is broadcast
+    when its measured size allows, and shuffled otherwise; that choice is the optimizer's.
     """
+    once = weather.groupBy("airport", "date").agg(F.any_value(F.struct(*columns)).alias("w"), F.count(F.lit(1)).alias("n"))
+    twice = F.raise_error(F.concat(F.lit("two weather rows: "), "airport", F.lit(" "), F.col("date").cast("string")))
+    weather = once.withColumn("date", F.when(F.col("n") == 1, F.col("date")).otherwise(twice.cast("date"))).select("airport", "date", "w.*")
     parts = F.split("route", "-")
     out = panel.withColumns({"_a1": parts[0], "_a2": parts[1]})
     for n in (1, 2):

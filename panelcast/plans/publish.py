@@ -4,10 +4,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelcast.config import REGIONAL_CARRIERS
 from panelcast.functions.metrics import published
 from panelcast.functions.stats import stack_long
 from panelcast.operators import evaluation as oe
 from panelcast.operators import insights as oi
+from panelcast.operators.baselines import to_long
+from panelcast.operators.predictions import align_predictions
 
 DAY = "yyyy-MM-dd"
 
@@ -44,8 +47,12 @@ def metadata(panel: DataFrame, cut) -> DataFrame:
     )
 
 
-def write_forecast(panel: DataFrame, merged: DataFrame, shown: DataFrame, models, cut, path: str) -> None:
-    """Documents of the shown routes (predictions with history) and the metadata, as JSON lines below ``path``."""
+def write_forecast(panel: DataFrame, merged: DataFrame, shown: DataFrame, models, cut, path: str, metrics=None, folds=None) -> None:
+    """Documents of the shown routes (predictions with history) and the metadata, as JSON lines below ``path``; tables of
+    metrics and of walk-forward results become sections of their own."""
+    for section, table in (("metrics", metrics), ("walk_forward", folds)):
+        if table is not None:
+            table.write.json(f"{path}/{section}")
     docs = forecast_documents(merged.join(shown.select("route"), "route", "left_semi"), models)
     docs = docs.join(history_documents(panel, cut.test_start), "route", "left")
     docs.write.json(f"{path}/routes")
@@ -61,25 +68,32 @@ def read_forecast(spark: SparkSession, path: str, models) -> DataFrame:
     return spark.read.schema(document_schema(models)).json(f"{path}/routes")
 
 
-def forecast_metrics(preds: DataFrame, shown: DataFrame, decimals=1) -> DataFrame:
-    """Delay metrics of the published values: per model over all routes, and per model and shown route.
+def published_metrics(metrics: DataFrame) -> DataFrame:
+    """Metrics as they are published: one digit, the coefficient of determination three."""
+    names = [c for c, t in metrics.dtypes if t == "double"]
+    return metrics.withColumns({c: published(c, 3 if c == "r2" else 1) for c in names})
 
-    Values are rounded half-even before the metrics, as readers of the published forecast would compute them. Pass a
-    staged table.
+
+def forecast_metrics(merged: DataFrame, models, shown: DataFrame, aligned=(), decimals=1) -> DataFrame:
+    """Published delay metrics: per model over all routes, and per model and shown route.
+
+    Models are compared on the rows where all of ``aligned`` have a value. Values are rounded half-even before the
+    metrics, as readers of the published forecast would compute them. Pass a staged table.
     """
-    values = preds.withColumns({c: published(c, decimals) for c in ("actual", "pred")})
+    values = to_long(align_predictions(merged, list(aligned)) if aligned else merged, models)
+    values = values.withColumns({c: published(c, decimals) for c in ("actual", "pred")})
     by_route = oe.delay_metrics(values.join(shown.select("route"), "route", "left_semi"), ["model", "route"])
-    return by_route.unionByName(oe.delay_metrics(values, ["model"]).withColumn("route", F.lit("all")))
+    return published_metrics(by_route.unionByName(oe.delay_metrics(values, ["model"]).withColumn("route", F.lit("all"))))
 
 
-def analysis_documents(features: DataFrame, flights: DataFrame, importance: DataFrame, top_carriers=10) -> DataFrame:
+def analysis_documents(features: DataFrame, flights: DataFrame, importance: DataFrame, top_carriers=10, excluded=REGIONAL_CARRIERS) -> DataFrame:
     """The three analysis documents (name, body JSON): weather impact, carrier performance, feature importance.
 
     Each gathers a report of bounded size: severities, the top carriers, features per model.
     """
     rows = lambda df: F.array_sort(F.collect_list(F.struct(*df.columns)))
     impact, corr = oi.weather_impact(features), oi.weather_correlations(features)
-    carriers = oi.carrier_performance(flights, top_carriers)
+    carriers = oi.carrier_performance(flights, top_carriers, excluded)
     shares = oi.importance_share(importance).select("model", "rank", "feature", "share", "n_features")
     parts = [
         ("weather_impact", "by_severity", impact), ("weather_impact", "correlation", corr),

@@ -1,7 +1,10 @@
 """Flight files: CSVs whose headers differ, read by column name."""
 
+import csv
 from functools import reduce
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,21 +13,32 @@ from panelcast.config import FLIGHT_COLUMNS
 
 
 def _headers(spark: SparkSession, glob: str) -> dict:
-    """Files by their header: one line read per file, as a Parquet footer would be."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    pattern = jvm.org.apache.hadoop.fs.Path(glob)
-    fs = pattern.getFileSystem(conf)
-    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    """Files by their header. Tasks read the first lines; the driver gets the distinct headers and the file names.
+
+    The header is parsed by CSV rules: quoted names may hold commas.
+    """
+    try:
+        lines = spark.read.text(glob)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no CSV files match {glob}") from e
+    first = lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"
+    ).filter("start = 0")
+
+    def head(batches):
+        seen = None
+        for batch in batches:
+            for path, value in zip(batch["path"], batch["value"], strict=True):
+                if path.as_py() != seen:
+                    seen = path.as_py()
+                    yield pa.RecordBatch.from_pylist([{"path": seen, "header": value.as_py()}])
+
+    schema = "path string, header string"
+    rows = first.select("path", "value").mapInArrow(head, schema).groupBy("header").agg(F.collect_list("path").alias("paths"))
     groups = {}
-    for status in fs.globStatus(pattern) or []:
-        stream, codec = fs.open(status.getPath()), codecs.getCodec(status.getPath())
-        if codec is not None:
-            stream = codec.createInputStream(stream)
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        header = (reader.readLine() or "").lstrip("\ufeff")
-        reader.close()
-        names = tuple(h.strip().strip('"') for h in header.split(","))
-        groups.setdefault(names, []).append(status.getPath().toString())
+    for header, paths in rows.collect():
+        names = tuple(n.strip() for n in next(csv.reader([header.lstrip("\ufeff")])))
+        groups.setdefault(names, []).extend(paths)
     return groups
 
 

@@ -24,42 +24,42 @@ def _region_codes(spark, sf_dir):
     a join to be as large as the product of its inputs, and would shuffle tables that it can broadcast.
     """
     nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
-    codes = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    codes = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     return codes.groupBy().agg(
         F.map_from_entries(F.collect_list(F.struct("n_nationkey", F.substring("r_name", 1, 3))))
     ).scalar()
 
 
-def flights(spark: SparkSession, sf_dir: str, carrier=True, distance=True) -> DataFrame:
-    """Line items seen as flights, in the columns of a flight file.
+def flights(spark: SparkSession, sf_dir: str, carrier=True, distance=True, origin=True, dest=True) -> DataFrame:
+    """Line items seen as flights, in the columns of a flight file; columns switched off are not joined.
 
-    Customers join the orders first, so that the line items are shuffled by order key only, never by customer.
+    Every line item has one part, one supplier and one order, so leaving a join out keeps the rows. Customers join the
+    orders first, so that the line items are shuffled by order key only, never by customer.
     """
-    codes = _region_codes(spark, sf_dir)
-    lines = _table(spark, sf_dir, "lineitem")
-    origin = _table(spark, sf_dir, "supplier").select("s_suppkey", codes[F.col("s_nationkey")].alias("ORIGIN"))
-    dest = _table(spark, sf_dir, "customer").select("c_custkey", codes[F.col("c_nationkey")].alias("DEST"))
-    orders = _table(spark, sf_dir, "orders").join(dest.dropna(), F.col("o_custkey") == F.col("c_custkey"))
-
+    codes = _region_codes(spark, sf_dir) if origin or dest else None
     cancelled = ((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 46)).cast("int")
     arr = F.when(cancelled == 0, (F.col("l_quantity") - 18) * 1.5)
-    out = (
-        lines.join(origin.dropna(), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(orders.select("o_orderkey", "DEST"), F.col("l_orderkey") == F.col("o_orderkey"))
-    )
+    out = _table(spark, sf_dir, "lineitem")
+    if origin:
+        side = _table(spark, sf_dir, "supplier").select("s_suppkey", codes[F.col("s_nationkey")].alias("ORIGIN"))
+        out = out.join(side.dropna(), F.col("l_suppkey") == F.col("s_suppkey"))
+    if dest:
+        side = _table(spark, sf_dir, "customer").select("c_custkey", codes[F.col("c_nationkey")].alias("DEST"))
+        orders = _table(spark, sf_dir, "orders").join(side.dropna(), F.col("o_custkey") == F.col("c_custkey"))
+        out = out.join(orders.select("o_orderkey", "DEST"), F.col("l_orderkey") == F.col("o_orderkey"))
     if carrier or distance:
         part = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
         out = out.join(part, F.col("l_partkey") == F.col("p_partkey"))
     return out.select(
         F.to_date("l_shipdate").alias("FL_DATE"),
         *([F.col("p_brand").alias("REPORTING_AIRLINE")] if carrier else []),
-        "ORIGIN",
-        "DEST",
+        *(["ORIGIN"] if origin else []),
+        *(["DEST"] if dest else []),
         (arr + (F.col("l_discount") - 0.05) * 100).alias("DEP_DELAY"),
         arr.alias("ARR_DELAY"),
         cancelled.alias("CANCELLED"),
         *([(F.col("p_size") * 100).cast("double").alias("DISTANCE")] if distance else []),
-        F.concat_ws("-", "ORIGIN", "DEST").alias("route"),
+        *([F.concat_ws("-", "ORIGIN", "DEST").alias("route")] if origin and dest else []),
     )
 
 
@@ -95,6 +95,8 @@ def daily_weather(hourly: DataFrame) -> DataFrame:
 
 
 def spread_over_calendar(weather: DataFrame, dates: DataFrame) -> DataFrame:
-    """Repeat one month of weather over a calendar, by day of month."""
+    """Repeat a month of weather over a calendar, by day of month; of several months the last reading counts."""
+    values = [c for c in weather.columns if c not in ("airport", "date")]
+    month = weather.groupBy("airport", F.dayofmonth("date").alias("dom")).agg(F.max_by(F.struct(*values), "date").alias("w"))
     days = dates.select("date", F.dayofmonth("date").alias("dom"))
-    return days.join(weather.withColumn("dom", F.dayofmonth("date")).drop("date"), "dom").drop("dom")
+    return days.join(month, "dom").select("date", "airport", "w.*")

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.operators.clean import nan_to_null
+
 
 def write_panel(df: DataFrame, path: str, fmt="parquet", partition="route", order="date") -> None:
     """One folder per route, each written by one task (a route has at most one row per calendar day)."""
@@ -13,11 +15,11 @@ def write_panel(df: DataFrame, path: str, fmt="parquet", partition="route", orde
 
 
 def read_panel(spark: SparkSession, path: str, schema=None, fmt="parquet") -> DataFrame:
-    """Panel or feature table; a filter on route prunes folders, the columns used prune the rest."""
+    """Panel or feature table, NaN as null; a filter on route prunes folders, the columns used prune the rest."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
-    return (reader.schema(schema) if schema is not None else reader).load(path)
+    return nan_to_null((reader.schema(schema) if schema is not None else reader).load(path))
 
 
 def profile_table(df: DataFrame, key="route", date="date") -> DataFrame:

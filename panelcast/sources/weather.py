@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelcast.operators.clean import nan_to_null
+
 # Payload field of each daily column.
 DAILY_FIELDS = {
     "temp_max": "temperature_2m_max", "temp_min": "temperature_2m_min", "temp_avg": "temperature_2m_mean",
@@ -49,13 +51,14 @@ def pack_payload(rows: DataFrame, section: str, fields: dict, time: str, time_fo
 
 
 def scan_weather(spark: SparkSession, path: str, schema=DAILY_SCHEMA) -> DataFrame:
-    """Daily weather CSV with a declared schema."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Daily weather CSV with a declared schema; NaN texts are missing values."""
+    return nan_to_null(spark.read.schema(schema).option("header", True).csv(path))
 
 
-def missing_keys(expected: DataFrame, landed: DataFrame, key="airport") -> DataFrame:
+def missing_keys(expected: DataFrame, landed: DataFrame, keys=("airport",)) -> DataFrame:
     """Expected keys that have no landed row."""
-    return expected.select(key).distinct().join(landed.select(key), key, "left_anti")
+    keys = list(keys)
+    return expected.select(*keys).distinct().join(landed.select(*keys), keys, "left_anti")
 
 
 def keep_first(existing: DataFrame, new: DataFrame, keys=("airport", "date")) -> DataFrame:

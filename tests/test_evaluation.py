@@ -131,9 +131,10 @@ def test_weighted_corr_matches_numpy(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"x": rng.normal(size=200), "w": rng.integers(0, 5, 200).astype(float)})
     pdf["y"] = 2 * pdf["x"] + rng.normal(size=200)
-    got = spark.createDataFrame(pdf).agg(weighted_corr("x", "y", "w").alias("r")).first().r
     c = np.cov(pdf["x"], pdf["y"], aweights=pdf["w"])
-    assert got == pytest.approx(c[0, 1] / math.sqrt(c[0, 0] * c[1, 1]))
+    for shift in (0.0, 1e8):  # far from zero raw moments would cancel
+        got = weighted_corr(spark.createDataFrame(pdf + [shift, 0, shift]), {"x": "r"}, "y", "w").first().correlation
+        assert got == pytest.approx(c[0, 1] / math.sqrt(c[0, 0] * c[1, 1]), abs=1e-6)
 
 
 def test_weather_impact_zero_weight(frame):
@@ -254,3 +255,9 @@ def test_score_sequences_is_a_dot_product(frame):
     df = frame([("A", D, 1.0, [[1.0, 2.0], [3.0, 4.0]])], "route string, date date, target double, x array<array<double>>")
     got = fc.score_sequences(df, fc.linear_scorer([[1, 0], [0, 10]]), 2, 2).first()
     assert got.pred == 41.0
+
+
+def test_correlation_of_a_constant_is_null(spark):
+    df = spark.range(1000).select(F.lit(0.1).alias("x"), F.rand(1).alias("y"), F.col("id").cast("double").alias("z")).repartition(7)
+    got = {(r.a, r.b): r["corr"] for r in oi.correlation_matrix(df, ["x", "y", "z"]).collect()}
+    assert got["x", "y"] is None and got["x", "x"] is None and got["z", "z"] == pytest.approx(1.0) and abs(got["y", "z"]) < 0.2

@@ -86,10 +86,20 @@ def test_impute_lags_uses_train_median_then_zero(panel, series):
 
 def test_ewm_of_constant_is_constant(spark):
     df = spark.createDataFrame([("A", START + timedelta(i), 3.0) for i in range(300)], "route string, date date, x double")
-    values = {round(r.e, 12) for r in df.select(of.ewm_mean("x").alias("e")).collect() if r.e is not None}
+    values = {round(r.e, 12) for r in of.with_ewm(df, "x", "e").collect() if r.e is not None}
     assert values == {3.0}
 
 
+@pytest.mark.parametrize("span", [1, 2, 7, 30, 90])
+def test_ewm_matches_pandas_over_long_spans(spark, span):
+    pdf = pd.DataFrame({"route": "A", "date": [START + timedelta(i) for i in range(600)], "x": [500.0 - i for i in range(600)]})
+    pdf.loc[[3, 64, 65, 300], "x"] = None
+    df = spark.createDataFrame(pdf, "route string, date date, x double").withColumn("x", F.nullif("x", F.lit(float("nan"))))
+    got = [r.e for r in of.with_ewm(df, "x", "e", span).orderBy("date").collect()]
+    want = pdf["x"].ewm(span=span).mean().shift(1)
+    assert got[0] is None and np.allclose(np.array(got[1:], float), want[1:].to_numpy(), rtol=1e-9)
+
+
 def test_route_code_is_alphabetic(panel):
     got = {(r.route, r.route_encoded) for r in of.route_code(panel).select("route", "route_encoded").distinct().collect()}
     assert got == {("A-B", 0), ("B-A", 1), ("C-D", 2)}
@@ -203,3 +213,12 @@ def test_sequence_windows_reach_before_start_or_not(panel, series):
     ab = series[series["route"] == "A-B"].set_index("date")["avg_arr_delay"]
     want = [ab[date(1999, 6, 1) - timedelta(28 - i)] for i in range(28)]
     assert [x[0] for x in one["x"]] == want and one["target"] == ab[date(1999, 6, 1)]
+
+
+def test_overlapping_folds_keep_all_rows(panel, series):
+    folds = [Fold(1, "1999-03-01", "1999-04-01", "1999-04-01", "1999-07-01"), Fold(2, "1999-05-01", "1999-06-01", "1999-06-01", "1999-09-01")]
+    got = pandas_of(fo.fold_baselines(panel, folds)).groupby(["fold", "model"]).size()
+    days = pd.to_datetime(series["date"])
+    for fold in folds:
+        inside = ((days >= fold.test_start) & (days < fold.test_end)).sum()
+        assert got[fold.fold, "naive"] == got[fold.fold, "ma"] == inside

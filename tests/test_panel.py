@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast import config
+from panelcast.catalog.queries import QUERIES
 from panelcast.functions import text as tx
 from panelcast.functions import weather as fw
 from panelcast.operators import clean as oc
@@ -14,6 +15,7 @@ from panelcast.operators import panel as op
 from panelcast.operators import weather as ow
 from panelcast.plans.panel import build_panel
 from panelcast.sources import flights as sf
+from panelcast.sources import starschema
 from panelcast.sources import tables as st
 from panelcast.sources import weather as sw
 
@@ -31,7 +33,7 @@ def test_clean_flights_types_and_drops(frame):
             ("2020-01-02", " aa", None, "lax ", "JFK", "5.5", "x", None, "100"),
             ("1/3/2020 12:00:00 AM", None, "dl", "LAX", "jfk", "", "7", "1.0", None),
             ("1/4/2020", "ua", "ua", None, "JFK", "1", "2", "0", "3"),
-            ("bad", "ua", "ua", "LAX", "JFK", "1", "2", "0", "3"),
+            (None, "ua", "ua", "LAX", "JFK", "1", "2", "0", "3"),
         ],
         "FL_DATE string, REPORTING_AIRLINE string, OP_UNIQUE_CARRIER string, ORIGIN string, DEST string, "
         "DEP_DELAY string, ARR_DELAY string, CANCELLED string, DISTANCE string",
@@ -229,3 +231,38 @@ def test_flights_scan_reads_only_needed_columns(spark, sf_dir):
     plan = starschema.flights(spark, sf_dir, False, False).groupBy("route").agg(F.sum("ARR_DELAY"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in text and "p_brand" not in text and "CartesianProduct" not in text
+
+
+def test_dates_in_many_forms(spark):
+    forms = ["2020-01-05", "1/5/2020", "20200105", "2020/01/05", "05-Jan-2020", "January 5, 2020", "Jan 5, 2020", "1/5/20", "5 Jan 2020", "2020-01-05 10:30:00", "2020-01-05T10:30:00", " 01/05/2020 00:00 "]
+    df = spark.createDataFrame([(x,) for x in forms], "d string")
+    assert {r.d for r in df.select(oc.parse_mixed_date("d").alias("d")).collect()} == {date(2020, 1, 5)}
+    old = spark.createDataFrame([("1/5/95",), (None,), ("",)], "d string").select(oc.parse_mixed_date("d").alias("d"))
+    assert [r.d for r in old.collect()] == [date(1995, 1, 5), None, None]
+    for bad in ("soon", "2020-13-45", "13/45/2020"):
+        with pytest.raises(Exception, match="not a date"):
+            spark.createDataFrame([(bad,)], "d string").select(oc.parse_mixed_date("d").alias("d")).collect()
+
+
+def test_two_weather_rows_are_an_error_and_months_do_not_multiply(spark):
+    cols = {c: F.lit(1.0) for c in config.WEATHER_COLUMNS}
+    weather = spark.createDataFrame([("A", date(2020, 1, 1)), ("A", date(2020, 1, 1))], "airport string, date date").withColumns(cols)
+    panel = spark.createDataFrame([("A-B", date(2020, 1, 1))], "route string, date date")
+    with pytest.raises(Exception, match="two weather rows"):
+        ow.join_weather_two_sided(panel, weather).collect()
+    months = spark.createDataFrame([("A", date(2020, m, 1), m) for m in (1, 2, 3)], "airport string, date date, v int")
+    days = spark.createDataFrame([(date(1999, 5, 1),), (date(1999, 6, 1),)], "date date")
+    assert [(r.airport, r.v) for r in starschema.spread_over_calendar(months, days).collect()] == [("A", 3), ("A", 3)]
+
+
+@pytest.mark.parametrize("name", ["coalesce_carrier", "top_carriers", "carrier_performance", "legend_label", "school_break", "era_label", "holiday_week", "missing_keys_resume"])
+def test_plans_without_order_joins(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "c_custkey" not in plan
+
+
+def test_headers_with_quotes_and_commas(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('FL_DATE,"ORIGIN","note, long"\n2020-01-01,A,"x"\n')
+    (tmp_path / "b.csv").write_text("ORIGIN,DEST\nB,C\n")
+    rows = sf.scan_all_columns(spark, f"{tmp_path}/*.csv").collect()
+    assert {(r.ORIGIN, r.DEST, r["note, long"]) for r in rows} == {("A", None, "x"), ("B", "C", None)}
