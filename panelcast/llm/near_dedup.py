@@ -30,6 +30,8 @@ from panelcast.llm.graph import components
 from panelcast.sources.staging import stage
 
 TREES, DEPTH, BASE = 16, 8, 2
+#: Parts of a hub's set, by hash, in which overlaps with it are counted.
+PARTS = 32
 #: Classes with one prefix that are sorted together; more of them are dealt over slices.
 REGION_SLICE = 50_000
 _rng = np.random.default_rng(20_240_601)
@@ -128,10 +130,15 @@ def possible(a: str, b: str, percent: int):
 
 
 def within_hub(a: str, b: str, percent: int):
-    """Whether two classes compared with the same hub can be linked: what they share lies in the hub or is held by others."""
+    """Whether two classes compared with the same hub can be linked: what they share lies in the hub or is held by others.
+
+    In each part of the hub they share at most what the one with less there has; the parts tell apart classes that lack
+    different shingles of the hub, which sizes alone cannot.
+    """
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     rest = [F.col(f"{x}.n_shingles") - F.col(f"{x}.shared") - F.col(f"{x}.own") for x in (a, b)]
-    most = F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared")) + F.least(*rest)
+    in_hub = F.aggregate(F.zip_with(F.col(f"{a}.parts"), F.col(f"{b}.parts"), lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    most = in_hub + F.least(*rest)
     bound = most * (100 + percent) >= (n + m) * percent
     return F.coalesce(F.when(F.col(f"{a}.hub") == F.col(f"{b}.hub"), bound), F.lit(True))
 
@@ -143,24 +150,27 @@ def first_meeting(a: str, b: str):
 
 
 def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(a, b, both, n_a, n_b): the pairs with the sizes of their full sets and of what both hold."""
+    """(a, b, both, parts, n_a, n_b): the pairs with the sizes of their full sets and of what both hold, as a whole and in
+    ``PARTS`` parts by hash."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, known = None, None  # a hub's pairs come one after the other
         for batch in batches:
-            both, n_a, n_b = [], [], []
+            both, parts, n_a, n_b = [], [], [], []
             for text_a, text_b in zip(common.raw_texts(batch["text_a"]), common.raw_texts(batch["text_b"]), strict=True):
                 if text_b != before:
                     before, known = text_b, shingles(text_b, size)
                 other = shingles(text_a, size)
-                both.append(len(np.intersect1d(other, known, assume_unique=True)))
+                common_to_both = np.intersect1d(other, known, assume_unique=True)
+                both.append(len(common_to_both))
+                parts.append(np.bincount((common_to_both % np.uint64(PARTS)).astype(np.int64), minlength=PARTS))
                 n_a.append(len(other)), n_b.append(len(known))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array(x, pa.int64()) for x in (both, n_a, n_b))], ["a", "b", "both", "n_a", "n_b"])
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(both, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64())], ["a", "b", "both", "parts", "n_a", "n_b"])
 
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(count, "a long, b long, both long, n_a long, n_b long")
+    return rows.mapInArrow(count, "a long, b long, both long, parts array<long>, n_a long, n_b long")
 
 
 def confirmed(found: DataFrame, percent: int) -> DataFrame:
@@ -202,7 +212,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     # what each class has in common with its hub bounds what two classes of one hub can have in common
     least, greatest = F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
     hubbed = central.select(F.col("a").alias("id"), F.col("b").alias("hub")).select("id", "hub", least, greatest)
-    hubbed = hubbed.join(found.groupBy("a", "b").agg(F.max("both").alias("shared")), ["a", "b"], "left").select("id", "hub", "shared")
+    hubbed = hubbed.join(found.groupBy("a", "b").agg(F.max("both").alias("shared"), F.first("parts").alias("parts")), ["a", "b"], "left").select("id", "hub", "shared", "parts")
     hubbed = hubbed.join(several.filter("sets = 1").select(F.col("id").alias("hub")), "hub")
     orders = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("signature", t * 4 * DEPTH + 1, F.lit(4 * BASE))))
     known = wanted.select("id").distinct().join(several, "id").join(classes.select("id", orders.alias("regions")), "id").filter("sets = 1")
@@ -219,7 +229,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     rest = open_rows.alias("r")
     once = (F.col("r.component") == F.col("r.largest")) | (F.col("m.id") < F.col("r.id"))
     other = (F.col("m.region") == F.col("r.region")) & (F.col("m.component") != F.col("r.component"))
-    met = minor.join(rest, other & once & possible("m", "r", percent) & within_hub("m", "r", percent) & first_meeting("m", "r"))
+    met = minor.join(rest, other & once & possible("m", "r", percent) & first_meeting("m", "r") & within_hub("m", "r", percent))
     second = met.select(F.least("m.id", "r.id").alias("a"), F.greatest("m.id", "r.id").alias("b")).distinct()
     return first.unionAll(confirmed(compared(second, texts, size), percent))
 
