@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import common
+from panelcast.sources.staging import stage
 
 # Sentences by which licences are declared.
 TEMPLATES = [
@@ -72,7 +73,10 @@ def anchors(threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEM
 
 
 def statements(files: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(id, row, sentence, words, license, score): sentences of (id, text) that declare a licence."""
+    """(id, row, total, sentence, words, license, score): sentences of (id, text) that declare a licence.
+
+    ``row`` tells apart texts of one id, ``total`` counts the words of the text; equal rows are one.
+    """
     spark = files.sparkSession
     rows, idf, other = template_weights(templates)
     weights = spark.createDataFrame(rows, "template int, term string, weight double")
@@ -80,11 +84,12 @@ def statements(files: DataFrame, threshold: float = THRESHOLD, templates: list[t
     names = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(templates)], "template int, license string")
     any_anchor = "(?:^|[^a-z0-9])(?:" + "|".join(map(re.escape, anchors(threshold, templates))) + ")(?:$|[^a-z0-9])"
     told = files.select("id", F.lower("text").alias("text"), F.xxhash64("text").alias("row")).filter(F.col("text").rlike(any_anchor))
+    told = told.dropDuplicates(["id", "row"]).withColumn("total", F.size(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))))
     cut = F.split(F.regexp_replace("text", "([.!?;])[ \t\r\n]+", "$1\n"), "\n")
-    sentences = told.select("id", "row", F.posexplode(cut).alias("sentence", "said")).filter(F.col("said").rlike(any_anchor))
-    counted = sentences.select("id", "row", "sentence", F.explode(F.regexp_extract_all("said", F.lit(TERM), F.lit(0))).alias("term"))
-    counted = counted.groupBy("id", "row", "sentence", "term").agg(F.count("*").alias("n"))
-    key = ["id", "row", "sentence"]
+    sentences = told.select("id", "row", "total", F.posexplode(cut).alias("sentence", "said")).filter(F.col("said").rlike(any_anchor))
+    counted = sentences.select("id", "row", "total", "sentence", F.explode(F.regexp_extract_all("said", F.lit(TERM), F.lit(0))).alias("term"))
+    key = ["id", "row", "total", "sentence"]
+    counted = counted.groupBy(*key, "term").agg(F.count("*").alias("n"))
     norms = counted.join(terms, "term", "left").groupBy(*key).agg(F.sqrt(F.sum((F.col("n") * F.coalesce("idf", F.lit(other))) ** 2)).alias("norm"), F.sum("n").alias("words"))
     own = counted.join(terms, "term").join(weights, "term")
     dots = own.groupBy(*key, "template").agg(F.sum(F.col("n") * F.col("idf") * F.col("weight")).alias("dot"))
@@ -105,11 +110,11 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     nothing and inherit; a null path is the root. Rows that repeat an id share their statements.
     """
     rows = files.select(common.id_key(files[id_col]).alias("id"), F.coalesce(files[path_col], F.lit("")).alias("path"), files[text_col].alias("text"))
-    found = statements(rows.select("id", "text"), threshold)
-    own = found.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"), F.sum("words").alias("stated"))
-    own = own.select("id", F.col("best.license").alias("own"), (-F.col("best.score")).alias("own_score"), "stated")
-    sized = rows.join(own.select("id"), "id", "left_semi").groupBy("id").agg(F.sum(F.size(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("total"))
-    own = own.join(sized, "id")
+    found = stage(statements(rows.select("id", "text"), threshold), "statements")
+    closest = F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best")
+    texts = found.groupBy("id", "row", "total").agg(closest, F.sum("words").alias("stated"))
+    own = texts.groupBy("id").agg(F.min("best").alias("best"), F.sum("stated").alias("stated"), F.sum("total").alias("total"))
+    own = own.select("id", F.col("best.license").alias("own"), (-F.col("best.score")).alias("own_score"), "stated", "total")
     narrow = rows.select("id", "path", parent(F.col("path")).alias("dir"))
     placed = narrow.join(own, "id", "left")
     is_file = F.col("own").isNotNull() & (F.col("path").rlike(FILE_NAME) | (F.col("stated") >= FILE_SHARE * F.col("total")))
