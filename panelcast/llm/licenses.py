@@ -36,6 +36,8 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# Words of ordinary prose, which are anchors only if a template cannot do without.
+COMMON = {"a", "all", "and", "any", "are", "by", "following", "for", "form", "has", "in", "into", "is", "met", "of", "or", "person", "provided", "that", "the", "this", "to", "use", "with", "without", "work"}
 TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 THRESHOLD, FILE_SHARE = 0.75, 0.5
@@ -69,7 +71,7 @@ def anchors(threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEM
         for j, t, w in rows:
             if j in missing and t not in chosen:
                 gain[t] = gain.get(t, 0.0) + w * w * idf[t]  # rare terms let less text through
-        chosen.add(max(sorted(gain), key=gain.__getitem__))
+        chosen.add(max(sorted(gain), key=lambda t: (t not in COMMON and len(t) > 1, gain[t])))
 
 
 def statements(files: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
