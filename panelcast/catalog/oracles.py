@@ -872,7 +872,7 @@ def trials():
     from panelcast.operators.forecasting import sample_settings
 
     texts = [", ".join(f"{k}={v}" for k, v in sorted(p.items())) for p in sample_settings(TRIALS)]
-    return "\nUNION ALL ".join(f"SELECT {i} AS trial, '{t}' AS params, 1 AS beats_naive" for i, t in enumerate(texts))
+    return "\nUNION ALL ".join(f"SELECT {i} AS trial, '{t}' AS params, 1 AS scored" for i, t in enumerate(texts))
 
 
 sql("tune_gbt", "", trials())
