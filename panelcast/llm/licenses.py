@@ -2,7 +2,11 @@
 
 Each sentence of a file is compared with template sentences. A sentence without any of the anchor terms cannot reach the
 threshold (by Cauchy-Schwarz, as the other terms of every template weigh too little), so text is first filtered by
-anchors; this loses nothing. A file whose statements make up most of its words, or whose name says so, is a licence file
+anchors; this loses nothing.
+
+Headers and licence files are compared as blocks of words, wherever their lines break: a run of as many words as a known
+text has, placed by any anchor the two share, with weights from counts over all files. SPDX lines are read as they are.
+A file whose statements make up most of its words, or whose name says so, is a licence file
 of its directory; files without a statement of their own take the licence of the nearest ancestor directory that has one.
 """
 
@@ -15,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import common
+from panelcast.llm.license_texts import BLOCKS, SPDX
 from panelcast.sources.staging import stage
 
 # Sentences by which licences are declared.
@@ -41,6 +46,15 @@ COMMON = {"a", "all", "and", "any", "are", "by", "following", "for", "form", "ha
 TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 THRESHOLD, FILE_SHARE = 0.75, 0.5
+#: Share of a known text's distinct words that a block must have, whatever their weights.
+COVERAGE = 0.6
+#: Words of a text from which a known text makes a whole notice, and words cut off at a time.
+WHOLE, SEGMENT = 30, 512
+#: More than twice the places where a block of a segment can start.
+SPOTS = 1 << 13
+SPDX_LINE = r"(?i)spdx-license-identifier:[ \t]*\(?([a-z0-9][a-z0-9.+-]*(?:[ \t]+(?:or|and|with)[ \t]+[a-z0-9][a-z0-9.+-]*)*)"
+#: Which statements count first: SPDX lines, whole notices, sentences.
+BY_SPDX, BY_NOTICE, BY_SENTENCE = 0, 1, 2
 
 
 def template_weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list[tuple[int, str, float]], dict[str, float], float]:
@@ -61,9 +75,14 @@ def template_weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list
 def anchors(threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> list[str]:
     """Terms of which every sentence within the threshold of a template has at least one."""
     rows, idf, _ = template_weights(templates)
+    return anchor_terms(rows, idf, len(templates), threshold)
+
+
+def anchor_terms(rows: list[tuple[int, str, float]], idf: dict[str, float], n: int, threshold: float) -> list[str]:
+    """Terms without which the others of each of ``n`` unit vectors weigh less than the threshold."""
     chosen: set[str] = set()
     while True:
-        missing = {i: sum(w * w for j, t, w in rows if j == i and t not in chosen) for i in range(len(templates))}
+        missing = {i: sum(w * w for j, t, w in rows if j == i and t not in chosen) for i in range(n)}
         missing = {i: x for i, x in missing.items() if x >= threshold**2 * (1 - 1e-9)}
         if not missing:
             return sorted(chosen)
@@ -100,6 +119,78 @@ def statements(files: DataFrame, threshold: float = THRESHOLD, templates: list[t
     return best.select(*key, "words", F.col("best.license").alias("license"), (-F.col("best.score")).alias("score"))
 
 
+def block_weights(files: DataFrame) -> tuple[list[tuple[int, str, float]], dict[str, float], float]:
+    """As ``template_weights`` of the known texts, with the idf of their terms from counts over all (id, text) rows.
+
+    Words of no known text weigh as much as the mean of theirs, so that the size of a table does not decide about them.
+    """
+    texts = [re.findall(TERM, text.lower()) for _, _, text in BLOCKS]
+    vocabulary = sorted({t for own in texts for t in own})
+    held = F.array_intersect(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)), F.lit(vocabulary))
+    counts = files.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("term")).groupBy("term").count()
+    seen = dict(map(tuple, counts.collect()))  # at most a row per word of the known texts, and one for all files
+    n = seen.get("", 0)
+    idf = {t: math.log((1 + n) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
+    rows = []
+    for i, own in enumerate(texts):
+        norm = math.sqrt(sum((own.count(t) * idf[t]) ** 2 for t in set(own)))
+        rows += [(i, t, own.count(t) * idf[t] / norm) for t in sorted(set(own))]
+    return rows, idf, sum(idf.values()) / len(idf)
+
+
+def notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, row, total, words, license, score, kind): blocks of (id, text) that a known text matches, and SPDX lines.
+
+    A block starts where a shared anchor puts the start of the known text, to a 64th of its length. Texts are cut
+    into overlapping segments, each with the blocks that start in it, so no text is held more than twice.
+    """
+    spark = files.sparkSession
+    rows, idf, other = block_weights(files)
+    chosen = anchor_terms(rows, idf, len(BLOCKS), threshold)
+    texts = [re.findall(TERM, text.lower()) for _, _, text in BLOCKS]
+    longest = max(map(len, texts))
+    info = [(i, name, len(own), key.split(), sorted(set(own)), math.ceil(COVERAGE * len(set(own)))) for i, ((name, key, _), own) in enumerate(zip(BLOCKS, texts, strict=True))]
+    info = spark.createDataFrame(info, "template int, license string, length int, required array<string>, terms array<string>, least int")
+    places: dict[str, list[tuple[int, int, int]]] = {t: [] for t in chosen}
+    for i, own in enumerate(texts):
+        for q, t in enumerate(own):
+            if t in places:
+                places[t].append((i, q, max(1, len(own) // 64)))
+    spots = [F.array(*(F.struct(F.lit(i).alias("template"), F.lit(q).alias("q"), F.lit(g).alias("grid")) for i, q, g in places[t])) for t in chosen]
+    of_term = F.map_from_arrays(F.lit(chosen), F.array(*spots))
+    any_anchor = "(?:^|[^a-z0-9])(?:" + "|".join(map(re.escape, chosen)) + ")(?:$|[^a-z0-9])"
+    told = files.select("id", "text", F.lower("text").alias("lower"), F.xxhash64("text").alias("row")).filter(F.col("lower").rlike(any_anchor) | F.col("lower").contains("spdx-license-identifier"))
+    told = told.dropDuplicates(["id", "row"]).select("id", "row", F.regexp_extract_all("text", F.lit(SPDX_LINE), F.lit(1)).alias("spdx"), F.regexp_extract_all("lower", F.lit(TERM), F.lit(0)).alias("said"))
+    told = told.withColumn("total", F.size("said"))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest("total", F.lit(1)) - 1, F.lit(SEGMENT)), lambda at: F.struct(at.alias("at"), F.slice("said", at + 1, SEGMENT + longest).alias("said")))
+    parts = told.select("id", "row", "total", F.when(F.size("spdx") > 0, F.col("spdx")).alias("spdx"), F.explode(cut).alias("part")).select("id", "row", "total", F.when(F.col("part.at") == 0, F.col("spdx")).alias("spdx"), "part.*")
+
+    def starts(term, p):
+        def start(spot):  # a block that would start before the text starts with it
+            first = F.when(F.col("at") == 0, F.greatest(p - spot["q"], F.lit(0))).otherwise(p - spot["q"])
+            return (spot["template"] * SPOTS + F.floor(first / spot["grid"]).cast("int") * spot["grid"]).cast("long")  # numbers, as equal structs are slow to find
+
+        return F.transform(F.coalesce(F.try_element_at(of_term, term), F.array().cast("array<struct<template:int,q:int,grid:int>>")), start)
+
+    found = F.array_distinct(F.flatten(F.transform("said", starts)))
+    blocks = parts.select("id", "row", "total", "at", "said", F.explode(found).alias("b"))
+    blocks = blocks.withColumn("template", F.round(F.col("b") / SPOTS).cast("int")).withColumn("start", (F.col("b") - F.col("template") * SPOTS).cast("int")).filter(F.col("start").between(0, SEGMENT - 1))
+    blocks = blocks.join(F.broadcast(info), "template").withColumn("block", F.slice("said", F.col("start") + 1, F.col("length")))
+    blocks = blocks.filter((F.size(F.array_except("required", "block")) == 0) & (F.size(F.array_intersect("terms", "block")) >= F.col("least")))
+    key = ["id", "row", "total", "template", "license", "start"]
+    counted = blocks.select("id", "row", "total", "template", "license", (F.col("at") + F.col("start")).alias("start"), F.explode("block").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("n"))
+    weights = spark.createDataFrame(rows, "template int, term string, weight double")
+    terms = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
+    part = F.col("n") * F.coalesce("idf", F.lit(other))
+    scored = counted.join(terms, "term", "left").join(weights, ["template", "term"], "left").groupBy(*key).agg((F.sum(part * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(part**2))).alias("score"), F.sum("n").alias("words"))
+    kind = F.when(F.col("words") >= WHOLE, BY_NOTICE).otherwise(BY_SENTENCE).alias("kind")
+    scored = scored.withColumn("score", F.round("score", 9)).filter(F.col("score") >= threshold).select("id", "row", "total", "words", "license", "score", kind)
+    lines = parts.select("id", "row", "total", F.explode("spdx").alias("said"))
+    known = F.create_map(*(F.lit(x) for pair in SPDX.items() for x in pair))
+    lines = lines.select("id", "row", "total", F.lit(2).cast("long").alias("words"), F.coalesce(F.try_element_at(known, F.lower("said")), "said").alias("license"), F.lit(1.0).alias("score"), F.lit(BY_SPDX).alias("kind"))
+    return scored.unionByName(lines)
+
+
 def parent(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
 
@@ -108,13 +199,18 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     """(doc_id, path, license, score, evidence, licensed_by) of each file row.
 
     ``evidence`` is file or header for a statement of its own, inherited, or none; ``licensed_by`` is the directory whose
-    licence applies. Of several statements the closest counts, then the first licence by name. Null and empty texts state
+    licence applies. Of several statements SPDX lines count before notices and these before sentences, then
+    the closest, then the first licence by name. Null and empty texts state
     nothing and inherit; a null path is the root. Rows that repeat an id share their statements.
     """
     rows = files.select(common.id_key(files[id_col]).alias("id"), F.coalesce(files[path_col], F.lit("")).alias("path"), files[text_col].alias("text"))
     found = stage(statements(rows.select("id", "text"), threshold), "statements")
-    closest = F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best")
-    texts = found.groupBy("id", "row", "total").agg(closest, F.sum("words").alias("stated"))
+    told = stage(notices(rows.select("id", "text"), threshold), "notices")
+    found = found.select("id", "row", "total", "words", "license", "score", F.lit(BY_SENTENCE).alias("kind"), F.lit(True).alias("apart"))
+    found = found.unionByName(told.withColumn("apart", F.lit(False)))  # notices can overlap each other and sentences
+    closest = F.min(F.struct("kind", (-F.col("score")).alias("score"), "license")).alias("best")
+    stated = F.greatest(F.sum(F.when(F.col("apart"), F.col("words"))), F.max(F.when(~F.col("apart"), F.col("words"))))
+    texts = found.groupBy("id", "row", "total").agg(closest, stated.alias("stated"))
     own = texts.groupBy("id").agg(F.min("best").alias("best"), F.sum("stated").alias("stated"), F.sum("total").alias("total"))
     own = own.select("id", F.col("best.license").alias("own"), (-F.col("best.score")).alias("own_score"), "stated", "total")
     narrow = rows.select("id", "path", parent(F.col("path")).alias("dir"))
