@@ -20,8 +20,10 @@ from panelcast.sources.staging import stage
 
 #: Buckets that letter trigrams are hashed into.
 BUCKETS = 1 << 15
-#: Labelled rows that the trigram model is fitted on, about; all other counts cover every row.
-SAMPLE_ROWS = 20_000
+#: Distinct labelled texts of each language that the trigram model is fitted on, about; all other counts cover every row.
+LABEL_ROWS = 5_000
+#: Parts of the range of hashes by which texts are drawn.
+PARTS = 1 << 40
 #: Trigrams beyond which more text adds little: neighbouring trigrams are not independent.
 ENOUGH = 300
 #: Strength of smoothing: pseudo-counts a level inherits from the level above, and of a declaration's confusion counts.
@@ -41,16 +43,17 @@ def trigrams(text: bytes) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, label_rows: int = LABEL_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities per language and bucket) from (text, label) rows.
 
-    Rows are drawn by a hash of the text, at a rate that gives about ``sample_rows``; whole texts are counted. The result
-    has a bounded size, whatever the table. Without labelled rows there is no language.
+    Of each label's distinct texts about ``label_rows`` are drawn by a hash of the text, all of them where there are
+    fewer, so a label is known however rare it is and a copied text counts once. Whole texts are counted. The result's
+    size follows from the number of labels, not of rows. Without labelled rows there is no language.
     """
-    rows = labelled.filter("label is not null and text is not null")
-    total = rows.count()
-    rate = min(1.0, sample_rows / max(1, total))
-    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate * (1 << 20))
+    rows = labelled.filter("label is not null and text is not null").select("label", "text", F.xxhash64("text").alias("hash"))
+    sizes = rows.select("label", "hash").distinct().groupBy("label").agg(F.count("*").alias("size"))
+    shares = stage(sizes.select("label", F.least(F.lit(1.0), label_rows / F.col("size")).alias("share")), "label-shares")
+    drawn = rows.join(F.broadcast(shares), "label").filter(F.pmod("hash", F.lit(PARTS)) < F.col("share") * PARTS).groupBy("label", "hash").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -176,15 +179,15 @@ def document_evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.select(common.id_key(docs[id_col]).alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("declared"), F.lit(None).cast("string").alias("suffix"), docs[host_col].alias("host"))
 
 
-def identify_documents(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def identify_documents(docs: DataFrame, label_rows: int = LABEL_ROWS) -> DataFrame:
     """(doc_id, lang, confidence, accepted, by_text) of documents, the model fitted on a sample of their declarations."""
-    languages, table = fit(docs.select(docs["text"], F.lower(F.trim(docs["lang"])).alias("label")), sample_rows)
+    languages, table = fit(docs.select(docs["text"], F.lower(F.trim(docs["lang"])).alias("label")), label_rows)
     found = identify(document_evidence(docs), languages, table)
     return found.select(common.public_id(F.col("id")).alias("doc_id"), "lang", "confidence", "accepted", "by_text")
 
 
-def accepted_documents(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def accepted_documents(docs: DataFrame, label_rows: int = LABEL_ROWS) -> DataFrame:
     """Documents whose language is known, columns as they were. Rows that repeat an id stay if one of them is accepted."""
-    good = identify_documents(docs, sample_rows).filter("accepted").select(common.id_key(F.col("doc_id")).alias("k")).distinct()
+    good = identify_documents(docs, label_rows).filter("accepted").select(common.id_key(F.col("doc_id")).alias("k")).distinct()
     mark = common.fresh(docs, "accepted_doc")
     return docs.withColumn(mark, common.id_key(docs["doc_id"])).join(good.withColumnRenamed("k", mark), mark, "left_semi").drop(mark)
