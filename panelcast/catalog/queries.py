@@ -1112,8 +1112,8 @@ def sink_analysis(spark, d):
 
 # ---- models ---------------------------------------------------------------------------------------------------
 
-#: Trials of the registered search; ``sample_settings`` makes 50 unless told otherwise.
-TRIALS = 3
+#: Trials of the registered search, as many as ``sample_settings`` makes by default and as the reference's search.
+TRIALS = 50
 
 
 def _split_features(spark, d):
@@ -1162,691 +1162,6 @@ def tune_gbt(spark, d):
     return trials.select("trial", "params", (F.col("mae") > 0).cast("int").alias("scored"))
 
 
-@query
-def ablation_features(spark, d):
-    """The feature table without weather."""
-    return b.features(spark, d).select("route", "date", *of.ablated(config.TABULAR_FEATURES))
-
-
-@query
-def split_by_time(spark, d):
-    out = oc.split_by_time(of.lag_features(b.panel(spark, d)), b.CUT, ["lag_28_arr_delay", config.TARGET])
-    return out.groupBy("route", "split").agg(
-        F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
-    )
-
-
-@query
-def drop_incomplete(spark, d):
-    out = oc.drop_incomplete(of.lag_features(b.panel(spark, d)), config.LAG_FEATURES)
-    return out.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"))
-
-
-# ---- baselines ------------------------------------------------------------------------------------------------
-
-
-def _history(spark, d):
-    return b.staged_panel(spark, d).select("route", "date", config.TARGET)
-
-
-@query
-def naive_fit(spark, d):
-    """Training medians per route and, under a null route, over all rows."""
-    train = _history(spark, d).filter(F.col("date") < cal.day(b.CUT.train_end))
-    return ob.fit_medians(train)
-
-
-@query
-def naive_forecast(spark, d):
-    return ob.predict(_history(spark, d), {"pred": ob.naive()}, b.CUT.train_end)
-
-
-@query
-def seasonal_naive(spark, d):
-    return ob.predict(_history(spark, d), {"pred": ob.seasonal_naive()}, b.CUT.train_end)
-
-
-@query
-def moving_average(spark, d):
-    models = {f"ma_{k}": ob.moving_average(window=k) for k in (7, 14, 28)}
-    return ob.predict(_history(spark, d), models, b.CUT.train_end)
-
-
-@query
-def map_lookup_fill(spark, d):
-    """The weekly forecast with the training median where there is none, and whether it was needed."""
-    history = _history(spark, d)
-    own = ob.predict(history, {"own": ob.seasonal_naive()}).select("route", "date", F.col("own").isNull().cast("int").alias("filled"))
-    out = ob.predict(history, {"pred": ob.seasonal_naive()}, b.CUT.train_end)
-    return out.select("route", "date", "pred").join(own, ["route", "date"])
-
-
-@query
-def naive_in_split(spark, d):
-    """Fold predictions that look back only inside the test slice, with fallback; one slice overlaps two others."""
-    return fo.fold_baselines(b.staged_panel(spark, d), b.OVERLAPPING)
-
-
-@query
-def naive_no_fallback(spark, d):
-    models = {"naive": ob.naive(), "ma": ob.moving_average(window=7)}
-    return ob.predict_in_slice(b.panel(spark, d), models, b.CUT.test_start)
-
-
-@query
-def baseline_from_features(spark, d):
-    return ob.from_features(of.lag_features(b.panel(spark, d)), b.CUT.test_start)
-
-
-# ---- evaluation -----------------------------------------------------------------------------------------------
-
-
-@query
-def error_columns(spark, d):
-    return b.errors(spark, d).select("route", "date", "model", "error", "abs_error", "pct_error")
-
-
-@query
-def metrics_basic(spark, d):
-    return oe.basic_metrics(b.predictions(spark, d), ["model"])
-
-
-@query
-def metrics_delay(spark, d):
-    return oe.delay_metrics(b.staged_predictions(spark, d), ["model"])
-
-
-@query
-def metrics_overall(spark, d):
-    """One row over all models: the widest group there is."""
-    return oe.delay_metrics(b.staged_predictions(spark, d))
-
-
-@query
-def metrics_by_segment(spark, d):
-    return oe.basic_metrics(b.errors(spark, d), ["model", "time_period", "day_type"])
-
-
-@query
-def metrics_by_all_segments(spark, d):
-    return oe.metrics_by_segments(b.errors(spark, d))
-
-
-@query
-def forecast_metrics_by_route(spark, d):
-    """Published metrics per model and busiest route, and per model over all routes, where the late model has a value."""
-    merged, shown = stage(_two_models(spark, d), "merged"), stage(op.top_routes(b.panel(spark, d), 5, weight="flight_count"), "shown")
-    return publish.forecast_metrics(merged, ["naive", "ma_7", "smooth", "weekly"], shown, ["smooth"])
-
-
-@query
-def metrics_by_route(spark, d):
-    return oe.basic_metrics(b.errors(spark, d), ["model", "route"])
-
-
-@query
-def metrics_by_time_period(spark, d):
-    """By era: the naive forecast over the whole history."""
-    preds = ob.predict(b.panel(spark, d).select("route", "date", config.TARGET), {"pred": ob.naive()})
-    return oe.basic_metrics(oe.error_columns(preds.withColumnRenamed(config.TARGET, "actual"), b.CUT), ["time_period"])
-
-
-@query
-def metrics_by_day_type(spark, d):
-    return oe.basic_metrics(b.errors(spark, d), ["model", "day_type"])
-
-
-@query
-def metrics_by_season(spark, d):
-    return oe.basic_metrics(b.errors(spark, d), ["model", "season"])
-
-
-@query
-def assign_folds(spark, d):
-    rows = fo.assign_folds(b.panel(spark, d).select("route", "date"), b.CUT.folds)
-    return rows.groupBy("fold", "role", "route").agg(
-        F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
-    )
-
-
-@query
-def walk_forward_eval(spark, d):
-    """Delay metrics of the baselines on every fold."""
-    return walk_forward(b.staged_panel(spark, d), b.CUT.folds)
-
-
-def _fold_metrics(spark, d):
-    return walk_forward(b.staged_panel(spark, d), b.CUT.folds)
-
-
-@query
-def fold_summary(spark, d):
-    out = oe.fold_summary(_fold_metrics(spark, d))
-    return out.select("model", "metric", "mean", "std", *[F.col("folds")[i].alias(f"fold_{i + 1}") for i in range(4)])
-
-
-@query
-def worst_forecasts(spark, d):
-    naive = b.errors(spark, d).filter("model = 'naive'")
-    return oe.worst_forecasts(naive, 10)
-
-
-@query
-def residuals_over_time(spark, d):
-    return oe.residuals_over_time(b.errors(spark, d).filter("model = 'ma_7'"))
-
-
-@query
-def segment_box_stats(spark, d):
-    return oe.segment_box_stats(stage(b.errors(spark, d), "errors"), "season")
-
-
-@query
-def segment_box_stats_by_model(spark, d):
-    return oe.segment_box_stats(stage(b.errors(spark, d), "errors"), "model")
-
-
-@query
-def mae_route_season_pivot(spark, d):
-    return oe.mae_route_season(b.errors(spark, d).filter("model = 'ma_7'"))
-
-
-@query
-def seasonal_stats(spark, d):
-    return oe.seasonal_stats(b.errors(spark, d).filter("model = 'ma_7'"))
-
-
-FAMILIES = {"smooth": ["ma_7", "ma_14", "ma_28"], "last": ["naive", "seasonal_7"]}
-
-
-@query
-def family_gap(spark, d):
-    return oe.family_gap(b.errors(spark, d), FAMILIES)
-
-
-@query
-def family_gap_by_season(spark, d):
-    return oe.family_gap(b.errors(spark, d), FAMILIES, by=("season",))
-
-
-@query
-def paired_t_test(spark, d):
-    return oe.paired_t_test(b.predictions(spark, d), ["ma_7", "ma_14", "ma_28", "naive", "seasonal_7"])
-
-
-@query
-def route_metric_extremes(spark, d):
-    by_route = oe.delay_metrics(b.predictions(spark, d), ["model", "route"])
-    return oe.route_metric_extremes(by_route, "mae")
-
-
-@query
-def fit_improvement(spark, d):
-    metrics = stage(oe.delay_metrics(b.staged_predictions(spark, d), ["model"]), "metrics")
-    return oe.improvement(metrics)
-
-
-@query
-def loss_argmin(spark, d):
-    """Lowest fold error of each baseline over the folds."""
-    trials = stage(_fold_metrics(spark, d), "trials")
-    return oe.loss_argmin(trials, ("model",), "fold", "mae")
-
-
-@query
-def leaderboard(spark, d):
-    return oe.leaderboard(oe.delay_metrics(b.staged_predictions(spark, d), ["model"]), ("naive", "seasonal_7"))
-
-
-@query
-def canonical_model_order(spark, d):
-    metrics = oe.basic_metrics(b.predictions(spark, d), ["model"])
-    return oe.canonical_order(metrics.select("model", "mae"), ["ma_7", "ma_14", "naive"])
-
-
-# ---- prediction tables ----------------------------------------------------------------------------------------
-
-
-def _two_models(spark, d):
-    panel = b.staged_panel(spark, d)
-    wide = stage(b.wide_predictions(panel), "wide")
-    late = wide.filter(F.col("date") >= cal.day("2000-08-01"))
-    models = {
-        "smooth": late.select("route", "date", F.col("ma_28").alias("pred")),
-        "weekly": wide.select("route", "date", F.col("seasonal_7").alias("pred")),
-    }
-    return pr.merge_predictions(wide.select("route", "date", "actual", "naive", "ma_7"), models)
-
-
-@query
-def merge_predictions(spark, d):
-    return _two_models(spark, d)
-
-
-@query
-def align_predictions(spark, d):
-    return pr.align_predictions(_two_models(spark, d), ["smooth"]).select("route", "date", "actual", "smooth")
-
-
-@query
-def history_plus_forecast(spark, d):
-    panel = b.staged_panel(spark, d)
-    forecast = b.wide_predictions(panel).select("route", "date", "actual", F.col("ma_7").alias("pred"))
-    return pr.history_plus_forecast(panel, forecast, b.CUT.test_start)
-
-
-def _series(spark, d):
-    panel = b.staged_panel(spark, d)
-    forecast = b.wide_predictions(panel).select("route", "date", "actual", F.col("ma_7").alias("pred"))
-    return stage(pr.history_plus_forecast(panel, forecast, b.CUT.test_start), "series")
-
-
-@query
-def brush_range(spark, d):
-    return oc.brush_range(_series(spark, d), b.CUT.test_start)
-
-
-@query
-def brush_y_extent(spark, d):
-    return oc.y_extent(oc.brush_range(_series(spark, d), b.CUT.test_start))
-
-
-@query
-def city_pairs(spark, d):
-    return pr.city_pairs(b.delays(spark, d).select("route").distinct())
-
-
-@query
-def directional_routes(spark, d):
-    return pr.directional_routes(pr.city_pairs(b.delays(spark, d).select("route").distinct()))
-
-
-@query
-def city_pair_hit_rate(spark, d):
-    panel = b.staged_panel(spark, d)
-    preds = ob.to_long(b.wide_predictions(panel), b.MODELS).filter("model = 'ma_28'")
-    return pr.city_pair_hit_rate(panel.select("route").distinct(), oe.delay_metrics(preds, ["route"]))
-
-
-# ---- insights -------------------------------------------------------------------------------------------------
-
-
-@query
-def weather_impact_by_severity(spark, d):
-    return oi.weather_impact(of.impute_weather(b.weather_panel(spark, d), b.CUT.train_end))
-
-
-@query
-def weighted_corr(spark, d):
-    return oi.weather_correlations(b.weather_panel(spark, d))
-
-
-@query
-def corr_by_abs(spark, d):
-    ranked = oi.weather_correlations(b.weather_panel(spark, d))
-    order = W.partitionBy(F.lit(0)).orderBy(F.desc(F.abs("correlation")), "variable")
-    return ranked.select("variable", F.row_number().over(order).alias("rank"))
-
-
-@query
-def top_carriers(spark, d):
-    return oi.top_carriers(b.carriers(spark, d), excluded=b.EXCLUDED_CARRIERS)
-
-
-@query
-def carrier_performance(spark, d):
-    return oi.carrier_performance(b.carriers(spark, d), excluded=b.EXCLUDED_CARRIERS)
-
-
-@query
-def carrier_cancel_join(spark, d):
-    """Delay statistics over completed flights next to the cancel rate over all flights."""
-    return oi.carrier_performance(b.carriers(spark, d), excluded=b.EXCLUDED_CARRIERS).select("code", "avg_delay", "n_flights", "cancel_rate")
-
-
-@query
-def legend_label(spark, d):
-    """Carrier names with corporate suffixes, as legends show them."""
-    names = b.carriers(spark, d).groupBy("REPORTING_AIRLINE").agg(F.count(F.lit(1)).alias("n"))
-    full = F.concat(F.col("REPORTING_AIRLINE"), F.lit("  Air Co, Inc."))
-    return names.select("REPORTING_AIRLINE", full.alias("name")).select(
-        "REPORTING_AIRLINE", tx.legend_label("name").alias("label"), tx.carrier_name("REPORTING_AIRLINE").alias("carrier")
-    )
-
-
-@query
-def sort_carriers(spark, d):
-    return oi.sort_carriers(oi.carrier_performance(b.carriers(spark, d), excluded=b.EXCLUDED_CARRIERS), "avg_delay").select("code", "rank", "avg_delay")
-
-
-@query
-def mean_by_key(spark, d):
-    keyed = b.weather_panel(spark, d).withColumns({
-        "day_of_week": F.weekday("date"), "month": F.month("date"),
-        "severity": F.col("weather_severity_max").cast("int"),
-        "period": cal.era_label(b.CUT, with_recovery=True),
-    })
-    return oi.mean_by_keys(keyed, ["date", "day_of_week", "month", "route", "severity", "period"])
-
-
-@query
-def mean_by_holiday(spark, d):
-    days = of.holiday_features(b.panel(spark, d), cal.federal_holidays(spark, *b.HOLIDAY_YEARS))
-    return oi.mean_by_keys(days, ["is_federal_holiday", "is_school_break"])
-
-
-@query
-def severity_spine_mean(spark, d):
-    return oi.severity_spine_mean(b.weather_panel(spark, d))
-
-
-@query
-def era_means(spark, d):
-    return oi.era_means(b.panel(spark, d), b.CUT)
-
-
-@query
-def route_summary_stats(spark, d):
-    return oi.route_summary(b.panel(spark, d))
-
-
-@query
-def snow_days(spark, d):
-    return oc.snow_days(b.weather_panel(spark, d))
-
-
-@query
-def daily_mean_rolling30(spark, d):
-    return op.rolling_daily_mean(b.panel(spark, d))
-
-
-@query
-def corr_matrix(spark, d):
-    return oi.correlation_matrix(b.weather_panel(spark, d))
-
-
-@query
-def target_correlations(spark, d):
-    return oi.target_correlations(b.weather_panel(spark, d))
-
-
-@query
-def lag_correlations(spark, d):
-    out = of.lag_features(b.panel(spark, d))
-    return oi.correlation_matrix(out, [config.TARGET, *[f"lag_{k}_arr_delay" for k in config.LAGS]])
-
-
-@query
-def histogram(spark, d):
-    return oi.histogram(b.staged_panel(spark, d), config.TARGET)
-
-
-@query
-def autocorrelation(spark, d):
-    return oi.autocorrelation(op.daily_series(b.panel(spark, d)))
-
-
-@query
-def autocorrelation_by_route(spark, d):
-    return oi.autocorrelation(b.panel(spark, d), key="route")
-
-
-@query
-def partial_autocorrelation(spark, d):
-    return oi.partial_autocorrelation(oi.autocorrelation(op.daily_series(b.panel(spark, d))))
-
-
-IMPORTANCE_COLUMNS = [*config.TABULAR_FEATURES, "flight_count"]
-
-
-def _importance(spark, d):
-    recent = F.col("date") >= cal.day(b.CUT.test_start)
-    table = oi.correlation_importance(b.features(spark, d), IMPORTANCE_COLUMNS, splits={"train": ~recent, "test": recent})
-    return stage(table, "importance")
-
-
-@query
-def importance_share(spark, d):
-    return oi.importance_share(_importance(spark, d))
-
-
-@query
-def feature_rank(spark, d):
-    return oi.feature_rank(_importance(spark, d))
-
-
-@query
-def importance_category_join(spark, d):
-    return oi.with_category(_importance(spark, d))
-
-
-@query
-def importance_by_category(spark, d):
-    return oi.importance_by_category(_importance(spark, d))
-
-
-# ---- scaling and sequences ------------------------------------------------------------------------------------
-
-def _sequence_rows(spark, d):
-    """The 26 sequence features, staged."""
-    return stage(b.features(spark, d).select("route", "date", *config.SEQUENCE_FEATURES), "sequence-rows")
-
-
-def _steps(windows):
-    """Every step of every matrix, as rows."""
-    steps = windows.select("route", "date", "target", F.posexplode("x").alias("step", "f"))
-    cells = [F.col("f")[i].alias(f"x_{c}") for i, c in enumerate(config.SEQUENCE_FEATURES)]
-    return steps.select("route", "date", "step", "target", *cells)
-
-
-@query
-def standard_scaler(spark, d):
-    """Training statistics of all sequence features, z-scores with them, and the way back."""
-    rows = _sequence_rows(spark, d)
-    columns = config.SEQUENCE_FEATURES
-    stats = stage(fo.scaler_stats(rows.filter(F.col("date") < cal.day(b.CUT.train_end)), columns), "scaler")
-    scaled = fo.scale(rows, stats, columns).withColumn("back", F.col(config.TARGET))
-    out = fo.inverse_scale(scaled, stats, config.TARGET, ["back"])
-    return out.select("route", "date", *columns, "back")
-
-
-@query
-def sequence_windows(spark, d):
-    return _steps(fo.sequence_windows(_sequence_rows(spark, d), config.SEQUENCE_FEATURES, start=b.CUT.test_start, end=b.CUT.test_end))
-
-
-@query
-def sequence_windows_in_split(spark, d):
-    return _steps(fo.sequence_windows(
-        _sequence_rows(spark, d), config.SEQUENCE_FEATURES, start=b.CUT.test_start, end=b.CUT.test_end, in_split=True
-    ))
-
-
-# ---- files in and out -----------------------------------------------------------------------------------------
-
-
-def _flight_files(spark, d):
-    """The flights as CSV files with two headers: one carrier column name before 1998, the other one after."""
-    path = scratch_path(spark, "flights-csv")
-    fl = stage(b.flights(spark, d).drop("route").withColumn("TAIL_NUM", F.lit("N1")), "flights")
-    early = F.col("FL_DATE") < cal.day("1998-01-01")
-    fl.filter(early).write.option("header", True).csv(f"{path}/early")
-    fl.filter(~early).withColumnRenamed("REPORTING_AIRLINE", "OP_UNIQUE_CARRIER").write.option("header", True).csv(f"{path}/late")
-    return f"{path}/*/*.csv"
-
-
-@query
-def scan_flights_csv(spark, d):
-    """Flight files of two layouts read by name, cleaned and aggregated."""
-    raw = sf.scan_flights_csv(spark, _flight_files(spark, d))
-    return oc.clean_flights(raw).groupBy("route", "REPORTING_AIRLINE").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("CANCELLED").alias("cancelled"), F.sum("ARR_DELAY").alias("arr_delay")
-    )
-
-
-@query
-def scan_all_columns(spark, d):
-    """All columns as they stand in the files, summed per layout, day and destination."""
-    raw = sf.scan_all_columns(spark, _flight_files(spark, d))
-    return raw.groupBy("TAIL_NUM", F.col("OP_UNIQUE_CARRIER").isNull().cast("int").alias("early"), "FL_DATE", "DEST").agg(
-        F.count(F.lit(1)).alias("n"), F.count("REPORTING_AIRLINE").alias("n_reporting"), F.count("ARR_DELAY").alias("n_arrived"),
-        F.sum(F.col("DEP_DELAY").cast("double")).alias("dep_delay"), F.sum(F.col("DISTANCE").cast("double")).alias("distance"),
-    )
-
-
-@query
-def union_files(spark, d):
-    """Bag union by name: a column one side lacks is null there."""
-    fl = b.flights(spark, d)
-    early = F.col("FL_DATE") < cal.day("1998-01-01")
-    both = fl.filter(early).drop("DISTANCE").unionByName(fl.filter(~early), allowMissingColumns=True)
-    return both.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.count("DISTANCE").alias("n_distance"))
-
-
-@query
-def scan_weather(spark, d):
-    """Daily weather written as CSV and read with its schema."""
-    daily = starschema.daily_weather(starschema.hourly_weather(spark, d)).select(*sw.DAILY_SCHEMA.fieldNames())
-    path = scratch_path(spark, "weather-csv")
-    daily.write.option("header", True).csv(path)
-    return sw.scan_weather(spark, path)
-
-
-@query
-def scan_features(spark, d):
-    """Lag features written as a table and read back: only the used columns are scanned."""
-    path = scratch_path(spark, "features")
-    st.write_panel(of.lag_features(b.panel(spark, d)), path)
-    return st.read_panel(spark, path).select("route", "date", "lag_7_arr_delay", "ewm_7_arr_delay")
-
-
-@query
-def sink_panel(spark, d):
-    """The panel written by route, as Parquet and as CSV, and read back."""
-    panel = b.panel(spark, d).select("route", "date", "flight_count", "avg_arr_delay")
-    path, text = scratch_path(spark, "panel-out"), scratch_path(spark, "panel-csv")
-    st.write_panel(panel, path)
-    st.write_panel(panel, text, "csv")
-    n = st.read_panel(spark, text, panel.schema, "csv").groupBy("route").agg(F.count(F.lit(1)).alias("n_csv"))
-    out = st.read_panel(spark, path).groupBy("route").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("flight_count").alias("flights"), F.avg("avg_arr_delay").alias("delay")
-    )
-    return out.join(n, "route")
-
-
-def _forecast_files(spark, d):
-    panel = b.staged_panel(spark, d)
-    wide = stage(b.wide_predictions(panel), "wide")
-    shown = stage(op.top_routes(panel, 5, weight="flight_count"), "shown")
-    path = scratch_path(spark, "forecast")
-    metrics = publish.forecast_metrics(wide, b.MODELS, shown)
-    folds = publish.published_metrics(walk_forward(panel, b.CUT.folds))
-    publish.write_forecast(panel, wide, shown, b.MODELS, b.CUT, path, metrics, folds)
-    return path
-
-
-@query
-def sink_nested_forecast(spark, d):
-    """Forecast documents of the busiest routes, written and read back: every day of history and forecast."""
-    docs = publish.read_forecast(spark, _forecast_files(spark, d), b.MODELS)
-    ahead = docs.select("route", F.inline("predictions")).withColumn("part", F.lit("forecast"))
-    return ahead.unionByName(docs.select("route", F.inline("historical")).withColumn("part", F.lit("history")), allowMissingColumns=True)
-
-
-@query
-def sink_forecast_sections(spark, d):
-    """The metrics and walk-forward sections of the forecast, read back."""
-    path = _forecast_files(spark, d)
-    values = "mae double, within_15 double, rmse double, mape double, median_ae double, threshold_acc double, r2 double"
-    metrics = spark.read.schema(f"model string, route string, {values}").json(f"{path}/metrics")
-    folds = spark.read.schema(f"model string, fold int, {values}").json(f"{path}/walk_forward")
-    return metrics.withColumnRenamed("route", "key").unionByName(folds.withColumn("key", F.col("fold").cast("string")).drop("fold"))
-
-
-@query
-def forecast_metadata(spark, d):
-    return publish.metadata(b.panel(spark, d), b.CUT)
-
-
-@query
-def sink_report(spark, d):
-    """The error report of the moving average, written and read back."""
-    errors = stage(b.errors(spark, d).filter("model = 'ma_7'"), "errors")
-    path = scratch_path(spark, "report")
-    report = publish.error_report(errors)
-    report.write.parquet(path)
-    return spark.read.schema(report.schema).parquet(path)
-
-
-@query
-def sink_analysis(spark, d):
-    """The analysis documents written as JSON lines and read back: every number of every section."""
-    feats = stage(b.features(spark, d).select("date", *config.TABULAR_FEATURES, config.TARGET, "flight_count"), "features")
-    importance = stage(oi.correlation_importance(feats, IMPORTANCE_COLUMNS), "importance")
-    path = scratch_path(spark, "analysis")
-    publish.analysis_documents(feats, b.carriers(spark, d), importance, excluded=b.EXCLUDED_CARRIERS).write.json(path)
-    docs = spark.read.schema("name string, section string, body string").json(path)
-    entries = docs.select("name", "section", F.explode(F.from_json("body", "array<map<string, string>>")).alias("e"))
-    label = F.coalesce(F.col("e")["severity"], F.col("e")["variable"], F.col("e")["code"], F.col("e")["feature"])
-    numbers = ["avg_delay", "n_flights", "high_delay_pct", "correlation", "on_time_pct", "cancel_rate", "severe_delay_pct", "share", "rank", "n_features"]
-    cells = F.array(*[F.struct(F.lit(n).alias("metric"), F.col("e")[n].cast("double").alias("value")) for n in numbers])
-    return entries.select("name", "section", label.alias("label"), F.inline(cells)).filter("value is not null")
-
-
-# ---- models ---------------------------------------------------------------------------------------------------
-
-#: Trials of the registered search; ``sample_settings`` makes 50 unless told otherwise.
-TRIALS = 3
-
-
-def _split_features(spark, d):
-    rows = oc.split_by_time(b.features(spark, d), b.CUT, [*config.TABULAR_FEATURES, config.TARGET])
-    return stage(rows.select("route", "date", "split", config.TARGET, *config.TABULAR_FEATURES), "split")
-
-
-def _beats_last_value(scored, keys):
-    """Per key the scored rows and whether their mean squared error, which the trees minimise, is below that of yesterday's
-    value."""
-    error = lambda c: F.avg((F.col(c) - F.col("actual")) ** 2)
-    return scored.groupBy(*keys).agg(F.count("pred").alias("n_scored"), (error("pred") < error("lag_1_arr_delay")).cast("int").alias("beats_naive"))
-
-
-@query
-def fit_gbt(spark, d):
-    """A boosted model on all 63 features: the rows it was fitted on, a row per feature, and the sum of all importances."""
-    rows = _split_features(spark, d)
-    table = stage(fc.importance_table(spark, fc.fit_gbt(rows, config.TABULAR_FEATURES), config.TABULAR_FEATURES, "gbt"), "importance")
-    counts = rows.agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"))
-    one = table.agg(F.round(F.sum("importance"), 6).alias("total"), F.min("importance").alias("least")).filter("least >= 0").drop("least")
-    return table.select("model", "feature").crossJoin(counts).crossJoin(one)  # two tables of one row
-
-
-@query
-def predict_tabular(spark, d):
-    """Every test row with its actual value, and whether it was scored."""
-    rows = _split_features(spark, d)
-    model = fc.fit_gbt(rows, config.TABULAR_FEATURES)
-    scored = fc.predict_tabular(model, rows.filter("split = 'test'"), config.TABULAR_FEATURES)
-    return scored.select("route", "date", "actual", F.col("pred").isNotNull().cast("int").alias("scored"))
-
-
-@query
-def walk_forward_gbt(spark, d):
-    """Boosted trees on all features on every fold: rows scored, and the error against yesterday's value."""
-    rows = stage(b.features(spark, d).select("route", "date", config.TARGET, *config.TABULAR_FEATURES), "features")
-    preds = fc.walk_forward_gbt(rows, config.TABULAR_FEATURES, b.CUT.folds)
-    return _beats_last_value(preds.join(rows.select("route", "date", "lag_1_arr_delay"), ["route", "date"]), ["model", "fold"])
-
-
-@query
-def tune_gbt(spark, d):
-    """Random settings of the documented space: their text, and whether each beats yesterday's value on the validation rows."""
-    rows = _split_features(spark, d)
-    trials = fc.tune_gbt(rows, config.TABULAR_FEATURES, fc.sample_settings(TRIALS))
-    naive = rows.filter("split = 'val'").agg(F.avg(F.abs(F.col("lag_1_arr_delay") - F.col(config.TARGET)))).scalar()
-    return trials.select("trial", "params", (F.col("mae") < naive).cast("int").alias("beats_naive"))
-
-
 @query
 def ablation(spark, d):
     """Boosted trees with all features and without the 28 of the weather."""
