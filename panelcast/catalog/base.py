@@ -19,7 +19,9 @@ OVERLAPPING = (*CUT.folds, Fold(5, "1999-01-01", "1999-04-01", "1999-04-01", "19
 #: Carriers that reports leave out.
 EXCLUDED_CARRIERS = ["Brand#11", "Brand#1", "Brand#2", "Brand#3"]
 HOLIDAY_YEARS = (1995, 2002)
-N_ROUTES = 10
+#: Routes of the panel, as the library's default; ``TOP_ROUTES`` is the k of the queries that are about the busiest few.
+N_ROUTES = 50
+TOP_ROUTES = 10
 DIGITS = 6
 MODELS = ["naive", "seasonal_7", "ma_7", "ma_14", "ma_28"]
 

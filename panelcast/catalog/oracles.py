@@ -1,7 +1,7 @@
 """SQL twins of the registered queries, for DuckDB over the same tables."""
 
 from panelcast import config
-from panelcast.catalog.base import CUT, DIGITS, EXCLUDED_CARRIERS, N_ROUTES, OVERLAPPING
+from panelcast.catalog.base import CUT, DIGITS, EXCLUDED_CARRIERS, N_ROUTES, OVERLAPPING, TOP_ROUTES
 from panelcast.operators.insights import CATEGORIES
 
 ORACLES = {}
@@ -108,11 +108,11 @@ FROM flights GROUP BY 1, 2""")
 sql("coalesce_carrier", FLIGHTS, "SELECT REPORTING_AIRLINE, count(*) AS n FROM flights GROUP BY 1")
 sql("split_route", FLIGHTS, "SELECT ORIGIN AS airport1, DEST AS airport2, count(*) AS n FROM flights GROUP BY 1, 2")
 sql("top_routes", FLIGHTS, f"""
-SELECT route, count(*) AS flight_count FROM flights GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {N_ROUTES}""")
+SELECT route, count(*) AS flight_count FROM flights GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {TOP_ROUTES}""")
 sql("top_display_routes", PANEL, """
 SELECT route, CAST(sum(flight_count) AS BIGINT) AS flight_count FROM panel GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
 sql("filter_top_routes", FLIGHTS + f""",
-t AS (SELECT route FROM flights GROUP BY route ORDER BY count(*) DESC, route LIMIT {N_ROUTES})""", """
+t AS (SELECT route FROM flights GROUP BY route ORDER BY count(*) DESC, route LIMIT {TOP_ROUTES})""", """
 SELECT FL_DATE AS date, route, count(*) AS flight_count FROM flights WHERE route IN (FROM t) GROUP BY 1, 2""")
 sql("daily_route_agg", DAILY_ALL, f"""
 SELECT date, route, flight_count, cancelled_count, {rs("avg_dep_delay", "avg_arr_delay", "total_distance")}, carriers,

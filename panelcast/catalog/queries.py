@@ -100,7 +100,7 @@ def split_route(spark, d):
 
 @query
 def top_routes(spark, d):
-    return op.top_routes(b.delays(spark, d), b.N_ROUTES)
+    return op.top_routes(b.delays(spark, d), b.TOP_ROUTES)
 
 
 @query
@@ -111,7 +111,7 @@ def top_display_routes(spark, d):
 @query
 def filter_top_routes(spark, d):
     daily = stage(op.aggregate_daily(b.delays(spark, d)), "daily")
-    kept = oc.filter_routes(daily, op.top_routes(daily, b.N_ROUTES, weight="flight_count"))
+    kept = oc.filter_routes(daily, op.top_routes(daily, b.TOP_ROUTES, weight="flight_count"))
     return kept.select("date", "route", "flight_count")
 
 

@@ -3,7 +3,7 @@
 import ast
 from pathlib import Path
 
-from panelcast.catalog import queries
+from panelcast.catalog import base, queries
 from panelcast.operators import forecasting
 
 
@@ -15,3 +15,8 @@ def test_every_name_is_defined_once():
 
 def test_the_search_is_as_long_as_the_default():
     assert len(forecasting.sample_settings(queries.TRIALS)) == len(forecasting.sample_settings()) == 50
+
+
+def test_the_panel_holds_every_route(spark, sf_dir):
+    routes = base.delays(spark, sf_dir).select("route").distinct().count()
+    assert base.panel(spark, sf_dir).select("route").distinct().count() == routes > base.TOP_ROUTES
