@@ -38,8 +38,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
                 doc, number, start, length, crc, parts = [], [], [], [], [], []
                 for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode_texts(common.raw_texts(batch["text"]), tokenizer, end_id), strict=True):
                     for k, (a, n) in enumerate(cut(len(ids) // 4, capacity)):

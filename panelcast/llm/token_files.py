@@ -28,17 +28,22 @@ ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
+#: UTF-8 bytes of text in a part. The number of parts follows the measured size of the texts.
+PART_BYTES = 64 << 20
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``SCHEMA``: documents by ascending id over range partitions, equal ids by text."""
-    ordered = common.documents(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = common.documents(docs, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, 1 + size // PART_BYTES)
+    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
                 ids = list(encode_texts(common.raw_texts(batch["text"]), tokenizer, end_id))
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -1,8 +1,8 @@
 """Token ids of whole texts by a file of the tokenizers library.
 
 Encoding dominates every job on token ids, and most words of a corpus occur again and again. A text is cut at places where
-the tokenizer's own first step always cuts too, each distinct piece is encoded once per Python worker, and the ids of a
-text are the concatenation. Texts with white space where that rule does not hold, and tokenizers of another build, are
+the tokenizer's own first step always cuts too, which whole columns of texts find at once; each distinct piece is encoded
+once per Python worker, and the ids of a text are gathered from those of its pieces. Texts with white space where that rule does not hold, and tokenizers of another build, are
 encoded whole.
 """
 
@@ -13,15 +13,33 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 #: Distinct pieces kept per worker, about 250 bytes each.
 MEMO_PIECES = 1_200_000
 #: Pieces encoded by one call.
 CALL_PIECES = 256
+#: Pieces looked up together, about 60 bytes each.
+LOOKUP_PIECES = 1_000_000
+#: Texts are encoded together up to this many bytes.
+CALL_BYTES = 12_000_000
 #: White space beyond single blanks and line feeds: here a byte-level tokenizer may join what lies on both sides.
 _ODD_SPACE = re.compile(
     rb"[\x00\t\r\x0b\x0c]|  |\n\n| \n|\n |\A[ \n]|[ \n]\Z|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 )
+#: By byte: 1 blank or line feed, 2 other white space, 3 first byte of a longer space.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[32, 10]], _KIND[[0, 9, 11, 12, 13]], _KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = 1, 2, 3
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Between an ASCII letter and one of these marks every tokenizer here cuts.
+_STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = _LETTER[65:91] = _LETTER[97:123] = True
+#: A piece that the first step leaves as it is, so that the tokenizer's model can take it directly.
+_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Byte-level vocabularies write a byte as its printable Latin-1 character, or else as the next free one from 256.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_CHARACTER = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
 
 
 class Encoder:
@@ -51,19 +69,76 @@ class Encoder:
     def _reset(self) -> None:
         self.memo.clear()
         if self.kind == "blank-first":
-            self.memo |= {b"": b"", b"\n": self.mark}
+            self.memo[b"\n"] = self.mark
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _pieces(self, text: bytes) -> list[bytes] | None:
+    def _split(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all pieces without gaps, where each begins, and the number of the first piece of each text."""
+        blank = raw == 32
         if self.kind == "no-blanks":
-            return text.lower().split()
-        if self.kind == "blank-first" and not _ODD_SPACE.search(text):
-            return text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0")
-        return None
+            blank |= (raw >= 9) & (raw <= 13)
+            raw = _LOWER[raw]
+            begins = ~blank
+            begins[1:] &= blank[:-1]
+            begins[bounds[:-1][bounds[:-1] < len(raw)]] = True
+            begins &= ~blank
+            begins[1:] |= _STOP[raw[1:]] & _LETTER[raw[:-1]]
+            raw, begins, before = raw[~blank], begins[~blank], np.concatenate(([0], np.cumsum(~blank)))
+            bounds = before[bounds]
+        else:
+            line = raw == 10
+            begins = blank | line
+            begins[1:] |= line[:-1] | _STOP[raw[1:]] & _LETTER[raw[:-1]]
+            begins[bounds[:-1][bounds[:-1] < len(raw)]] = True
+        starts = np.flatnonzero(begins)
+        return raw, starts, np.searchsorted(starts, bounds)
+
+    def _odd(self, texts: list[bytes], raw: np.ndarray, bounds: np.ndarray) -> set[int]:
+        """Numbers of the texts that have to be encoded whole."""
+        if self.kind == "no-blanks" or not len(raw):
+            return set()
+        kind = _KIND[raw]
+        space = kind == 1
+        touching = np.flatnonzero(space[1:] & space[:-1])
+        inside = bounds[:-1] < bounds[1:]
+        edges = np.flatnonzero(inside)[space[bounds[:-1][inside]] | space[bounds[1:][inside] - 1]]
+        found = set(edges.tolist()) | set((np.searchsorted(bounds, np.concatenate((touching, np.flatnonzero(kind == 2))), "right") - 1).tolist())
+        for i in set((np.searchsorted(bounds, np.flatnonzero(kind == 3), "right") - 1).tolist()) - found:
+            if _ODD_SPACE.search(texts[i]):
+                found.add(i)
+        return found
+
+    def _lookup(self, raw: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of consecutive pieces, one after the other, and how many each piece has. Each distinct piece is looked up once."""
+        offsets = np.append(starts, end) - starts[0]
+        held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[starts[0] : end])])
+        coded = held.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.memo) > MEMO_PIECES:
+            self._reset()
+        self._learn([p for p in distinct if p not in self.memo])
+        ids = [self.memo[p] for p in distinct]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        firsts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.cumsum(counts)
+        where = np.repeat(firsts[at] - (ends - counts), counts)
+        where += np.arange(len(where))
+        return np.frombuffer(b"".join(ids), "<u4")[where], counts
 
     def _learn(self, pieces: list[bytes]) -> None:
+        rest = []
+        for p in pieces:
+            text = p.decode()
+            if _WORD.fullmatch(text):
+                text = (text.lower() if self.kind == "no-blanks" else text).encode().decode("latin-1").translate(_CHARACTER)
+                self.memo[p] = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+            else:
+                rest.append(p)
+        pieces = rest
         mark = self.between.strip(" ").encode()
         value = np.frombuffer(self.mark, "<u4")[0]
         odd = [p for p in pieces if mark in p]
@@ -86,35 +161,23 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if self.kind == "whole":
             return [self._whole(t.decode()) for t in texts]
-        if len(self.memo) > MEMO_PIECES:
-            self._reset()
-        cut = [self._pieces(t) for t in texts]
-        get = self.memo.get
-        found = [None if c is None else list(map(get, c)) for c in cut]
-        gaps: list[list[int]] = []
-        unknown: set[bytes] = set()
-        for pieces, ids in zip(cut, found, strict=True):
-            own: list[int] = []
-            if ids is not None and None in ids:
-                at, n = ids.index(None), len(ids)
-                while True:
-                    own.append(at)
-                    unknown.add(pieces[at])
-                    try:
-                        at = ids.index(None, at + 1, n)
-                    except ValueError:
-                        break
-            gaps.append(own)
-        self._learn(list(unknown))
-        out = []
-        for text, pieces, ids, own in zip(texts, cut, found, gaps, strict=True):
-            if ids is None:
-                out.append(self._whole(text.decode()))
-                continue
-            for at in own:
-                ids[at] = self.memo[pieces[at]]
-            out.append(b"".join(ids))
-        return out
+        joined = b"".join(texts)
+        bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+        raw = np.frombuffer(joined, np.uint8)
+        odd = self._odd(texts, raw, bounds)
+        if odd:
+            plain = [b"" if i in odd else t for i, t in enumerate(texts)]
+            joined = b"".join(plain)
+            bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))))
+            raw = np.frombuffer(joined, np.uint8)
+        raw, starts, first = self._split(raw, bounds)
+        parts, counts = [b""], [np.zeros(1, np.int64)]
+        for at in range(0, len(starts), LOOKUP_PIECES):
+            some = starts[at : at + LOOKUP_PIECES]
+            ids, each = self._lookup(raw, some, int(starts[at + len(some)]) if at + len(some) < len(starts) else len(raw))
+            parts.append(ids.tobytes()), counts.append(each)
+        ids, ends = b"".join(parts), 4 * np.cumsum(np.concatenate(counts))[first]
+        return [self._whole(t.decode()) if i in odd else ids[a:b] for i, (t, a, b) in enumerate(zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True))]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -127,12 +190,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode_texts(texts, path: str, end_id: int, texts_per_call: int = 256):
+def encode_texts(texts, path: str, end_id: int):
     """Ids with the end id of each text of an iterator, in its order."""
-    tool, end, some = encoder(path), np.array([end_id], "<u4").tobytes(), []
+    tool, end, some, size = encoder(path), np.array([end_id], "<u4").tobytes(), [], 0
     for text in texts:
         some.append(text)
-        if len(some) == texts_per_call:
+        size += len(text)
+        if size >= CALL_BYTES:
             yield from (ids + end for ids in tool.encode(some))
-            some = []
+            some, size = [], 0
     yield from (ids + end for ids in tool.encode(some))
