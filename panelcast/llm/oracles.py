@@ -74,6 +74,35 @@ lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
 SELECT w.doc_id, len(w) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id LEFT JOIN lost ON w.doc_id = lost.doc_id"""
 
+TRIE = f"""
+WITH t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+own AS (
+  SELECT c, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS s FROM t GROUP BY c),
+heads AS (
+  SELECT c, s, c - c % 20 AS base, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, strlen(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+  FROM own),
+cut AS (SELECT c, s, base, xor(crc, 4294967295) % 4 AS h FROM heads),
+paths AS (
+  SELECT x.c, list_concat(coalesce(b.s[:x.h], []), x.s[x.h + 1 :]) AS s FROM cut x LEFT JOIN own b ON b.c = x.base),
+steps AS (SELECT c, unnest(range(len(s) + 1)) AS d, s FROM paths),
+beginnings AS (SELECT c, d, s[:d] AS p, len(s) = d AS ended FROM steps),
+nodes AS (
+  SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN d > 0 THEN len({words("any_value(p)[d].t")}) ELSE 0 END AS own_saved
+  FROM beginnings GROUP BY d, p),
+linked AS (
+  SELECT n.*, u.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes u ON u.d = n.d - 1 AND u.p = n.p[: n.d - 1]),
+kids AS (SELECT parent_conv_id AS conv_id, d - 1 AS d, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY ALL),
+counted AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN kids USING (conv_id, d)),
+sums AS (
+  SELECT a.d, a.p, sum(x.own_saved) AS saved_tokens, count(*) FILTER (x.n_children = 0) AS n_leaves
+  FROM counted x JOIN beginnings a ON a.c = x.conv_id AND a.d <= x.d GROUP BY a.d, a.p)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM counted JOIN sums USING (d, p)"""
+
 ORACLES: dict[str, str] = {
     "op2_line_dedup": LINES,
     "op3_chat_formatting": CHATS,
@@ -81,4 +110,5 @@ ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": LEAKS,
     "op6_license_scan": scan_sql("documents", "concat_ws('/', source, lang, doc_id::VARCHAR)"),
     "op10_substring_dedup": REPEATS,
+    "op13_prefix_trie": TRIE,
 }

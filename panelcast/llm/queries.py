@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bm25, chat, decontaminate, language_id, licenses, line_dedup, near_dedup, packing, substrings, token_files
+from panelcast.llm import bm25, chat, decontaminate, language_id, licenses, line_dedup, near_dedup, packing, prefix_trie, shortest_pack, substrings, token_files, whitening
 from panelcast.sources.staging import scratch_path
 
 QUERIES = {}
@@ -89,3 +89,19 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = bm25.search_documents(docs, docs.filter(F.col("doc_id") % 20 == 0), k=10)
     return found.withColumn("score", F.round("score", 6))
+
+
+@query
+def op11_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shortest_pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=1024)
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened_components(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=8)
+    return found.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
