@@ -6,30 +6,35 @@ from pyspark.sql import functions as F
 from panelcast.config import REGIONAL_CARRIERS
 from panelcast.functions.calendar import day
 
-# Date forms by their shape, tried in this order.
-DATE_FORMS = [
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{8}$", "yyyyMMdd"), (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"), (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"), (r"^[A-Za-z]+ \d{1,2}, \d{4}$", "MMMM d, yyyy"),
-]
+# The date forms, each with its own groups, and an optional time of day behind all of them.
+DATE = (
+    r"^(?:(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})"  # M/d/yyyy, M/d/yy
+    r"|(\d{4})([-/])(\d{1,2})\5(\d{1,2})"  # yyyy-M-d, yyyy/M/d
+    r"|(\d{4})(\d{2})(\d{2})"  # yyyyMMdd
+    r"|(\d{1,2})([- ])([A-Za-z]{3})\12(\d{4})"  # d-MMM-yyyy, d MMM yyyy
+    r"|([A-Za-z]+) (\d{1,2}), (\d{4})"  # MMM d, yyyy, MMMM d, yyyy
+    r")(?:[T ]\d{1,2}:\d{2}.*)?$"
+)
+YEAR_MONTH_DAY = "$3$4$8$14$17|$1$6$9$13$15|$2$7$10$11$16"
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 
 def parse_mixed_date(column):
     """Date of a text in any of the usual forms, with or without a time of day; null and empty texts are null.
 
-    The shape picks the one parser to try, as a failed parse costs an exception per row. Two-digit years are 1969 to
-    2068. Text that is no date raises an error: dropping the row would lose it silently.
+    One replacement takes any form apart into year, month and day (groups of the other forms are empty), month names
+    are looked up in a literal map, and one cast puts the parts together, so all of it stays in generated code and no
+    parser is tried in vain. Two-digit years are 1969 to 2068. Text that is no date raises an error: dropping the row
+    would lose it silently.
     """
-    text = F.nullif(F.regexp_replace(F.trim(F.col(column).cast("string")), r"[T ]\d{1,2}:\d{2}.*$", ""), F.lit(""))
-    day = F.lit(None).cast("date")
-    for shape, form in reversed(DATE_FORMS):
-        parsed = F.to_date(F.try_to_timestamp(F.initcap(text) if "MMM" in form else text, F.lit(form)))
-        if form.endswith("/yy"):
-            parsed = F.when(F.year(parsed) > 2068, F.add_months(parsed, -1200)).otherwise(parsed)
-        day = F.when(text.rlike(shape), parsed).otherwise(day)
-    day = F.when(text.rlike(r"^\d{4}-"), text.try_cast("date")).otherwise(day)
+    text = F.trim(F.col(column).cast("string"))
+    parts = F.split(F.regexp_replace(text, DATE, YEAR_MONTH_DAY), "[|]")
+    year, month, day_of_month = F.get(parts, 0), F.lower(F.get(parts, 1)), F.get(parts, 2)
+    century = F.when(F.length(year) > 2, "").when(year > "68", "19").otherwise("20")
+    numbers = F.create_map(*(F.lit(x) for i, name in enumerate(MONTHS) for key in dict.fromkeys((name, name[:3])) for x in (key, str(i + 1))))
+    day = F.concat(century, year, F.lit("-"), F.coalesce(F.element_at(numbers, month), month), F.lit("-"), day_of_month).try_cast("date")
     wrong = F.raise_error(F.concat(F.lit("not a date: "), text)).cast("date")
-    return F.when(text.isNull() | day.isNotNull(), day).otherwise(wrong)
+    return F.when(text != "", F.coalesce(day, wrong))
 
 
 def coalesce_carrier(df: DataFrame) -> DataFrame:
@@ -56,8 +61,10 @@ def clean_flights(df: DataFrame) -> DataFrame:
     df = coalesce_carrier(df)
     code = lambda c: F.upper(F.trim(F.col(c).cast("string"))).alias(c)
     number = lambda c: _number(c).alias(c)
-    typed = df.select(
-        (F.col("FL_DATE") if dict(df.dtypes)["FL_DATE"] == "date" else parse_mixed_date("FL_DATE")).alias("FL_DATE"),
+    parsed = dict(df.dtypes)["FL_DATE"] == "date"
+    dated = F.col("FL_DATE").isNotNull() if parsed else F.trim(F.col("FL_DATE").cast("string")) != ""  # a filter on the parsed date would parse twice
+    typed = df.filter(dated).dropna(subset=["ORIGIN", "DEST"]).select(
+        (F.col("FL_DATE") if parsed else parse_mixed_date("FL_DATE")).alias("FL_DATE"),
         code("REPORTING_AIRLINE"),
         code("ORIGIN"),
         code("DEST"),
@@ -66,7 +73,7 @@ def clean_flights(df: DataFrame) -> DataFrame:
         F.coalesce(_number("CANCELLED").cast("int"), F.lit(0)).alias("CANCELLED"),
         number("DISTANCE"),
     )
-    return typed.dropna(subset=["FL_DATE", "ORIGIN", "DEST"]).withColumn("route", F.concat_ws("-", "ORIGIN", "DEST"))
+    return typed.withColumn("route", F.concat_ws("-", "ORIGIN", "DEST"))
 
 
 def split_route(df: DataFrame, route="route", origin="airport1", dest="airport2") -> DataFrame:

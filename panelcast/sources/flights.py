@@ -1,9 +1,9 @@
 """Flight files: CSVs whose headers differ, read by column name."""
 
 import csv
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,44 +12,49 @@ from pyspark.sql import types as T
 from panelcast.config import FLIGHT_COLUMNS
 
 
-def _headers(spark: SparkSession, glob: str) -> dict:
-    """Files by their header. Tasks read the first lines; the driver gets the distinct headers and the file names.
+#: A split and the cost of opening a file: beyond any file, so that each file is one split.
+_ONE_FILE = str(1 << 44)
+#: Files whose first lines are fetched at the same time.
+_AT_ONCE = 32
 
-    The header is parsed by CSV rules: quoted names may hold commas.
+
+def headers(spark: SparkSession, glob: str) -> dict[str, list[str]]:
+    """Files by their first line. Empty files have none; no file is an error.
+
+    The listing holds paths and lengths alone. Each file is then one task with a limit of one row, which stops the reader
+    below it after its first buffer (64 KB), so the bytes read depend on the number of files and not on their size. The
+    split settings are those of a session of its own; the caller's stay as they are.
     """
+    own = spark.newSession()
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        own.conf.set(name, _ONE_FILE)
     try:
-        lines = spark.read.text(glob)
+        listing = sorted(own.read.format("binaryFile").load(glob).filter("length > 0").select("path").collect())
     except AnalysisException as e:
         raise FileNotFoundError(f"no CSV files match {glob}") from e
-    first = lines.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"
-    ).filter("start = 0")
-
-    def head(batches):
-        seen = None
-        for batch in batches:
-            for path, value in zip(batch["path"], batch["value"], strict=True):
-                if path.as_py() != seen:
-                    seen = path.as_py()
-                    yield pa.RecordBatch.from_pylist([{"path": seen, "header": value.as_py()}])
-
-    schema = "path string, header string"
-    rows = first.select("path", "value").mapInArrow(head, schema).groupBy("header").agg(F.collect_list("path").alias("paths"))
-    groups = {}
-    for header, paths in rows.collect():
-        names = tuple(n.strip() for n in next(csv.reader([header.lstrip("\ufeff")])))
-        groups.setdefault(names, []).extend(paths)
+    with ThreadPoolExecutor(_AT_ONCE) as pool:
+        lines = pool.map(lambda r: own.read.text(r.path).limit(1).collect(), listing)
+        groups = {}
+        for r, line in zip(listing, lines, strict=True):
+            if line:  # a compressed file may turn out empty
+                groups.setdefault(line[0].value, []).append(r.path)
+    if not groups:
+        raise FileNotFoundError(f"no CSV files match {glob}")
     return groups
 
 
 def scan_all_columns(spark: SparkSession, glob: str) -> DataFrame:
-    """Union by name of all CSVs of the glob, every column as text. No file is an error."""
-    groups = _headers(spark, glob)
-    if not groups:
-        raise FileNotFoundError(f"no CSV files match {glob}")
+    """Union by name of all CSVs of the glob, every column as text. No file is an error.
+
+    Headers follow CSV rules: quoted names may hold commas. Files of one header are one scan.
+    """
+    scans = {}
+    for header, paths in headers(spark, glob).items():
+        names = tuple(n.strip() for n in next(csv.reader([header.lstrip("\ufeff")])))
+        scans.setdefault(names, []).extend(paths)
     parts = []
-    for names, files in groups.items():
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    for columns, files in scans.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in columns])
         parts.append(spark.read.schema(schema).option("header", True).csv(files))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

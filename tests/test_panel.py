@@ -239,7 +239,7 @@ def test_dates_in_many_forms(spark):
     assert {r.d for r in df.select(oc.parse_mixed_date("d").alias("d")).collect()} == {date(2020, 1, 5)}
     old = spark.createDataFrame([("1/5/95",), (None,), ("",)], "d string").select(oc.parse_mixed_date("d").alias("d"))
     assert [r.d for r in old.collect()] == [date(1995, 1, 5), None, None]
-    for bad in ("soon", "2020-13-45", "13/45/2020"):
+    for bad in ("soon", "2020-13-45", "13/45/2020", "1/2-2020", "Janu 5, 2020", "5-Jan 2020", "a|b|c", "2020-01-05 soon"):
         with pytest.raises(Exception, match="not a date"):
             spark.createDataFrame([(bad,)], "d string").select(oc.parse_mixed_date("d").alias("d")).collect()
 
@@ -266,3 +266,47 @@ def test_headers_with_quotes_and_commas(spark, tmp_path):
     (tmp_path / "b.csv").write_text("ORIGIN,DEST\nB,C\n")
     rows = sf.scan_all_columns(spark, f"{tmp_path}/*.csv").collect()
     assert {(r.ORIGIN, r.DEST, r["note, long"]) for r in rows} == {("A", None, "x"), ("B", "C", None)}
+
+
+def test_every_day_in_every_form(spark):
+    forms = ["M/d/yyyy", "MM/dd/yyyy", "yyyyMMdd", "yyyy-MM-dd", "yyyy-M-d", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM/dd", "M/d/yy", "d MMM yyyy"]
+    days = spark.sql("SELECT explode(sequence(DATE'1999-01-01', DATE'2001-03-01')) AS day")
+    written = days.select("day", F.explode(F.array(*[F.date_format("day", x) for x in forms])).alias("text"))
+    written = written.withColumn("text", F.explode(F.array(F.col("text"), F.upper("text"), F.concat(F.lit(" "), F.lower("text"), F.lit(" 07:30")))))
+    rows = written.select("day", oc.parse_mixed_date("text").alias("got"))
+    assert rows.filter("NOT (day <=> got)").count() == 0 and rows.count() > 20_000
+
+
+def test_cleaning_stays_in_generated_code(spark):
+    """One stage of generated code, below the size at which Spark gives it up, and one parse per row."""
+    raw = spark.createDataFrame([("1/5/2020", "AA", " lax", "jfk", "1", "2", "0", "9")] * 3, ", ".join(f"{c} string" for c in ["FL_DATE", "REPORTING_AIRLINE", "ORIGIN", "DEST", "DEP_DELAY", "ARR_DELAY", "CANCELLED", "DISTANCE"]))
+    plan = oc.clean_flights(raw)._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    assert text.count("regexp_replace") <= 6
+    debug = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenStringSeq(plan.executedPlan())
+    sizes = [debug.apply(i)._3().maxMethodCodeSize() for i in range(debug.size())]
+    assert sizes and max(sizes) < 8_000
+
+
+def test_header_reads_do_not_grow_with_the_files(spark, tmp_path):
+    """Two files of over 100 MB: bytes that the file system hands out while headers are looked for."""
+    line = "2020-01-01,LAX,JFK," + "x" * 980 + "\n"
+    for name, columns in (("a", "FL_DATE,ORIGIN,DEST,NOTE"), ("b", "FL_DATE,ORIGIN,DEST,REMARK")):
+        with open(tmp_path / f"{name}.csv", "w") as f:
+            f.write(columns + "\n")
+            for _ in range(11):
+                f.write(line * 10_000)
+    assert min((tmp_path / f"{n}.csv").stat().st_size for n in "ab") > 100_000_000
+    statistics = spark._jvm.org.apache.hadoop.fs.FileSystem
+
+    def read():
+        return sum(s.getBytesRead() for s in statistics.getAllStatistics())
+
+    before = read()
+    settings = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert {h.split(",")[-1] for h in sf.headers(spark, f"{tmp_path}/*.csv")} == {"NOTE", "REMARK"}
+    assert read() - before <= 2 * 65_536 + 1_000
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == settings
+    df = sf.scan_all_columns(spark, f"{tmp_path}/*.csv")
+    assert read() - before <= 4 * 65_536 + 2_000
+    assert df.columns == ["FL_DATE", "ORIGIN", "DEST", "NOTE", "REMARK"]
