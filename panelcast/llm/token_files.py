@@ -28,15 +28,15 @@ ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-#: UTF-8 bytes of text in a part. The number of parts follows the measured size of the texts.
-PART_BYTES = 64 << 20
+#: UTF-8 bytes of text in a part: the smaller number up to so many parts, then more, up to the larger one.
+PART_BYTES, PARTS, MOST_BYTES = 16 << 20, 20_000, 512 << 20
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``SCHEMA``: documents by ascending id over range partitions, equal ids by text."""
     rows = common.documents(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, 1 + size // PART_BYTES)
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, min(1 + size // PART_BYTES, max(PARTS, 1 + size // MOST_BYTES)))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
