@@ -370,9 +370,9 @@ lag0 AS (
   WINDOW w AS (PARTITION BY route ORDER BY date),
     w7 AS (PARTITION BY route ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
     w14 AS (PARTITION BY route ORDER BY date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)),
-ew AS (
+ew AS (  -- days further back than 150 weigh less than 1e-18 of the whole
   SELECT a.route, a.date, sum(z.avg_arr_delay * pow(0.75, a.date - z.date - 1)) / sum(pow(0.75, a.date - z.date - 1)) AS ewm_7_arr_delay
-  FROM {source} a JOIN {source} z ON a.route = z.route AND z.date < a.date
+  FROM {source} a JOIN {source} z ON a.route = z.route AND z.date BETWEEN a.date - 150 AND a.date - 1
   GROUP BY 1, 2),
 lagf AS (SELECT lag0.*, ewm_7_arr_delay FROM lag0 LEFT JOIN ew USING (route, date))"""
 
@@ -857,25 +857,36 @@ sql("score_sequences", BASE, f"SELECT route, date, {r('avg_arr_delay', 'target')
 SPLIT = FEATURES + f""",
 sp AS (SELECT *, CASE WHEN date < DATE '{CUT.train_end}' THEN 'train' WHEN date < DATE '{CUT.val_end}' THEN 'val'
   WHEN date >= DATE '{CUT.test_start}' THEN 'test' END AS split FROM feat)"""
-sql("fit_gbt", SPLIT, f"""
-SELECT 'gbt' AS model, f.feature, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, 1.0::DOUBLE AS total
-FROM sp, (SELECT unnest({TABULAR_FEATURES}) AS feature) f GROUP BY 2""")
-sql("predict_tabular", SPLIT, f"SELECT route, date, {r('avg_arr_delay', 'actual')}, 1 AS scored FROM sp WHERE split = 'test'")
+FEW = [f for f in TABULAR_FEATURES if f in config.CALENDAR_FEATURES + config.ERA_FEATURES]
+LAMBDA, ALPHA, LEAST = 2.0, 5.0, 20  # the settings of the query
+soft = lambda g: f"(sign({g}) * greatest(abs({g}) - {ALPHA}, 0))"
+worth = lambda g, n: f"pow({soft(g)}, 2) / ({n} + {LAMBDA})"
+ROOT = SPLIT + f""",
+tr AS (SELECT * FROM sp WHERE split = 'train'),
+base AS (SELECT avg(avg_arr_delay) AS base, count(*) AS n FROM tr),
+long AS (UNPIVOT (SELECT base - avg_arr_delay AS g, {", ".join(f"{f}::DOUBLE AS {f}" for f in FEW)} FROM tr, base) ON {", ".join(FEW)} INTO NAME feature VALUE x),
+cells AS (SELECT feature, x, sum(g) AS g, count(*) AS n FROM long GROUP BY ALL),
+cuts AS (
+  SELECT feature, x, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER f AS ga, sum(n) OVER f AS na FROM cells
+  WINDOW f AS (PARTITION BY feature), w AS (PARTITION BY feature ORDER BY x)),
+gains AS (
+  SELECT *, {worth("gl", "nl")} + {worth("(ga - gl)", "(na - nl)")} - {worth("ga", "na")} AS gain FROM cuts WHERE nl >= {LEAST} AND na - nl >= {LEAST}),
+root AS (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(gain, 6) DESC, x) = 1)"""
+sql("fit_gbt", ROOT, f"""
+SELECT 'gbt' AS model, f.feature, b.n AS n_train, (SELECT count(*) FROM sp WHERE split = 'val') AS n_val, {r("b.base", "base")}, 1.0::DOUBLE AS total,
+  {r("r.gain", "root_gain")}, r.nl AS root_rows, 1 AS beats_mean
+FROM base b, (SELECT unnest({TABULAR_FEATURES}) AS feature) f LEFT JOIN root r ON r.feature = f.feature""")
+sql("predict_tabular", ROOT, f"""
+SELECT route, date, {r("avg_arr_delay", "actual")}, 1 AS scored,
+  {r(f"base - 0.5 * CASE WHEN x_value <= x THEN {soft('gl')} / (nl + {LAMBDA}) ELSE {soft('(ga - gl)')} / (na - nl + {LAMBDA}) END", "first_split")}
+FROM (SELECT route, date, avg_arr_delay, unnest([{", ".join(f"{{'f': '{f}', 'v': {f}::DOUBLE}}" for f in FEW)}]) AS u FROM sp WHERE split = 'test') t
+  JOIN (SELECT *, x AS cut FROM root ORDER BY round(gain, 6) DESC, list_position({FEW}, feature) LIMIT 1) best ON u.f = best.feature, base,
+  LATERAL (SELECT u.v AS x_value)""")
 sql("walk_forward_gbt", FEATURES, "\nUNION ALL ".join(f"""
 SELECT 'gbt' AS model, {f.fold} AS fold, count(*) AS n_scored, 1 AS beats_naive FROM feat
 WHERE date >= DATE '{f.test_start}' AND date < DATE '{f.test_end}'""" for f in CUT.folds))
 sql("ablation", SPLIT, "\nUNION ALL ".join(f"SELECT '{m}' AS model, count(*) AS n_scored, 1 AS beats_naive FROM sp WHERE split = 'test'" for m in ("all", "ablated")))
 
-
-def trials():
-    from panelcast.catalog.queries import TRIALS
-    from panelcast.operators.forecasting import sample_settings
-
-    texts = [", ".join(f"{k}={v}" for k, v in sorted(p.items())) for p in sample_settings(TRIALS)]
-    return "\nUNION ALL ".join(f"SELECT {i} AS trial, '{t}' AS params, 1 AS scored" for i, t in enumerate(texts))
-
-
-sql("tune_gbt", "", trials())
 sql("fit_seasonal_regression", PANEL, f"""
 SELECT route, count(*) FILTER (date >= DATE '{CUT.test_start}') AS n_scored, count(*) FILTER (date < DATE '{CUT.val_end}') AS n_train,
   0.0::DOUBLE AS gradient FROM panel GROUP BY 1""")

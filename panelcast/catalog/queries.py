@@ -10,6 +10,7 @@ from panelcast.functions import text as tx
 from panelcast.functions import weather as fw
 from panelcast.functions.stats import exact_quantiles
 from panelcast.operators import baselines as ob
+from panelcast.operators import boosting as bo
 from panelcast.operators import clean as oc
 from panelcast.operators import evaluation as oe
 from panelcast.operators import features as of
@@ -1114,6 +1115,10 @@ def sink_analysis(spark, d):
 
 #: Trials of the registered search, as many as ``sample_settings`` makes by default and as the reference's search.
 TRIALS = 50
+#: Settings under which the first split is exact arithmetic on sums: no sampling, both penalties, a least weight.
+EXACT = {"n_estimators": 1, "max_depth": 1, "learning_rate": 0.5, "subsample": 1.0, "colsample_bytree": 1.0, "reg_alpha": 5.0, "reg_lambda": 2.0, "min_child_weight": 20}
+#: Features of few values, whose cuts are all their values.
+FEW = [f for f in config.TABULAR_FEATURES if f in config.CALENDAR_FEATURES + config.ERA_FEATURES]
 
 
 def _split_features(spark, d):
@@ -1130,21 +1135,34 @@ def _beats_last_value(scored, keys):
 
 @query
 def fit_gbt(spark, d):
-    """A boosted model on all 63 features: the rows it was fitted on, a row per feature, and the sum of all importances."""
+    """A boosted model on all 63 features: per feature the rows it was fitted on, their mean, the sum of all importances, the
+    best first cut under fixed penalties, and whether the model's validation error is below that of the mean."""
     rows = _split_features(spark, d)
-    table = stage(fc.importance_table(spark, fc.fit_gbt(rows, config.TABULAR_FEATURES), config.TABULAR_FEATURES, "gbt"), "importance")
-    counts = rows.agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"))
-    one = table.agg(F.round(F.sum("importance"), 6).alias("total"), F.min("importance").alias("least")).filter("least >= 0").drop("least")
-    return table.select("model", "feature").crossJoin(counts).crossJoin(one)  # two tables of one row
+    model = fc.fit_gbt(rows, config.TABULAR_FEATURES)
+    table = fc.importance_table(spark, model, config.TABULAR_FEATURES, "gbt")
+    counts = rows.agg(
+        F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"),
+        F.avg(F.when(F.col("split") == "val", (F.col(config.TARGET) - model.base) ** 2)).alias("of_mean"),
+    ).first()
+    total, reached = float(model.importances.sum()), min(square for square, _ in model.history)
+    first = bo.first_cuts(rows, FEW, config.TARGET, F.col("split") == "train", fc.gbt_settings(EXACT))
+    root = spark.createDataFrame([(f, float(c.gain), int(c.rows)) for f, c in first.items()], "feature string, root_gain double, root_rows long")
+    return table.join(root, "feature", "left").select(
+        "model", "feature", F.lit(counts.n_train).alias("n_train"), F.lit(counts.n_val).alias("n_val"), F.lit(model.base).alias("base"),
+        F.lit(round(total, 6)).alias("total"), "root_gain", "root_rows", F.lit(int(reached < counts.of_mean)).alias("beats_mean"),
+    )
 
 
 @query
 def predict_tabular(spark, d):
-    """Every test row with its actual value, and whether it was scored."""
+    """Every test row with its actual value, whether the full model scored it, and the prediction of a model of one split."""
     rows = _split_features(spark, d)
+    test = rows.filter("split = 'test'")
     model = fc.fit_gbt(rows, config.TABULAR_FEATURES)
-    scored = fc.predict_tabular(model, rows.filter("split = 'test'"), config.TABULAR_FEATURES)
-    return scored.select("route", "date", "actual", F.col("pred").isNotNull().cast("int").alias("scored"))
+    single = fc.fit_gbt(rows.withColumn("split", F.when(F.col("split") == "train", "train")), FEW, EXACT)
+    scored = fc.predict_tabular(model, test, config.TABULAR_FEATURES)
+    by_one = fc.predict_tabular(single, test, FEW).select("route", "date", F.col("pred").alias("first_split"))
+    return scored.join(by_one, ["route", "date"]).select("route", "date", "actual", F.col("pred").isNotNull().cast("int").alias("scored"), "first_split")
 
 
 @query
@@ -1157,9 +1175,8 @@ def walk_forward_gbt(spark, d):
 
 @query
 def tune_gbt(spark, d):
-    """Random settings of the documented space: their text, and whether each has an error on the validation rows."""
-    trials = fc.tune_gbt(_split_features(spark, d), config.TABULAR_FEATURES, fc.sample_settings(TRIALS))
-    return trials.select("trial", "params", (F.col("mae") > 0).cast("int").alias("scored"))
+    """The guided search over the documented space: all 50 trials by their validation error."""
+    return fc.tune_gbt(_split_features(spark, d), config.TABULAR_FEATURES, TRIALS)
 
 
 @query

@@ -1,126 +1,120 @@
 """Model fits as Spark jobs: boosted trees, per-route seasonal regression, sequence scoring."""
 
 import math
-import random
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.config import TARGET
 from panelcast.functions.calendar import day
+from panelcast.operators.boosting import TRAIN, VAL, BoostedTrees, Fit, Settings, cut_points, fit_blocks, fit_trees, store_blocks
 from panelcast.operators.clean import drop_incomplete, split_by_time
 from panelcast.operators.evaluation import delay_metrics
-from panelcast.sources.staging import scratch_path
+from panelcast.operators.search import ParzenSearch, Range
 
 # Default settings of the boosted model.
 GBT_DEFAULTS = {
-    "maxIter": 500, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8",
-    "minInstancesPerNode": 3, "seed": 42,
+    "n_estimators": 500, "max_depth": 6, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.8, "min_child_weight": 3,
+    "early_stopping_rounds": 50, "seed": 42,
 }
-# Search space of the boosted model (low, high, log scale).
+# Search space of the boosted model.
 GBT_SPACE = {
-    "maxIter": (200, 1000, False), "maxDepth": (3, 10, False), "stepSize": (0.01, 0.3, True),
-    "subsamplingRate": (0.6, 1.0, False), "featureSubsetStrategy": (0.6, 1.0, False), "minInstancesPerNode": (1, 10, False),
+    "n_estimators": Range(200, 1000, step=50), "max_depth": Range(3, 10, step=1), "learning_rate": Range(0.01, 0.3, log=True),
+    "subsample": Range(0.6, 1.0), "colsample_bytree": Range(0.6, 1.0), "min_child_weight": Range(1, 10, step=1),
+    "reg_alpha": Range(1e-8, 10.0, log=True), "reg_lambda": Range(1e-8, 10.0, log=True),
 }
+#: Rounds after which a trial must be no worse than the median of the finished ones.
+HURDLES = (25, 50, 100, 200, 400)
 
 
-def fit_gbt(rows: DataFrame, features, params=None, target=TARGET):
-    """Boosted trees on rows whose ``split`` is train, stopped early on those that are val.
+def gbt_settings(params=None) -> Settings:
+    return Settings(**{**GBT_DEFAULTS, **(params or {})})
 
-    Training is distributed: every tree level is one pass over the partitioned rows, aggregated into bounded split
-    histograms.
-    """
-    settings = {**GBT_DEFAULTS, **(params or {})}
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # else the residuals of hundreds of rounds hang on one lineage
-        context.setCheckpointDir(scratch_path(rows.sparkSession, "gbt"))
-    used = rows.filter(F.col("split").isin("train", "val")).select(
-        *[F.col(c).cast("double").alias(c) for c in features],
-        F.col(target).cast("double").alias("_label"),
-        (F.col("split") == "val").alias("_is_val"),
-    )
-    model = GBTRegressor(
-        featuresCol="_features", labelCol="_label", predictionCol="pred", validationIndicatorCol="_is_val", **settings
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), model]).fit(used)
 
+def fit_gbt(rows: DataFrame, features, params=None, target=TARGET) -> BoostedTrees:
+    """Boosted trees on rows whose ``split`` is train, stopped early on those that are val. Pass a stored table."""
+    split = F.col("split")
+    return fit_trees(rows, features, target, split == "train", split == "val", [gbt_settings(params)])[0]
 
-def predict_tabular(model, rows: DataFrame, features, keys=("route", "date"), target=TARGET) -> DataFrame:
+
+def predict_tabular(model: BoostedTrees, rows: DataFrame, features, keys=("route", "date"), target=TARGET) -> DataFrame:
     """(keys, actual, pred) of complete rows."""
     complete = drop_incomplete(rows, [*features, target])
-    typed = complete.select(*keys, F.col(target).alias("actual"), *[F.col(c).cast("double").alias(c) for c in features if c not in keys])
-    return model.transform(typed).select(*keys, "actual", "pred")
+    return complete.select(*keys, F.col(target).alias("actual"), model.column().alias("pred"))
 
 
-def importance_table(spark, model, features, name) -> DataFrame:
+def importance_table(spark, model: BoostedTrees, features, name) -> DataFrame:
     """(model, feature, importance): one row per feature of the fitted model."""
-    values = model.stages[-1].featureImportances.toArray()
-    rows = [(name, f, float(v)) for f, v in zip(features, values)]
+    rows = [(name, f, float(v)) for f, v in zip(features, model.importances)]
     return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
 def walk_forward_gbt(features_df: DataFrame, features, folds, params=None, target=TARGET) -> DataFrame:
     """Test predictions (fold, route, date, actual, model, pred) of one boosted fit per fold. Pass a staged table.
 
-    Folds are a short fixed list, each a distributed fit; a fold without test rows is skipped.
+    Folds are a short fixed list, fitted side by side; a fold without test rows is skipped. Bins come from a fold's own
+    training rows.
     """
-    out = None
-    for fold in folds:
+    features = list(features)
+
+    def one(fold):
         rows = split_by_time(features_df, fold, [*features, target])
         tested = rows.filter((F.col("split") == "test") & (F.col("date") < day(fold.test_end)))
         if tested.isEmpty():
-            continue
+            return None
         model = fit_gbt(rows, features, params, target)
-        preds = predict_tabular(model, tested, features, target=target).select(
+        return predict_tabular(model, tested, features, target=target).select(
             F.lit(fold.fold).alias("fold"), "route", "date", "actual", F.lit("gbt").alias("model"), "pred"
         )
-        out = preds if out is None else out.unionByName(preds)
-    return out
-
-
-def sample_settings(n: int = 50, space=None, seed=42) -> list:
-    """Seeded random settings from a search space."""
-    rng, out = random.Random(seed), []
-    for _ in range(n):
-        one = {}
-        for name, (low, high, log) in (space or GBT_SPACE).items():
-            value = low * (high / low) ** rng.random() if log else rng.uniform(low, high)
-            if name == "featureSubsetStrategy":
-                value = f"{value:.3f}"
-            elif isinstance(low, int):
-                value = round(value)
-            one[name] = value
-        out.append(one)
-    return out
-
-
-def tune_gbt(rows: DataFrame, features, settings, target=TARGET) -> DataFrame:
-    """Validation error per setting (trial, mae, params), best first. ``rows`` carry ``split``; pass a staged table."""
-    trials = None
-    val = rows.filter("split = 'val'")
-    for i, params in enumerate(settings):
-        model = fit_gbt(rows, features, params, target)
-        text = ", ".join(f"{k}={v}" for k, v in sorted(params.items()))
-        mae = predict_tabular(model, val, features, target=target).agg(F.avg(F.abs(F.col("pred") - F.col("actual"))).alias("mae"))
-        trial = mae.select(F.lit(i).alias("trial"), "mae", F.lit(text).alias("params"))
-        trials = trial if trials is None else trials.unionByName(trial)
-    return trials.orderBy("mae", "trial")
+
+    with ThreadPoolExecutor(4) as pool:
+        found = [preds for preds in pool.map(one, folds) if preds is not None]
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
+def tune_gbt(rows: DataFrame, features, n_trials=50, in_flight=10, space=None, params=None, seed=42, target=TARGET) -> DataFrame:
+    """A guided search for the settings with the least absolute validation error: (rank, trial, mae, rounds, given_up, params).
+
+    ``rows`` carry ``split``; pass a stored table. Rows are binned once. ``in_flight`` trials are fitted at the same time;
+    each choice learns from all trials of the batches before it. A trial that falls behind the median of the finished ones
+    at one of ``HURDLES`` is given up and counts with the error it had. The same seed gives the same trials.
+    """
+    features, space = list(features), space or GBT_SPACE
+    split = F.col("split")
+    cuts = cut_points(rows.filter(split == "train"), features)
+    blocks = store_blocks(rows, features, cuts, target, [F.when(split == "train", TRAIN).when(split == "val", VAL).otherwise(0)])
+    search, done, paths = ParzenSearch(space, seed), [], []
+    while len(done) < n_trials:
+        asked = search.ask(min(in_flight, n_trials - len(done)))
+        reached = {k: sorted(min(p[:k]) for p in paths if len(p) >= k) for k in HURDLES}
+        hurdles = tuple((k, best[len(best) // 2]) for k, best in reached.items() if len(best) >= 5)
+        fits = [Fit(gbt_settings({**(params or {}), **one, "hurdles": hurdles})) for one in asked]
+        for one, model in zip(asked, fit_blocks(blocks, features, cuts, fits), strict=True):
+            squares = [h[0] for h in model.history]
+            mae = model.history[squares.index(min(squares))][1] if squares else None
+            search.tell(one, float("inf") if mae is None else mae)
+            if not model.given_up:
+                paths.append(squares)
+            text = ", ".join(f"{k}={v:.6g}" for k, v in sorted(one.items()))
+            done.append((len(done), mae, len(model.trees), model.given_up, text))
+    order = sorted(done, key=lambda t: (t[1] is None, t[1], t[0]))
+    return rows.sparkSession.createDataFrame([(i + 1, *t) for i, t in enumerate(order)], "rank int, trial int, mae double, rounds int, given_up boolean, params string")
 
 
 def ablation_predictions(rows: DataFrame, features, removed, params=None, target=TARGET) -> DataFrame:
-    """Test predictions (route, date, actual, pred, model) with all features and without the removed ones."""
+    """Test predictions (route, date, actual, pred, model) with all features and without the removed ones: two fits over the same bins."""
+    features, split = list(features), F.col("split")
     kept = [f for f in features if f not in set(removed)]
     complete = drop_incomplete(rows, [*features, target])
-    preds = None
-    for name, used in (("all", list(features)), ("ablated", kept)):
-        model = fit_gbt(complete, used, params, target)
-        one = predict_tabular(model, complete.filter("split = 'test'"), used, target=target).withColumn("model", F.lit(name))
-        preds = one if preds is None else preds.unionByName(one)
-    return preds
+    cuts = cut_points(complete.filter(split == "train"), features)
+    blocks = store_blocks(complete, features, cuts, target, [F.when(split == "train", TRAIN).when(split == "val", VAL).otherwise(0)])
+    fits = [Fit(gbt_settings(params)), Fit(gbt_settings(params), columns=tuple(i for i, f in enumerate(features) if f in kept))]
+    test = complete.filter(split == "test")
+    preds = [predict_tabular(m, test, features, target=target).withColumn("model", F.lit(name)) for name, m in zip(("all", "ablated"), fit_blocks(blocks, features, cuts, fits), strict=True)]
+    return reduce(DataFrame.unionByName, preds)
 
 
 def ablation(rows: DataFrame, features, removed, params=None, target=TARGET) -> DataFrame:

@@ -12,6 +12,7 @@ from panelcast.config import STUDY
 from panelcast.functions.stats import exact_median, exact_quantiles, t_two_sided, weighted_corr
 from panelcast.operators import evaluation as oe
 from panelcast.operators import forecasting as fc
+from panelcast.operators.search import ParzenSearch, Range, random_settings
 from panelcast.operators import insights as oi
 from panelcast.operators import predictions as pr
 from panelcast.plans import publish
@@ -227,7 +228,7 @@ def rows(spark):
 
 
 def test_gbt_learns_and_ranks_features(spark, rows):
-    quick = {"maxIter": 10, "maxDepth": 3, "featureSubsetStrategy": "all"}
+    quick = {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.3, "colsample_bytree": 1.0}
     model = fc.fit_gbt(rows, ["x", "z"], quick)
     scored = fc.predict_tabular(model, rows.filter("split = 'test'"), ["x", "z"])
     assert scored.count() == 100 and oe.basic_metrics(scored).first().r2 > 0.8
@@ -237,9 +238,48 @@ def test_gbt_learns_and_ranks_features(spark, rows):
     assert table["ablated"] > 2 * table["all"]
 
 
-def test_settings_are_seeded_and_in_range():
-    a, b = fc.sample_settings(5), fc.sample_settings(5)
-    assert a == b and all(0.01 <= s["stepSize"] <= 0.3 and 3 <= s["maxDepth"] <= 10 and isinstance(s["maxDepth"], int) for s in a)
+def test_search_beats_random_and_is_seeded():
+    space = {"x": Range(-5.0, 5.0), "k": Range(1, 30, step=1), "r": Range(1e-6, 10.0, log=True)}
+    loss = lambda s: (s["x"] - 2) ** 2 + 0.3 * abs(s["k"] - 22) + math.log10(s["r"] / 1e-3) ** 2
+
+    def guided(seed):
+        search = ParzenSearch(space, seed)
+        while len(search.told) < 50:
+            for one in search.ask(5):
+                search.tell(one, loss(one))
+        return [(value, tuple(one.items())) for value, one in search.told]
+
+    assert guided(1) == guided(1) != guided(2)
+    best = [min(v for v, _ in guided(seed)) for seed in range(12)]
+    by_luck = [min(loss(one) for one in random_settings(space, 50, seed)) for seed in range(12)]
+    assert np.mean(best) < 0.6 * np.mean(by_luck) and sum(b < r for b, r in zip(best, by_luck)) >= 9
+    for _, one in guided(3):
+        one = dict(one)
+        assert -5 <= one["x"] <= 5 and one["k"] in range(1, 31) and 1e-6 <= one["r"] <= 10
+
+
+def test_trials_asked_for_together_differ_and_places_come_back():
+    search = ParzenSearch({"x": Range(0.0, 1.0)}, startup=3)
+    for one in search.ask(12):
+        search.tell(one, one["x"])
+    assert len({one["x"] for one in search.ask(8)}) == 8
+    for r in fc.GBT_SPACE.values():
+        for u in (0.0, 0.2, 0.51, 0.99):
+            assert r.value(r.place(r.value(u))) == pytest.approx(r.value(u))
+            assert r.low <= r.value(u) <= r.high
+
+
+def test_tuning_returns_errors_in_order(rows):
+    space = {"max_depth": Range(1, 4, step=1), "learning_rate": Range(0.01, 0.5, log=True), "reg_lambda": Range(1e-3, 10.0, log=True)}
+    few = {"n_estimators": 30, "early_stopping_rounds": 8}
+    got, again = ([tuple(r) for r in fc.tune_gbt(rows, ["x", "z"], 16, 4, space, few).orderBy("rank").collect()] for _ in range(2))
+    assert got == again and sorted(r[1] for r in got) == list(range(16))
+    assert [r[2] for r in got] == sorted(r[2] for r in got)
+    trial = next(r for r in got if not r[4])
+    params = {k: float(v) for k, v in (x.split("=") for x in trial[5].split(", "))}
+    model = fc.fit_gbt(rows, ["x", "z"], {**few, **params, "max_depth": int(params["max_depth"])})
+    val = fc.predict_tabular(model, rows.filter("split = 'val'"), ["x", "z"])
+    assert val.agg(F.avg(F.abs(F.col("pred") - F.col("actual")))).first()[0] == pytest.approx(trial[2], rel=1e-3)
 
 
 def test_seasonal_regression_recovers_weekly_cycle(spark, frame):
