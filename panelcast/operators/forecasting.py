@@ -122,63 +122,124 @@ def ablation(rows: DataFrame, features, removed, params=None, target=TARGET) ->
     return delay_metrics(ablation_predictions(rows, features, removed, params, target), ["model"])
 
 
-def seasonal_basis(df: DataFrame, holidays: DataFrame = None, yearly=10, weekly=3) -> DataFrame:
-    """Adds ``b``, the terms of a day: constant, trend, yearly and weekly waves, holiday."""
-    t = F.unix_date("date").cast("double")
-    terms = [F.lit(1.0), t / 3652.5]
+#: Possible changes of trend, spread evenly over this share of a route's training days.
+CHANGES, CHANGE_SHARE = 25, 0.8
+#: Days of one unit of the trend.
+DECADE = 3652.5
+
+
+def holiday_names(holidays: DataFrame = None) -> list:
+    """The names of a holiday table (date, name), a handful, in order; one for all if it has no names."""
+    if holidays is None:
+        return []
+    return sorted(r[0] for r in holidays.select("name").distinct().collect()) if "name" in holidays.columns else ["holiday"]
+
+
+def seasonal_basis(df: DataFrame, holidays: DataFrame = None, yearly=10, weekly=3, names=None) -> DataFrame:
+    """Adds ``t``, decades since 1970, and ``b``, the terms of a day: constant, trend, yearly and weekly waves, one per holiday."""
+    days = F.unix_date("date").cast("double")
+    terms = [F.lit(1.0), days / DECADE]
     for period, order in ((365.25, yearly), (7.0, weekly)):
         for k in range(1, order + 1):
-            angle = t * (2 * math.pi * k / period)
+            angle = days * (2 * math.pi * k / period)
             terms += [F.sin(angle), F.cos(angle)]
     if holidays is not None:
-        df = df.join(holidays.select("date", F.lit(1.0).alias("_h")).distinct(), "date", "left")
-        terms.append(F.coalesce("_h", F.lit(0.0)))
-    return df.withColumn("b", F.array(*terms))
+        names = holiday_names(holidays) if names is None else names
+        named = F.col("name") if "name" in holidays.columns else F.lit("holiday")
+        of_day = holidays.select("date", named.alias("_name")).groupBy("date").agg(F.collect_set("_name").alias("_h"))  # a few names a day
+        df = df.join(of_day, "date", "left")
+        terms += [F.when(F.array_contains("_h", n), 1.0).otherwise(0.0) for n in names]
+    return df.withColumns({"b": F.array(*terms), "t": days / DECADE}).drop("_h")
+
 
+def trend_lasso(gram, moment, free, penalised, ridge, l1, sweeps=20_000, tolerance=1e-10):
+    """Weights that minimise |y - X w|^2 / 2 + sum(ridge * w^2) / 2 over the free terms + l1 * sum(|w|) over the penalised ones.
 
-def seasonal_weights(train: DataFrame, holidays: DataFrame = None, yearly=10, weekly=3, ridge=1e-3, target=TARGET) -> DataFrame:
-    """(route, w): one ridge least-squares fit per route, whose rows are bounded by the calendar."""
+    ``gram`` is X'X and ``moment`` X'y. The free terms follow from the others by one linear solve, which leaves a small
+    lasso for coordinate descent; it stops once no weight moves by more than the tolerance.
+    """
+    import numpy as np
+
+    inner = gram[np.ix_(free, free)] + np.diag(ridge)
+    cross = gram[np.ix_(free, penalised)]
+    solved = np.linalg.lstsq(inner, np.column_stack((moment[free], cross)), rcond=None)[0]
+    g = gram[np.ix_(penalised, penalised)] - cross.T @ solved[:, 1:]
+    c = moment[penalised] - cross.T @ solved[:, 0]
+    w, left = np.zeros(len(penalised)), c.copy()  # left: c - g w
+    for _ in range(sweeps):
+        most = 0.0
+        for j in range(len(w)):
+            if g[j, j] <= 1e-12:
+                continue
+            pull = left[j] + g[j, j] * w[j]
+            new = np.sign(pull) * max(abs(pull) - l1, 0.0) / g[j, j]
+            if new != w[j]:
+                left -= g[:, j] * (new - w[j])
+                most, w[j] = max(most, abs(new - w[j])), new
+        if most <= tolerance * max(1.0, np.abs(w).max(initial=0.0)):
+            break
+    return solved[:, 0] - solved[:, 1:] @ w, w
+
+
+def seasonal_weights(train: DataFrame, holidays: DataFrame = None, yearly=10, weekly=3, ridge=1e-3, l1=10.0, target=TARGET) -> DataFrame:
+    """(route, w, changes, slopes): one fit per route, whose rows are bounded by the calendar.
+
+    ``w`` are the weights of the basis; at each of ``changes`` (in decades) the slope of the trend changes by the entry of
+    ``slopes``, most of which the penalty ``l1`` keeps at 0. Constant and trend are not penalised, the other terms by ``ridge``.
+    """
     def solve(pdf):
         import numpy as np
         import pandas as pd
 
-        x = np.vstack(pdf["b"].to_numpy())
-        penalty = np.full(x.shape[1], ridge)
-        penalty[:2] = 0
-        w = np.linalg.lstsq(x.T @ x + np.diag(penalty), x.T @ pdf["y"].to_numpy(), rcond=None)[0]
-        return pd.DataFrame({"route": [pdf["route"].iloc[0]], "w": [w.tolist()]})
+        x, t = np.vstack(pdf["b"].to_numpy()), pdf["t"].to_numpy()
+        first, last = t.min(), t.max()
+        changes = first + (last - first) * CHANGE_SHARE * np.arange(1, CHANGES + 1) / (CHANGES + 1) if last > first else np.empty(0)
+        n, x = x.shape[1], np.hstack((x, np.maximum(t[:, None] - changes, 0.0)))
+        w, slopes = trend_lasso(x.T @ x, x.T @ pdf["y"].to_numpy(), np.arange(n), np.arange(n, x.shape[1]), np.where(np.arange(n) < 2, 0.0, ridge), l1)
+        return pd.DataFrame({"route": [pdf["route"].iloc[0]], "w": [w.tolist()], "changes": [changes.tolist()], "slopes": [slopes.tolist()]})
 
     rows = train.select("route", "date", F.col(target).cast("double").alias("y")).dropna()
     rows = seasonal_basis(rows, holidays, yearly, weekly)
-    return rows.select("route", "y", "b").groupBy("route").applyInPandas(solve, "route string, w array<double>")
+    return rows.select("route", "t", "y", "b").groupBy("route").applyInPandas(solve, "route string, w array<double>, changes array<double>, slopes array<double>")
 
 
 def _product(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _hinges():
+    return F.transform("changes", lambda at: F.greatest(F.col("t") - at, F.lit(0.0)))
+
+
 def seasonal_regression(
-    train: DataFrame, score: DataFrame, holidays: DataFrame = None, yearly=10, weekly=3, ridge=1e-3, target=TARGET
+    train: DataFrame, score: DataFrame, holidays: DataFrame = None, yearly=10, weekly=3, ridge=1e-3, l1=10.0, target=TARGET
 ) -> DataFrame:
-    """Per-route additive model of trend, yearly and weekly seasonality and holidays: (route, date, pred).
+    """Per-route additive model of a trend that can change, yearly and weekly seasonality and each holiday: (route, date, pred).
 
-    The fit returns a short weight vector per route; the basis and the scoring are native columns. Unknown routes are
+    The fit returns short weight vectors per route; the basis and the scoring are native columns. Unknown routes are
     predicted 0.
     """
-    weights = seasonal_weights(train, holidays, yearly, weekly, ridge, target)
+    weights = seasonal_weights(train, holidays, yearly, weekly, ridge, l1, target)
     scored = seasonal_basis(score.select("route", "date"), holidays, yearly, weekly).join(weights, "route", "left")
-    return scored.select("route", "date", F.coalesce(_product("b", "w"), F.lit(0.0)).alias("pred"))
+    return scored.select("route", "date", F.coalesce(_product("b", "w") + _product(_hinges(), "slopes"), F.lit(0.0)).alias("pred"))
 
 
-def seasonal_gradient(train: DataFrame, holidays: DataFrame = None, yearly=10, weekly=3, ridge=1e-3, target=TARGET) -> DataFrame:
-    """(route, n_train, gradient): the largest slope of a fit's penalised squared error, per row, at its weights: 0 at the optimum."""
-    weights = seasonal_weights(train, holidays, yearly, weekly, ridge, target)
+def seasonal_gradient(train: DataFrame, holidays: DataFrame = None, yearly=10, weekly=3, ridge=1e-3, l1=10.0, target=TARGET) -> DataFrame:
+    """(route, n_train, gradient): how far a fit's weights are from the optimum, the largest slope left in any direction per row: 0 there.
+
+    A change of trend that is kept at 0 may have a slope of up to ``l1``, which the penalty outweighs.
+    """
+    weights = seasonal_weights(train, holidays, yearly, weekly, ridge, l1, target)
     rows = seasonal_basis(train.select("route", "date", F.col(target).cast("double").alias("y")).dropna(), holidays, yearly, weekly)
-    rows = rows.join(weights, "route").withColumn("residual", _product("b", "w") - F.col("y"))
-    terms = rows.select("route", "residual", F.posexplode(F.arrays_zip("b", "w")).alias("term", "t"))
-    per_term = terms.groupBy("route", "term").agg(F.sum(F.col("residual") * F.col("t.b")).alias("slope"), F.first("t.w").alias("w"), F.count(F.lit(1)).alias("n"))
-    penalty = F.when(F.col("term") >= 2, ridge).otherwise(0.0) * F.col("w")
-    return per_term.groupBy("route").agg(F.max("n").alias("n_train"), F.max(F.abs(F.col("slope") + penalty) / F.col("n")).alias("gradient"))
+    rows = rows.join(weights, "route").withColumn("hinges", _hinges())
+    rows = rows.withColumn("residual", _product("b", "w") + _product("hinges", "slopes") - F.col("y"))
+    both = F.arrays_zip(F.concat("b", "hinges").alias("x"), F.concat("w", "slopes").alias("w"))
+    terms = rows.select("route", "residual", F.size("b").alias("free"), F.posexplode(both).alias("term", "p"))
+    per_term = terms.groupBy("route", "free", "term").agg(F.sum(F.col("residual") * F.col("p.x")).alias("slope"), F.first("p.w").alias("w"), F.count(F.lit(1)).alias("n"))
+    smooth = F.abs(F.col("slope") + F.when(F.col("term") >= 2, ridge).otherwise(0.0) * F.col("w"))
+    kinked = F.when(F.col("w") == 0, F.greatest(F.abs("slope") - l1, F.lit(0.0))).otherwise(F.abs(F.col("slope") + l1 * F.signum("w")))
+    off = F.when(F.col("term") < F.col("free"), smooth).otherwise(kinked)
+    return per_term.groupBy("route").agg(F.max("n").alias("n_train"), F.max(off / F.col("n")).alias("gradient"))
 
 
 def score_sequences(windows: DataFrame, make_predict, length: int, width: int, batch_size=1024) -> DataFrame:

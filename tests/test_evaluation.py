@@ -291,6 +291,50 @@ def test_seasonal_regression_recovers_weekly_cycle(spark, frame):
     assert max(abs(got["A-B", i] - value(i)) for i in range(800, 830)) < 0.6
 
 
+def test_a_planted_change_of_trend_is_found(spark, frame):
+    """The slope turns at day 400 of 1,000; changes are only kept near it, and the forecast follows the new slope."""
+    value = lambda i: 5 + 0.02 * i - 0.05 * max(i - 400, 0) + math.sin(2 * math.pi * i / 7)
+    df = frame([("A-B", D + timedelta(i), value(i)) for i in range(1000)], "route string, date date, avg_arr_delay double")
+    fit = fc.seasonal_weights(df, yearly=0, l1=5.0).first()
+    at = [(c * fc.DECADE - (D - date(1970, 1, 1)).days, s) for c, s in zip(fit.changes, fit.slopes)]
+    near = sum(s for c, s in at if abs(c - 400) <= 70)
+    assert len(at) == fc.CHANGES and near == pytest.approx(-0.05 * fc.DECADE, rel=0.1)
+    assert sum(abs(s) for c, s in at if abs(c - 400) > 70) < 0.1 * abs(near)
+    score = frame([("A-B", D + timedelta(i), 0.0) for i in range(1000, 1030)], "route string, date date, avg_arr_delay double")
+    got = {(r.date - D).days: r.pred for r in fc.seasonal_regression(df, score, yearly=0, l1=5.0).collect()}
+    assert max(abs(got[i] - value(i)) for i in got) < 0.5
+    assert fc.seasonal_gradient(df, yearly=0, l1=5.0).first().gradient < 1e-6
+
+
+def test_trend_lasso_matches_a_plain_solver():
+    """Proximal gradient steps over all weights at once, without the elimination and the coordinates."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(200, 9)), rng.normal(size=200) * 3
+    y += x[:, 2] * 4 - x[:, 7] * 2
+    free, penalised, ridge, l1 = np.arange(5), np.arange(5, 9), np.array([0, 0, 0.5, 0.5, 2.0]), 60.0
+    w, full = np.zeros(9), np.concatenate((ridge, np.zeros(4)))
+    step = 1 / (np.linalg.norm(x.T @ x, 2) + 2)
+    for _ in range(20_000):
+        w = w - step * (x.T @ (x @ w - y) + full * w)
+        w[5:] = np.sign(w[5:]) * np.maximum(np.abs(w[5:]) - step * l1, 0)
+    a, z = fc.trend_lasso(x.T @ x, x.T @ y, free, penalised, ridge, l1)
+    assert np.concatenate((a, z)) == pytest.approx(w, abs=1e-7) and (z == 0).any() and (z != 0).any()
+
+
+def test_each_holiday_has_its_own_effect(spark, frame):
+    feast, fast = D + timedelta(50), D + timedelta(200)
+    holidays = spark.createDataFrame([(h + timedelta(364 * k), n) for k in range(3) for h, n in ((feast, "feast"), (fast, "fast"))], "date date, name string")
+    days = {r.date: r.name for r in holidays.collect()}
+    effect = {"feast": 6.0, "fast": -4.0, None: 0.0}
+    rows = [("A-B", D + timedelta(i), 1 + effect[days.get(D + timedelta(i))]) for i in range(900)]
+    schema = "route string, date date, avg_arr_delay double"
+    train, score = frame([r for r in rows if r[1] < D + timedelta(500)], schema), frame(rows[500:], schema)
+    got = {r.date: r.pred for r in fc.seasonal_regression(train, score, holidays, yearly=0, weekly=0).collect()}
+    for d, name in days.items():
+        if d in got:
+            assert got[d] == pytest.approx(1 + effect[name], abs=0.05)
+
+
 def test_score_sequences_is_a_dot_product(frame):
     df = frame([("A", D, 1.0, [[1.0, 2.0], [3.0, 4.0]])], "route string, date date, target double, x array<array<double>>")
     got = fc.score_sequences(df, fc.linear_scorer([[1, 0], [0, 10]]), 2, 2).first()
