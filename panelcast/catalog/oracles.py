@@ -854,6 +854,11 @@ sql("sink_analysis", ANALYSIS, "\nUNION ALL ".join([
 # ---- models ----
 
 sql("score_sequences", BASE, f"SELECT route, date, {r('avg_arr_delay', 'target')}, {r('ma_7', 'pred')} FROM raw WHERE {IN_TEST}")
+sql("score_recurrent", PANEL, f"""
+SELECT route, date, target, pred FROM (
+  SELECT route, date, {r('avg_arr_delay', 'target')},
+    {r("tanh(sum(tanh(avg_arr_delay / 100)) OVER (PARTITION BY route ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING))", "pred")},
+    row_number() OVER (PARTITION BY route ORDER BY date) AS n FROM panel) WHERE n > 28 AND {IN_TEST}""")
 SPLIT = FEATURES + f""",
 sp AS (SELECT *, CASE WHEN date < DATE '{CUT.train_end}' THEN 'train' WHEN date < DATE '{CUT.val_end}' THEN 'val'
   WHEN date >= DATE '{CUT.test_start}' THEN 'test' END AS split FROM feat)"""

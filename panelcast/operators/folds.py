@@ -90,25 +90,52 @@ def inverse_scale(df: DataFrame, stats: DataFrame, feature, columns) -> DataFram
     return df.withColumns({c: F.col(c) * std + mean for c in columns})
 
 
-def sequence_windows(
-    df: DataFrame, features, target=TARGET, start=None, end=None, length=SEQUENCE_LENGTH, in_split=False
+#: Rows that a block of a route adds; it also holds the rows before them that their windows reach.
+BLOCK = 256
+
+
+def sequence_blocks(
+    df: DataFrame, features, target=TARGET, start=None, end=None, length=SEQUENCE_LENGTH, in_split=False, block=BLOCK
 ) -> DataFrame:
-    """(route, date, target, x): per row of [start, end) the matrix of the ``length`` rows before it.
+    """(route, block, rows): runs of consecutive rows with the ``length`` rows before them, from which windows are cut.
 
-    History reaches before ``start`` unless ``in_split``; rows with fewer predecessors are left out. The matrix is
-    ``length`` times the row, so only the needed features are carried, and the result is best consumed, not stored.
+    ``rows`` holds (at, date, wanted, target, x) in order; a window belongs to each wanted row, and its features are ``x`` of
+    the rows before it. Neighbouring blocks share ``length`` rows, so a row is held 1 + length / block times and not once
+    per window. Wanted are rows of [start, end) with enough predecessors, which may lie before ``start`` unless ``in_split``.
     """
     d = F.col("date")
     inside = [d >= day(start)] if start else []
     inside += [d < day(end)] if end else []
     inside = reduce(lambda a, b: a & b, inside, F.lit(True))
-    w = W.partitionBy("route").orderBy("date")
-    row = F.array(*[F.col(c).cast("double") for c in features])
     source = df.filter(inside) if in_split else df
-    windows = source.select(
-        "route", "date", F.col(target).alias("target"),
-        F.collect_list(row).over(w.rowsBetween(-length, -1)).alias("x"),
+    own = F.floor(F.col("at") / block)
+    numbered = source.select(
+        "route", "date", inside.alias("inside"), F.col(target).alias("target"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
+        (F.row_number().over(W.partitionBy("route").orderBy("date")) - 1).cast("long").alias("at"),
     )
-    return windows.filter(inside & (F.size("x") == length))
+    blocks = F.when(F.col("at") % block >= block - length, F.array(own, own + 1)).otherwise(F.array(own))
+    if length > block:
+        raise ValueError("a block is shorter than a window")
+    dealt = numbered.withColumn("block", F.explode(blocks))
+    wanted = F.col("inside") & (F.col("block") == own) & (F.col("at") >= length)
+    row = F.struct("at", "date", wanted.alias("wanted"), "target", "x")
+    held = dealt.select("route", "block", row.alias("row")).groupBy("route", "block").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    return held.filter(F.exists("rows", lambda r: r["wanted"]))
+
+
+def cut_windows(blocks: DataFrame, length=SEQUENCE_LENGTH) -> DataFrame:
+    """(route, date, target, x): the windows of blocks, each a matrix of ``length`` rows. Consume them, don't store them."""
+    held = blocks.select("route", "rows", F.transform("rows", lambda r: r["x"]).alias("xs"))
+    before = lambda i: F.when(i >= length, F.slice("xs", i - length + 1, length))
+    windows = F.transform("rows", lambda r, i: F.struct(r["date"].alias("date"), r["target"].alias("target"), F.when(r["wanted"], before(i)).alias("x")))
+    return held.select("route", F.inline(windows)).filter(F.col("x").isNotNull())
 
 
+def sequence_windows(
+    df: DataFrame, features, target=TARGET, start=None, end=None, length=SEQUENCE_LENGTH, in_split=False
+) -> DataFrame:
+    """(route, date, target, x): per row of [start, end) the matrix of the ``length`` rows before it, cut from blocks.
+
+    History reaches before ``start`` unless ``in_split``; rows with fewer predecessors are left out.
+    """
+    return cut_windows(sequence_blocks(df, features, target, start, end, length, in_split, max(BLOCK, length)), length)
