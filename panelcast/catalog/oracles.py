@@ -282,6 +282,7 @@ SELECT strftime(date_trunc('hour', datetime), '%Y-%m-%d %H:%M:%S') AS datetime,
 sql("missing_keys_resume", FLIGHTS + "," + CALW, "SELECT ORIGIN AS airport, FL_DATE AS date FROM flights EXCEPT SELECT airport, cdate FROM calw")
 sql("missing_airports", FLIGHTS + "," + CALW, """
 (SELECT ORIGIN AS airport, FL_DATE AS date FROM flights UNION SELECT DEST, FL_DATE FROM flights) EXCEPT SELECT airport, cdate FROM calw""")
+sql("land_weather", WDAY, f"SELECT airport, date, {rs('wind_speed_max', 'temp_max')} FROM wday0")
 sql("dedup_keep_first", WDAY, f"""
 SELECT airport, date, {r("CASE WHEN day(date) <= 15 THEN wind_speed_max ELSE wind_speed_max + 1000 END", "wind_speed_max")},
        {rs("temp_max")} FROM wday0""")

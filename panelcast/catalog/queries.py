@@ -29,6 +29,7 @@ from panelcast.sources import flights as sf
 from panelcast.sources import starschema
 from panelcast.sources import tables as st
 from panelcast.sources import weather as sw
+from panelcast.sources.landing import land, read_landed, write_version
 from panelcast.sources.staging import scratch_path, stage
 
 QUERIES = {}
@@ -307,6 +308,17 @@ def missing_keys_resume(spark, d):
     return sw.missing_keys(expected, b.calendar_weather(spark, d), ["airport", "date"])
 
 
+@query
+def land_weather(spark, d):
+    """Daily weather landed airport by airport in two runs: the first ends after one batch, the second goes on from there."""
+    daily = stage(starschema.daily_weather(starschema.hourly_weather(spark, d)).select("airport", "date", "wind_speed_max", "temp_max"), "daily")
+    path = scratch_path(spark, "landing")
+    fetch = lambda keys: daily.join(keys, "airport", "left_semi")
+    land(daily, fetch, path, batch_keys=2, max_batches=1)
+    land(daily, fetch, path, batch_keys=2)
+    return read_landed(spark, path, "airport string, date date, wind_speed_max double, temp_max double")
+
+
 @query
 def missing_airports(spark, d):
     """Days of either end of a route without weather."""
@@ -1078,8 +1090,8 @@ def sink_forecast_sections(spark, d):
     """The metrics and walk-forward sections of the forecast, read back."""
     path = _forecast_files(spark, d)
     values = "mae double, within_15 double, rmse double, mape double, median_ae double, threshold_acc double, r2 double"
-    metrics = spark.read.schema(f"model string, route string, {values}").json(f"{path}/metrics")
-    folds = spark.read.schema(f"model string, fold int, {values}").json(f"{path}/walk_forward")
+    metrics = publish.read_section(spark, path, "metrics", f"model string, route string, {values}")
+    folds = publish.read_section(spark, path, "walk_forward", f"model string, fold int, {values}")
     return metrics.withColumnRenamed("route", "key").unionByName(folds.withColumn("key", F.col("fold").cast("string")).drop("fold"))
 
 
@@ -1094,8 +1106,8 @@ def sink_report(spark, d):
     errors = stage(b.errors(spark, d).filter("model = 'ma_7'"), "errors")
     path = scratch_path(spark, "report")
     report = publish.error_report(errors)
-    report.write.parquet(path)
-    return spark.read.schema(report.schema).parquet(path)
+    write_version({"report": report}, path)
+    return publish.read_section(spark, path, "report", report.schema)
 
 
 @query
@@ -1104,8 +1116,8 @@ def sink_analysis(spark, d):
     feats = stage(b.features(spark, d).select("date", *config.TABULAR_FEATURES, config.TARGET, "flight_count"), "features")
     importance = stage(oi.correlation_importance(feats, IMPORTANCE_COLUMNS), "importance")
     path = scratch_path(spark, "analysis")
-    publish.analysis_documents(feats, b.carriers(spark, d), importance, excluded=b.EXCLUDED_CARRIERS).write.json(path)
-    docs = spark.read.schema("name string, section string, body string").json(path)
+    write_version({"analysis": publish.analysis_documents(feats, b.carriers(spark, d), importance, excluded=b.EXCLUDED_CARRIERS)}, path)
+    docs = publish.read_section(spark, path, "analysis", "name string, section string, body string")
     entries = docs.select("name", "section", F.explode(F.from_json("body", "array<map<string, string>>")).alias("e"))
     label = F.coalesce(F.col("e")["severity"], F.col("e")["variable"], F.col("e")["code"], F.col("e")["feature"])
     numbers = ["avg_delay", "n_flights", "high_delay_pct", "correlation", "on_time_pct", "cancel_rate", "severe_delay_pct", "share", "rank", "n_features"]

@@ -11,6 +11,7 @@ from panelcast.operators import evaluation as oe
 from panelcast.operators import insights as oi
 from panelcast.operators.baselines import to_long
 from panelcast.operators.predictions import align_predictions
+from panelcast.sources.landing import newest_version, write_version
 
 DAY = "yyyy-MM-dd"
 
@@ -47,16 +48,13 @@ def metadata(panel: DataFrame, cut) -> DataFrame:
     )
 
 
-def write_forecast(panel: DataFrame, merged: DataFrame, shown: DataFrame, models, cut, path: str, metrics=None, folds=None) -> None:
-    """Documents of the shown routes (predictions with history) and the metadata, as JSON lines below ``path``; tables of
-    metrics and of walk-forward results become sections of their own."""
-    for section, table in (("metrics", metrics), ("walk_forward", folds)):
-        if table is not None:
-            table.write.json(f"{path}/{section}")
+def write_forecast(panel: DataFrame, merged: DataFrame, shown: DataFrame, models, cut, path: str, metrics=None, folds=None) -> str:
+    """A new version below ``path`` with the documents of the shown routes (predictions with history) and the metadata; tables
+    of metrics and of walk-forward results become sections of their own. Readers see it once all sections are written."""
     docs = forecast_documents(merged.join(shown.select("route"), "route", "left_semi"), models)
     docs = docs.join(history_documents(panel, cut.test_start), "route", "left")
-    docs.write.json(f"{path}/routes")
-    metadata(panel, cut).write.json(f"{path}/metadata")
+    sections = {"routes": docs, "metadata": metadata(panel, cut), "metrics": metrics, "walk_forward": folds}
+    return write_version({k: v for k, v in sections.items() if v is not None}, path)
 
 
 def document_schema(models) -> str:
@@ -65,7 +63,12 @@ def document_schema(models) -> str:
 
 
 def read_forecast(spark: SparkSession, path: str, models) -> DataFrame:
-    return spark.read.schema(document_schema(models)).json(f"{path}/routes")
+    return read_section(spark, path, "routes", document_schema(models))
+
+
+def read_section(spark: SparkSession, path: str, section: str, schema) -> DataFrame:
+    """A section of the newest whole version."""
+    return spark.read.schema(schema).json(newest_version(spark, path)[section])
 
 
 def published_metrics(metrics: DataFrame) -> DataFrame:
