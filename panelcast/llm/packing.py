@@ -157,7 +157,11 @@ def pack(rows: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents with their places; ``with_ids`` carries the ids along for ``fill_sequences``."""
+    """Pieces of all documents with their places; ``with_ids`` carries the ids along for ``fill_sequences``.
+
+    Null and empty texts are the end id alone, a null id stays null, rows that repeat an id are packed one by one, equal
+    pieces are interchangeable, other columns are never read, and an empty table stays empty.
+    """
     packed = pack(stage(pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces"), capacity)
     return packed.withColumn("doc_id", common.public_id(F.col("doc_id")))
 

@@ -1,5 +1,7 @@
 """The registered queries on the smallest tables against brute force."""
 
+import zlib
+
 import brute
 import public_tokenizers as P
 import pytest
@@ -44,3 +46,32 @@ def test_op8(spark, sf_dir, docs):
 def test_op10(spark, sf_dir, docs):
     got = rows(spark, sf_dir, "op10_substring_dedup", "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == brute.repeats_removed(docs)
+
+
+def test_op1(spark, sf_dir, docs):
+    """Pieces hold the documents' ids, sequences are gapless, and only longer documents are cut."""
+    from test_tokens import check_packing
+
+    rows_ = [r.asDict() for r in QUERIES["op1_best_fit_packing"](spark, sf_dir).collect()]
+    used = check_packing(rows_, 1024)
+    whole = dict(zip(docs, brute.token_ids(docs.values(), P.path("byte_bpe_50k.json")), strict=True))
+    for doc, ids in whole.items():
+        own = sorted((r for r in rows_ if r["doc_id"] == doc), key=lambda r: r["piece"])
+        assert [r["piece"] for r in own] == list(range(len(own))) and len(own) == -(-len(ids) // 1024)
+        assert all(r["length"] == 1024 for r in own[1:]) and [r["start"] for r in own] == [sum(x["length"] for x in own[:i]) for i in range(len(own))]
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
+    assert used <= 1.05 * -(-sum(map(len, whole.values())) // 1024) + 1
+
+
+def test_op9(spark, sf_dir, docs):
+    from test_bm25 import brute as scored
+
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in QUERIES["op9_topk_search"](spark, sf_dir).collect()}
+    want = scored(docs, {d: t for d, t in docs.items() if d % 20 == 0}, 10)
+    assert set(got) == set(want)
+    for key, (_, score) in want.items():
+        assert got[key][1] == pytest.approx(score, abs=2e-6)
+    by_query = {}
+    for (q, _), (d, s) in want.items():
+        by_query.setdefault(q, []).append((round(s, 6), d))
+    assert all(got[key][0] == doc or sum(abs(got[key][1] - s) < 1e-5 for s, _ in by_query[key[0]]) > 1 for key, (doc, _) in want.items())
