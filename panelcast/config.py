@@ -61,6 +61,7 @@ def shift_years(cut: Cutoffs, years: int) -> Cutoffs:
     return Cutoffs(folds=folds, **dates)
 
 
+# Target, windows, lags and limits.
 TARGET = "avg_arr_delay"
 SEQUENCE_LENGTH = 28
 LAGS = (1, 7, 14, 28)
