@@ -345,3 +345,25 @@ def test_correlation_of_a_constant_is_null(spark):
     df = spark.range(1000).select(F.lit(0.1).alias("x"), F.rand(1).alias("y"), F.col("id").cast("double").alias("z")).repartition(7)
     got = {(r.a, r.b): r["corr"] for r in oi.correlation_matrix(df, ["x", "y", "z"]).collect()}
     assert got["x", "y"] is None and got["x", "x"] is None and got["z", "z"] == pytest.approx(1.0) and abs(got["y", "z"]) < 0.2
+
+
+def test_pairwise_correlations_with_holes_in_many_tasks(spark):
+    """Against pandas, which also takes the rows where both are present; one short row per task and pair is shuffled."""
+    rng = np.random.default_rng(8)
+    wide = pd.DataFrame(rng.normal(size=(500, 4)), columns=list("abcd"))
+    wide["b"] += wide["a"]
+    wide["c"] = 1e9 + wide["c"] * 1e-3 + wide["a"] * 1e-3
+    wide = wide.mask(rng.random(wide.shape) < 0.3)
+    wide["e"] = 7.0
+    df = spark.createDataFrame(wide.astype(object).where(wide.notna(), None).values.tolist(), ", ".join(f"{c} double" for c in "abcde")).repartition(9)
+    got = {(r.a, r.b): r["corr"] for r in oi.correlation_matrix(df, list("abcde")).collect()}
+    want = wide.assign(c=wide["c"] - 1e9).corr()  # the same numbers, near 0
+    assert len(got) == 25
+    for x in "abcd":
+        for y in "abcd":
+            assert got[x, y] == pytest.approx(want.loc[x, y], abs=1e-9)
+        assert got[x, "e"] is None
+    parts = oi.pair_moments(df.select(F.array(*"abcde").alias("x")), [(0, 1), (2, 2)])
+    assert parts.count() <= 2 * 9
+    empty = {(r.a, r.b): r["corr"] for r in oi.correlation_matrix(df.limit(0), ["a", "b"]).collect()}
+    assert set(empty.values()) == {None} and len(empty) == 4
