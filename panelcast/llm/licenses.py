@@ -110,7 +110,7 @@ def statements(files: DataFrame, threshold: float = THRESHOLD, templates: list[t
     sentences = told.select("id", "row", "total", F.posexplode(cut).alias("sentence", "said")).filter(F.col("said").rlike(any_anchor))
     counted = sentences.select("id", "row", "total", "sentence", F.explode(F.regexp_extract_all("said", F.lit(TERM), F.lit(0))).alias("term"))
     key = ["id", "row", "total", "sentence"]
-    counted = counted.groupBy(*key, "term").agg(F.count("*").alias("n"))
+    counted = stage(counted.groupBy(*key, "term").agg(F.count("*").alias("n")), "sentence-terms")  # read three times
     norms = counted.join(terms, "term", "left").groupBy(*key).agg(F.sqrt(F.sum((F.col("n") * F.coalesce("idf", F.lit(other))) ** 2)).alias("norm"), F.sum("n").alias("words"))
     own = counted.join(terms, "term").join(weights, "term")
     dots = own.groupBy(*key, "template").agg(F.sum(F.col("n") * F.col("idf") * F.col("weight")).alias("dot"))
@@ -159,11 +159,12 @@ def notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spots = [F.array(*(F.struct(F.lit(i).alias("template"), F.lit(q).alias("q"), F.lit(g).alias("grid")) for i, q, g in places[t])) for t in chosen]
     of_term = F.map_from_arrays(F.lit(chosen), F.array(*spots))
     any_anchor = "(?:^|[^a-z0-9])(?:" + "|".join(map(re.escape, chosen)) + ")(?:$|[^a-z0-9])"
-    told = files.select("id", "text", F.lower("text").alias("lower"), F.xxhash64("text").alias("row")).filter(F.col("lower").rlike(any_anchor) | F.col("lower").contains("spdx-license-identifier"))
-    told = told.dropDuplicates(["id", "row"]).select("id", "row", F.regexp_extract_all("text", F.lit(SPDX_LINE), F.lit(1)).alias("spdx"), F.regexp_extract_all("lower", F.lit(TERM), F.lit(0)).alias("said"))
+    lower = files.select("id", "text", F.lower("text").alias("lower"), F.xxhash64("text").alias("row"))
+    words = F.regexp_extract_all("lower", F.lit(TERM), F.lit(0))
+    told = lower.filter(F.col("lower").rlike(any_anchor)).drop("text").dropDuplicates(["id", "row"]).select("id", "row", words.alias("said"))
     told = told.withColumn("total", F.size("said"))
     cut = F.transform(F.sequence(F.lit(0), F.greatest("total", F.lit(1)) - 1, F.lit(SEGMENT)), lambda at: F.struct(at.alias("at"), F.slice("said", at + 1, SEGMENT + longest).alias("said")))
-    parts = told.select("id", "row", "total", F.when(F.size("spdx") > 0, F.col("spdx")).alias("spdx"), F.explode(cut).alias("part")).select("id", "row", "total", F.when(F.col("part.at") == 0, F.col("spdx")).alias("spdx"), "part.*")
+    parts = told.select("id", "row", "total", F.explode(cut).alias("part")).select("id", "row", "total", "part.*")
 
     def starts(term, p):
         def start(spot):  # a block that would start before the text starts with it
@@ -185,7 +186,8 @@ def notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     scored = counted.join(terms, "term", "left").join(weights, ["template", "term"], "left").groupBy(*key).agg((F.sum(part * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(part**2))).alias("score"), F.sum("n").alias("words"))
     kind = F.when(F.col("words") >= WHOLE, BY_NOTICE).otherwise(BY_SENTENCE).alias("kind")
     scored = scored.withColumn("score", F.round("score", 9)).filter(F.col("score") >= threshold).select("id", "row", "total", "words", "license", "score", kind)
-    lines = parts.select("id", "row", "total", F.explode("spdx").alias("said"))
+    marked = lower.filter(F.col("lower").contains("spdx-license-identifier")).dropDuplicates(["id", "row"])  # few texts, so apart from the others
+    lines = marked.select("id", "row", F.size(words).alias("total"), F.explode(F.regexp_extract_all("text", F.lit(SPDX_LINE), F.lit(1))).alias("said"))
     known = F.create_map(*(F.lit(x) for pair in SPDX.items() for x in pair))
     lines = lines.select("id", "row", "total", F.lit(2).cast("long").alias("words"), F.coalesce(F.try_element_at(known, F.lower("said")), "said").alias("license"), F.lit(1.0).alias("score"), F.lit(BY_SPDX).alias("kind"))
     return scored.unionByName(lines)
