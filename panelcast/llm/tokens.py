@@ -15,14 +15,14 @@ import re
 import numpy as np
 import pyarrow as pa
 
-#: Distinct pieces kept per worker, about 250 bytes each.
-MEMO_PIECES = 1_200_000
+#: Distinct pieces kept per worker in each of two generations, about 200 bytes each.
+MEMO_PIECES = 300_000
 #: Pieces encoded by one call.
 CALL_PIECES = 256
 #: Pieces looked up together, about 60 bytes each.
-LOOKUP_PIECES = 1_000_000
+LOOKUP_PIECES = 250_000
 #: Texts are encoded together up to this many bytes.
-CALL_BYTES = 12_000_000
+CALL_BYTES = 4_000_000
 #: White space beyond single blanks and line feeds: here a byte-level tokenizer may join what lies on both sides.
 _ODD_SPACE = re.compile(
     rb"[\x00\t\r\x0b\x0c]|  |\n\n| \n|\n |\A[ \n]|[ \n]\Z|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
@@ -61,16 +61,26 @@ class Encoder:
             self.kind, self.between = "blank-first", "\n"
         elif parts == ["Split", "ByteLevel"] and steps == ["NFC", "Replace", "Lowercase"]:
             self.kind, self.between = "no-blanks", " \x01 "
-        self.memo: dict[bytes, bytes | None] = {}
+        self.memo: dict[bytes, bytes] = {}
+        self.former: dict[bytes, bytes] = {}
         if self.kind != "whole":
             self.mark = self._whole(self.between.strip(" "))
-            self._reset()
+            self._renew()
 
-    def _reset(self) -> None:
-        self.memo.clear()
+    def _renew(self) -> None:
+        """Starts a generation of known pieces; those of the one before move over when they are met again."""
+        self.former, self.memo = self.memo, {}
         if self.kind == "blank-first":
             self.memo[b"\n"] = self.mark
 
+    def _know(self, pieces: list[bytes]) -> None:
+        if len(self.memo) > MEMO_PIECES:
+            self._renew()
+        missing = [p for p in pieces if p not in self.memo]
+        kept = {p: self.former[p] for p in missing if p in self.former}
+        self.memo |= kept
+        self._learn([p for p in missing if p not in kept])
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -116,9 +126,7 @@ class Encoder:
         held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[starts[0] : end])])
         coded = held.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.memo) > MEMO_PIECES:
-            self._reset()
-        self._learn([p for p in distinct if p not in self.memo])
+        self._know(distinct)
         ids = [self.memo[p] for p in distinct]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         firsts = np.cumsum(sizes) - sizes
