@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Distinct pieces kept per worker in each of two generations, about 200 bytes each.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 450_000
 #: Pieces encoded by one call.
 CALL_PIECES = 256
 #: Pieces looked up together, about 60 bytes each.
