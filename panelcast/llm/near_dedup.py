@@ -4,12 +4,14 @@ A document is the set of its word shingles; equal sets are one class. A tree of
 one signature, so that classes with a long common prefix are neighbours. Links are confirmed on full sets and only few
 pairs need confirming:
 
-1. In each tree a class meets the neighbour with the longest common prefix, and the most central class of its region
-   (the classes that share ``BASE`` values). Confirmed links make components, and large groups of near copies fall into
-   one component at a cost of two pairs a class.
-2. A region whose classes are in one component is finished, whatever its size. In a region that still holds several,
-   classes outside its largest component meet all others that their sizes, their unshared shingles and what both have in
-   common with their hub allow.
+1. In each tree a class meets the neighbour with the longest common prefix, and the most central class (the hub) of its
+   region (the classes that share ``BASE`` values). Regions of more than ``CROWD`` classes are read one value deeper, and
+   deeper again where they stay crowded; a class of such a region also meets the hub of the deepest part that it reaches.
+   Confirmed links make components, and large groups of near copies fall into one component at a few pairs a class.
+2. A region whose classes are in one component is finished, whatever its size. In a region that still holds several, each
+   class is compared with the region's hub. Classes outside the largest component then meet all others that their sizes,
+   their unshared shingles and what both have in common with the hub allow, at ``BASE`` values and not at the depth of
+   step 1, so that a deeper region loses no link.
 
 A pair of similarity 0.8 shares no region with probability (1 - 0.8**2)**16, below 1e-7. Unshared shingles, those that no
 other candidate has, bound the overlap of any pair exactly, so bounds lose nothing.
@@ -18,6 +20,7 @@ other candidate has, bound the overlap of any pair exactly, so bounds lose nothi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,9 @@ from panelcast.sources.staging import stage
 
 TREES, DEPTH, BASE = 16, 8, 2
 #: Parts of a hub's set, by hash, in which overlaps with it are counted.
-PARTS = 32
+PARTS = 128
+#: Classes beyond which a region is read one value deeper.
+CROWD = 64
 #: Classes with one prefix that are sorted together; more of them are dealt over slices.
 REGION_SLICE = 50_000
 _rng = np.random.default_rng(20_240_601)
@@ -130,17 +135,39 @@ def possible(a: str, b: str, percent: int):
 
 
 def within_hub(a: str, b: str, percent: int):
-    """Whether two classes compared with the same hub can be linked: what they share lies in the hub or is held by others.
+    """Whether two classes compared with the hub of their region can be linked: what they share lies in the hub or is held
+    by others.
 
     In each part of the hub they share at most what the one with less there has; the parts tell apart classes that lack
-    different shingles of the hub, which sizes alone cannot.
+    different shingles of the hub, which sizes alone cannot. Without counts, or with several sets of one id, they may.
     """
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    rest = [F.col(f"{x}.n_shingles") - F.col(f"{x}.shared") - F.col(f"{x}.own") for x in (a, b)]
+    rest = [F.greatest(F.col(f"{x}.n_shingles") - F.col(f"{x}.shared") - F.col(f"{x}.own"), F.lit(0)) for x in (a, b)]
     in_hub = F.aggregate(F.zip_with(F.col(f"{a}.parts"), F.col(f"{b}.parts"), lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda acc, x: acc + x)
     most = in_hub + F.least(*rest)
-    bound = most * (100 + percent) >= (n + m) * percent
-    return F.coalesce(F.when(F.col(f"{a}.hub") == F.col(f"{b}.hub"), bound), F.lit(True))
+    return F.coalesce(most * (100 + percent) >= (n + m) * percent, F.lit(True))
+
+
+def deeper_hubs(placed: DataFrame) -> DataFrame:
+    """(a, b): classes of crowded regions and the most central class of the deepest part of them that each class reaches.
+
+    ``placed`` has (id, tree, order, region, lone). A part that holds more than ``CROWD`` classes is read one value deeper,
+    up to ``DEPTH``; each step reads only the rows that are still crowded.
+    """
+    parts = placed.select("id", "tree", "order", "lone", F.col("region").alias("part"))
+    reached = []
+    for depth in range(BASE + 1, DEPTH + 1):
+        crowded = stage(parts.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("part"), "crowded")
+        if crowded.isEmpty():
+            break
+        deeper = F.xxhash64("tree", F.substring("order", 1, 4 * depth))
+        parts = stage(parts.join(crowded, "part", "left_semi").withColumn("part", deeper).select("id", "tree", "order", "lone", "part"), "deeper")
+        hubs = parts.groupBy("part").agg(F.min_by("id", F.struct("lone", "id")).alias("hub"), F.min("lone").alias("hub_lone"), F.max("id").alias("last"), F.min("id").alias("first"))
+        reached.append(parts.join(hubs.filter("first < last"), "part").select("id", "hub", "hub_lone", F.lit(-depth).alias("level")))
+    if not reached:
+        return placed.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    every = reduce(DataFrame.unionAll, reached)
+    return every.groupBy("id").agg(F.min_by("hub", F.struct("level", "hub_lone", "hub")).alias("b")).select(F.col("id").alias("a"), "b")
 
 
 def first_meeting(a: str, b: str):
@@ -167,10 +194,10 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 both.append(len(common_to_both))
                 parts.append(np.bincount((common_to_both % np.uint64(PARTS)).astype(np.int64), minlength=PARTS))
                 n_a.append(len(other)), n_b.append(len(known))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(both, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64())], ["a", "b", "both", "parts", "n_a", "n_b"])
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(both, pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64())], ["a", "b", "both", "parts", "n_a", "n_b"])
 
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(count, "a long, b long, both long, parts array<long>, n_a long, n_b long")
+    return rows.mapInArrow(count, "a long, b long, both long, parts array<int>, n_a long, n_b long")
 
 
 def confirmed(found: DataFrame, percent: int) -> DataFrame:
@@ -201,37 +228,40 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     near = stage(near, "neighbours")
     both = near.unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "depth"))
     best = both.groupBy("a").agg(F.max_by("b", F.struct("depth", "b")).alias("b"))
-    placed = members.select("id", "region").join(facts, "id").withColumn("lone", F.col("own") / F.col("n_shingles"))
+    placed = members.join(facts, "id").withColumn("lone", F.col("own") / F.col("n_shingles"))
     placed = stage(placed, "members")
-    hubs = placed.groupBy("region").agg(F.min_by("id", F.struct("lone", "id")).alias("hub"), F.min("lone").alias("hub_lone"))
+    hubs = stage(placed.groupBy("region").agg(F.min_by("id", F.struct("lone", "id")).alias("hub"), F.min("lone").alias("hub_lone")), "hubs")
     central = placed.join(hubs, "region").groupBy("id").agg(F.min_by("hub", F.struct("hub_lone", "hub")).alias("b")).select(F.col("id").alias("a"), "b")
-    central = stage(central, "hubs")
-    pairs = allowed(best.unionAll(central).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    meets = best.unionAll(central).unionAll(deeper_hubs(placed)).filter("a <> b")
+    pairs = allowed(meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = stage(compared(pairs, texts, size), "compared")
     first = confirmed(found, percent)
-    # what each class has in common with its hub bounds what two classes of one hub can have in common
-    least, greatest = F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
-    hubbed = central.select(F.col("a").alias("id"), F.col("b").alias("hub")).select("id", "hub", least, greatest)
-    hubbed = hubbed.join(found.groupBy("a", "b").agg(F.max("both").alias("shared"), F.first("parts").alias("parts")), ["a", "b"], "left").select("id", "hub", "shared", "parts")
-    hubbed = hubbed.join(several.filter("sets = 1").select(F.col("id").alias("hub")), "hub")
-    orders = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("signature", t * 4 * DEPTH + 1, F.lit(4 * BASE))))
-    known = wanted.select("id").distinct().join(several, "id").join(classes.select("id", orders.alias("regions")), "id").filter("sets = 1")
-    known = known.select("id", "regions").join(hubbed, "id", "left")
 
     grouped = components(first)
-    placed = placed.join(grouped, placed["id"] == grouped["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+    placed = placed.join(grouped, placed["id"] == grouped["node"], "left").select("id", "region", "n_shingles", "own", F.coalesce("component", "id").alias("component"))
     placed = stage(placed, "members")
     mixed = placed.groupBy("region").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("region")
     counts = placed.join(mixed, "region", "left_semi").groupBy("region", "component").agg(F.count("*").alias("n"))
     largest = counts.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    open_rows = stage(placed.join(largest, "region").join(known, "id", "left"), "mixed")
+    open_rows = stage(placed.join(largest, "region").join(hubs.select("region", "hub"), "region"), "mixed")
+    # what each class has in common with the hub of a region bounds what two classes of the region can have in common
+    least, greatest = F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
+    wanting = open_rows.filter("id <> hub").select(least, greatest).distinct().join(found.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    also = stage(compared(wanting, texts, size), "compared")
+    known = found.unionAll(also).groupBy("a", "b").agg(F.max("both").alias("shared"), F.first("parts").alias("parts"))
+    single = several.filter("sets = 1").select("id")
+    orders = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("signature", t * 4 * DEPTH + 1, F.lit(4 * BASE))))
+    regions = classes.select("id", orders.alias("regions")).join(single, "id")
+    shared_with = open_rows.select("id", "region", "hub", least, greatest).join(known, ["a", "b"]).join(single, "id").join(single.select(F.col("id").alias("hub")), "hub")
+    open_rows = open_rows.join(shared_with.select("id", "region", "shared", "parts"), ["id", "region"], "left").join(regions, "id", "left")
+    open_rows = stage(open_rows.filter("id <> hub"), "mixed")  # the hub has met them all
     minor = open_rows.filter("component <> largest").alias("m")
     rest = open_rows.alias("r")
     once = (F.col("r.component") == F.col("r.largest")) | (F.col("m.id") < F.col("r.id"))
     other = (F.col("m.region") == F.col("r.region")) & (F.col("m.component") != F.col("r.component"))
     met = minor.join(rest, other & once & possible("m", "r", percent) & first_meeting("m", "r") & within_hub("m", "r", percent))
     second = met.select(F.least("m.id", "r.id").alias("a"), F.greatest("m.id", "r.id").alias("b")).distinct()
-    return first.unionAll(confirmed(compared(second, texts, size), percent))
+    return first.unionAll(confirmed(also, percent)).unionAll(confirmed(compared(second, texts, size), percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -41,6 +41,24 @@ def test_matches_all_pairs(spark, seed, monkeypatch):
     assert report(spark.createDataFrame(list(docs.items()), DOCS)) == brute.near_duplicates(docs)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_crowded_regions_are_read_deeper_and_lose_no_link(spark, seed, monkeypatch):
+    """One large group whose copies lie on both sides of the threshold, so that regions keep several components."""
+    monkeypatch.setattr(near_dedup, "CROWD", 4)
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    docs = {}
+    for doc in range(160):
+        words = list(base)
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+        docs[doc] = " ".join(words)
+    docs[900] = docs[3] + " w" * 200_000
+    want = brute.near_duplicates(docs)
+    assert len({c for _, c, _ in want.values()}) > 2
+    assert report(spark.createDataFrame(list(docs.items()), DOCS)) == want
+
+
 def test_null_ids_repeated_rows_extra_columns_and_empty_tables(spark):
     text, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(None, text), (4, text), (4, other), (9, other + " b30"), (7, "unlike all of it, truly"), (7, "unlike all of it, truly"), (3, None), (5, None)]
