@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ PARTS = 1 << 40
 ENOUGH = 300
 #: Strength of smoothing: pseudo-counts a level inherits from the level above, and of a declaration's confusion counts.
 HOST_PSEUDO, SITE_PSEUDO, EVIDENCE_PSEUDO = 20.0, 50.0, 5.0
+#: Declarations, suffixes, sites and hosts with more than one in so many rows are joined by broadcast.
+HOT_KEYS = 200
 #: Below this posterior a text is rejected.
 MIN_CONFIDENCE = 0.5
 UNKNOWN = "und"
@@ -52,8 +55,9 @@ def fit(labelled: DataFrame, label_rows: int = LABEL_ROWS) -> tuple[list[str], n
     """
     rows = labelled.filter("label is not null and text is not null").select("label", "text", F.xxhash64("text").alias("hash"))
     sizes = rows.select("label", "hash").distinct().groupBy("label").agg(F.count("*").alias("size"))
-    shares = stage(sizes.select("label", F.least(F.lit(1.0), label_rows / F.col("size")).alias("share")), "label-shares")
-    drawn = rows.join(F.broadcast(shares), "label").filter(F.pmod("hash", F.lit(PARTS)) < F.col("share") * PARTS).groupBy("label", "hash").agg(F.min("text").alias("text"))
+    # labels with no more texts than are drawn keep all of them, so only the others need a share
+    frequent = sizes.filter(F.col("size") > label_rows).select("label", (label_rows / F.col("size")).alias("share"))
+    drawn = rows.join(stage(frequent, "label-shares"), "label", "left").filter(F.pmod("hash", F.lit(PARTS)) < F.coalesce("share", F.lit(1.0)) * PARTS).groupBy("label", "hash").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -67,11 +71,10 @@ def fit(labelled: DataFrame, label_rows: int = LABEL_ROWS) -> tuple[list[str], n
 
     sums = drawn.select("label", "text").mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     found = sums.toPandas()  # at most languages x buckets rows
-    languages = sorted(found["label"].unique())
+    at, languages = pd.factorize(found["label"], sort=True)
+    languages = list(languages)
     table = np.full((len(languages), BUCKETS), 0.5)
-    for i, name in enumerate(languages):
-        own = found[found["label"] == name]
-        table[i, own["bucket"].to_numpy()] += own["n"].to_numpy()
+    np.add.at(table, (at, found["bucket"].to_numpy()), found["n"].to_numpy())
     return languages, np.log(table / table.sum(1, keepdims=True)) if len(languages) else table
 
 
@@ -108,9 +111,28 @@ def site_of(host):
 
 
 def counts_by(rows: DataFrame, key: str, classes: int) -> DataFrame:
-    """(key, counts array): how often the text of a row with this key points to each class; combined before the shuffle."""
-    per_class = [F.sum((F.col("by_text") == i).cast("double")).alias(f"c{i}") for i in range(classes)]
-    return rows.filter(F.col(key).isNotNull() & (F.col("by_text") >= 0)).groupBy(key).agg(*per_class).select(key, F.array(*(f"c{i}" for i in range(classes))).alias("counts"))
+    """(key, counts array, n): how often the text of a row with this key points to each class, and the key's rows.
+
+    Rows are combined by key and class before they meet by key, so a key gathers at most one row a class.
+    """
+    votes = rows.filter(F.col(key).isNotNull()).groupBy(key, "by_text").agg(F.count("*").cast("double").alias("votes"))
+    voted = F.map_from_entries(F.collect_list(F.struct("by_text", "votes")))
+    by_key = votes.groupBy(key).agg(voted.alias("voted"), F.sum("votes").alias("n"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: F.coalesce(F.try_element_at("voted", i), F.lit(0.0)))
+    return by_key.select(key, counts.alias("counts"), "n")
+
+
+def with_counts(out: DataFrame, held: DataFrame, key: str, rows: int) -> DataFrame:
+    """``out`` with the counts of its key. Keys with more than a ``HOT_KEYS``-th of all rows, of which there are fewer than
+    ``HOT_KEYS``, are broadcast; rows with these keys or none are dealt over all tasks in the join of the others."""
+    hot = held.filter(F.col("n") * HOT_KEYS > rows).select(key, F.col("counts").alias("hot_counts"))
+    rest = held.filter(F.col("n") * HOT_KEYS <= rows).select(F.col(key).alias("rest_key"), F.lit(0).alias("rest_salt"), F.col("counts").alias("rest_counts"))
+    out = out.join(F.broadcast(hot), key, "left")
+    done = F.col(key).isNull() | F.col("hot_counts").isNotNull()
+    out = out.withColumns({"own_key": F.when(~done, F.col(key)), "own_salt": F.when(done, F.pmod(F.xxhash64("id", "letters"), F.lit(4096)).cast("int")).otherwise(0)})
+    out = out.join(rest, (F.col("own_key") == F.col("rest_key")) & (F.col("own_salt") == F.col("rest_salt")), "left")
+    counts = F.coalesce("hot_counts", "rest_counts").alias(f"{key}_counts")
+    return out.select(*(c for c in out.columns if not c.startswith(("own_", "rest_", "hot_"))), counts)
 
 
 def identify(rows: DataFrame, languages: list[str], table: np.ndarray, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -124,39 +146,30 @@ def identify(rows: DataFrame, languages: list[str], table: np.ndarray, min_confi
     scored = stage(text_evidence(base, languages, table).withColumn("site", site_of(F.col("host"))), "evidence")
     names = [*languages, UNKNOWN]
 
-    def array_of(f):
-        return F.array(*(f(i) for i in range(classes)))
-
-    totals = [F.sum((F.col("by_text") == i).cast("double")).alias(f"c{i}") for i in range(classes)]
-    corpus = scored.agg(*totals, F.count("*").alias("n")).select(
-        array_of(lambda i: (F.coalesce(f"c{i}", F.lit(0.0)) + 1) / (sum(F.coalesce(f"c{j}", F.lit(0.0)) for j in range(classes)) + classes)).alias("prior"),
-        array_of(lambda i: F.coalesce(f"c{i}", F.lit(0.0)) + 1).alias("size"),
-    )
-    prior, size = (np.array(x) for x in corpus.first())  # a row of a few numbers
-
-    def own(i):  # the row's own vote, which must not confirm itself
-        return (F.col("by_text") == i).cast("double")
+    votes = dict(map(tuple, scored.groupBy("by_text").agg(F.count("*")).collect()))  # a row a class
+    size = np.array([votes.get(i, 0) for i in range(classes)]) + 1.0
+    prior = size / size.sum()
 
     out = scored
     for key in ("declared", "suffix", "site", "host"):
-        out = out.join(counts_by(scored, key, classes).withColumnRenamed("counts", f"{key}_counts"), key, "left")
-
-    def count(key, i):
-        return F.greatest(F.coalesce(F.col(f"{key}_counts")[i], F.lit(0.0)) - F.when(F.col(key).isNotNull(), own(i)).otherwise(0.0), F.lit(0.0))
-
-    def total(key):
-        return sum(count(key, j) for j in range(classes))
+        held = stage(counts_by(scored, key, classes), "key-counts")
+        out = with_counts(out, held, key, sum(votes.values()))
+        # without the row's own vote, which must not confirm itself
+        other = F.transform(f"{key}_counts", lambda n, i: F.greatest(n - F.when(F.col("by_text") == i, 1.0).otherwise(0.0), F.lit(0.0)))
+        out = out.withColumn(f"{key}_counts", F.coalesce(other, F.array_repeat(F.lit(0.0), classes)))
+        out = out.withColumn(f"{key}_total", F.aggregate(f"{key}_counts", F.lit(0.0), lambda a, x: a + x))
 
-    def site_prior(i):
-        return (count("site", i) + SITE_PSEUDO * float(prior[i])) / (total("site") + SITE_PSEUDO)
+    def of_class(values, i):
+        return F.get(F.lit([float(x) for x in values]), i)
 
     def host_prior(i):
-        return (count("host", i) + HOST_PSEUDO * site_prior(i)) / (total("host") + HOST_PSEUDO)
+        site = (F.get("site_counts", i) + SITE_PSEUDO * of_class(prior, i)) / (F.col("site_total") + SITE_PSEUDO)
+        return (F.get("host_counts", i) + HOST_PSEUDO * site) / (F.col("host_total") + HOST_PSEUDO)
 
     def says(key, i):  # log P(key's value | class i), up to what is the same for all classes
-        return F.when(F.col(key).isNotNull(), F.log((count(key, i) + EVIDENCE_PSEUDO * float(prior[i])) / float(size[i] + EVIDENCE_PSEUDO))).otherwise(0.0)
+        return F.when(F.col(key).isNotNull(), F.log((F.get(f"{key}_counts", i) + EVIDENCE_PSEUDO * of_class(prior, i)) / of_class(size + EVIDENCE_PSEUDO, i))).otherwise(0.0)
 
-    out = out.withColumn("scores", array_of(lambda i: F.col("evidence")[i] + says("declared", i) + says("suffix", i) + F.log(host_prior(i))))
+    out = out.withColumn("scores", F.transform("evidence", lambda e, i: e + says("declared", i) + says("suffix", i) + F.log(host_prior(i))))
     out = out.withColumn("top", F.array_max("scores"))
     out = out.withColumn("share", F.lit(1.0) / F.aggregate(F.transform("scores", lambda s: F.exp(s - F.col("top"))), F.lit(0.0), lambda a, x: a + x))
     picked = F.element_at(F.array(*map(F.lit, names)), F.array_position("scores", F.col("top")).cast("int"))

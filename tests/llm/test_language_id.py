@@ -64,3 +64,15 @@ def test_documents_keep_columns_and_pages_are_read(spark, sf_dir):
     got = language_id.identify(language_id.page_evidence(pages), languages, table)
     truth = pages.select(F.col("page_id").alias("id"), F.regexp_extract("html", '<html lang="(\\w+)"', 1).alias("truth"))
     assert got.join(truth, "id").filter("lang <> truth").count() <= 0.02 * pages.count()
+
+
+def test_a_thousand_labels(spark):
+    """Junk in the declared column makes many labels; each stays one, and a hot host is joined like any other key."""
+    rng = random.Random(5)
+    labels = [f"l{i}" for i in range(1000)]
+    labelled = [(text(rng, "de"), "de")] * 3 + [(text(rng, "fr", 60), "fr") for _ in range(200)] + [(f"junk{x} of {x}" * 3, x) for x in labels]
+    languages, table = language_id.fit(spark.createDataFrame(labelled, "text string, label string"))
+    assert len(languages) == 1002
+    rows = [(i, text(rng, "fr", 60), "fr" if i % 2 else labels[i], "fr", "hot.site.fr") for i in range(300)] + [(1000, None, "l1", None, None)]
+    got = language_id.identify(spark.createDataFrame(rows, ROWS), languages, table).collect()
+    assert len(got) == 301 and sum(r.lang == "fr" for r in got) >= 298
