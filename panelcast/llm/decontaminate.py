@@ -3,12 +3,14 @@
 The patterns are the word windows of a benchmark; items shorter than a window are patterns of their own length. Patterns
 of one length share a searcher: a shift table over blocks of two words says how far the search may jump, a bucket per
 last block holds the patterns that may end here, and a direct comparison confirms an occurrence. Documents are scanned in
-one pass without a shuffle; the benchmark goes to the tasks in blocks of bounded size, one pass over the words per block.
+one pass without a shuffle. A benchmark of more than one block of bounded size is searched block after block: the hits of
+each block are stored, so that a task never holds the tables of two, and then put together by document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -72,18 +74,17 @@ def searchers(items: list[tuple[int, str]], window: int) -> list[Searcher]:
     return [Searcher(size, patterns) for size, patterns in sorted(by_size.items())]
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of about ``block_bytes``; only one block at a time is on the driver. An item alone may be larger."""
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The number of blocks of about ``block_bytes``, and their items; only one block at a time is on the driver. An item
+    alone may be larger."""
     size = F.length(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")) + 16
     items = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[text_col].alias("text"))
     total = items.agg(F.sum(size)).first()[0] or 0
     count = 1 + total // block_bytes
     if count == 1:
-        yield [tuple(r) for r in items.collect()]  # at most block_bytes
-        return
+        return 1, iter([[tuple(r) for r in items.collect()]])  # at most block_bytes
     stored = stage(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(count))), "benchmark")
-    for block in range(count):
-        yield [tuple(r) for r in stored.filter(F.col("block") == block).select("item", "text").collect()]
+    return count, ([tuple(r) for r in stored.filter(F.col("block") == block).select("item", "text").collect()] for block in range(count))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -95,10 +96,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
     spark = docs.sparkSession
     kinds = "struct<n_words: bigint, n_hit: bigint, items: array<bigint>, spans: array<struct<first: bigint, end: bigint>>>"
     out = docs.withColumn("hits", F.lit(None).cast(kinds))
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
+    count, blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
+    if count == 1:
+        return out.mapInArrow(_matcher(spark.sparkContext.broadcast(next(blocks)), window, text_col), out.schema)
+    mark = common.fresh(out, "scanned_row")
+    numbered = stage(out.withColumn(mark, F.monotonically_increasing_id()), "numbered")  # stored, so a row keeps its number
+    narrow = numbered.select(mark, text_col, "hits")
+    found = []
+    for block in blocks:
         known = spark.sparkContext.broadcast(block)
-        out = out.mapInArrow(_matcher(known, window, text_col), out.schema)
-    return out
+        hit = narrow.mapInArrow(_matcher(known, window, text_col), narrow.schema).filter("size(hits.spans) > 0")
+        found.append(stage(hit.select(mark, "hits.items", "hits.spans"), "benchmark-hits"))
+        known.unpersist()
+    every = reduce(DataFrame.unionAll, found).groupBy(mark).agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    gathered = F.when(F.col("items").isNotNull(), F.struct(F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), "items", "spans"))
+    every = every.select(F.col(mark).alias("found_row"), gathered.alias("found_hits"))
+    whole = numbered.join(every, numbered[mark] == every["found_row"], "left")
+    whole = whole.select(*(every["found_hits"].alias("hits") if c == "hits" else numbered[f"`{c}`"] for c in out.columns))
+    return whole.mapInArrow(_matcher(spark.sparkContext.broadcast([]), window, text_col), out.schema)
 
 
 def _matcher(known, window: int, text_col: str):

@@ -43,5 +43,7 @@ def test_blocks_add_up_and_columns_stay(spark):
     one = decontaminate.scan(docs.drop("hits"), items).select("doc_id", "hits").collect()
     many = decontaminate.scan(docs.drop("hits"), items, block_bytes=500).select("doc_id", "hits").collect()
     assert sorted(map(str, one)) == sorted(map(str, many))
+    blocks = decontaminate.scan(docs, items, block_bytes=500)  # one worker a task, however many blocks there are
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and blocks.columns == docs.columns
     kept = decontaminate.clean_documents(docs, items)
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "clean", None, None)]
