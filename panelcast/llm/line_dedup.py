@@ -4,8 +4,13 @@ A line's key is the line without outer white space, ASCII letters lower-cased. T
 
 * postings: one row per key and document that holds it. They make every change reversible.
 * references: per key the exact number of documents and the largest document id.
+
+  Both are stored in parts. An insertion appends its postings; a deletion notes the documents that have gone; either appends
+  the counts of the keys that it touches, and of a key the newest counts are valid. So a change writes what it changes.
+  After ``COMPACT`` changes the parts become one.
 * filters: per shard of keys a cuckoo filter of the repeated keys (those in at least ``min_docs`` documents). Cuckoo
-  filters take deletions, so documents can leave again.
+  filters take deletions, so documents can leave again. An index with twice the keys that its shards are made for, or a
+  fourth of them, gets other shards, whose filters are made from the counts: once per doubling.
 
 Lines are screened by the filter of their shard and only hits are confirmed against the exact counts. A shard's lines are
 dealt over slices by document, so a line that a third of all documents hold never meets in one task.
@@ -33,6 +38,8 @@ FILTERS = "shard int, slots binary, full boolean"
 SLICE_LINES = 20_000
 #: Distinct keys that one shard is made for.
 SHARD_KEYS = 100_000
+#: Changes after which the parts of an index are stored as one.
+COMPACT = 16
 
 
 class CuckooFilter:
@@ -129,22 +136,50 @@ def references(rows: DataFrame) -> DataFrame:
 class LineIndex:
     """The stored state. Changes return a new index and leave the old one readable."""
 
-    postings: DataFrame
-    references: DataFrame
+    posting_parts: DataFrame  # with the version that added them
+    reference_parts: DataFrame
+    gone: DataFrame  # (doc_id, until): postings of a document up to this version are dead
     filters: DataFrame
+    keys: int
     shards: int
     min_docs: int = 5
     min_chars: int = 40
+    version: int = 0
 
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """The index of a table; an empty one gives an index that knows no line."""
-        rows = stage(postings(docs, min_chars, id_col, text_col), "line-postings")
+        return cls._of(stage(postings(docs, min_chars, id_col, text_col), "line-postings"), min_docs, min_chars)
+
+    @classmethod
+    def _of(cls, rows: DataFrame, min_docs: int, min_chars: int) -> LineIndex:
         refs = stage(references(rows), "line-references")
-        shards = 1 + refs.count() // SHARD_KEYS
-        index = cls(rows, refs, None, shards, min_docs, min_chars)
+        first = F.lit(0).alias("version")
+        gone = rows.select("doc_id", F.lit(0).alias("until")).limit(0)
+        keys = refs.count()
+        index = cls(rows.select("*", first), refs.select("*", first), gone, None, keys, 1 + keys // SHARD_KEYS, min_docs, min_chars)
         return replace(index, filters=stage(index._built(index.repeated()), "line-filters"))
 
+    @property
+    def postings(self) -> DataFrame:
+        return self._live(self.posting_parts)
+
+    @property
+    def references(self) -> DataFrame:
+        return self._newest(self.reference_parts)
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        if not self.version:
+            return rows.drop("version")
+        until = self.gone.groupBy("doc_id").agg(F.max("until").alias("until"))
+        return rows.join(until, "doc_id", "left").filter(F.col("until").isNull() | (F.col("version") > F.col("until"))).select(*KEY, "doc_id")
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        if not self.version:
+            return rows.drop("version")
+        newest = rows.groupBy(*KEY).agg(F.max_by(F.struct("n_docs", "last_doc"), "version").alias("newest"))
+        return newest.select(*KEY, "newest.n_docs", "newest.last_doc").filter("n_docs > 0")
+
     def shard(self):
         return F.pmod(F.xxhash64(*KEY), F.lit(self.shards)).cast("int")
 
@@ -160,8 +195,14 @@ class LineIndex:
 
         return repeated.select(self.shard().alias("shard"), *KEY).groupBy("shard").applyInPandas(build, FILTERS)
 
-    def _changed(self, refs: DataFrame, came: DataFrame, left: DataFrame) -> DataFrame:
-        """Filters after keys have become repeated (``came``) or have ceased to be (``left``)."""
+    def _changed(self, came: DataFrame, left: DataFrame) -> LineIndex:
+        """The index with the filters that follow from keys that have become repeated (``came``) or ceased to be (``left``)."""
+        if self.version >= COMPACT:
+            return self.compacted()
+        wanted = 1 + self.keys // SHARD_KEYS
+        if wanted >= 2 * self.shards or 4 * wanted <= self.shards:
+            index = replace(self, shards=wanted)
+            return replace(index, filters=stage(index._built(index.repeated()), "line-filters"))
 
         def change(key: tuple, held: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
             gone, new = keys[~keys.came], keys[keys.came]
@@ -173,31 +214,47 @@ class LineIndex:
         keys = came.select(self.shard().alias("shard"), *KEY, F.lit(True).alias("came")).unionAll(left.select(self.shard().alias("shard"), *KEY, F.lit(False).alias("came")))
         changed = stage(self.filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(change, FILTERS), "line-filters")
         full = changed.filter("full").select("shard")
-        again = self._built(replace(self, references=refs).repeated().withColumn("shard", self.shard()).join(full, "shard", "left_semi").drop("shard"))
-        return stage(changed.filter("not full").unionAll(again), "line-filters")
+        if full.isEmpty():
+            return replace(self, filters=changed)
+        again = self._built(self.repeated().withColumn("shard", self.shard()).join(full, "shard", "left_semi").drop("shard"))
+        return replace(self, filters=stage(changed.filter("not full").unionAll(again), "line-filters"))
+
+    def _with(self, refs: DataFrame, keys: int, **parts: DataFrame) -> LineIndex:
+        version = self.version + 1
+        refs = self.reference_parts.unionAll(refs.select(*KEY, "n_docs", "last_doc", F.lit(version).alias("version")))
+        return replace(self, reference_parts=refs, keys=keys, version=version, **parts)
+
+    def compacted(self) -> LineIndex:
+        """The same index in one part, without what has gone."""
+        return self._of(stage(self.postings, "line-postings"), self.min_docs, self.min_chars)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """Adds documents. Lines of a document that are known already are not counted twice."""
-        new = stage(postings(docs, self.min_chars, id_col, text_col).join(self.postings, [*KEY, "doc_id"], "left_anti"), "line-postings")
-        more = references(new).withColumnsRenamed({"n_docs": "more", "last_doc": "last"})
-        merged = self.references.join(more, KEY, "full").select(
-            *KEY, F.coalesce("n_docs", F.lit(0)).alias("before"), (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "last").alias("last_doc")
-        )
+        given = stage(postings(docs, self.min_chars, id_col, text_col), "line-postings")
+        held = self._live(self.posting_parts.join(given.select("doc_id").distinct(), "doc_id", "left_semi").select(*KEY, "doc_id", "version"))
+        new = stage(given.join(held, [*KEY, "doc_id"], "left_anti"), "line-postings")
+        more = stage(references(new).withColumnsRenamed({"n_docs": "more", "last_doc": "last"}), "line-keys")
+        old = self._newest(self.reference_parts.join(more.select(*KEY), KEY, "left_semi"))
+        before = F.coalesce("n_docs", F.lit(0))
+        merged = more.join(old, KEY, "left").select(*KEY, before.alias("before"), (before + F.col("more")).alias("n_docs"), F.greatest("last_doc", "last").alias("last_doc"))
         merged = stage(merged, "line-references")
         came = merged.filter((F.col("before") < self.min_docs) & (F.col("n_docs") >= self.min_docs))
-        refs = merged.drop("before")
-        return replace(self, postings=stage(self.postings.unionAll(new), "line-postings"), references=refs, filters=self._changed(refs, came, came.limit(0)))
+        added = new.select(*KEY, "doc_id", F.lit(self.version + 1).alias("version"))
+        keys = self.keys + merged.filter("before = 0").count()
+        return self._with(merged, keys, posting_parts=self.posting_parts.unionAll(added))._changed(came, came.limit(0))
 
     def delete(self, doc_ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """Removes documents by id, as if they had never been added."""
-        ids = doc_ids.select(common.id_key(doc_ids[id_col]).alias("doc_id")).distinct()
-        kept = stage(self.postings.join(ids, "doc_id", "left_anti").select(*KEY, "doc_id"), "line-postings")
-        touched = stage(self.postings.join(ids, "doc_id", "left_semi").select(*KEY).distinct(), "line-keys")
-        anew = references(kept.join(touched, KEY, "left_semi"))
-        refs = stage(self.references.join(touched, KEY, "left_anti").unionAll(anew), "line-references")
-        still = refs.filter(F.col("n_docs") >= self.min_docs)
-        left = self.repeated().join(touched, KEY, "left_semi").join(still, KEY, "left_anti")
-        return replace(self, postings=kept, references=refs, filters=self._changed(refs, left.limit(0), left))
+        ids = stage(doc_ids.select(common.id_key(doc_ids[id_col]).alias("doc_id")).distinct(), "line-gone")
+        lost = self._live(self.posting_parts.join(ids, "doc_id", "left_semi").select(*KEY, "doc_id", "version"))
+        touched = stage(lost.select(*KEY).distinct(), "line-keys")
+        index = replace(self, gone=self.gone.unionAll(ids.select("doc_id", F.lit(self.version).alias("until"))), version=self.version + 1)
+        kept = references(index._live(self.posting_parts.join(touched, KEY, "left_semi").select(*KEY, "doc_id", "version")))
+        anew = stage(touched.join(kept, KEY, "left").select(*KEY, F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "last_doc"), "line-references")
+        before = self._newest(self.reference_parts.join(touched, KEY, "left_semi"))
+        left = before.filter(F.col("n_docs") >= self.min_docs).join(anew.filter(F.col("n_docs") >= self.min_docs), KEY, "left_anti")
+        keys = self.keys - anew.filter("n_docs = 0").count()
+        return self._with(anew, keys, gone=index.gone)._changed(left.limit(0), left)
 
     def screened(self, rows: DataFrame) -> DataFrame:
         """Postings whose key the filter of its shard may hold."""

@@ -43,6 +43,31 @@ def test_insert_and_delete_are_reversible(spark):
     assert state(whole.delete(frame(docs))) == ([], [])
 
 
+def test_growth_deals_shards_anew_and_parts_become_one(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 40)
+    monkeypatch.setattr(line_dedup, "COMPACT", 4)
+    docs = [(i, "\n".join(f"line {(i * 7 + j) % 400} of forty characters or more, certainly" for j in range(20))) for i in range(120)]
+    frame = lambda rows: spark.createDataFrame(rows, DOCS)
+    state = lambda index: (sorted(map(tuple, index.references.collect())), sorted((r.doc_id, sorted(map(tuple, r["keys"]))) for r in index.drops().collect()))
+    index = LineIndex.build(frame(docs[:3]))
+    few = index.shards
+    for at in range(3, 120, 39):
+        index = index.insert(frame(docs[at : at + 39]))
+    whole = LineIndex.build(frame(docs))
+    assert few < 3 and whole.shards / 2 <= index.shards <= 2 * whole.shards and index.keys == whole.keys and state(index) == state(whole)
+    index = index.delete(frame(docs[60:]))  # the fourth change
+    assert index.version == 0 and state(index) == state(LineIndex.build(frame(docs[:60])))
+    again = index.delete(frame(docs[10:60])).insert(frame(docs[10:60]))
+    assert again.version == 2 and again.keys == index.keys and state(again) == state(index)
+
+
+def test_a_very_long_line_and_text(spark):
+    long = "x y " * 500_000
+    docs = {i: long + f"\nown {i}" for i in range(5)} | {9: "short\n" * 300_000}
+    got = {r.doc_id: tuple(r)[1:] for r in line_dedup.line_report(spark.createDataFrame(list(docs.items()), DOCS)).collect()}
+    assert got == brute.deduplicated_lines(docs)
+
+
 def test_hot_line_in_many_slices(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SLICE_LINES", 50)
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 100)
