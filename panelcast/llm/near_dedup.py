@@ -35,6 +35,8 @@ from panelcast.sources.staging import stage
 TREES, DEPTH, BASE = 16, 8, 2
 #: Parts of a hub's set, by hash, in which overlaps with it are counted.
 PARTS = 128
+#: Hubs of more than so many times the shingles of a class are no bound for it.
+LARGE_HUB = 4
 #: Classes beyond which a region is read one value deeper.
 CROWD = 64
 #: Classes with one prefix that are sorted together; more of them are dealt over slices.
@@ -184,7 +186,7 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, known = None, None  # a hub's pairs come one after the other
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             both, parts, n_a, n_b = [], [], [], []
             for text_a, text_b in zip(common.raw_texts(batch["text_a"]), common.raw_texts(batch["text_b"]), strict=True):
                 if text_b != before:
@@ -230,7 +232,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     best = both.groupBy("a").agg(F.max_by("b", F.struct("depth", "b")).alias("b"))
     placed = members.join(facts, "id").withColumn("lone", F.col("own") / F.col("n_shingles"))
     placed = stage(placed, "members")
-    hubs = stage(placed.groupBy("region").agg(F.min_by("id", F.struct("lone", "id")).alias("hub"), F.min("lone").alias("hub_lone")), "hubs")
+    hubs = stage(placed.groupBy("region").agg(F.min_by("id", F.struct("lone", "id")).alias("hub"), F.min("lone").alias("hub_lone"), F.min_by("n_shingles", F.struct("lone", "id")).alias("hub_n")), "hubs")
     central = placed.join(hubs, "region").groupBy("id").agg(F.min_by("hub", F.struct("hub_lone", "hub")).alias("b")).select(F.col("id").alias("a"), "b")
     meets = best.unionAll(central).unionAll(deeper_hubs(placed)).filter("a <> b")
     pairs = allowed(meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -243,10 +245,12 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     mixed = placed.groupBy("region").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("region")
     counts = placed.join(mixed, "region", "left_semi").groupBy("region", "component").agg(F.count("*").alias("n"))
     largest = counts.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    open_rows = stage(placed.join(largest, "region").join(hubs.select("region", "hub"), "region"), "mixed")
+    open_rows = stage(placed.join(largest, "region").join(hubs.select("region", "hub", "hub_n"), "region"), "mixed")
     # what each class has in common with the hub of a region bounds what two classes of the region can have in common
     least, greatest = F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
-    wanting = open_rows.filter("id <> hub").select(least, greatest).distinct().join(found.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    # a hub many times as large tells little, and its text would go to every pair; too large for a link, it need not be met
+    near_hub = (F.col("hub_n") <= LARGE_HUB * F.col("n_shingles")) | (100 * F.col("n_shingles") >= percent * F.col("hub_n"))
+    wanting = open_rows.filter((F.col("id") != F.col("hub")) & near_hub).select(least, greatest).distinct().join(found.select("a", "b").distinct(), ["a", "b"], "left_anti")
     also = stage(compared(wanting, texts, size), "compared")
     known = found.unionAll(also).groupBy("a", "b").agg(F.max("both").alias("shared"), F.first("parts").alias("parts"))
     single = several.filter("sets = 1").select("id")
