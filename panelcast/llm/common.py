@@ -52,7 +52,7 @@ def replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBat
 class WordHashes(dict):
     """64-bit hashes of words, each computed once per worker while the memory bound holds."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
