@@ -42,8 +42,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                batch = whole.slice(at, 4000)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 ids = list(encode_texts(common.raw_texts(batch["text"]), tokenizer, end_id))
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -82,8 +82,11 @@ def part_starts(rows: DataFrame) -> DataFrame:
 
 
 def stream_positions(rows: DataFrame) -> DataFrame:
-    """Rows with ``start``: the number of ids before the document in the whole stream."""
-    return rows.join(part_starts(rows), "part").withColumn("start", F.col("part_start") + F.col("start_in_part"))
+    """Rows with ``start``: the number of ids before the document in the whole stream.
+
+    The part totals go to the rows, as there are few parts (``PARTS`` up to 10 TB of text): else all ids would be shuffled.
+    """
+    return rows.join(F.broadcast(part_starts(rows)), "part").withColumn("start", F.col("part_start") + F.col("start_in_part"))
 
 
 def read_range(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Encoding dominates every job on token ids, and most words of a corpus occur again and again. A text is cut at places where
 the tokenizer's own first step always cuts too, which whole columns of texts find at once; each distinct piece is encoded
-once per Python worker, and the ids of a text are gathered from those of its pieces. Texts with white space where that rule does not hold, and tokenizers of another build, are
-encoded whole.
+once per Python worker as long as it is among those kept, and the ids of a text are gathered from those of its pieces.
+Texts with white space where that rule does not hold, and tokenizers of another build, are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct pieces kept per worker in each of two generations, about 200 bytes each.
-MEMO_PIECES = 450_000
+#: Distinct pieces kept per worker, about 50 bytes each and as many again during a lookup.
+MEMO_PIECES = 300_000
+#: A lookup of so many times fewer pieces than are known goes without those.
+SMALL = 8
 #: Pieces encoded by one call.
 CALL_PIECES = 256
 #: Pieces looked up together, about 60 bytes each.
-LOOKUP_PIECES = 250_000
+LOOKUP_PIECES = 1_000_000
 #: Texts are encoded together up to this many bytes.
 CALL_BYTES = 4_000_000
 #: White space beyond single blanks and line feeds: here a byte-level tokenizer may join what lies on both sides.
@@ -42,6 +45,46 @@ _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 1
 _CHARACTER = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
 
 
+class Known:
+    """Pieces with their ids, as arrays: the pieces by number, and the ids of all numbers one after the other."""
+
+    def __init__(self):
+        self.pieces = pa.array([], pa.large_binary())
+        self.ids, self.ends, self.again = np.empty(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def find(self, pieces: pa.LargeBinaryArray) -> np.ndarray:
+        """Numbers of pieces, -1 for unknown ones."""
+        numbers = pc.index_in(pieces, value_set=self.pieces).fill_null(-1).to_numpy().astype(np.int64)
+        self.again[numbers[numbers >= 0]] = True
+        return numbers
+
+    def add(self, pieces: pa.LargeBinaryArray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Takes up new, distinct pieces; ``ids`` are those of all of them."""
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
+        self.ids, self.ends = np.concatenate((self.ids, ids)), np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+        self.again = np.concatenate((self.again, np.zeros(len(pieces), bool)))
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some numbers one after the other, and how many each has."""
+        firsts = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - firsts
+        return self.ids[_spans(firsts, sizes)], sizes
+
+    def often(self, most: int) -> Known:
+        """Those that were met again since, at most so many."""
+        out, kept = Known(), np.flatnonzero(self.again)[:most]
+        out.add(self.pieces.take(pa.array(kept)), *self.gather(kept))
+        return out
+
+
+def _spans(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the spans one after the other."""
+    ends = np.cumsum(sizes)
+    out = np.repeat(firsts - (ends - sizes), sizes)
+    out += np.arange(len(out))
+    return out
+
+
 class Encoder:
     """``encode(texts)`` gives for each UTF-8 text its ids as little-endian unsigned 32-bit integers."""
 
@@ -61,25 +104,9 @@ class Encoder:
             self.kind, self.between = "blank-first", "\n"
         elif parts == ["Split", "ByteLevel"] and steps == ["NFC", "Replace", "Lowercase"]:
             self.kind, self.between = "no-blanks", " \x01 "
-        self.memo: dict[bytes, bytes] = {}
-        self.former: dict[bytes, bytes] = {}
+        self.memo = Known()
         if self.kind != "whole":
             self.mark = self._whole(self.between.strip(" "))
-            self._renew()
-
-    def _renew(self) -> None:
-        """Starts a generation of known pieces; those of the one before move over when they are met again."""
-        self.former, self.memo = self.memo, {}
-        if self.kind == "blank-first":
-            self.memo[b"\n"] = self.mark
-
-    def _know(self, pieces: list[bytes]) -> None:
-        if len(self.memo) > MEMO_PIECES:
-            self._renew()
-        missing = [p for p in pieces if p not in self.memo]
-        kept = {p: self.former[p] for p in missing if p in self.former}
-        self.memo |= kept
-        self._learn([p for p in missing if p not in kept])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -124,47 +151,61 @@ class Encoder:
         """Ids of consecutive pieces, one after the other, and how many each piece has. Each distinct piece is looked up once."""
         offsets = np.append(starts, end) - starts[0]
         held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[starts[0] : end])])
-        coded = held.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self._know(distinct)
-        ids = [self.memo[p] for p in distinct]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        firsts = np.cumsum(sizes) - sizes
-        at = coded.indices.to_numpy()
-        counts = sizes[at]
-        ends = np.cumsum(counts)
-        where = np.repeat(firsts[at] - (ends - counts), counts)
-        where += np.arange(len(where))
-        return np.frombuffer(b"".join(ids), "<u4")[where], counts
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        rest = []
-        for p in pieces:
-            text = p.decode()
-            if _WORD.fullmatch(text):
-                text = (text.lower() if self.kind == "no-blanks" else text).encode().decode("latin-1").translate(_CHARACTER)
-                self.memo[p] = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
-            else:
-                rest.append(p)
-        pieces = rest
-        mark = self.between.strip(" ").encode()
-        value = np.frombuffer(self.mark, "<u4")[0]
-        odd = [p for p in pieces if mark in p]
-        for p in odd:
-            self.memo[p] = self._whole(p.decode())
-        if odd:
-            pieces = [p for p in pieces if mark not in p]
-        for at in range(0, len(pieces), CALL_PIECES):
-            some = pieces[at : at + CALL_PIECES]
-            ids = np.array(self.tokenizer.encode(self.between.join([p.decode() for p in some]), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(ids == value) * 4).tolist()
-            raw, start = ids.tobytes(), 0
+        if len(held) * SMALL < len(self.memo.pieces):  # a lookup reads all known pieces, which is not worth it here
+            coded = held.dictionary_encode()
+            some = Known()
+            some.add(*self._learnt(coded.dictionary))
+            return some.gather(some.find(coded.dictionary)[coded.indices.to_numpy()])
+        if len(self.memo.pieces) > MEMO_PIECES:
+            self.memo = self.memo.often(MEMO_PIECES // 2)
+        numbers = self.memo.find(held)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            missing = held.take(pa.array(new))
+            first = len(self.memo.pieces)
+            self.memo.add(*self._learnt(missing.unique()))
+            numbers[new] = first + pc.index_in(missing, value_set=self.memo.pieces[first:]).to_numpy()
+        return self.memo.gather(numbers)
+
+    def _learnt(self, pieces: pa.LargeBinaryArray) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+        """Distinct pieces in another order, their ids one after the other, and how many each has."""
+        order, ids, sizes = self._learn(pieces.to_pylist())
+        return pieces.take(pa.array(order)), ids, sizes
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """In which order the pieces were encoded, their ids one after the other, and how many each has."""
+        texts = b"\n".join(pieces).decode().split("\n")
+        if len(texts) > len(pieces):
+            texts = [p.decode() for p in pieces]
+        plain = np.array([_WORD.fullmatch(t) is not None for t in texts])
+        order, ids, sizes = np.flatnonzero(plain).tolist(), [], []
+        words = "\n".join([texts[i] for i in order])
+        words = (words.lower() if self.kind == "no-blanks" else words).encode().decode("latin-1").translate(_CHARACTER)
+        tokenize = self.tokenizer.model.tokenize
+        for text in words.split(_CHARACTER[10]) if order else []:
+            found = [t.id for t in tokenize(text)]
+            ids += found
+            sizes.append(len(found))
+        parts = [np.array(ids, "<u4")]
+        mark, value = self.between.strip(" "), np.frombuffer(self.mark, "<u4")[0]
+        rest, alone = [], []
+        for i in np.flatnonzero(~plain).tolist():
+            (alone if mark in texts[i] else rest).append(i)
+        for at in range(0, len(rest), CALL_PIECES):
+            some = rest[at : at + CALL_PIECES]
+            ids = np.array(self.tokenizer.encode(self.between.join([texts[i] for i in some]), add_special_tokens=False).ids, "<u4")
+            marks = ids == value
+            ends = np.flatnonzero(marks)
             if len(ends) != len(some) - 1:  # the mark was not kept apart: encode one by one
-                self.memo |= {p: self._whole(p.decode()) for p in some}
+                alone += some
                 continue
-            for piece, end in zip(some, [*ends, len(raw)], strict=True):
-                self.memo[piece] = raw[start:end]
-                start = end + 4
+            order += some
+            parts.append(ids[~marks])
+            sizes += (np.diff(ends, prepend=-1, append=len(ids)) - 1).tolist()
+        for i in alone:
+            parts.append(np.frombuffer(self._whole(texts[i]), "<u4"))
+            sizes.append(len(parts[-1]))
+        return np.array(order + alone, np.int64), np.concatenate(parts), np.array(sizes, np.int64)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if self.kind == "whole":

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from panelcast.llm import packing, token_files
+from panelcast.llm import packing, token_files, tokens
 from panelcast.llm.tokens import Encoder
 
 ODD = [
@@ -28,6 +28,22 @@ def test_encoder_matches_whole_texts(name):
         assert got == want[:-1].tobytes()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_known_pieces_are_bounded_and_common_ones_stay(name, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 60)
+    monkeypatch.setattr(tokens, "LOOKUP_PIECES", 90)
+    tool, rng, learnt = Encoder(P.path(name)), random.Random(5), []
+    learn = tool._learn
+    monkeypatch.setattr(tool, "_learn", lambda pieces: learnt.extend(pieces) or learn(pieces))
+    for _ in range(30):
+        rare = ["".join(rng.choice("abcdé") for _ in range(12)) for _ in range(40)]
+        texts = [f"every batch has the same {r} words, 12 x's" for r in rare]
+        got = tool.encode([t.encode() for t in texts])
+        assert got == [w[:-1].tobytes() for w in brute.token_ids(texts, P.path(name))]
+        assert len(tool.memo.pieces) <= 60 + 90
+    assert learnt.count(b" batch" if name.startswith("byte") else b"batch") == 1
+
+
 def test_token_files_round_trip(spark, tmp_path):
     docs = dict(enumerate(ODD))
     path = P.path("word_bpe_49k.json")
@@ -41,6 +57,20 @@ def test_token_files_round_trip(spark, tmp_path):
     assert all(r.start < 5 and r.start + r.n_tokens > 3 for r in held) and held
 
 
+def test_ids_are_not_shuffled_when_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(k, "some words " * k) for k in range(50)], "doc_id long, text string")
+    token_files.write_token_files(df, f"{tmp_path}/s", P.path("word_bpe_49k.json"), 2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = token_files.checksums(token_files.stream_positions(token_files.read_token_files(spark, f"{tmp_path}/s")))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert [(r.start, r.n_tokens) for r in rows.orderBy("doc_id").limit(3).collect()] == [(0, 1), (1, 3), (4, 5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_token_files_empty_and_null_ids(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     token_files.write_token_files(df, f"{tmp_path}/e", P.path("word_bpe_49k.json"), 2)
