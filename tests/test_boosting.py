@@ -134,3 +134,31 @@ def test_missing_values_empty_tables_and_constant_features(spark):
     assert len(model.trees) == 30 and got == {True: pytest.approx(5.0, abs=1e-4), False: pytest.approx(1.0, abs=1e-4)}
     empty = bo.fit_trees(df.limit(0), ["a", "b"], "y", F.lit(True), F.lit(False), [s])[0]
     assert empty.trees == [] and df.select(empty.column().alias("p")).first().p == 0.0
+
+
+def test_levels_go_on_from_the_level_before(monkeypatch):
+    """Only finished trees are walked from the root; sums of a level are those of all its rows, added up in their order."""
+    rng, n = np.random.default_rng(4), 3000
+    bins = rng.integers(0, 9, (5, n)).astype(np.uint8)
+    label, code = bins[0] * 0.5 - bins[1] * bins[2] * 0.1 + rng.normal(size=n), rng.integers(0, 3, n).astype(np.uint8)
+    block = bo.Block(bins, label, rng.integers(0, 2**60, n), code, (9,) * 5)
+    walk, roots, levels = bo.Tree.nodes, [], []
+    monkeypatch.setattr(bo.Tree, "nodes", lambda tree, wide, at=None, rows=None: roots.append(at is None) or walk(tree, wide, at, rows))
+    sums = bo.Block.histograms
+
+    def checked(block, tree, nodes, features, round_, s):
+        got = dict(sums(block, tree, nodes, features, round_, s))
+        used = np.flatnonzero((block.code == bo.TRAIN) & (bo.uniform(block.ids, s.seed * 1_000_003 + round_) < s.subsample))
+        ends = walk(tree, block.wide, rows=used)
+        for f in features:
+            want = np.zeros((2, len(nodes), 9))
+            for row, end in zip(used, ends, strict=True):
+                if end in nodes:
+                    want[:, nodes.index(end), block.bins[f, row]] += block.margin[row] - block.label[row], 1
+            assert np.array_equal(got[f], want)
+        levels.append(len(nodes))
+        return iter(got.items())
+
+    monkeypatch.setattr(bo.Block, "histograms", checked)
+    found = bo.boost(bo.LocalRows(block), 5, bo.Settings(n_estimators=3, max_depth=4))
+    assert max(levels) > 4 and sum(roots) == len(found["history"]) == 3
